@@ -244,7 +244,6 @@ zfb
 # ---------------------------------------------------------------------------------
 CORPUS_LEXICON = {"that": "BANK", "was": "BANK", "for": "PRODUCT", "on": "PRODUCT",
                   "it": "COMMENTS_N", "are": "COMMENTS_ADJ"}
-CORPUS_TEXT_CHARS = MAX_SEQ_LEN - 2
 
 
 def bank_lexicon_rows() -> list[tuple[str, str, str]]:

@@ -1,21 +1,36 @@
 """BIO sequence functions as native Spark column expressions.
 
-Every function takes and returns ``Column`` objects and is built from higher-order
-functions (``transform``, ``filter``, ``aggregate``, ``zip_with``), so it runs inside
-whole-stage code generation, needs no Python worker and no shuffle: a row's sequence
-work stays in that row.
+Everything is built from higher-order functions (``transform``, ``filter``,
+``aggregate``, ``zip_with``) so a row's sequence work stays inside that row: no Python
+worker, no shuffle.
+
+Whole texts can be long (10^5 characters), so every per-character function here is
+**linear** in the sequence length.  Immutable Spark arrays make an ``aggregate`` that
+appends to an array quadratic, so prefix sums and "which run owns position p" are built
+with run-length owner arrays instead:
+
+* ``owner = flatten(transform(lengths, (l, k) -> array_repeat(k, l)))`` maps each
+  position to its run in one pass;
+* run starts are the positions where the owner changes.
+
+Functions that index an array inside a lambda take that array as a *column reference*
+(materialised with ``withColumn`` first) and reference it once more outside the lambda
+(``_pinned``), so Catalyst's CollapseProject keeps it computed once per row instead of
+inlining it into the per-element lambda.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.constants import ALL_LABELS, EOS_ID, MAX_SEQ_LEN, PAD_ID, SOS_ID
 
 UNK = "[UNK]"
+WINDOW = MAX_SEQ_LEN - 2          # positions of one fixed-length window without its frame
 
 _STR_ARRAY = "array<string>"
+_INT_ARRAY = "array<int>"
 
 
 def _c(x) -> Column:
@@ -26,11 +41,26 @@ def empty_strings() -> Column:
     return F.expr(f"cast(array() as {_STR_ARRAY})")
 
 
+def empty_ints() -> Column:
+    return F.expr(f"cast(array() as {_INT_ARRAY})")
+
+
+def positions(arr) -> Column:
+    """1..size(arr) (empty for an empty array; ``sequence(1, 0)`` would count down)."""
+    n = F.size(_c(arr))
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(empty_ints())
+
+
+def _pinned(arr, expr: Column) -> Column:
+    """``expr`` that also references ``arr`` outside its lambdas (see module doc)."""
+    return F.when(F.size(_c(arr)) >= 0, expr)
+
+
 # ----------------------------------------------------------------------------------
-# P01 / T01 building blocks
+# Single-pass element-wise functions
 # ----------------------------------------------------------------------------------
 def bio_split(bio) -> Column:
-    """Blank-separated label string -> label array (runs of whitespace split once)."""
+    """Blank-separated label string -> label array (whitespace runs split once)."""
     s = F.trim(_c(bio))
     return F.when(s == "", empty_strings()).otherwise(F.split(s, r"\s+"))
 
@@ -60,28 +90,20 @@ def label_decode(ids) -> Column:
 
 def char_labels(text, labels) -> Column:
     """Pair characters with labels, truncated to the shorter side (like ``zip``)."""
-    c, l = chars(text), _c(labels)
-    n = F.least(F.size(c), F.size(l))
-    return F.slice(F.arrays_zip(c.alias("ch"), l.alias("label")), 1, n)
-
-
-def _zipped(text, labels) -> Column:
-    c, l = chars(text), _c(labels)
-    n = F.least(F.size(c), F.size(l))
-    return F.slice(F.arrays_zip(c.alias("ch"), l.alias("label")), 1, n)
+    z = F.arrays_zip(chars(text).alias("ch"), _c(labels).alias("label"))
+    return F.filter(z, lambda p: p["ch"].isNotNull() & p["label"].isNotNull())
 
 
 def mark_text(text, labels) -> Column:
     """Prepend every non-``O`` label name to its character and join."""
-    z = _zipped(text, labels)
-    return F.array_join(F.transform(z, lambda p: F.concat(
+    return F.array_join(F.transform(char_labels(text, labels), lambda p: F.concat(
         F.when(p["label"] == "O", F.lit("")).otherwise(p["label"]), p["ch"])), "")
 
 
 def strip_blank_labels(text, labels) -> Column:
     """Drop the labels that sit on an ASCII blank (U+0020 only)."""
-    z = _zipped(text, labels)
-    return F.transform(F.filter(z, lambda p: p["ch"] != " "), lambda p: p["label"])
+    return F.transform(F.filter(char_labels(text, labels), lambda p: p["ch"] != " "),
+                       lambda p: p["label"])
 
 
 def bio_inner(label) -> Column:
@@ -89,57 +111,48 @@ def bio_inner(label) -> Column:
     return F.regexp_replace(_c(label), "^B", "I")
 
 
-def token_text(token) -> Column:
-    """A token's characters as text: a leading ``##`` marks a continuation piece."""
-    return F.regexp_replace(_c(token), "^##", "")
-
-
-def token_len(token) -> Column:
-    """Characters a token covers; ``[UNK]`` covers one."""
-    t = _c(token)
-    return F.when(t == UNK, F.lit(1)).otherwise(F.length(token_text(t)))
+def join_labels(labels, null_as: str | None = None) -> Column:
+    """Labels -> one blank-separated string."""
+    return F.array_join(_c(labels), " ", null_as) if null_as else F.array_join(_c(labels), " ")
 
 
-def exclusive_offsets(lengths) -> Column:
-    """Exclusive prefix sum of an int array, in one pass."""
-    acc0 = F.struct(F.lit(0).alias("s"), F.expr("cast(array() as array<int>)").alias("out"))
-    return F.aggregate(
-        _c(lengths), acc0,
-        lambda acc, x: F.struct((acc["s"] + x).alias("s"),
-                                F.concat(acc["out"], F.array(acc["s"])).alias("out")),
-        lambda acc: acc["out"])
+# ----------------------------------------------------------------------------------
+# run-length helpers (linear prefix sums)
+# ----------------------------------------------------------------------------------
+def owner(lengths) -> Column:
+    """Position -> 1-based run index, for runs of the given (non-negative) lengths."""
+    return F.flatten(F.transform(_c(lengths), lambda l, k: F.array_repeat(k + 1, l)))
 
 
-def align_labels(tokens, labels_no_blank) -> Column:
-    """Character labels (blanks removed) -> one label per token.
+def exclusive_prefix(lengths) -> Column:
+    """Exclusive prefix sums of an int array, linear.
 
-    A token takes the label of its first character; the offset of token k is the
-    exclusive prefix sum of the token lengths.  A token past the labels gets null.
+    Every run gets one marker slot before its ``l`` slots, so zero-length runs keep a
+    start; the marker of run k (0-based) sits at slot ``sum(l_i + 1 for i < k) + 1``.
+    The owner array is compared with its shifted copy through ``arrays_zip`` so the
+    expression is evaluated once.
     """
-    toks, labs = _c(tokens), _c(labels_no_blank)
-    offs = exclusive_offsets(F.transform(toks, token_len))
-    return F.transform(offs, lambda o: F.try_element_at(labs, o + 1))
+    own = F.flatten(F.transform(_c(lengths), lambda l, k: F.array_repeat(k, l + 1)))
+    shifted = F.concat(F.array(F.lit(-1)), own)
+    z = F.arrays_zip(own.alias("o"), shifted.alias("prev"))
+    slots = F.transform(z, lambda e, p: F.struct((p + 1).alias("p"), e["o"].alias("o"),
+                                                 e["prev"].alias("prev")))
+    starts = F.filter(slots, lambda e: e["o"].isNotNull() & (e["o"] != e["prev"]))
+    return F.transform(starts, lambda e, k: e["p"] - 1 - k)
 
 
-def expand_labels(tokens, token_labels) -> Column:
-    """Token labels -> character labels of the token text.
-
-    The first character keeps the token's label and the rest get its inner form; a
-    ``##`` piece ignores its own label and continues the previous character's label.
-    """
-    z = F.arrays_zip(_c(tokens).alias("t"), _c(token_labels).alias("l"))
-    n = F.least(F.size(_c(tokens)), F.size(_c(token_labels)))
-    z = F.slice(z, 1, n)
+# ----------------------------------------------------------------------------------
+# tokens
+# ----------------------------------------------------------------------------------
+def token_text(token) -> Column:
+    """A token's characters: a leading ``##`` marks a continuation piece."""
+    return F.regexp_replace(_c(token), "^##", "")
 
-    def step(acc, p):
-        cont = p["t"].startswith("##")
-        prev = F.try_element_at(acc, F.lit(-1))
-        ln = token_len(p["t"])
-        cont_part = F.array_repeat(bio_inner(prev), ln)
-        head_part = F.concat(F.array(p["l"]), F.array_repeat(bio_inner(p["l"]), ln - 1))
-        return F.concat(acc, F.when(cont, cont_part).otherwise(head_part))
 
-    return F.aggregate(z, empty_strings(), step)
+def token_len(token) -> Column:
+    """Characters a token covers; ``[UNK]`` covers one."""
+    t = _c(token)
+    return F.when(t == UNK, F.lit(1)).otherwise(F.length(token_text(t)))
 
 
 def token_chars(tokens) -> Column:
@@ -152,84 +165,203 @@ def token_chars(tokens) -> Column:
     return F.flatten(F.transform(_c(tokens), one))
 
 
-def realign_labels(text, tokens, char_labels_of_tokens) -> Column:
-    """Put labels back on the original characters.
+def align_labels(tokens, labels_no_blank_ref) -> Column:
+    """Character labels (blanks removed) -> one label per token.
 
-    Walks the original characters with a pointer into the token text: a matching
-    character takes the label under the pointer, an unknown token character or a
-    character the tokenizer dropped gets ``O``.  Once the token text is used up the
-    walk stops, so a tail that no token covers gets no label (kept on purpose).
+    A token takes the label of its first character; its offset is the exclusive prefix
+    sum of the token lengths (W03).  A token past the labels gets null.
+    ``labels_no_blank_ref`` must be a column reference.
     """
-    tch = token_chars(tokens)
-    lab = _c(char_labels_of_tokens)
-    acc0 = F.struct(F.lit(1).alias("i"), empty_strings().alias("out"))
-
-    def step(acc, ch):
-        i = acc["i"]
-        done = i > F.size(tch)
-        cur = F.try_element_at(tch, i)
+    labs = _c(labels_no_blank_ref)
+    offs = exclusive_prefix(F.transform(_c(tokens), token_len))
+    return _pinned(labs, F.transform(offs, lambda o: F.try_element_at(labs, o + 1)))
+
+
+def with_aligned(df: DataFrame, text: str, labels: str, tokens: str, out: str) -> DataFrame:
+    """T03 + T04 on a DataFrame: blank-free character labels, then one per token."""
+    d = df.withColumn("__nb", strip_blank_labels(F.col(text), F.col(labels)))
+    return d.withColumn(out, align_labels(F.col(tokens), F.col("__nb"))).drop("__nb")
+
+
+def with_expanded(df: DataFrame, tokens: str, token_labels: str, out: str) -> DataFrame:
+    """Token labels -> character labels of the token text.
+
+    The first character keeps the token's label and the rest get its inner form; a
+    ``##`` piece ignores its own label and continues the previous character's label,
+    i.e. the inner form of its word head's label (inner is idempotent).
+    """
+    t, lab = F.col(tokens), F.col(token_labels)
+    m = F.least(F.size(t), F.size(lab))
+    d = df.withColumn("__tok", F.slice(t, 1, m)).withColumn("__lab", lab)
+    d = d.withColumn("__cont", F.transform(F.col("__tok"), lambda x: x.startswith("##")))
+    cont, lb = F.col("__cont"), F.col("__lab")
+    d = d.withColumn("__heads", _pinned(cont, F.filter(positions(cont), lambda k: ~F.element_at(cont, k))))
+    heads = F.col("__heads")
+    n_tok = F.size(F.col("__tok"))
+    first = F.coalesce(F.try_element_at(heads, F.lit(1)), n_tok + 1)
+    head_of = F.concat(
+        F.array_repeat(F.lit(None).cast("int"), first - 1),
+        _pinned(heads, F.flatten(F.transform(heads, lambda h, g: F.array_repeat(
+            h, F.coalesce(F.try_element_at(heads, g + 2), n_tok + 1) - h)))))
+    d = d.withColumn("__head_of", head_of)
+    tk, hof = F.col("__tok"), F.col("__head_of")
+
+    def one(x, k0):
+        k = k0 + 1
+        ln = token_len(x)
+        own = F.element_at(lb, k)
+        head_lab = F.try_element_at(lb, F.element_at(hof, k))
+        return F.when(F.element_at(cont, k), F.array_repeat(bio_inner(head_lab), ln)).otherwise(
+            F.concat(F.array(own), F.array_repeat(bio_inner(own), ln - 1)))
+
+    res = _pinned(hof, _pinned(cont, _pinned(lb, F.flatten(F.transform(tk, one)))))
+    return d.withColumn(out, res).drop("__tok", "__lab", "__cont", "__heads", "__head_of")
+
+
+def with_realigned(df: DataFrame, text: str, tokens: str, char_labels: str, out: str) -> DataFrame:
+    """Put the token-text labels back on the original characters (linear form).
+
+    For a tokenization whose token text is the text without U+0020 blanks (``[UNK]``
+    standing for one character) -- which the engine's tokenizer guarantees -- the
+    two-pointer walk reduces to: a blank gets ``O``; the k-th non-blank character gets
+    the k-th token-text label, ``O`` if that token character is unknown or differs; the
+    walk ends once the token text is used up, so a tail no token covers gets no label.
+    Trailing unknown token characters end the walk that many characters after the last
+    known one, as the walk consumes one per character.  ``realign_walk`` is the literal
+    walk for arbitrary token texts (quadratic; short sequences only).
+    """
+    d = df.withColumn("__ch", chars(F.col(text))).withColumn("__tch", token_chars(F.col(tokens))) \
+        .withColumn("__lab", F.col(char_labels))
+    ch, tch, lab = F.col("__ch"), F.col("__tch"), F.col("__lab")
+    d = d.withColumn("__nbpos", _pinned(ch, F.filter(positions(ch), lambda j: F.element_at(ch, j) != " ")))
+    nbpos = F.col("__nbpos")
+    n = F.size(ch)
+    first = F.coalesce(F.try_element_at(nbpos, F.lit(1)), n + 1)
+    own = F.concat(F.array_repeat(F.lit(0), first - 1), _pinned(nbpos, F.flatten(F.transform(
+        nbpos, lambda p, k: F.array_repeat(k + 1, F.coalesce(F.try_element_at(nbpos, k + 2), n + 1) - p)))))
+    known = _pinned(tch, F.filter(positions(tch), lambda i: F.element_at(tch, i).isNotNull()))
+    d = d.withColumn("__own", own).withColumn("__known", known)
+    kn = F.col("__known")
+    i0 = F.coalesce(F.try_element_at(kn, F.lit(-1)), F.lit(0))
+    m = F.size(tch)
+    last = F.when(i0 > 0, F.coalesce(F.try_element_at(nbpos, i0), n)).otherwise(F.lit(0))
+    d = d.withColumn("__end", F.least(n, last + (m - i0)))
+    ow = F.col("__own")
+
+    def one(j):
+        c = F.element_at(ch, j)
+        k = F.element_at(ow, j)
+        t = F.try_element_at(tch, k)
+        return (F.when(c == " ", F.lit("O"))
+                .when(t.isNull() | (F.lower(c) != t), F.lit("O"))
+                .otherwise(F.try_element_at(lab, k)))
+
+    res = _pinned(ch, _pinned(ow, _pinned(tch, _pinned(lab, F.slice(
+        F.transform(positions(ch), one), 1, F.col("__end"))))))
+    return d.withColumn(out, res).drop("__ch", "__tch", "__lab", "__nbpos", "__own", "__known", "__end")
+
+
+def realign_walk(text, tokens, char_labels_of_tokens) -> Column:
+    """T06, literal two-pointer walk over the original characters (quadratic).
+
+    A matching character takes the label under the pointer, an unknown token character
+    or a character the tokenizer dropped gets ``O``; the walk stops when the token text
+    is used up.  Inputs ride in the fold state so they are evaluated once per row.
+    """
+    acc0 = F.struct(F.lit(1).alias("i"), empty_strings().alias("out"),
+                    token_chars(tokens).alias("tch"), _c(char_labels_of_tokens).alias("lab"))
+
+    def step(acc, c):
+        i, t, lb = acc["i"], acc["tch"], acc["lab"]
+        done = i > F.size(t)
+        cur = F.try_element_at(t, i)
         unknown = cur.isNull()
-        hit = F.lower(ch) == cur
+        hit = F.lower(c) == cur
         emit = (F.when(done, empty_strings())
                 .when(unknown | ~hit, F.array(F.lit("O")))
-                .otherwise(F.array(F.try_element_at(lab, i))))
+                .otherwise(F.array(F.try_element_at(lb, i))))
         nxt = F.when(done, i).when(unknown | hit, i + 1).otherwise(i)
-        return F.struct(nxt.alias("i"), F.concat(acc["out"], emit).alias("out"))
+        return F.struct(nxt.alias("i"), F.concat(acc["out"], emit).alias("out"), t.alias("tch"),
+                        lb.alias("lab"))
 
     return F.aggregate(chars(text), acc0, step, lambda acc: acc["out"])
 
 
+# ----------------------------------------------------------------------------------
+# Fixed-length frames
+# ----------------------------------------------------------------------------------
 def frame_pad(ids, length: int = MAX_SEQ_LEN) -> Column:
-    """``[SOS] + ids + [EOS] + [PAD]*`` to a fixed length (ids truncated first)."""
-    x = F.slice(_c(ids), 1, length - 2)
+    """``[SOS] + ids + [EOS] + [PAD]*`` to a fixed length (ids must fit)."""
+    x = _c(ids)
     return F.concat(F.array(F.lit(SOS_ID)), x, F.array(F.lit(EOS_ID)),
                     F.array_repeat(F.lit(PAD_ID), F.lit(length - 2) - F.size(x)))
 
 
+def windows(arr_ref, size: int = WINDOW) -> Column:
+    """Consecutive windows of ``size`` elements covering the whole array (>= 1 window)."""
+    a = _c(arr_ref)
+    nw = F.greatest(F.lit(1), F.ceil(F.size(a) / F.lit(size)).cast("int"))
+    return _pinned(a, F.transform(F.sequence(F.lit(0), nw - 1),
+                                  lambda w: F.slice(a, w * size + 1, size)))
+
+
 def strip_frame(ids) -> Column:
     """Drop pad ids, then the first and the last (frame) position."""
     kept = F.filter(_c(ids), lambda i: i != PAD_ID)
     return F.slice(kept, 2, F.greatest(F.size(kept) - 2, F.lit(0)))
 
 
+def mask_positions(labels, mask) -> Column:
+    """Label ids where ``label != [PAD]`` and the attention mask is set."""
+    z = F.arrays_zip(_c(labels).alias("l"), _c(mask).alias("m"))
+    return F.transform(F.filter(z, lambda p: (p["l"] != PAD_ID) & (p["m"] == 1)), lambda p: p["l"])
+
+
 def normalise_text(s) -> Column:
     """Drop whitespace, ``[UNK]`` -> ``ø``, lower-case."""
     return F.lower(F.replace(F.regexp_replace(_c(s), r"\s+", ""), F.lit(UNK), F.lit("ø")))
 
 
-def bio_spans(labels) -> Column:
-    """Labels -> array<struct<start,end,kind>> of entity spans (0-based, end exclusive).
+# ----------------------------------------------------------------------------------
+# spans
+# ----------------------------------------------------------------------------------
+def with_spans(df: DataFrame, labels: str, out: str) -> DataFrame:
+    """Labels -> array<struct<start,end,kind>> (0-based, end exclusive), linear.
 
-    A span opens at ``B-X`` and extends over the following ``I-X``; an ``I-X`` whose run
-    did not start with ``B-X`` opens nothing (D6).
+    A position continues the run before it when it is ``I-X`` and the previous label is
+    ``B-X`` or ``I-X``; every other position breaks.  A span is a run that starts with
+    ``B-X``; a run headed by a stray ``I-X`` opens nothing (D6).
     """
-    span_t = "array<struct<start:int,end:int,kind:string>>"
-    acc0 = F.struct(F.expr(f"cast(array() as {span_t})").alias("spans"),
-                    F.lit(None).cast("string").alias("cur"))
-    z = F.arrays_zip(_c(labels).alias("l"),
-                     F.sequence(F.lit(0), F.size(_c(labels)) - 1).alias("p"))
-
-    def step(acc, e):
-        lab, p = e["l"], e["p"]
-        is_b = lab.startswith("B-")
-        kind = F.substring(lab, 3, 1 << 20)
-        cont = acc["cur"].isNotNull() & (lab == F.concat(F.lit("I-"), acc["cur"]))
-        spans = acc["spans"]
-        last = F.element_at(spans, -1)
-        opened = F.concat(spans, F.array(F.struct(p.alias("start"), (p + 1).alias("end"),
-                                                  kind.alias("kind"))))
-        extended = F.concat(F.slice(spans, 1, F.size(spans) - 1),
-                            F.array(F.struct(last["start"].alias("start"), (p + 1).alias("end"),
-                                             last["kind"].alias("kind"))))
-        new_spans = F.when(is_b, opened).when(cont, extended).otherwise(spans)
-        new_cur = F.when(is_b, kind).when(cont, acc["cur"]).otherwise(F.lit(None).cast("string"))
-        return F.struct(new_spans.alias("spans"), new_cur.alias("cur"))
-
-    return F.when(F.size(_c(labels)) == 0, F.expr(f"cast(array() as {span_t})")).otherwise(
-        F.aggregate(z, acc0, step, lambda acc: acc["spans"]))
-
-
-def mask_positions(labels, mask) -> Column:
-    """Positions where ``label != [PAD]`` and the attention mask is set."""
-    z = F.arrays_zip(_c(labels).alias("l"), _c(mask).alias("m"))
-    return F.transform(F.filter(z, lambda p: (p["l"] != PAD_ID) & (p["m"] == 1)), lambda p: p["l"])
+    d = df.withColumn("__lab", F.col(labels))
+    lab = F.col("__lab")
+
+    def brk(i):
+        cur = F.element_at(lab, i)
+        prev = F.try_element_at(lab, i - 1)
+        cont = (i > 1) & cur.startswith("I-") & prev.rlike("^[BI]-") & \
+            (F.substring(prev, 3, 1 << 20) == F.substring(cur, 3, 1 << 20))
+        return ~F.coalesce(cont, F.lit(False))
+
+    d = d.withColumn("__brk", _pinned(lab, F.filter(positions(lab), brk)))
+    b = F.col("__brk")
+    n = F.size(lab)
+    runs = _pinned(b, _pinned(lab, F.transform(b, lambda s, g: F.struct(
+        (s - 1).alias("start"), (F.coalesce(F.try_element_at(b, g + 2), n + 1) - 1).alias("end"),
+        F.element_at(lab, s).alias("head")))))
+    spans = F.transform(F.filter(runs, lambda r: r["head"].startswith("B-")), lambda r: F.struct(
+        r["start"].alias("start"), r["end"].alias("end"), F.substring(r["head"], 3, 1 << 20).alias("kind")))
+    return d.withColumn(out, spans).drop("__lab", "__brk")
+
+
+def explode_rows(df: DataFrame, arr, alias: str, keep: list[str], pos: str | None = None) -> DataFrame:
+    """Explode a computed array into rows.
+
+    ``explode`` makes Catalyst infer ``size(arr) > 0`` and push it below joins and
+    projections, which inlines the whole (expensive) array expression into a filter;
+    ``explode_outer`` plus a null filter above the generator keeps it computed once.
+    """
+    if pos:
+        out = df.select(*keep, F.posexplode_outer(_c(arr)).alias(pos, alias))
+    else:
+        out = df.select(*keep, F.explode_outer(_c(arr)).alias(alias))
+    return out.filter(F.col(alias).isNotNull())

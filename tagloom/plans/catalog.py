@@ -79,10 +79,128 @@ def char_labels(spark, sf_dir):
 
 @query("bio_spans")
 def bio_spans(spark, sf_dir):
-    r = _labels(driver.reviews(spark, sf_dir))
-    s = r.select("id", "text", F.explode(bio.bio_spans(F.col("labels"))).alias("s"))
+    r = bio.with_spans(_labels(driver.reviews(spark, sf_dir)), "labels", "spans")
+    s = bio.explode_rows(r, "spans", "s", ["id", "text"])
     return s.select("id", F.col("s.start").cast("long").alias("start"),
                     F.col("s.end").cast("long").alias("end"), F.col("s.kind").alias("kind"),
                     F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
                     .alias("surface"))
 FLAGSHIP = "scan_reviews"
+
+
+# ---------------------------------------------------------------------------------
+# tokenizer-based sequence work
+# ---------------------------------------------------------------------------------
+from tagloom.operators import tokenize as tk  # noqa: E402
+
+
+def _null_join(arr, sep=" "):
+    return F.array_join(arr, sep, "∅")
+
+
+def tokenized_reviews(spark, sf_dir):
+    """Training corpus with labels, tokens and token labels (T03 + T04)."""
+    r = _labels(driver.reviews(spark, sf_dir))
+    t = tk.tokenize(r, tk.vocabulary(spark, r))
+    return bio.with_aligned(t, "text", "labels", "tokens", "token_labels")
+
+
+def label_windows(spark, sf_dir):
+    """Token-label ids of the training corpus, one row per 198-token window."""
+    t = tokenized_reviews(spark, sf_dir).withColumn("ids", bio.label_encode("token_labels"))
+    t = t.withColumn("tw", bio.windows("tokens"))
+    w = bio.explode_rows(t, bio.windows("ids"), "win_ids", ["id", "tw"], pos="win")
+    return w.select("id", F.col("win").cast("long").alias("win"), "win_ids",
+                    F.element_at("tw", F.col("win") + 1).alias("win_tokens"))
+
+
+@query("vocab_mining")
+def vocab_mining(spark, sf_dir):
+    return tk.mined_words(driver.reviews(spark, sf_dir))
+
+
+@query("vocab_list")
+def vocab_list(spark, sf_dir):
+    return tk.vocabulary(spark, driver.reviews(spark, sf_dir))
+
+
+@query("tokenize_corpus")
+def tokenize_corpus(spark, sf_dir):
+    docs = driver.documents(spark, sf_dir)
+    vocab = tk.vocabulary(spark, driver.reviews(spark, sf_dir))
+    w = tk.encode_windows(tk.tokenize(docs, vocab))
+    ids, mask, _types = tk.encode(F.col("win_tokens"))
+    return w.select("id", F.col("win").cast("long").alias("win"),
+                    F.size("win_tokens").alias("n_tokens"),
+                    F.array_join("win_tokens", " ").alias("tokens"),
+                    F.array_join(ids, ",").alias("input_ids"),
+                    F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("n_attended"))
+
+
+@query("strip_blank_labels")
+def strip_blank_labels(spark, sf_dir):
+    r = _labels(driver.reviews(spark, sf_dir))
+    return r.select("id", _null_join(bio.strip_blank_labels(F.col("text"), F.col("labels")))
+                    .alias("labels_nb"))
+
+
+@query("mark_text")
+def mark_text(spark, sf_dir):
+    r = _labels(driver.reviews(spark, sf_dir))
+    return r.select("id", bio.mark_text(F.col("text"), F.col("labels")).alias("marked"))
+
+
+@query("bio_inner")
+def bio_inner(spark, sf_dir):
+    r = _labels(driver.reviews(spark, sf_dir))
+    return r.select("id", F.array_join(F.transform("labels", bio.bio_inner), " ").alias("inner_labels"))
+
+
+@query("align_labels")
+def align_labels(spark, sf_dir):
+    t = tokenized_reviews(spark, sf_dir)
+    return t.select("id", F.size("tokens").alias("n_tokens"),
+                    _null_join(F.col("token_labels")).alias("token_labels"))
+
+
+@query("expand_labels")
+def expand_labels(spark, sf_dir):
+    t = bio.with_expanded(tokenized_reviews(spark, sf_dir), "tokens", "token_labels", "exp")
+    return t.select("id", _null_join(F.col("exp")).alias("char_labels"))
+
+
+@query("realign_labels")
+def realign_labels(spark, sf_dir):
+    t = bio.with_expanded(tokenized_reviews(spark, sf_dir), "tokens", "token_labels", "exp")
+    t = bio.with_realigned(t, "text", "tokens", "exp", "realigned")
+    return t.select("id", _null_join(F.col("realigned")).alias("realigned"))
+
+
+@query("frame_pad")
+def frame_pad(spark, sf_dir):
+    w = label_windows(spark, sf_dir)
+    return w.select("id", "win", F.array_join(bio.frame_pad(F.col("win_ids")), ",").alias("label_ids"))
+
+
+@query("mask_positions")
+def mask_positions(spark, sf_dir):
+    w = label_windows(spark, sf_dir)
+    _ids, mask, _ = tk.encode(F.col("win_tokens"))
+    valid = bio.mask_positions(bio.frame_pad(F.col("win_ids")), mask)
+    return w.select("id", "win", F.size(valid).alias("n_valid"), F.array_join(valid, ",").alias("valid_ids"))
+
+
+@query("strip_frame")
+def strip_frame(spark, sf_dir):
+    w = label_windows(spark, sf_dir)
+    return w.select("id", "win", F.array_join(bio.strip_frame(bio.frame_pad(F.col("win_ids"))), ",")
+                    .alias("label_ids"))
+
+
+@query("normalise_text")
+def normalise_text(spark, sf_dir):
+    docs = driver.documents(spark, sf_dir)
+    vocab = tk.vocabulary(spark, driver.reviews(spark, sf_dir))
+    t = tk.tokenize(docs, vocab)
+    detok = F.replace(F.array_join("tokens", " "), F.lit(" ##"), F.lit(""))
+    return t.select("id", bio.normalise_text(detok).alias("normalised"))

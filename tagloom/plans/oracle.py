@@ -7,7 +7,7 @@ where the Spark side uses row-local folds.
 
 from __future__ import annotations
 
-from tagloom.constants import CORPUS_LEXICON, CORPUS_TEXT_CHARS
+from tagloom.constants import CORPUS_LEXICON
 
 ORACLE: dict[str, str] = {}
 
@@ -24,7 +24,7 @@ def _kind_case(x: str) -> str:
 # The derived corpus as CTEs: docs(id,text,source), cls(id,class), tagged(id,text,source,BIO_anno),
 # reviews(id,text,BIO_anno,class,source), test_reviews(id,text).
 CORPUS_CTES = f"""
-docs AS (SELECT doc_id AS id, substr(text, 1, {CORPUS_TEXT_CHARS}) AS text, source FROM documents),
+docs AS (SELECT doc_id AS id, text, source FROM documents),
 cls AS (SELECT doc_id AS id,
                CAST(CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END AS INTEGER) AS class
         FROM labels),

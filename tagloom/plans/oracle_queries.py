@@ -55,3 +55,158 @@ FROM (
 GROUP BY id, isl
 HAVING min_by(label, pos) LIKE 'B-%'
 """, CHAR_CTES))
+
+
+# ---------------------------------------------------------------------------------
+# tokenizer in SQL: vocabulary, pieces, tokens with positions
+# ---------------------------------------------------------------------------------
+FIXED_VOCAB_VALUES = "('Aaa'), ('ABC'), ('AD'), ('ae'), ('Ae'), ('AE'), ('app'), ('App'), ('APP'), ('applepay'), ('atm'), ('ATM'), ('AUM'), ('batch'), ('bb'), ('Bi'), ('bilibili'), ('binding'), ('blabla'), ('BNBTC'), ('cc'), ('Chao'), ('CIP'), ('CL'), ('clear'), ('Clear'), ('credit'), ('CS'), ('Cut'), ('cxk'), ('Daikokuya'), ('DIY'), ('down'), ('ed'), ('ems'), ('EMS'), ('emv'), ('EMV'), ('ErrorCode'), ('esh'), ('etc'), ('ETC'), ('Find'), ('first'), ('First'), ('flash'), ('ga'), ('giao'), ('Giao'), ('GQ'), ('gt'), ('gzh'), ('HLB'), ('hug'), ('icbc'), ('ID'), ('II'), ('JAL'), ('jcb'), ('JCB'), ('JD'), ('ji'), ('joy'), ('Joy'), ('JOY'), ('kf'), ('kpi'), ('Li'), ('line'), ('friends'), ('lol'), ('lu'), ('lx'), ('lz'), ('mark'), ('Mc'), ('mcc'), ('MCC'), ('mini'), ('MINI'), ('MU'), ('nb'), ('NFC'), ('Ngpe'), ('nice'), ('niubility'), ('NND'), ('ok'), ('OK'), ('omg'), ('only'), ('otg'), ('pad'), ('pass'), ('pay'), ('plus'), ('pos'), ('POS'), ('PP'), ('ps'), ('PS'), ('Pu'), ('Putidu'), ('QB'), ('qq'), ('RMB'), ('ry'), ('safari'), ('sdk'), ('Shaun'), ('sim'), ('SISI'), ('smart'), ('SMART'), ('sos'), ('tb'), ('TM'), ('TMD'), ('TOP'), ('tx'), ('Tx'), ('TX'), ('UBS'), ('Ukey'), ('unbound'), ('vip'), ('visa'), ('vtm'), ('vvv'), ('vx'), ('vxzfb'), ('wd'), ('WD'), ('word'), ('xinyongka'), ('XSZ'), ('xu'), ('xx'), ('xxxx'), ('xyk'), ('YE'), ('young'), ('Young'), ('YOUNG'), ('zfb')"
+
+VOCAB_CTES = f"""
+vruns AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+(?: [A-Za-z]+)*')) AS run FROM reviews),
+mined AS (SELECT DISTINCT unnest(string_split(run, ' ')) AS word FROM vruns),
+vocab AS (SELECT word FROM mined
+          UNION SELECT unnest(string_split(w, ' ')) FROM (VALUES {FIXED_VOCAB_VALUES}) f(w))
+"""
+
+
+def token_ctes(src: str) -> str:
+    """tok(id, tpos, tok) for the rows of CTE ``src(id, text)``."""
+    return f"""
+tp AS (SELECT s.id, u.piece, u.k FROM {src} s,
+       unnest(regexp_extract_all(s.text, '[A-Za-z]+|[0-9]+|[^ ]')) WITH ORDINALITY AS u(piece, k)),
+tt AS (SELECT tp.id, tp.k,
+              CASE WHEN regexp_matches(tp.piece, '^[A-Za-z]{{2,}}$') AND v.word IS NULL
+                   THEN [substr(tp.piece, 1, 1), '##' || substr(tp.piece, 2)]
+                   WHEN regexp_matches(tp.piece, '^[\\t\\n\\x0B\\f\\r]$') THEN ['[UNK]']
+                   ELSE [tp.piece] END AS t
+       FROM tp LEFT JOIN vocab v ON v.word = tp.piece),
+tf AS (SELECT tt.id, tt.k, x.tok, x.j FROM tt, unnest(tt.t) WITH ORDINALITY AS x(tok, j)),
+tok AS (SELECT id, tok, row_number() OVER (PARTITION BY id ORDER BY k, j) AS tpos FROM tf)
+"""
+
+
+def token_id_sql(t: str) -> str:
+    return (f"(CASE WHEN {t} = '[UNK]' THEN 100 WHEN length({t}) = 1 THEN 1000 + unicode({t}) "
+            f"ELSE 2000000 + CAST(('0x' || substr(md5({t}), 1, 7)) AS INTEGER) END)")
+
+
+# non-blank character labels of the corpus, renumbered; token labels
+ALIGN_CTES = """
+nbl AS (SELECT rl.id, rl.label, row_number() OVER (PARTITION BY rl.id ORDER BY rl.pos) AS nbpos
+        FROM rl JOIN rc ON rc.id = rl.id AND rc.pos = rl.pos WHERE rc.ch <> ' '),
+toff AS (SELECT id, tpos, tok,
+                coalesce(sum(CASE WHEN tok = '[UNK]' THEN 1 ELSE length(regexp_replace(tok, '^##', '')) END)
+                         OVER (PARTITION BY id ORDER BY tpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                  AS off
+         FROM tok),
+tlab AS (SELECT toff.id, toff.tpos, toff.tok, nbl.label FROM toff LEFT JOIN nbl
+         ON nbl.id = toff.id AND nbl.nbpos = toff.off + 1)
+"""
+
+# T05 expansion: one row per character of the token text (id, tpos, i, label)
+EXPAND_CTES = """
+thead AS (SELECT *, sum(CASE WHEN tok LIKE '##%' THEN 0 ELSE 1 END)
+                      OVER (PARTITION BY id ORDER BY tpos) AS grp FROM tlab),
+thead2 AS (SELECT *, CASE WHEN grp = 0 THEN NULL
+                          ELSE first_value(label) OVER (PARTITION BY id, grp ORDER BY tpos) END AS head_label
+           FROM thead),
+tchar AS (SELECT id, tpos, i,
+                 CASE WHEN tok = '[UNK]' THEN NULL
+                      ELSE lower(substr(regexp_replace(tok, '^##', ''), i, 1)) END AS tch,
+                 CASE WHEN tok LIKE '##%' THEN regexp_replace(head_label, '^B', 'I')
+                      WHEN i = 1 THEN label ELSE regexp_replace(label, '^B', 'I') END AS clabel
+          FROM thead2, unnest(range(1, (CASE WHEN tok = '[UNK]' THEN 1
+                                         ELSE length(regexp_replace(tok, '^##', '')) END) + 1)) AS g(i))
+"""
+
+
+register("vocab_mining", with_corpus("SELECT word FROM mined", VOCAB_CTES))
+register("vocab_list", with_corpus("SELECT word FROM vocab", VOCAB_CTES))
+
+register("tokenize_corpus", with_corpus(f"""
+SELECT id, CAST((tpos - 1) // 198 AS BIGINT) AS win, CAST(count(*) AS INTEGER) AS n_tokens,
+       string_agg(tok, ' ' ORDER BY tpos) AS tokens,
+       '101,' || string_agg(CAST({token_id_sql('tok')} AS VARCHAR), ',' ORDER BY tpos) || ',102'
+         || repeat(',0', 198 - CAST(count(*) AS INTEGER)) AS input_ids,
+       CAST(count(*) + 2 AS INTEGER) AS n_attended
+FROM tok GROUP BY id, (tpos - 1) // 198
+""", VOCAB_CTES + "," + token_ctes("docs")))
+
+register("strip_blank_labels", with_corpus("""
+SELECT rc.id, string_agg(rl.label, ' ' ORDER BY rc.pos) AS labels_nb
+FROM rc JOIN rl ON rc.id = rl.id AND rc.pos = rl.pos WHERE rc.ch <> ' ' GROUP BY rc.id
+""", CHAR_CTES))
+
+register("mark_text", with_corpus("""
+SELECT rc.id, string_agg(CASE WHEN rl.label = 'O' THEN '' ELSE rl.label END || rc.ch, '' ORDER BY rc.pos) AS marked
+FROM rc JOIN rl ON rc.id = rl.id AND rc.pos = rl.pos GROUP BY rc.id
+""", CHAR_CTES))
+
+register("bio_inner", with_corpus("""
+SELECT id, string_agg(regexp_replace(label, '^B', 'I'), ' ' ORDER BY pos) AS inner_labels FROM rl GROUP BY id
+""", CHAR_CTES))
+
+_TOK_REVIEWS = CHAR_CTES + "," + VOCAB_CTES + "," + token_ctes("reviews") + "," + ALIGN_CTES
+
+register("align_labels", with_corpus("""
+SELECT id, CAST(count(*) AS INTEGER) AS n_tokens,
+       string_agg(coalesce(label, '∅'), ' ' ORDER BY tpos) AS token_labels
+FROM tlab GROUP BY id
+""", _TOK_REVIEWS))
+
+register("expand_labels", with_corpus("""
+SELECT id, string_agg(coalesce(clabel, '∅'), ' ' ORDER BY tpos, i) AS char_labels FROM tchar GROUP BY id
+""", _TOK_REVIEWS + "," + EXPAND_CTES))
+
+register("realign_labels", with_corpus("""
+SELECT id, string_agg(lab, ' ' ORDER BY pos) AS realigned
+FROM (
+  SELECT c.id, c.pos,
+         CASE WHEN c.ch = ' ' THEN 'O'
+              WHEN t.tch IS NULL OR lower(c.ch) <> t.tch THEN 'O'
+              ELSE coalesce(t.clabel, '∅') END AS lab
+  FROM (SELECT rc.*, CASE WHEN ch <> ' ' THEN
+                       sum(CASE WHEN ch <> ' ' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) END AS nbk
+        FROM rc) c
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tpos, i) AS kk FROM tchar) t
+    ON t.id = c.id AND t.kk = c.nbk
+  JOIN (SELECT e.id, least(e.n, coalesce(p.pos, 0) + (e.m - e.i0)) AS endpos
+        FROM (SELECT k.id, k.m, k.i0, n.n
+              FROM (SELECT id, count(*) AS m,
+                           coalesce(max(CASE WHEN tch IS NOT NULL THEN kk END), 0) AS i0
+                    FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tpos, i) AS kk FROM tchar) z
+                    GROUP BY id) k
+              JOIN (SELECT id, count(*) AS n FROM rc GROUP BY id) n USING (id)) e
+        LEFT JOIN (SELECT id, pos, sum(CASE WHEN ch <> ' ' THEN 1 ELSE 0 END)
+                                     OVER (PARTITION BY id ORDER BY pos) AS nbk2, ch FROM rc) p
+          ON p.id = e.id AND p.nbk2 = e.i0 AND p.ch <> ' ' AND e.i0 > 0) b
+    ON b.id = c.id AND c.pos <= b.endpos) x
+GROUP BY id
+""", _TOK_REVIEWS + "," + EXPAND_CTES))
+
+_LABEL_ID_CASE = "CASE label " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(ALL_LABELS)) + " END"
+
+register("frame_pad", with_corpus(f"""
+SELECT id, CAST((tpos - 1) // 198 AS BIGINT) AS win, '9,' || string_agg(CAST({_LABEL_ID_CASE} AS VARCHAR), ',' ORDER BY tpos) || ',10'
+             || repeat(',11', 198 - CAST(count(*) AS INTEGER)) AS label_ids
+FROM tlab GROUP BY id, (tpos - 1) // 198
+""", _TOK_REVIEWS))
+
+register("mask_positions", with_corpus(f"""
+SELECT id, CAST((tpos - 1) // 198 AS BIGINT) AS win, CAST(count(*) + 2 AS INTEGER) AS n_valid,
+       '9,' || string_agg(CAST({_LABEL_ID_CASE} AS VARCHAR), ',' ORDER BY tpos) || ',10' AS valid_ids
+FROM tlab GROUP BY id, (tpos - 1) // 198
+""", _TOK_REVIEWS))
+
+register("strip_frame", with_corpus(f"""
+SELECT id, CAST((tpos - 1) // 198 AS BIGINT) AS win,
+       string_agg(CAST({_LABEL_ID_CASE} AS VARCHAR), ',' ORDER BY tpos) AS label_ids
+FROM tlab GROUP BY id, (tpos - 1) // 198
+""", _TOK_REVIEWS))
+
+register("normalise_text", with_corpus("""
+SELECT id, lower(replace(regexp_replace(replace(string_agg(tok, ' ' ORDER BY tpos), ' ##', ''), '\\s+', '', 'g'),
+                         '[UNK]', 'ø')) AS normalised
+FROM tok GROUP BY id
+""", VOCAB_CTES + "," + token_ctes("docs")))

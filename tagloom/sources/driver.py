@@ -3,7 +3,7 @@
 The driver data has no BIO column, so one is derived deterministically (the same rule
 is written independently in DuckDB for the oracle):
 
-1. ``text`` = first 198 characters of ``documents.text``, ``id`` = ``doc_id``;
+1. ``text`` = the whole ``documents.text``, ``id`` = ``doc_id``;
 2. the text is cut into maximal ASCII-letter runs and the runs between them;
 3. a letter run whose lower-cased word is in ``CORPUS_LEXICON`` gets ``B-kind`` on its
    first character and ``I-kind`` on the rest; every other character gets ``O``;
@@ -19,7 +19,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.constants import CORPUS_LEXICON, CORPUS_TEXT_CHARS
+from tagloom.constants import CORPUS_LEXICON
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text, source): the review text the corpus is made of."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
-        F.substring("text", 1, CORPUS_TEXT_CHARS).alias("text"),
+        F.col("text"),
         F.col("source"))
 
 

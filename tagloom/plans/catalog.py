@@ -204,3 +204,143 @@ def normalise_text(spark, sf_dir):
     t = tk.tokenize(docs, vocab)
     detok = F.replace(F.array_join("tokens", " "), F.lit(" ##"), F.lit(""))
     return t.select("id", bio.normalise_text(detok).alias("normalised"))
+
+
+# ---------------------------------------------------------------------------------
+# corpus assembly, sampling, metrics
+# ---------------------------------------------------------------------------------
+from tagloom.operators import corpus as cp  # noqa: E402
+from tagloom.operators import metrics as mt  # noqa: E402
+from tagloom.operators import sampling as sp  # noqa: E402
+
+SAMPLE_N = 1000
+
+
+@query("scan_aux")
+def scan_aux(spark, sf_dir):
+    parts = [cp.gpt_rows(spark, sf_dir).withColumn("type", F.lit("gpt")),
+             cp.harmonise_ext(cp.ext_raw(spark, sf_dir)).withColumn("type", F.lit("ext")),
+             cp.trans_rows(spark, sf_dir).drop("oid").withColumn("type", F.lit("trans"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("type", "text", "class")
+
+
+@query("filter_category")
+def filter_category(spark, sf_dir):
+    return cp.filter_category(cp.ext_raw(spark, sf_dir))
+
+
+@query("harmonise_columns")
+def harmonise_columns(spark, sf_dir):
+    return cp.harmonise_ext(cp.filter_category(cp.ext_raw(spark, sf_dir)))
+
+
+def _full_corpus(spark, sf_dir):
+    return cp.mood_corpus(spark, sf_dir, with_origin=True, with_gpt=True, from_retrans=True, with_ext=True)
+
+
+@query("corpus_union")
+def corpus_union(spark, sf_dir):
+    return _full_corpus(spark, sf_dir).select("id", "oid", "text", "class", "type")
+
+
+@query("class_strict")
+def class_strict(spark, sf_dir):
+    return _full_corpus(spark, sf_dir).groupBy("type", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("null_rows")
+def null_rows(spark, sf_dir):
+    return cp.null_rows(_full_corpus(spark, sf_dir).select("id", "oid", "class", "type"))
+
+
+def _split_origin(spark, sf_dir):
+    return sp.split_90_10(cp.origin_rows(spark, sf_dir))
+
+
+def _train_plus_gpt(spark, sf_dir):
+    s = _split_origin(spark, sf_dir)
+    train = s.filter(F.col("split") == "train").drop("split").withColumn("type", F.lit("origin"))
+    gpt = cp.gpt_rows(spark, sf_dir).withColumn("type", F.lit("gpt"))
+    return train.unionByName(gpt, allowMissingColumns=True)
+
+
+@query("split_90_10")
+def split_90_10(spark, sf_dir):
+    return _split_origin(spark, sf_dir).select("id", "split")
+
+
+@query("split_then_augment")
+def split_then_augment(spark, sf_dir):
+    return _train_plus_gpt(spark, sf_dir).select("id", "class", "type")
+
+
+@query("dataset_sizes")
+def dataset_sizes(spark, sf_dir):
+    train = cp.require_rows(_train_plus_gpt(spark, sf_dir), "train")
+    val = _split_origin(spark, sf_dir).filter(F.col("split") == "val")
+    return (train.select(F.lit("train").alias("split")).unionByName(val.select("split"))
+            .groupBy("split").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("debug_head")
+def debug_head(spark, sf_dir):
+    return sp.debug_head(driver.reviews(spark, sf_dir).select("id", "class"))
+
+
+@query("sample_n")
+def sample_n(spark, sf_dir):
+    return sp.sample_n(driver.reviews(spark, sf_dir).select("id", "class"), SAMPLE_N)
+
+
+@query("sample_replace")
+def sample_replace(spark, sf_dir):
+    return sp.sample_with_replacement(driver.reviews(spark, sf_dir).select("id")).select("draw", "id")
+
+
+@query("batching")
+def batching(spark, sf_dir):
+    return sp.batches(_split_origin(spark, sf_dir).select("id", "split")).select("id", "split", "batch_id")
+
+
+@query("flatten_preds")
+def flatten_preds(spark, sf_dir):
+    t = tokenized_reviews(spark, sf_dir).select("id", bio.label_encode("token_labels").alias("ids"))
+    b = sp.batches(sp.split_90_10(t))
+    g = b.groupBy("split", "batch_id").agg(F.collect_list("ids").alias("rows"))
+    flat = F.flatten("rows")
+    return g.select("split", "batch_id", F.size(flat).alias("n_positions"),
+                    F.size(F.filter(flat, lambda x: x != 8)).alias("n_entity_positions"))
+
+
+def _epochs(spark, sf_dir):
+    return mt.epoch_rollup(mt.batch_metrics(mt.batch_items(spark, sf_dir)))
+
+
+def _r8(c):
+    return F.round(F.col(c), 8).alias(c)
+
+
+@query("epoch_rollup")
+def epoch_rollup(spark, sf_dir):
+    return _epochs(spark, sf_dir).select("run", "epoch", _r8("loss"), _r8("acc"), _r8("val_acc"))
+
+
+@query("best_epoch")
+def best_epoch(spark, sf_dir):
+    return mt.best_epochs(_epochs(spark, sf_dir)).select("run", "epoch", _r8("val_acc"), "is_best", "saved")
+
+
+@query("epoch_log")
+def epoch_log(spark, sf_dir):
+    logs = mt.render_epoch_log(_epochs(spark, sf_dir))
+    return mt.parse_epoch_records(logs, "record", ["run"]).select(
+        "run", "epoch", _r8("loss"), _r8("acc"), _r8("val_acc"))
+
+
+@query("argmax_class")
+def argmax_class(spark, sf_dir):
+    e = driver.table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", mt.argmax("embedding").alias("argmax"))

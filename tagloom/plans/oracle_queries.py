@@ -210,3 +210,100 @@ SELECT id, lower(replace(regexp_replace(replace(string_agg(tok, ' ' ORDER BY tpo
                          '[UNK]', 'ø')) AS normalised
 FROM tok GROUP BY id
 """, VOCAB_CTES + "," + token_ctes("docs")))
+
+
+# ---------------------------------------------------------------------------------
+# corpus assembly, sampling, metrics
+# ---------------------------------------------------------------------------------
+def h(seed, key: str) -> str:
+    return f"md5('{seed}:' || CAST({key} AS VARCHAR))"
+
+
+AUX_CTES = """
+gpt AS (SELECT text, CAST(conv_id % 3 AS INTEGER) AS class FROM conversations WHERE role = 'assistant'),
+ext AS (SELECT text, CAST(doc_id % 3 AS INTEGER) AS class FROM documents WHERE source = 'src0'),
+trans AS (SELECT item_id AS oid, text, CAST(item_id % 3 AS INTEGER) AS class FROM benchmark),
+corpus AS (
+  SELECT id, NULL::BIGINT AS oid, text, class, 'origin' AS type FROM reviews
+  UNION ALL SELECT NULL, NULL, text, class, 'gpt' FROM gpt
+  UNION ALL SELECT NULL, NULL, text, class, 'ext' FROM ext
+  UNION ALL SELECT NULL, oid, text, class, 'trans' FROM trans),
+split AS (SELECT id, text, class, CASE WHEN substr(""" + h(118, "id") + """, 1, 8) < 'e6666666'
+                                  THEN 'train' ELSE 'val' END AS split FROM reviews),
+train_aug AS (SELECT id, class, 'origin' AS type FROM split WHERE split = 'train'
+              UNION ALL SELECT NULL, class, 'gpt' FROM gpt)
+"""
+
+register("scan_aux", """
+SELECT 'gpt' AS type, text, CAST(conv_id % 3 AS INTEGER) AS class FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT 'ext', text, CAST(doc_id % 3 AS INTEGER) FROM documents
+UNION ALL SELECT 'trans', text, CAST(item_id % 3 AS INTEGER) FROM benchmark
+""")
+register("filter_category", """
+SELECT source AS cat, CAST(doc_id % 3 AS INTEGER) AS label, text AS review FROM documents WHERE source = 'src0'
+""")
+register("harmonise_columns", "SELECT text, CAST(doc_id % 3 AS INTEGER) AS class FROM documents WHERE source = 'src0'")
+register("corpus_union", with_corpus("SELECT id, oid, text, class, type FROM corpus", AUX_CTES))
+register("class_strict", with_corpus("SELECT type, class, count(*) AS n FROM corpus GROUP BY type, class", AUX_CTES))
+register("null_rows", with_corpus("""
+SELECT id, oid, class, type FROM corpus WHERE id IS NULL OR oid IS NULL OR class IS NULL OR type IS NULL
+""", AUX_CTES))
+register("split_90_10", with_corpus("SELECT id, split FROM split", AUX_CTES))
+register("split_then_augment", with_corpus("SELECT id, class, type FROM train_aug", AUX_CTES))
+register("dataset_sizes", with_corpus("""
+SELECT 'train' AS split, count(*) AS n FROM train_aug
+UNION ALL SELECT 'val', count(*) FROM split WHERE split = 'val'
+""", AUX_CTES))
+register("debug_head", with_corpus("SELECT id, class FROM reviews ORDER BY id LIMIT 500"))
+register("sample_n", with_corpus(f"SELECT id, class FROM reviews ORDER BY {h(118, 'id')}, id LIMIT 1000"))
+register("sample_replace", with_corpus(f"""
+SELECT d.draw, r.id FROM (
+  SELECT unnest(range(idx * 2, idx * 2 + 2)) AS draw FROM ranked) d0,
+  LATERAL (SELECT d0.draw AS draw,
+                  CAST(('0x' || substr(md5('118:draw:' || CAST(d0.draw AS VARCHAR)), 1, 8)) AS BIGINT)
+                    % (SELECT count(*) FROM reviews) AS pick) d
+JOIN ranked r ON r.idx = d.pick
+""", f"ranked AS (SELECT id, row_number() OVER (ORDER BY {h(118, 'id')}, id) - 1 AS idx FROM reviews)"))
+register("batching", with_corpus(f"""
+SELECT id, split, CAST((row_number() OVER (PARTITION BY split ORDER BY {h(119, 'id')}, id) - 1) // 40 AS BIGINT)
+       AS batch_id FROM split
+""", AUX_CTES))
+register("flatten_preds", with_corpus(f"""
+SELECT s.split, CAST(b.batch_id AS BIGINT) AS batch_id, CAST(sum(n) AS INTEGER) AS n_positions,
+       CAST(sum(ne) AS INTEGER) AS n_entity_positions
+FROM (SELECT id, count(*) AS n, sum(CASE WHEN label <> 'O' THEN 1 ELSE 0 END) AS ne FROM tlab GROUP BY id) t
+JOIN (SELECT id, CASE WHEN substr({h(118, 'id')}, 1, 8) < 'e6666666' THEN 'train' ELSE 'val' END AS split
+      FROM reviews) s USING (id)
+JOIN (SELECT id, (row_number() OVER (PARTITION BY CASE WHEN substr({h(118, 'id')}, 1, 8) < 'e6666666'
+                                     THEN 'train' ELSE 'val' END ORDER BY {h(119, 'id')}, id) - 1) // 40 AS batch_id
+      FROM reviews) b USING (id)
+GROUP BY s.split, b.batch_id
+""", _TOK_REVIEWS))
+
+EPOCH_CTES = """
+items AS (SELECT user_id % 3 AS run, event_id // 500 AS epoch0, event_id % 20 AS batch,
+                 CASE WHEN user_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, value AS loss,
+                 CASE WHEN value < 50 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit,
+                 (event_type = 'error' AND value > 450) AS failed FROM events),
+bm AS (SELECT run, epoch0, split, batch,
+              CASE WHEN bool_or(failed) THEN NULL ELSE avg(loss) END AS loss, avg(hit) AS acc
+       FROM items GROUP BY ALL),
+ep AS (SELECT t.run, t.epoch0 + 1 AS epoch, t.loss, t.acc, v.val_acc FROM
+         (SELECT run, epoch0, sum(coalesce(loss, 0)) / count(*) AS loss, avg(acc) AS acc
+          FROM bm WHERE split = 'train' GROUP BY ALL) t
+       LEFT JOIN (SELECT run, epoch0, avg(acc) AS val_acc FROM bm WHERE split = 'val' GROUP BY ALL) v
+       USING (run, epoch0))
+"""
+register("epoch_rollup", f"""WITH {EPOCH_CTES.strip()}
+SELECT run, epoch, round(loss, 8) AS loss, round(acc, 8) AS acc, round(val_acc, 8) AS val_acc FROM ep""")
+register("epoch_log", f"""WITH {EPOCH_CTES.strip()}
+SELECT run, CAST(epoch AS INTEGER) AS epoch, round(round(loss, 8), 8) AS loss, round(round(acc, 8), 8) AS acc,
+       round(round(val_acc, 8), 8) AS val_acc FROM ep""")
+register("best_epoch", f"""WITH {EPOCH_CTES.strip()}
+SELECT run, epoch, round(val_acc, 8) AS val_acc, is_best, is_best OR (epoch - 1) % 5 = 0 AS saved
+FROM (SELECT *, coalesce(val_acc > coalesce(max(val_acc) OVER (PARTITION BY run ORDER BY epoch
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), false) AS is_best
+      FROM ep)""")
+register("argmax_class", """
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax FROM embeddings
+""")

@@ -344,3 +344,170 @@ def epoch_log(spark, sf_dir):
 def argmax_class(spark, sf_dir):
     e = driver.table(spark, sf_dir, "embeddings")
     return e.select("vec_id", mt.argmax("embedding").alias("argmax"))
+
+
+# ---------------------------------------------------------------------------------
+# count models: transitions, audit, fit, decode, path score, mood model, submission
+# ---------------------------------------------------------------------------------
+from tagloom.operators import models as md  # noqa: E402
+from tagloom.session import materialize  # noqa: E402
+
+
+def train_windows(spark, sf_dir):
+    """Training windows (id, win, win_tokens, win_labels) of the 0.9 train split."""
+    t = sp.split_90_10(tokenized_reviews(spark, sf_dir))
+    t = t.withColumn("tw", bio.windows("tokens"))
+    w = bio.explode_rows(t, bio.windows("token_labels"), "win_labels", ["id", "split", "tw"], pos="win")
+    return w.select("id", "split", F.col("win").cast("long").alias("win"),
+                    F.element_at("tw", F.col("win") + 1).alias("win_tokens"), "win_labels")
+
+
+def _tagger(spark, sf_dir):
+    w = train_windows(spark, sf_dir)
+    tr = w.filter(F.col("split") == "train")
+    trans = materialize(md.fit_transitions(spark, tr), "transitions")
+    emis = materialize(md.fit_emissions(tr), "emissions")
+    return w, trans, emis
+
+
+def decode_windows(spark, windows, trans, emis, keys):
+    vec, dflt = md.emission_vectors(emis)
+    e = md.window_emissions(windows, vec, dflt, keys).withColumn("model", md.transition_arrays(trans))
+    return e.withColumn("path", md.viterbi(F.col("emissions"), F.col("model")))
+
+
+@query("bio_transitions")
+def bio_transitions(spark, sf_dir):
+    _w, trans, _e = _tagger(spark, sf_dir)
+    return trans.select("from_label", "to_label", "allowed", "n", F.round("score", 6).alias("score"))
+
+
+@query("bio_audit")
+def bio_audit(spark, sf_dir):
+    w = train_windows(spark, sf_dir)
+    framed = F.concat(F.array(F.lit("[SOS]")), F.col("win_labels"), F.array(F.lit("[EOS]")))
+    pairs = F.arrays_zip(F.slice(framed, 1, F.size(framed) - 1).alias("f"),
+                         F.slice(framed, 2, F.size(framed) - 1).alias("t"))
+    bad = F.filter(pairs, lambda p: ~md.allowed(p["f"], p["t"]))
+    r = bio.explode_rows(w.select("id", "win", bad.alias("bad")), "bad", "b", ["id", "win"], pos="pos")
+    return r.select("id", "win", F.col("pos").cast("long").alias("pos"),
+                    F.col("b.f").alias("from_label"), F.col("b.t").alias("to_label"))
+
+
+@query("tagger_fit")
+def tagger_fit(spark, sf_dir):
+    _w, _t, emis = _tagger(spark, sf_dir)
+    return emis.select("label", "token", "n", F.round("logp", 6).alias("logp"))
+
+
+@query("tagger_decode")
+def tagger_decode(spark, sf_dir):
+    w, trans, emis = _tagger(spark, sf_dir)
+    val = w.filter(F.col("split") == "val")
+    d = decode_windows(spark, val, trans, emis, ["id", "win"])
+    return d.select("id", "win", F.array_join(md_label_names(F.col("path")), " ").alias("pred"))
+
+
+def md_label_names(ids):
+    return bio.label_decode(ids)
+
+
+@query("path_nll")
+def path_nll(spark, sf_dir):
+    w, trans, emis = _tagger(spark, sf_dir)
+    val = w.filter(F.col("split") == "val")
+    vec, dflt = md.emission_vectors(emis)
+    e = md.window_emissions(val, vec, dflt, ["id", "win"]).join(val.select("id", "win", "win_labels"), ["id", "win"])
+    e = e.withColumn("model", md.transition_arrays(trans))
+    score = md.path_score(F.col("emissions"), bio.label_encode("win_labels"), F.col("model"))
+    return e.select("id", "win", F.round(-score, 6).alias("nll"))
+
+
+@query("token_accuracy")
+def token_accuracy(spark, sf_dir):
+    w, trans, emis = _tagger(spark, sf_dir)
+    val = w.filter(F.col("split") == "val")
+    d = decode_windows(spark, val, trans, emis, ["id", "win"]).join(val.select("id", "win", "win_labels"),
+                                                                      ["id", "win"])
+    # framed comparison: [SOS] and [EOS] count, [PAD] does not (only real positions exist here)
+    gold = bio.frame_pad(bio.label_encode("win_labels"))
+    pred = bio.frame_pad(F.col("path"))
+    n = F.size(F.col("win_labels")) + 2
+    hits = F.size(F.filter(F.slice(F.arrays_zip(gold.alias("g"), pred.alias("p")), 1, n),
+                           lambda z: z["g"] == z["p"]))
+    per_doc = d.select("id", hits.alias("hits"), n.alias("n"))
+    b = sp.batches(per_doc.groupBy("id").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+                   .withColumn("split", F.lit("val")))
+    return b.groupBy("batch_id").agg(F.round(F.sum("hits") / F.sum("n"), 6).alias("acc"))
+
+
+def _mood(spark, sf_dir, mark=False):
+    r = cp.origin_rows(spark, sf_dir, mark)
+    vocab = tk.vocabulary(spark, driver.reviews(spark, sf_dir))
+    t = sp.split_90_10(tk.tokenize(r, vocab))
+    model, priors = md.fit_mood(t.filter(F.col("split") == "train"))
+    return t, materialize(model, "mood_model"), materialize(priors, "mood_priors"), vocab
+
+
+@query("mood_fit")
+def mood_fit(spark, sf_dir):
+    _t, model, _p, _v = _mood(spark, sf_dir)
+    return model.select("class", "token", "n", F.round("logp", 6).alias("logp"))
+
+
+@query("mood_predict")
+def mood_predict(spark, sf_dir):
+    _t, model, priors, vocab = _mood(spark, sf_dir)
+    test = tk.tokenize(driver.test_reviews(spark, sf_dir), vocab)
+    return md.predict_mood(test, model, priors)
+
+
+@query("class_accuracy")
+def class_accuracy(spark, sf_dir):
+    t, model, priors, _v = _mood(spark, sf_dir)
+    val = t.filter(F.col("split") == "val")
+    pred = md.predict_mood(val, model, priors).withColumnRenamed("class", "pred")
+    b = sp.batches(val.select("id", "class", "split").join(pred, "id"))
+    return b.groupBy("batch_id").agg(F.round(F.avg((F.col("pred") == F.col("class")).cast("double")), 6)
+                                     .alias("acc"))
+
+
+def tag_docs(spark, sf_dir, docs):
+    """Tokenize -> windows -> decode -> strip frames -> expand -> realign -> BIO string."""
+    _w, trans, emis = _tagger(spark, sf_dir)
+    vocab = tk.vocabulary(spark, driver.reviews(spark, sf_dir))
+    t = tk.tokenize(docs, vocab)
+    win = tk.encode_windows(t)
+    d = decode_windows(spark, win, trans, emis, ["id", "win"])
+    per_doc = d.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("win", "path"))).alias("ps"))
+    labels = per_doc.select("id", bio.label_decode(F.flatten(F.transform("ps", lambda x: x["path"])))
+                            .alias("token_labels"))
+    full = t.join(labels, "id", "left").withColumn(
+        "token_labels", F.coalesce("token_labels", bio.empty_strings()))
+    full = bio.with_expanded(full, "tokens", "token_labels", "exp")
+    full = bio.with_realigned(full, "text", "tokens", "exp", "realigned")
+    return full.select("id", "text", bio.join_labels(F.col("realigned"), "O").alias("BIO_anno"))
+
+
+@query("tag_corpus")
+def tag_corpus(spark, sf_dir):
+    return tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir)).select("id", "BIO_anno")
+
+
+@query("submission")
+def submission(spark, sf_dir):
+    tags = tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir)).select("id", "BIO_anno")
+    moods = mood_predict(spark, sf_dir)
+    return tags.join(moods, "id", "left").select("id", "BIO_anno", "class")
+
+
+@query("two_stage_submission")
+def two_stage_submission(spark, sf_dir):
+    tags = tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir))
+    marked = tags.select("id", bio.mark_text(F.col("text"), bio.bio_split("BIO_anno")).alias("text"))
+    _t, model, priors, vocab = _mood(spark, sf_dir, mark=True)
+    moods = md.predict_mood(tk.tokenize(marked, vocab), model, priors)
+    return tags.select("id", "BIO_anno").join(moods, "id", "left")
+
+
+FLAGSHIP = "submission"

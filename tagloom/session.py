@@ -32,6 +32,9 @@ def get_session(master: str | None = None, app: str = "tagloom",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            builder = builder.config("spark.driver.memory", "16g")
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
@@ -63,3 +66,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint folder."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Cuts lineage (executor loss recomputes from the table, not from the corpus) and
+    lets several actions reuse one fitted model instead of refitting it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -511,3 +511,67 @@ def two_stage_submission(spark, sf_dir):
 
 
 FLAGSHIP = "submission"
+
+
+# ---------------------------------------------------------------------------------
+# augmentation and back-translation ingest
+# ---------------------------------------------------------------------------------
+from tagloom.operators import augment as ag  # noqa: E402
+from tagloom.streaming import ingest as ig  # noqa: E402
+
+
+@query("lexicon_long")
+def lexicon_long(spark, sf_dir):
+    fixed = ag.lexicon_long(ag.lexicon_wide(spark))
+    r = bio.with_spans(_labels(driver.reviews(spark, sf_dir)), "labels", "spans")
+    s = bio.explode_rows(r, F.filter("spans", lambda x: x["kind"] == "BANK"), "s", ["text"])
+    mined = s.select(F.lit("corpus").alias("kind"),
+                     F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("alias")) \
+        .distinct()
+    return fixed.unionByName(mined)
+
+
+@query("entity_replace")
+def entity_replace(spark, sf_dir):
+    r = ag.with_entity_replaced(_labels(driver.reviews(spark, sf_dir)))
+    return r.select("id", F.col("new_text").alias("text"), bio.join_labels(F.col("new_labels")).alias("BIO_anno"))
+
+
+@query("bracket_perturb")
+def bracket_perturb(spark, sf_dir):
+    r = ag.with_brackets(_labels(driver.reviews(spark, sf_dir)))
+    return r.select("id", F.col("new_text").alias("text"), bio.join_labels(F.col("new_labels")).alias("BIO_anno"))
+
+
+@query("augment_union")
+def augment_union(spark, sf_dir):
+    """Originals plus 2N resampled rows passed through entity replacement."""
+    r = _labels(driver.reviews(spark, sf_dir))
+    drawn = sp.sample_with_replacement(r.select("id", "text", "labels", "class"))
+    rep = ag.with_entity_replaced(drawn).select(
+        "id", "draw", F.col("new_text").alias("text"), F.col("new_labels").alias("labels"), "class")
+    orig = r.select("id", F.lit(None).cast("long").alias("draw"), "text", "labels", "class")
+    u = orig.unionByName(rep)
+    return u.select("id", "draw", "class", F.length("text").alias("n_chars"), F.size("labels").alias("n_labels"))
+
+
+@query("request_table")
+def request_table(spark, sf_dir):
+    s = sp.sample_n(driver.reviews(spark, sf_dir).select("id", "text"), SAMPLE_N)
+    return ig.request_table(s, repeat=2)
+
+
+@query("response_split")
+def response_split(spark, sf_dir):
+    return ig.split_response(ig.responses_from_documents(driver.table(spark, sf_dir, "documents")))
+
+
+@query("stream_ingest_responses")
+def stream_ingest_responses(spark, sf_dir):
+    return spark.read.parquet(ig.ingest_responses(spark, sf_dir))
+
+
+@query("backtranslation_join")
+def backtranslation_join(spark, sf_dir):
+    retrans = ig.split_response(ig.responses_from_documents(driver.table(spark, sf_dir, "documents")))
+    return ig.backtranslation_join(retrans, driver.reviews(spark, sf_dir))

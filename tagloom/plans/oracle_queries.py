@@ -307,3 +307,89 @@ FROM (SELECT *, coalesce(val_acc > coalesce(max(val_acc) OVER (PARTITION BY run
 register("argmax_class", """
 SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax FROM embeddings
 """)
+
+
+# ---------------------------------------------------------------------------------
+# augmentation and back-translation ingest
+# ---------------------------------------------------------------------------------
+from tagloom.constants import bank_lexicon_rows  # noqa: E402
+from tagloom.operators.augment import alias_pool  # noqa: E402
+from tagloom.streaming.ingest import SYSTEM_PROMPT  # noqa: E402
+
+BANK_WIDE_VALUES = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in bank_lexicon_rows())
+ALIAS_POOL_VALUES = ", ".join(f"({i}, '{a}')" for i, a in enumerate(alias_pool()))
+Q = "chr(39)"
+
+register("lexicon_long", with_corpus(f"""
+SELECT kind, alias FROM (UNPIVOT (SELECT * FROM (VALUES {BANK_WIDE_VALUES}) w(bank, cn, en))
+                         ON bank, cn, en INTO NAME kind VALUE alias)
+UNION ALL
+SELECT DISTINCT 'corpus', w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM reviews)
+WHERE lower(w) IN ('that', 'was')
+"""))
+
+_ISL = f"""
+c0 AS (SELECT rl.id, rl.pos, rl.label, rc.ch,
+              CASE WHEN rl.label = 'I-BANK' AND lag(rl.label) OVER w IN ('B-BANK', 'I-BANK') THEN 0 ELSE 1 END AS brk
+       FROM rl JOIN rc ON rc.id = rl.id AND rc.pos = rl.pos WINDOW w AS (PARTITION BY rl.id ORDER BY rl.pos)),
+ci AS (SELECT *, sum(brk) OVER (PARTITION BY id ORDER BY pos) AS isl FROM c0),
+cm AS (SELECT *, first_value(label) OVER (PARTITION BY id, isl ORDER BY pos) AS head,
+              pos = min(pos) OVER (PARTITION BY id, isl) AS is_first FROM ci),
+mention AS (SELECT id, isl, row_number() OVER (PARTITION BY id ORDER BY isl) AS m FROM cm
+            WHERE head = 'B-BANK' AND is_first),
+pool(k, alias) AS (VALUES {ALIAS_POOL_VALUES}),
+picked AS (SELECT mention.id, mention.isl, pool.alias FROM mention JOIN pool
+           ON pool.k = CAST(('0x' || substr(md5('118:' || CAST(mention.id AS VARCHAR) || ':'
+                                                || CAST(mention.m AS VARCHAR)), 1, 8)) AS BIGINT) % 150)
+"""
+
+register("entity_replace", with_corpus("""
+SELECT cm.id,
+       string_agg(CASE WHEN cm.head = 'B-BANK' THEN (CASE WHEN cm.is_first THEN p.alias ELSE '' END) ELSE cm.ch END,
+                  '' ORDER BY cm.pos) AS text,
+       string_agg(CASE WHEN cm.head = 'B-BANK'
+                       THEN (CASE WHEN cm.is_first THEN 'B-BANK' || repeat(' I-BANK', length(p.alias) - 1) END)
+                       ELSE cm.label END, ' ' ORDER BY cm.pos) AS BIO_anno
+FROM cm LEFT JOIN picked p ON p.id = cm.id AND p.isl = cm.isl
+GROUP BY cm.id
+""", CHAR_CTES + "," + _ISL))
+
+register("bracket_perturb", with_corpus("""
+SELECT id, string_agg(CASE WHEN hit THEN '<' || w || '>' ELSE w END, '' ORDER BY k) AS text,
+       string_agg(CASE WHEN hit THEN wl || ' ' || lastl || ' ' || lastl ELSE wl END, ' ' ORDER BY k) AS BIO_anno
+FROM (
+  SELECT p.id, p.k, p.w, p.hit, string_agg(rl.label, ' ' ORDER BY rl.pos) AS wl, arg_max(rl.label, rl.pos) AS lastl
+  FROM (SELECT id, k, w,
+               coalesce(sum(length(w)) OVER (PARTITION BY id ORDER BY k
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+               regexp_matches(w, '^[A-Za-z]')
+                 AND CAST(('0x' || substr(md5('125:p:' || CAST(id AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8))
+                          AS BIGINT) / 4294967296.0 < 0.1 AS hit
+        FROM reviews, unnest(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+')) WITH ORDINALITY AS u(w, k)) p
+  JOIN rl ON rl.id = p.id AND rl.pos > p.off AND rl.pos <= p.off + length(p.w)
+  GROUP BY p.id, p.k, p.w, p.hit) x
+GROUP BY id
+""", CHAR_CTES))
+
+register("request_table", with_corpus(f"""
+SELECT id AS oid, rep, '{SYSTEM_PROMPT}' AS system, text AS "user"
+FROM (SELECT id, text FROM reviews ORDER BY md5('118:' || CAST(id AS VARCHAR)), id LIMIT 1000) s,
+     unnest([1, 2]) AS r(rep)
+"""))
+
+RESP_CTES = f"""
+resp AS (SELECT doc_id AS oid,
+                CASE WHEN doc_id % 20 = 10 THEN lang || '#####' || source || '#####' || text
+                     WHEN doc_id % 10 = 0 THEN text ELSE lang || '#####' || text END AS content FROM documents),
+rsplit AS (SELECT oid,
+                  CASE WHEN len(string_split(content, '#####')) = 2 THEN string_split(content, '#####')[1]
+                       ELSE '[' || {Q} || array_to_string(string_split(content, '#####'), {Q} || ', ' || {Q})
+                            || {Q} || ']' END AS en,
+                  CASE WHEN len(string_split(content, '#####')) = 2 THEN string_split(content, '#####')[2]
+                       ELSE 'ERR' END AS cn FROM resp)
+"""
+register("response_split", f"WITH {RESP_CTES.strip()} SELECT oid, en, cn FROM rsplit")
+register("stream_ingest_responses", f"WITH {RESP_CTES.strip()} SELECT oid, en, cn FROM rsplit")
+register("backtranslation_join", with_corpus("""
+SELECT r.oid, r.cn AS text, v.class FROM rsplit r JOIN reviews v ON v.id = r.oid WHERE r.cn <> 'ERR'
+""", RESP_CTES))

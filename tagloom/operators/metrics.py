@@ -89,7 +89,7 @@ def parse_epoch_records(df: DataFrame, text: str = "record", keep: list[str] | N
 
 def read_epoch_log(spark: SparkSession, path: str) -> DataFrame:
     """S09 reader: whole log files (one task per file; a log is small) -> epoch rows."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return parse_epoch_records(raw, "value", ["file"])
 
 

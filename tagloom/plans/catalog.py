@@ -363,7 +363,7 @@ def train_windows(spark, sf_dir):
 
 
 def _tagger(spark, sf_dir):
-    w = train_windows(spark, sf_dir)
+    w = materialize(train_windows(spark, sf_dir), "label_windows")
     tr = w.filter(F.col("split") == "train")
     trans = materialize(md.fit_transitions(spark, tr), "transitions")
     emis = materialize(md.fit_emissions(tr), "emissions")
@@ -443,8 +443,8 @@ def token_accuracy(spark, sf_dir):
 
 def _mood(spark, sf_dir, mark=False):
     r = cp.origin_rows(spark, sf_dir, mark)
-    vocab = tk.vocabulary(spark, driver.reviews(spark, sf_dir))
-    t = sp.split_90_10(tk.tokenize(r, vocab))
+    vocab = materialize(tk.vocabulary(spark, driver.reviews(spark, sf_dir)), "vocab")
+    t = materialize(sp.split_90_10(tk.tokenize(r, vocab)), "mood_tokens")
     model, priors = md.fit_mood(t.filter(F.col("split") == "train"))
     return t, materialize(model, "mood_model"), materialize(priors, "mood_priors"), vocab
 

@@ -475,8 +475,8 @@ def class_accuracy(spark, sf_dir):
 def tag_docs(spark, sf_dir, docs):
     """Tokenize -> windows -> decode -> strip frames -> expand -> realign -> BIO string."""
     _w, trans, emis = _tagger(spark, sf_dir)
-    vocab = tk.vocabulary(spark, driver.reviews(spark, sf_dir))
-    t = tk.tokenize(docs, vocab)
+    vocab = materialize(tk.vocabulary(spark, driver.reviews(spark, sf_dir)), "vocab")
+    t = materialize(tk.tokenize(docs, vocab), "doc_tokens")
     win = tk.encode_windows(t)
     d = decode_windows(spark, win, trans, emis, ["id", "win"])
     per_doc = d.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("win", "path"))).alias("ps"))

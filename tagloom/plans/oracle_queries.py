@@ -393,3 +393,62 @@ register("stream_ingest_responses", f"WITH {RESP_CTES.strip()} SELECT oid, en, c
 register("backtranslation_join", with_corpus("""
 SELECT r.oid, r.cn AS text, v.class FROM rsplit r JOIN reviews v ON v.id = r.oid WHERE r.cn <> 'ERR'
 """, RESP_CTES))
+
+
+# ---------------------------------------------------------------------------------
+# count models (fits are aggregations; decode stays rows-only)
+# ---------------------------------------------------------------------------------
+from tagloom.constants import ENTITY_LABELS  # noqa: E402
+
+_ENT = ", ".join(f"'{n}'" for n in ENTITY_LABELS)
+_ALL_NAMES = ", ".join(f"('{n}')" for n in ALL_LABELS)
+_TRAIN = f"substr({h(118, 'id')}, 1, 8) < 'e6666666'"
+
+MODEL_CTES = f"""
+tw AS (SELECT id, tpos, tok, label, (tpos - 1) // 198 AS win, {_TRAIN} AS is_train FROM tlab),
+bigr AS (
+  SELECT id, win, is_train, lag(label) OVER (PARTITION BY id, win ORDER BY tpos) AS f, label AS t, tpos FROM tw
+  UNION ALL SELECT id, win, is_train, NULL, NULL, 0 FROM (SELECT DISTINCT id, win, is_train FROM tw) x
+  UNION ALL SELECT id, win, is_train, arg_max(label, tpos), '[EOS]', max(tpos) + 1 FROM tw GROUP BY id, win, is_train),
+pairs AS (SELECT id, win, is_train,
+                 coalesce(f, '[SOS]') AS from_label, t AS to_label, tpos FROM bigr WHERE t IS NOT NULL)
+"""
+
+register("bio_transitions", with_corpus(f"""
+SELECT g.from_label, g.to_label,
+       (g.to_label IN ('O', '[EOS]') OR g.to_label LIKE 'B-%' OR g.to_label = regexp_replace(g.from_label, '^B', 'I'))
+         AS allowed,
+       coalesce(c.n, 0) AS n,
+       round(CASE WHEN (g.to_label IN ('O', '[EOS]') OR g.to_label LIKE 'B-%'
+                        OR g.to_label = regexp_replace(g.from_label, '^B', 'I'))
+                  THEN ln((coalesce(c.n, 0) + 1) / (coalesce(t.n_from, 0) + 12.0)) ELSE -100.0 END, 6) AS score
+FROM (SELECT a.n AS from_label, b.n AS to_label FROM (VALUES {_ALL_NAMES}) a(n), (VALUES {_ALL_NAMES}) b(n)) g
+LEFT JOIN (SELECT from_label, to_label, count(*) AS n FROM pairs WHERE is_train GROUP BY ALL) c
+  USING (from_label, to_label)
+LEFT JOIN (SELECT from_label, count(*) AS n_from FROM pairs WHERE is_train GROUP BY ALL) t USING (from_label)
+""", _TOK_REVIEWS + "," + MODEL_CTES))
+
+register("bio_audit", with_corpus("""
+SELECT id, CAST(win AS BIGINT) AS win, CAST(row_number() OVER (PARTITION BY id, win ORDER BY tpos) - 1 AS BIGINT) AS pos,
+       from_label, to_label, ok FROM (
+  SELECT *, (to_label IN ('O', '[EOS]') OR to_label LIKE 'B-%'
+             OR to_label = regexp_replace(from_label, '^B', 'I')) AS ok FROM pairs) x
+QUALIFY NOT ok
+""".replace(", ok FROM (", " FROM (").replace("QUALIFY NOT ok", "WHERE NOT ok"), _TOK_REVIEWS + "," + MODEL_CTES))
+
+register("tagger_fit", with_corpus(f"""
+SELECT c.label, c.token, c.n, round(ln((c.n + 1) / (l.n_label + v.v)), 6) AS logp
+FROM (SELECT label, tok AS token, count(*) AS n FROM tw WHERE is_train AND label IN ({_ENT}) GROUP BY ALL) c
+JOIN (SELECT label, count(*) AS n_label FROM tw WHERE is_train AND label IN ({_ENT}) GROUP BY ALL) l USING (label),
+     (SELECT count(DISTINCT tok) AS v FROM tw WHERE is_train AND label IN ({_ENT})) v
+""", _TOK_REVIEWS + "," + MODEL_CTES))
+
+register("mood_fit", with_corpus(f"""
+SELECT c.class, c.token, c.n, round(ln((c.n + 1) / (k.n_class + v.v)), 6) AS logp
+FROM (SELECT r.class, t.tok AS token, count(*) AS n FROM tok t JOIN reviews r USING (id)
+      WHERE substr({h(118, 'r.id')}, 1, 8) < 'e6666666' GROUP BY ALL) c
+JOIN (SELECT r.class, count(*) AS n_class FROM tok t JOIN reviews r USING (id)
+      WHERE substr({h(118, 'r.id')}, 1, 8) < 'e6666666' GROUP BY ALL) k USING (class),
+     (SELECT count(DISTINCT t.tok) AS v FROM tok t JOIN reviews r USING (id)
+      WHERE substr({h(118, 'r.id')}, 1, 8) < 'e6666666') v
+""", VOCAB_CTES + "," + token_ctes("reviews")))

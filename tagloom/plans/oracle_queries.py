@@ -70,19 +70,19 @@ vocab AS (SELECT word FROM mined
 """
 
 
-def token_ctes(src: str) -> str:
-    """tok(id, tpos, tok) for the rows of CTE ``src(id, text)``."""
+def token_ctes(src: str, p: str = "") -> str:
+    """{p}tok(id, tpos, tok) for the rows of CTE ``src(id, text)``."""
     return f"""
-tp AS (SELECT s.id, u.piece, u.k FROM {src} s,
+{p}tp AS (SELECT s.id, u.piece, u.k FROM {src} s,
        unnest(regexp_extract_all(s.text, '[A-Za-z]+|[0-9]+|[^ ]')) WITH ORDINALITY AS u(piece, k)),
-tt AS (SELECT tp.id, tp.k,
+{p}tt AS (SELECT tp.id, tp.k,
               CASE WHEN regexp_matches(tp.piece, '^[A-Za-z]{{2,}}$') AND v.word IS NULL
                    THEN [substr(tp.piece, 1, 1), '##' || substr(tp.piece, 2)]
                    WHEN regexp_matches(tp.piece, '^[\\t\\n\\x0B\\f\\r]$') THEN ['[UNK]']
                    ELSE [tp.piece] END AS t
-       FROM tp LEFT JOIN vocab v ON v.word = tp.piece),
-tf AS (SELECT tt.id, tt.k, x.tok, x.j FROM tt, unnest(tt.t) WITH ORDINALITY AS x(tok, j)),
-tok AS (SELECT id, tok, row_number() OVER (PARTITION BY id ORDER BY k, j) AS tpos FROM tf)
+       FROM {p}tp tp LEFT JOIN vocab v ON v.word = tp.piece),
+{p}tf AS (SELECT tt.id, tt.k, x.tok, x.j FROM {p}tt tt, unnest(tt.t) WITH ORDINALITY AS x(tok, j)),
+{p}tok AS (SELECT id, tok, row_number() OVER (PARTITION BY id ORDER BY k, j) AS tpos FROM {p}tf)
 """
 
 
@@ -452,3 +452,28 @@ JOIN (SELECT r.class, count(*) AS n_class FROM tok t JOIN reviews r USING (id)
      (SELECT count(DISTINCT t.tok) AS v FROM tok t JOIN reviews r USING (id)
       WHERE substr({h(118, 'r.id')}, 1, 8) < 'e6666666') v
 """, VOCAB_CTES + "," + token_ctes("reviews")))
+
+
+_IS_TRAIN = "substr(md5('118:' || CAST(r.id AS VARCHAR)), 1, 8) < 'e6666666'"
+register("mood_predict", with_corpus(f"""
+SELECT id, CAST(arg_min(class, [-score, class]) AS INTEGER) AS class FROM (
+  SELECT d.id, pr.class,
+         pr.prior + coalesce(sum(coalesce(m.logp, pr.dflt)) FILTER (WHERE s.token IS NOT NULL), 0) AS score
+  FROM test_reviews d
+  CROSS JOIN pr
+  LEFT JOIN qtok q ON q.id = d.id
+  LEFT JOIN seen s ON s.token = q.tok
+  LEFT JOIN mm m ON m.token = q.tok AND m.class = pr.class
+  GROUP BY d.id, pr.class, pr.prior) x
+GROUP BY id
+""", VOCAB_CTES + "," + token_ctes("reviews") + "," + token_ctes("test_reviews", "q") + f""",
+trtok AS (SELECT r.class, t.tok FROM tok t JOIN reviews r USING (id) WHERE {_IS_TRAIN}),
+cnt AS (SELECT class, tok AS token, count(*) AS n FROM trtok GROUP BY ALL),
+nv AS (SELECT count(DISTINCT tok) AS v FROM trtok),
+ncls AS (SELECT class, count(*) AS n_class FROM trtok GROUP BY ALL),
+mm AS (SELECT c.class, c.token, ln((c.n + 1) / (k.n_class + nv.v)) AS logp FROM cnt c JOIN ncls k USING (class), nv),
+seen AS (SELECT DISTINCT token FROM cnt),
+ndoc AS (SELECT r.class, count(*) AS nd FROM reviews r WHERE {_IS_TRAIN} GROUP BY ALL),
+pr AS (SELECT d.class, ln(d.nd / (SELECT sum(nd) FROM ndoc)) AS prior, ln(1.0 / (k.n_class + nv.v)) AS dflt
+       FROM ndoc d JOIN ncls k USING (class), nv)
+"""))

@@ -138,34 +138,25 @@ def window_emissions(windows: DataFrame, vec: DataFrame, dflt: Column, keys: lis
 # ----------------------------------------------------------------------------------
 # Constrained Viterbi decode (per window, native fold)
 # ----------------------------------------------------------------------------------
-def _let(expr: Column, body) -> Column:
-    """Evaluate ``expr`` once and use it several times in ``body`` (lambdas have no CSE)."""
-    return F.element_at(F.transform(F.array(expr), body), 1)
-
-
 def viterbi(emissions: Column, model: Column) -> Column:
     """Best label-id path (0..8) of one window under emissions + transitions.
 
-    One fold step computes, for every label j, max and first argmax over i of
-    ``score[i] + tr[i][j]`` in a single pass; ties take the lowest label id.
+    Ties take the lowest label id (first maximum), in every step and at the end.  The
+    candidate vector of a label is rebuilt for max and argmax: measured faster than
+    one fused max/argmax pass, whose per-candidate structs dominate in interpreted lambdas.
     """
     labs = F.sequence(F.lit(0), F.lit(N_TAG - 1))
     tr = model["tr"]
-    e0 = F.element_at(emissions, 1)
-    s0 = F.zip_with(model["start"], e0, lambda a, b: a + b)
+    s0 = F.zip_with(model["start"], F.element_at(emissions, 1), lambda a, b: a + b)
     acc0 = F.struct(s0.alias("s"), F.expr("cast(array() as array<array<int>>)").alias("bp"))
-    neg = F.lit(float("-inf"))
-
-    def best_for(s, j):
-        init = F.struct(neg.alias("m"), F.lit(-1).alias("a"))
-        return F.aggregate(labs, init, lambda acc, i: _let(
-            F.element_at(s, i + 1) + F.element_at(tr, i * N_TAG + j + 1),
-            lambda v: F.when(v > acc["m"], F.struct(v.alias("m"), i.alias("a"))).otherwise(acc)))
 
     def step(acc, e):
-        return _let(F.transform(labs, lambda j: best_for(acc["s"], j)), lambda ma: F.struct(
-            F.zip_with(F.transform(ma, lambda x: x["m"]), e, lambda a, b: a + b).alias("s"),
-            F.concat(acc["bp"], F.array(F.transform(ma, lambda x: x["a"]))).alias("bp")))
+        cand = lambda j: F.transform(labs, lambda i: F.element_at(acc["s"], i + 1)
+                                     + F.element_at(tr, i * N_TAG + j + 1))
+        best = F.transform(labs, lambda j: F.array_max(cand(j)))
+        arg = F.transform(labs, lambda j: (F.array_position(cand(j), F.array_max(cand(j))) - 1).cast("int"))
+        return F.struct(F.zip_with(best, e, lambda a, b: a + b).alias("s"),
+                        F.concat(acc["bp"], F.array(arg)).alias("bp"))
 
     def finish(acc):
         fin = F.zip_with(acc["s"], model["end"], lambda a, b: a + b)

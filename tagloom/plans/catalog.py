@@ -85,7 +85,6 @@ def bio_spans(spark, sf_dir):
                     F.col("s.end").cast("long").alias("end"), F.col("s.kind").alias("kind"),
                     F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
                     .alias("surface"))
-FLAGSHIP = "scan_reviews"
 
 
 # ---------------------------------------------------------------------------------

@@ -97,10 +97,10 @@ def _null_join(arr, sep=" "):
     return F.array_join(arr, sep, "∅")
 
 
-def tokenized_reviews(spark, sf_dir):
+def tokenized_reviews(spark, sf_dir, vocab=None):
     """Training corpus with labels, tokens and token labels (T03 + T04)."""
     r = _labels(driver.reviews(spark, sf_dir))
-    t = tk.tokenize(r, tk.vocabulary(spark, r))
+    t = tk.tokenize(r, vocab if vocab is not None else tk.vocabulary(spark, r))
     return bio.with_aligned(t, "text", "labels", "tokens", "token_labels")
 
 
@@ -352,17 +352,22 @@ from tagloom.operators import models as md  # noqa: E402
 from tagloom.session import materialize  # noqa: E402
 
 
-def train_windows(spark, sf_dir):
+def train_windows(spark, sf_dir, vocab=None):
     """Training windows (id, win, win_tokens, win_labels) of the 0.9 train split."""
-    t = sp.split_90_10(tokenized_reviews(spark, sf_dir))
+    t = sp.split_90_10(tokenized_reviews(spark, sf_dir, vocab))
     t = t.withColumn("tw", bio.windows("tokens"))
     w = bio.explode_rows(t, bio.windows("token_labels"), "win_labels", ["id", "split", "tw"], pos="win")
     return w.select("id", "split", F.col("win").cast("long").alias("win"),
                     F.element_at("tw", F.col("win") + 1).alias("win_tokens"), "win_labels")
 
 
-def _tagger(spark, sf_dir):
-    w = materialize(train_windows(spark, sf_dir), "label_windows")
+def _vocab(spark, sf_dir):
+    """The tokenizer vocabulary, written once per plan that needs it several times."""
+    return materialize(tk.vocabulary(spark, driver.reviews(spark, sf_dir)), "vocab")
+
+
+def _tagger(spark, sf_dir, vocab=None):
+    w = materialize(train_windows(spark, sf_dir, vocab), "label_windows")
     tr = w.filter(F.col("split") == "train")
     trans = materialize(md.fit_transitions(spark, tr), "transitions")
     emis = materialize(md.fit_emissions(tr), "emissions")
@@ -440,9 +445,9 @@ def token_accuracy(spark, sf_dir):
     return b.groupBy("batch_id").agg(F.round(F.sum("hits") / F.sum("n"), 6).alias("acc"))
 
 
-def _mood(spark, sf_dir, mark=False):
+def _mood(spark, sf_dir, mark=False, vocab=None):
     r = cp.origin_rows(spark, sf_dir, mark)
-    vocab = materialize(tk.vocabulary(spark, driver.reviews(spark, sf_dir)), "vocab")
+    vocab = vocab if vocab is not None else _vocab(spark, sf_dir)
     t = materialize(sp.split_90_10(tk.tokenize(r, vocab)), "mood_tokens")
     model, priors = md.fit_mood(t.filter(F.col("split") == "train"))
     return t, materialize(model, "mood_model"), materialize(priors, "mood_priors"), vocab
@@ -471,10 +476,10 @@ def class_accuracy(spark, sf_dir):
                                      .alias("acc"))
 
 
-def tag_docs(spark, sf_dir, docs):
+def tag_docs(spark, sf_dir, docs, vocab=None):
     """Tokenize -> windows -> decode -> strip frames -> expand -> realign -> BIO string."""
-    _w, trans, emis = _tagger(spark, sf_dir)
-    vocab = materialize(tk.vocabulary(spark, driver.reviews(spark, sf_dir)), "vocab")
+    vocab = vocab if vocab is not None else _vocab(spark, sf_dir)
+    _w, trans, emis = _tagger(spark, sf_dir, vocab)
     t = tk.tokenize(docs, vocab)
     win = tk.encode_windows(t)
     d = decode_windows(spark, win, trans, emis, ["id", "win"])
@@ -495,16 +500,20 @@ def tag_corpus(spark, sf_dir):
 
 @query("submission")
 def submission(spark, sf_dir):
-    tags = tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir)).select("id", "BIO_anno")
-    moods = mood_predict(spark, sf_dir)
+    vocab = _vocab(spark, sf_dir)
+    test = driver.test_reviews(spark, sf_dir)
+    tags = tag_docs(spark, sf_dir, test, vocab).select("id", "BIO_anno")
+    _t, model, priors, _v = _mood(spark, sf_dir, vocab=vocab)
+    moods = md.predict_mood(tk.tokenize(test, vocab), model, priors)
     return tags.join(moods, "id", "left").select("id", "BIO_anno", "class")
 
 
 @query("two_stage_submission")
 def two_stage_submission(spark, sf_dir):
-    tags = tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir))
+    vocab = _vocab(spark, sf_dir)
+    tags = tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir), vocab)
     marked = tags.select("id", bio.mark_text(F.col("text"), bio.bio_split("BIO_anno")).alias("text"))
-    _t, model, priors, vocab = _mood(spark, sf_dir, mark=True)
+    _t, model, priors, _v = _mood(spark, sf_dir, mark=True, vocab=vocab)
     moods = md.predict_mood(tk.tokenize(marked, vocab), model, priors)
     return tags.select("id", "BIO_anno").join(moods, "id", "left")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -50,12 +51,15 @@ def get_session(master: str | None = None, app: str = "tagloom",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset (local
-    tests) do we pick a fresh private folder and record it in the session.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset a session with a
+    local master, whose one process is every executor, gets a fresh private folder; any other
+    session raises, because a folder that only one machine sees loses the tables.
     """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tagloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -77,4 +81,26 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    _remove_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Materialised tables belong to this process: they go when it ends."""
+    if not _TABLES:
+        atexit.register(remove_tables)
+    _TABLES.append((spark, path))
+
+
+def remove_tables() -> None:
+    """Remove every table ``materialize`` wrote and that is not removed yet."""
+    while _TABLES:
+        spark, path = _TABLES.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:                     # the session has ended before us: nothing to ask
+            return

@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
-from tagloom.llm import quality_classifier, quality_rules
+from tagloom.llm import decontaminate, quality_classifier, quality_rules, simhash
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.text_rows(C.table(spark, sf_dir, "documents"))
+    found, leak = decontaminate.find(docs, C.table(spark, sf_dir, "benchmark"))
+    leak = F.col(leak)
+    return found.select("doc_id", leak["n_words"].alias("n_words"), leak["n_hit"].alias("n_hit"),
+                        F.size(leak["items"]).cast("long").alias("n_items"),
+                        F.sha2(F.array_join(leak["items"], ","), 256).alias("items_sha256"),
+                        decontaminate.contaminated(leak).alias("contaminated"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +35,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col(f"{s}.score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_quality_classifier)}
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(C.table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_quality_rules, op5_quality_classifier,
+                                   op9_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
-from tagloom.llm import decontaminate, quality_classifier, quality_rules, simhash
+from tagloom.llm import decontaminate, quality_classifier, quality_rules, simhash, warc
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, folder = warc.archive(C.table(spark, sf_dir, "pages"))
+    found = warc.read(manifest, folder, payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_quality_rules, op5_quality_classifier,
-                                   op9_simhash_near_dedup)}
+                                   op9_simhash_near_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}

@@ -39,7 +39,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Ftrl:
     """Per-coordinate FTRL-proximal state for one linear output."""
 
-    def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float):
+    def __init__(self, size, alpha: float, beta: float, l1: float, l2: float):
         self.z, self.n = np.zeros(size), np.zeros(size)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
-from tagloom.llm import decontaminate, quality_classifier, quality_rules, simhash, warc
+from tagloom.llm import decontaminate, language_id, quality_classifier, quality_rules, simhash, warc
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,17 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col(f"{s}.score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = C.table(spark, sf_dir, "documents")
+    docs = C.text_rows(table)
+    learn = (table.where(C.fold(F.col("doc_id"), 3) != 1)
+             .select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").alias("label")))
+    languages, weights = language_id.train(learn)
+    found, f = language_id.predict(docs, languages, weights)
+    return found.select("doc_id", (C.fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+                        F.col(f"{f}.lang").alias("lang_pred"), F.col(f"{f}.score"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(C.table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,5 +58,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_quality_rules, op5_quality_classifier,
-                                   op9_simhash_near_dedup, op10_warc)}
+                                   op8_language_id, op9_simhash_near_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}

@@ -136,7 +136,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     def loss(t):
         return -np.log(np.maximum(softmax(logits / math.exp(t))[np.arange(len(y)), y], 1e-12)).mean()
 
-    a, b, g = -3.0, 3.0, (math.sqrt(5) - 1) / 2
+    a, b, g = -1.0, 3.0, (math.sqrt(5) - 1) / 2
     for _ in range(40):
         c, d = b - g * (b - a), a + g * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
-from tagloom.llm import decontaminate, language_id, quality_classifier, quality_rules, simhash, warc
+from tagloom.llm import decontaminate, language_id, quality_classifier, quality_rules, simhash, toxicity, warc
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,15 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col(f"{s}.score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"), "lang")
+    labels = C.table(spark, sf_dir, "labels").where(C.fold(F.col("doc_id"), 3) != 1)
+    found = toxicity.judge(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    return found.select("doc_id", (C.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+                        F.col("threshold").alias("lang_threshold"), F.col("toxic").alias("lang_verdict"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = C.table(spark, sf_dir, "documents")
     docs = C.text_rows(table)
@@ -58,5 +67,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_quality_rules, op5_quality_classifier,
-                                   op8_language_id, op9_simhash_near_dedup, op10_warc)}
+                                   op7_toxicity, op8_language_id, op9_simhash_near_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}

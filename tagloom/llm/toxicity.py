@@ -1,7 +1,8 @@
 """Toxicity: a convolutional text classifier in numpy, with thresholds calibrated by language.
 
-A word's embedding is the sum of two rows of a hashed table (two hashes, so that two words rarely
-share both).  Filters of several widths slide over the words, the largest activation of each filter
+A word's embedding is the sum of hashed table rows, one for the word and one for each of its first
+``PREFIXES`` bytes, so that inflected and compounded forms share a part and two different words
+rarely share all.  Filters of several widths slide over the words, the largest activation of each filter
 in a text is kept, and a logistic layer turns these into a probability.  Training is AdaGrad on a
 bounded sample; the gradient flows only through the pooled positions, so it is sparse.
 
@@ -18,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
-from tagloom.llm.decontaminate import word_hashes
+from tagloom.session import materialize
 
 BUCKETS = 1 << 16
+PREFIXES = (4, 5)
 DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -29,8 +31,25 @@ MIN_POSITIVE = 30
 MAX_LANGUAGES = 512
 
 
-def buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & C.U64(BUCKETS - 1)).astype(np.int32), ((h >> C.U64(32)) & C.U64(BUCKETS - 1)).astype(np.int32)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+_WORD = C.lut([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
+
+
+def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(table rows of every word, word offsets of the texts); A-Z are lower-cased."""
+    data = _LOWER[data]
+    starts, ends = C.runs(_WORD[data].view(np.int8), offs)
+    span = C.SpanHash(data)
+    h = [span(starts, ends)] + [C.mix(span(starts, np.minimum(starts + n, ends)) + C.U64(n)) for n in PREFIXES]
+    return (np.stack(h, 1) & C.U64(BUCKETS - 1)).astype(np.int32), np.searchsorted(starts, offs)
+
+
+def embed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    x = table[rows[:, 0]]
+    for k in range(1, rows.shape[1]):
+        x += table[rows[:, k]]
+    return x
 
 
 def convolve(model: dict, x: np.ndarray) -> list[np.ndarray]:
@@ -50,14 +69,13 @@ def convolve(model: dict, x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def pooled(model: dict, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+def pooled(model: dict, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Largest activation (at least 0) of every filter in every text."""
     n = len(first) - 1
     out = np.zeros((n, FILTERS * len(WIDTHS)), np.float32)
-    if not len(h):
+    if not len(rows):
         return out
-    b1, b2 = buckets(h)
-    acts = convolve(model, model["e"][b1] + model["e"][b2])
+    acts = convolve(model, embed(model["e"], rows))
     length = np.diff(first)
     for k, (w, a) in enumerate(zip(WIDTHS, acts)):
         some = np.flatnonzero(length >= w)
@@ -72,8 +90,8 @@ def pooled(model: dict, h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def probability(model: dict, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    z = pooled(model, h, first) @ model["u"] + model["c"]
+def probability(model: dict, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    z = pooled(model, rows, first) @ model["u"] + model["c"]
     return 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
 
 
@@ -86,20 +104,19 @@ def fresh(seed: int) -> dict:
     return model | {f"b{w}": np.zeros(FILTERS, f4) for w in WIDTHS}
 
 
-def words(texts: list) -> list[np.ndarray]:
+def word_rows(texts: list) -> list[np.ndarray]:
     import pyarrow as pa
     out = []
     for _, _, data, offs in C.slices(*C.utf8(pa.array(texts, pa.string()))):
-        h, starts, _ = word_hashes(data, offs)
-        first = np.searchsorted(starts, offs)
-        out += [h[a:b] for a, b in zip(first[:-1], first[1:])]
+        rows, first = words(data, offs)
+        out += [rows[a:b] for a, b in zip(first[:-1], first[1:])]
     return out
 
 
-def fit(texts: list, y: np.ndarray, weight: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.1,
+def fit(texts: list, y: np.ndarray, weight: np.ndarray, epochs: int = 4, batch: int = 32, rate: float = 0.1,
         decay: float = 1e-4, seed: int = 11) -> dict:
     """Train on whole texts; ``weight`` scales an example's gradient."""
-    rows = words(texts)
+    rows = word_rows(texts)
     model = fresh(seed)
     state = {k: np.full(np.shape(v), 1e-3, np.float32) for k, v in model.items()}
     rng = np.random.default_rng(seed)
@@ -115,9 +132,7 @@ def fit(texts: list, y: np.ndarray, weight: np.ndarray, epochs: int = 6, batch:
             grads = {k: np.zeros(np.shape(v), np.float32) for k, v in model.items() if k != "e"}
             e_at, e_grad = [], []
             for i in chosen:
-                h = rows[i]
-                b1, b2 = buckets(h)
-                x = model["e"][b1] + model["e"][b2]
+                x = embed(model["e"], rows[i])
                 acts = convolve(model, x)
                 peaks = [a.argmax(0) if len(a) else None for a in acts]
                 pool = np.concatenate([np.maximum(a[p, np.arange(FILTERS)], 0) if len(a) else np.zeros(FILTERS, np.float32)
@@ -137,7 +152,7 @@ def fit(texts: list, y: np.ndarray, weight: np.ndarray, epochs: int = 6, batch:
                             here = peaks[k] + j
                             grads["taps"][:, cols] += x[here].T * gk
                             e_grad.append((model["taps"][:, cols] * gk).T)
-                            e_at.append(np.stack([b1[here], b2[here]], 1))
+                            e_at.append(rows[i][here])
                     at += w * FILTERS
             for name, grad in grads.items():
                 if name == "c":
@@ -149,7 +164,7 @@ def fit(texts: list, y: np.ndarray, weight: np.ndarray, epochs: int = 6, batch:
                 at, grad = np.concatenate(e_at), np.concatenate(e_grad)
                 at, back = np.unique(at.T.ravel(), return_inverse=True)
                 total = np.zeros((len(at), DIM), np.float32)
-                np.add.at(total, back.reshape(-1), np.concatenate([grad, grad]))
+                np.add.at(total, back.reshape(-1), np.concatenate([grad] * rows[0].shape[1]))
                 step("e", total + decay * model["e"][at], at)
     return model
 
@@ -186,8 +201,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> tuple[DataFrame,
     def make(data, offs):
         out = []
         for _, _, part, own in C.slices(data, offs, 1 << 20):
-            h, starts, _ = word_hashes(part, own)
-            out.append(probability(shared.value, h, np.searchsorted(starts, own)))
+            out.append(probability(shared.value, *words(part, own)))
         return [np.concatenate(out)]
 
     return C.add_columns(docs, text, [("score", "double")], make, "toxicity")
@@ -223,3 +237,20 @@ def thresholds(scored: DataFrame, labels: DataFrame) -> tuple[dict[str, float],
         whole[r["bin"], r["y"]] = whole.get((r["bin"], r["y"]), 0) + r["n"]
     enough = {k: h for k, h in by.items() if sum(n for (_, y), n in h.items() if y) >= MIN_POSITIVE}
     return {k: best_cutoff(h) for k, h in enough.items()}, best_cutoff(whole) if whole else 0.5
+
+
+def judge(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> DataFrame:
+    """(doc_id, lang, score, threshold, toxic), one row per row of ``docs`` (doc_id, text, lang).
+
+    ``labels`` is (doc_id, label 0/1); null ids and labels do not count and the largest label of
+    an id holds.  Null languages share the threshold of all.  Repeated rows are scored each.
+    """
+    model = train(docs.select("doc_id", "text"), labels, per_class)
+    found, t = score(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text"), model)
+    scored = materialize(found.select("doc_id", "lang", F.col(f"{t}.score").alias("score")), "toxicity-scores")
+    by, whole = thresholds(scored, labels)
+    cut = F.lit(whole)
+    if by:
+        table = F.create_map(*[x for k, v in by.items() for x in (F.lit(k), F.lit(v))])
+        cut = F.coalesce(F.try_element_at(table, F.coalesce("lang", F.lit("und"))), cut)
+    return scored.withColumn("threshold", cut).withColumn("toxic", F.col("score") >= F.col("threshold"))

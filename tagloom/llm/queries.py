@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
-from tagloom.llm import decontaminate, language_id, quality_classifier, quality_rules, simhash, toxicity, warc
+from tagloom.llm import decontaminate, language_id, pii, quality_classifier, quality_rules, simhash, toxicity, warc
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(C.table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda x: x["k"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+                        pii.listed(F.col("spans")).alias("spans"))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +74,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_quality_rules, op5_quality_classifier,
+QUERIES = {f.__name__: f for f in (op1_pii, op3_benchmark_decontamination, op4_quality_rules, op5_quality_classifier,
                                    op7_toxicity, op8_language_id, op9_simhash_near_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}

@@ -113,9 +113,12 @@ def word_rows(texts: list) -> list[np.ndarray]:
     return out
 
 
-def fit(texts: list, y: np.ndarray, weight: np.ndarray, epochs: int = 4, batch: int = 32, rate: float = 0.1,
-        decay: float = 1e-4, seed: int = 11) -> dict:
-    """Train on whole texts; ``weight`` scales an example's gradient."""
+def fit(texts: list, y: np.ndarray, weight: np.ndarray, epochs: int = 4, batch: int = 32, steps: int = 300,
+        rate: float = 0.1, decay: float = 1e-4, seed: int = 11) -> dict:
+    """Train on whole texts; ``weight`` scales an example's gradient.
+
+    ``epochs`` passes, or as many as make ``steps`` batches where the sample is small.
+    """
     rows = word_rows(texts)
     model = fresh(seed)
     state = {k: np.full(np.shape(v), 1e-3, np.float32) for k, v in model.items()}
@@ -125,7 +128,7 @@ def fit(texts: list, y: np.ndarray, weight: np.ndarray, epochs: int = 4, batch:
         state[name][at] += grad * grad
         model[name][at] -= rate * grad / np.sqrt(state[name][at])
 
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // max(1, len(rows))))):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             chosen = order[lo:lo + batch]

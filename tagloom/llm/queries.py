@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
-from tagloom.llm import decontaminate, language_id, pii, quality_classifier, quality_rules, simhash, toxicity, warc
+from tagloom.llm import decontaminate, language_id, line_dedup, pii, quality_classifier, quality_rules, simhash, toxicity, warc
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col(f"{s}.score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(C.text_rows(C.table(spark, sf_dir, "documents")), report=True)
+    return done.select("doc_id", "line_report.n_lines", "line_report.n_dropped",
+                       F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     labels = C.table(spark, sf_dir, "labels").where(C.fold(F.col("doc_id"), 3) != 1)
@@ -75,5 +81,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op3_benchmark_decontamination, op4_quality_rules, op5_quality_classifier,
-                                   op7_toxicity, op8_language_id, op9_simhash_near_dedup, op10_warc)}
+                                   op6_line_dedup, op7_toxicity, op8_language_id, op9_simhash_near_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}

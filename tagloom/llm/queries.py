@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
-from tagloom.llm import decontaminate, language_id, line_dedup, pii, quality_classifier, quality_rules, simhash, toxicity, warc
+from tagloom.llm import decontaminate, language_id, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, toxicity, warc
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,21 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.listed(F.col("spans")).alias("spans"))
 
 
+#: token shares of the domains that the labelled table has
+TARGETS = {"good": 0.92, "low": 0.06, "toxic": 0.02}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """The labelled table's domains: toxic, else good or low quality."""
+    label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "low")
+    return labels.select("doc_id", label.alias("label"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, domains(C.table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.text_rows(C.table(spark, sf_dir, "documents"))
     found, leak = decontaminate.find(docs, C.table(spark, sf_dir, "benchmark"))
@@ -80,6 +95,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_benchmark_decontamination, op4_quality_rules, op5_quality_classifier,
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_benchmark_decontamination, op4_quality_rules, op5_quality_classifier,
                                    op6_line_dedup, op7_toxicity, op8_language_id, op9_simhash_near_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,12 +1,9 @@
-"""tagloom: annotated-review analytics as Spark DataFrame jobs.
+"""Annotated-review analytics on Spark."""
 
-Sub-packages
-------------
-sources    readers and sinks (review tables, lexicon, line lists, epoch logs, driver corpus)
-functions  column-expression builders for BIO sequences and text (no Python UDFs)
-operators  corpus assembly, sampling/splitting, augmentation, count models, metrics
-plans      named query plans and their DuckDB oracle formulations
-streaming  incremental ingest of back-translation responses
-"""
+import sys
 
-from tagloom.session import get_session, checkpoint_root  # noqa: F401
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their tasks by value, so executors need
+# numpy and pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -13,9 +13,6 @@ SOS, EOS, PAD = "[SOS]", "[EOS]", "[PAD]"
 ALL_LABELS = ENTITY_LABELS + [SOS, EOS, PAD]
 SOS_ID, EOS_ID, PAD_ID = 9, 10, 11
 
-# FIXED VALUES: mood classes
-MOODS = {"NEG": 0, "POS": 1, "NEU": 2}
-
 # FIXED VALUES: maximum encoded length (two positions go to the frame labels)
 MAX_SEQ_LEN = 200
 
@@ -244,6 +241,9 @@ zfb
 # ---------------------------------------------------------------------------------
 CORPUS_LEXICON = {"that": "BANK", "was": "BANK", "for": "PRODUCT", "on": "PRODUCT",
                   "it": "COMMENTS_N", "are": "COMMENTS_ADJ"}
+# Two letter islands with one blank between them form one mention, blank included.
+CORPUS_PAIRS = {("of", "the"): "BANK", ("and", "the"): "PRODUCT", ("as", "the"): "COMMENTS_N",
+                ("with", "the"): "COMMENTS_ADJ"}
 
 
 def bank_lexicon_rows() -> list[tuple[str, str, str]]:

@@ -21,6 +21,7 @@ inlining it into the per-element lambda.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,136 +156,84 @@ def token_len(token) -> Column:
     return F.when(t == UNK, F.lit(1)).otherwise(F.length(token_text(t)))
 
 
-def token_chars(tokens) -> Column:
-    """Lower-cased characters of the joined token text; ``[UNK]`` is one null."""
-    def one(t):
-        body = token_text(t)
-        return (F.when(t == UNK, F.array(F.lit(None).cast("string")))
-                .when(body == "", empty_strings())
-                .otherwise(F.transform(F.split(body, ""), lambda ch: F.lower(ch))))
-    return F.flatten(F.transform(_c(tokens), one))
+def _body(token: str) -> str:
+    return token[2:] if token.startswith("##") else token
 
 
-def align_labels(tokens, labels_no_blank_ref) -> Column:
-    """Character labels (blanks removed) -> one label per token.
+def _inner(label):
+    return "I" + label[1:] if label is not None and label.startswith("B") else label
 
-    A token takes the label of its first character; its offset is the exclusive prefix
-    sum of the token lengths (W03).  A token past the labels gets null.
-    ``labels_no_blank_ref`` must be a column reference.
+
+def align(text: str, labels, tokens) -> list:
+    """T03 + T04 of one text: the label of each token's first character, null past the labels."""
+    plain = [lab for ch, lab in zip(text, labels) if ch != " "]
+    out, at = [], 0
+    for t in tokens:
+        out.append(plain[at] if at < len(plain) else None)
+        at += 1 if t == UNK else len(_body(t))
+    return out
+
+
+def expand(tokens, labels) -> list:
+    """T05 of one text: token labels -> labels of the token text's characters.
+
+    The first character keeps the token's label, the rest get its inner form; a ``##`` piece
+    ignores its own label and goes on with the inner form of its word head's label.
+    """
+    out, head = [], None
+    for t, lab in zip(tokens, labels):
+        n = 1 if t == UNK else len(_body(t))
+        if t.startswith("##"):
+            out += [_inner(head)] * n
+        else:
+            head = lab
+            out += [lab] + [_inner(lab)] * (n - 1)
+    return out
+
+
+def realign(text: str, tokens, labels) -> list:
+    """T06 of one text: walk the text and the token text together.
+
+    A matching character takes the label under the pointer; an unknown token character
+    (``[UNK]``) gives ``O`` and moves on; a character that the tokenizer dropped gives ``O``.  The
+    walk ends with the token text.  Linear, for any tokenizer.
     """
-    labs = _c(labels_no_blank_ref)
-    offs = exclusive_prefix(F.transform(_c(tokens), token_len))
-    return _pinned(labs, F.transform(offs, lambda o: F.try_element_at(labs, o + 1)))
+    body = [c for t in tokens for c in ([None] if t == UNK else map(str.lower, _body(t)))]
+    out, i = [], 0
+    for ch in text:
+        if i >= len(body):
+            break
+        if body[i] is None:
+            out.append("O")
+            i += 1
+        elif ch.lower() == body[i]:
+            out.append(labels[i] if i < len(labels) else None)
+            i += 1
+        else:
+            out.append("O")
+    return out
+
+
+def _by_row(fn):
+    @F.pandas_udf(_STR_ARRAY)
+    def run(*cols: pd.Series) -> pd.Series:
+        return pd.Series([None if any(x is None for x in row) else fn(*row) for row in zip(*cols)])
+    return run
 
 
 def with_aligned(df: DataFrame, text: str, labels: str, tokens: str, out: str) -> DataFrame:
-    """T03 + T04 on a DataFrame: blank-free character labels, then one per token."""
-    d = df.withColumn("__nb", strip_blank_labels(F.col(text), F.col(labels)))
-    return d.withColumn(out, align_labels(F.col(tokens), F.col("__nb"))).drop("__nb")
+    """T03 + T04: one label per token."""
+    return df.withColumn(out, _by_row(align)(text, labels, tokens))
 
 
 def with_expanded(df: DataFrame, tokens: str, token_labels: str, out: str) -> DataFrame:
-    """Token labels -> character labels of the token text.
-
-    The first character keeps the token's label and the rest get its inner form; a
-    ``##`` piece ignores its own label and continues the previous character's label,
-    i.e. the inner form of its word head's label (inner is idempotent).
-    """
-    t, lab = F.col(tokens), F.col(token_labels)
-    m = F.least(F.size(t), F.size(lab))
-    d = df.withColumn("__tok", F.slice(t, 1, m)).withColumn("__lab", lab)
-    d = d.withColumn("__cont", F.transform(F.col("__tok"), lambda x: x.startswith("##")))
-    cont, lb = F.col("__cont"), F.col("__lab")
-    d = d.withColumn("__heads", _pinned(cont, F.filter(positions(cont), lambda k: ~F.element_at(cont, k))))
-    heads = F.col("__heads")
-    n_tok = F.size(F.col("__tok"))
-    first = F.coalesce(F.try_element_at(heads, F.lit(1)), n_tok + 1)
-    head_of = F.concat(
-        F.array_repeat(F.lit(None).cast("int"), first - 1),
-        _pinned(heads, F.flatten(F.transform(heads, lambda h, g: F.array_repeat(
-            h, F.coalesce(F.try_element_at(heads, g + 2), n_tok + 1) - h)))))
-    d = d.withColumn("__head_of", head_of)
-    tk, hof = F.col("__tok"), F.col("__head_of")
-
-    def one(x, k0):
-        k = k0 + 1
-        ln = token_len(x)
-        own = F.element_at(lb, k)
-        head_lab = F.try_element_at(lb, F.element_at(hof, k))
-        return F.when(F.element_at(cont, k), F.array_repeat(bio_inner(head_lab), ln)).otherwise(
-            F.concat(F.array(own), F.array_repeat(bio_inner(own), ln - 1)))
-
-    res = _pinned(hof, _pinned(cont, _pinned(lb, F.flatten(F.transform(tk, one)))))
-    return d.withColumn(out, res).drop("__tok", "__lab", "__cont", "__heads", "__head_of")
+    """Token labels -> character labels of the token text."""
+    return df.withColumn(out, _by_row(expand)(tokens, token_labels))
 
 
 def with_realigned(df: DataFrame, text: str, tokens: str, char_labels: str, out: str) -> DataFrame:
-    """Put the token-text labels back on the original characters (linear form).
-
-    For a tokenization whose token text is the text without U+0020 blanks (``[UNK]``
-    standing for one character) -- which the engine's tokenizer guarantees -- the
-    two-pointer walk reduces to: a blank gets ``O``; the k-th non-blank character gets
-    the k-th token-text label, ``O`` if that token character is unknown or differs; the
-    walk ends once the token text is used up, so a tail no token covers gets no label.
-    Trailing unknown token characters end the walk that many characters after the last
-    known one, as the walk consumes one per character.  ``realign_walk`` is the literal
-    walk for arbitrary token texts (quadratic; short sequences only).
-    """
-    d = df.withColumn("__ch", chars(F.col(text))).withColumn("__tch", token_chars(F.col(tokens))) \
-        .withColumn("__lab", F.col(char_labels))
-    ch, tch, lab = F.col("__ch"), F.col("__tch"), F.col("__lab")
-    d = d.withColumn("__nbpos", _pinned(ch, F.filter(positions(ch), lambda j: F.element_at(ch, j) != " ")))
-    nbpos = F.col("__nbpos")
-    n = F.size(ch)
-    first = F.coalesce(F.try_element_at(nbpos, F.lit(1)), n + 1)
-    own = F.concat(F.array_repeat(F.lit(0), first - 1), _pinned(nbpos, F.flatten(F.transform(
-        nbpos, lambda p, k: F.array_repeat(k + 1, F.coalesce(F.try_element_at(nbpos, k + 2), n + 1) - p)))))
-    known = _pinned(tch, F.filter(positions(tch), lambda i: F.element_at(tch, i).isNotNull()))
-    d = d.withColumn("__own", own).withColumn("__known", known)
-    kn = F.col("__known")
-    i0 = F.coalesce(F.try_element_at(kn, F.lit(-1)), F.lit(0))
-    m = F.size(tch)
-    last = F.when(i0 > 0, F.coalesce(F.try_element_at(nbpos, i0), n)).otherwise(F.lit(0))
-    d = d.withColumn("__end", F.least(n, last + (m - i0)))
-    ow = F.col("__own")
-
-    def one(j):
-        c = F.element_at(ch, j)
-        k = F.element_at(ow, j)
-        t = F.try_element_at(tch, k)
-        return (F.when(c == " ", F.lit("O"))
-                .when(t.isNull() | (F.lower(c) != t), F.lit("O"))
-                .otherwise(F.try_element_at(lab, k)))
-
-    res = _pinned(ch, _pinned(ow, _pinned(tch, _pinned(lab, F.slice(
-        F.transform(positions(ch), one), 1, F.col("__end"))))))
-    return d.withColumn(out, res).drop("__ch", "__tch", "__lab", "__nbpos", "__own", "__known", "__end")
-
-
-def realign_walk(text, tokens, char_labels_of_tokens) -> Column:
-    """T06, literal two-pointer walk over the original characters (quadratic).
-
-    A matching character takes the label under the pointer, an unknown token character
-    or a character the tokenizer dropped gets ``O``; the walk stops when the token text
-    is used up.  Inputs ride in the fold state so they are evaluated once per row.
-    """
-    acc0 = F.struct(F.lit(1).alias("i"), empty_strings().alias("out"),
-                    token_chars(tokens).alias("tch"), _c(char_labels_of_tokens).alias("lab"))
-
-    def step(acc, c):
-        i, t, lb = acc["i"], acc["tch"], acc["lab"]
-        done = i > F.size(t)
-        cur = F.try_element_at(t, i)
-        unknown = cur.isNull()
-        hit = F.lower(c) == cur
-        emit = (F.when(done, empty_strings())
-                .when(unknown | ~hit, F.array(F.lit("O")))
-                .otherwise(F.array(F.try_element_at(lb, i))))
-        nxt = F.when(done, i).when(unknown | hit, i + 1).otherwise(i)
-        return F.struct(nxt.alias("i"), F.concat(acc["out"], emit).alias("out"), t.alias("tch"),
-                        lb.alias("lab"))
-
-    return F.aggregate(chars(text), acc0, step, lambda acc: acc["out"])
+    """The token-text labels back on the original characters."""
+    return df.withColumn(out, _by_row(realign)(text, tokens, char_labels))
 
 
 # ----------------------------------------------------------------------------------
@@ -339,7 +288,7 @@ def with_spans(df: DataFrame, labels: str, out: str) -> DataFrame:
         cur = F.element_at(lab, i)
         prev = F.try_element_at(lab, i - 1)
         cont = (i > 1) & cur.startswith("I-") & prev.rlike("^[BI]-") & \
-            (F.substring(prev, 3, 1 << 20) == F.substring(cur, 3, 1 << 20))
+            (F.substring(prev, F.lit(3), F.length(prev)) == F.substring(cur, F.lit(3), F.length(cur)))
         return ~F.coalesce(cont, F.lit(False))
 
     d = d.withColumn("__brk", _pinned(lab, F.filter(positions(lab), brk)))
@@ -349,7 +298,7 @@ def with_spans(df: DataFrame, labels: str, out: str) -> DataFrame:
         (s - 1).alias("start"), (F.coalesce(F.try_element_at(b, g + 2), n + 1) - 1).alias("end"),
         F.element_at(lab, s).alias("head")))))
     spans = F.transform(F.filter(runs, lambda r: r["head"].startswith("B-")), lambda r: F.struct(
-        r["start"].alias("start"), r["end"].alias("end"), F.substring(r["head"], 3, 1 << 20).alias("kind")))
+        r["start"].alias("start"), r["end"].alias("end"), F.substring(r["head"], F.lit(3), F.length(r["head"])).alias("kind")))
     return d.withColumn(out, spans).drop("__lab", "__brk")
 
 

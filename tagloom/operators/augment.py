@@ -39,16 +39,19 @@ def _pick(key: Column, k: Column, n: int, seed: int) -> Column:
 
 def _uniform(key: Column, k: Column, seed: int) -> Column:
     h = F.md5(F.concat(F.lit(f"{seed}:p:"), key.cast("string"), F.lit(":"), k.cast("string")))
-    return sp.hash_int(h) / F.lit(float(1 << 32))
+    return sp.hash_int(h) / F.lit(float(1 << 60))
 
 
 def with_entity_replaced(df: DataFrame, key: str = "id", text: str = "text", labels: str = "labels",
-                         p: float = 1.0, seed: int = SEED, kind: str = "BANK") -> DataFrame:
+                         p: float = 1.0, seed: int = SEED, kind: str = "BANK", choose=None) -> DataFrame:
     """Replace each ``kind`` mention by an alias drawn per mention.
 
     With probability ``p`` a mention (``B-X`` plus its ``I-X`` run) becomes the alias with
     labels ``B-X`` + ``I-X`` x (len-1) (D1/D2: labels always fit the new length); other
     characters and labels are copied.  Output columns ``new_text``, ``new_labels``.
+
+    F01: ``choose(mention, n)`` gives the replacement of the mention's text (n counts from 1) as a
+    column, for example another pool's pick; the default draws from the fixed lexicon.
     """
     pool = F.array(*[F.lit(a) for a in alias_pool()])
     d = bio.with_spans(df, labels, "__sp")
@@ -61,8 +64,8 @@ def with_entity_replaced(df: DataFrame, key: str = "id", text: str = "text", lab
         gap_t = F.substring(txt, prev_end + 1, s["start"] - prev_end)
         gap_l = F.slice(lab, prev_end + 1, s["start"] - prev_end)
         take = _uniform(k, g + 1, seed) < F.lit(p)
-        alias = F.element_at(pool, _pick(k, g + 1, len(alias_pool()), seed) + 1)
         old_t = F.substring(txt, s["start"] + 1, s["end"] - s["start"])
+        alias = choose(old_t, g + 1) if choose else F.element_at(pool, _pick(k, g + 1, len(alias_pool()), seed) + 1)
         old_l = F.slice(lab, s["start"] + 1, s["end"] - s["start"])
         new_l = F.concat(F.array(F.lit(f"B-{kind}")), F.array_repeat(F.lit(f"I-{kind}"), F.length(alias) - 1))
         return F.struct(F.concat(gap_t, F.when(take, alias).otherwise(old_t)).alias("t"),
@@ -71,7 +74,7 @@ def with_entity_replaced(df: DataFrame, key: str = "id", text: str = "text", lab
     pieces = bio._pinned(m, F.transform(m, piece))
     last_end = F.coalesce(F.try_element_at(m, F.lit(-1))["end"], F.lit(0))
     d = d.withColumn("__pc", F.when(F.size(m) > 0, pieces).otherwise(F.array()))
-    tail_t = F.substring(txt, last_end + 1, 1 << 30)
+    tail_t = F.substring(txt, last_end + 1, F.length(txt))
     tail_l = F.slice(lab, last_end + 1, F.greatest(n - last_end, F.lit(0)))
     new_t = F.concat(F.array_join(F.transform("__pc", lambda x: x["t"]), ""),
                      F.when(last_end < F.length(txt), tail_t).otherwise(F.lit("")))

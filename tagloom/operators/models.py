@@ -3,29 +3,37 @@
 Learning is aggregation: transition and emission counts for the tagger, token counts per
 class for the mood model, all with add-one smoothing.  Every count is a ``groupBy`` with
 map-side partial aggregation, so a hot token is combined inside each task before the
-shuffle.  The decoder is a per-window Viterbi fold written with native array functions.
+shuffle.  Fit, audit, score and decode use the whole text with one frame.
 
-Model sizes and how they travel:
+Scores are logarithms in millionths, as integers: sums are exact in any engine and order, so
+ties are real ties and go to the lowest label or class.
 
-* the transition model is at most 12 x 12 (a proven bound); its 144 parameters enter the
-  decode as literals (higher-order functions cannot hold subqueries), no cross join;
-* emission and mood models grow with the vocabulary, so they are joined on ``token``;
-  AQE broadcasts them only when their runtime size is under the threshold and otherwise
-  shuffles with skew-join splitting of hot tokens.
+Model sizes and how they travel: the transition model is at most 12 x 12 (a proven bound) and
+travels with the tasks; emission and mood models grow with the vocabulary and are looked up
+per distinct token of a row (``lookup.attach``).  Decoding is an Arrow function over whole
+texts, one numpy step per position for all texts of a batch.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.constants import ALL_LABELS, ENTITY_LABELS, EOS, FORBIDDEN, SOS
 from tagloom.functions import bio
+from tagloom.operators.lookup import attach
 
 N_TAG = len(ENTITY_LABELS)          # the decoder ranges over the 9 entity labels
 N_ALL = len(ALL_LABELS)
+MICRO = 1_000_000
+
+
+def micro(log: Column) -> Column:
+    return F.round(log * MICRO).cast("long")
 
 
 # ----------------------------------------------------------------------------------
@@ -45,149 +53,163 @@ def transition_pairs(spark) -> DataFrame:
                     F.element_at(names, F.pmod("id", F.lit(N_ALL)).cast("int") + 1).alias("to_label"))
 
 
-def framed_bigrams(win_labels: DataFrame, labels: str = "win_labels") -> DataFrame:
-    """Label bigrams of every framed window ([SOS] + labels + [EOS]) -> (from_label, to_label)."""
+def framed_bigrams(rows: DataFrame, labels: str = "token_labels", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Label bigrams of every framed text ([SOS] + labels + [EOS]) -> (keep.., pos, from_label, to_label)."""
     framed = F.concat(F.array(F.lit(SOS)), F.col(labels), F.array(F.lit(EOS)))
-    pairs = F.arrays_zip(F.slice(framed, 1, F.size(framed) - 1).alias("f"),
-                         F.slice(framed, 2, F.size(framed) - 1).alias("t"))
-    rows = bio.explode_rows(win_labels.select(pairs.alias("p")), "p", "b", [])
-    return rows.select(F.col("b.f").alias("from_label"), F.col("b.t").alias("to_label"))
+    f = rows.select(*keep, framed.alias("__f"))
+    pairs = F.arrays_zip(F.slice("__f", F.lit(1), F.size("__f") - 1).alias("f"), F.slice("__f", F.lit(2), F.size("__f") - 1).alias("t"))
+    out = f.select(*keep, F.posexplode_outer(pairs).alias("pos", "b")).where(F.col("b").isNotNull())
+    return out.select(*keep, F.col("pos").cast("long").alias("pos"), F.col("b.f").alias("from_label"), F.col("b.t").alias("to_label"))
 
 
-def fit_transitions(spark, win_labels: DataFrame) -> DataFrame:
+def fit_transitions(spark, rows: DataFrame) -> DataFrame:
     """M03 (transitions): log P(to | from) with add-one smoothing; forbidden pairs -100.
 
-    -> (from_label, to_label, n, score, allowed)
+    -> (from_label, to_label, n, score, allowed, micro)
     """
-    counts = framed_bigrams(win_labels).groupBy("from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
+    counts = framed_bigrams(rows).groupBy("from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
     pairs = transition_pairs(spark).join(counts, ["from_label", "to_label"], "left") \
         .withColumn("n", F.coalesce("n", F.lit(0)))
     tot = counts.groupBy("from_label").agg(F.sum("n").alias("n_from"))
     t = pairs.join(tot, "from_label", "left").withColumn("n_from", F.coalesce("n_from", F.lit(0)))
     ok = allowed(F.col("from_label"), F.col("to_label"))
     score = F.when(ok, F.log((F.col("n") + 1) / (F.col("n_from") + N_ALL))).otherwise(F.lit(FORBIDDEN))
-    return t.select("from_label", "to_label", "n", score.alias("score"), ok.alias("allowed"))
+    return t.select("from_label", "to_label", "n", score.alias("score"), ok.alias("allowed"), micro(score).alias("micro"))
 
 
-def transition_arrays(trans: DataFrame) -> Column:
-    """The fitted transitions as one literal struct: start[9], end[9], tr[9*9] (ids 0..8).
-
-    The table has at most 12 x 12 rows (a proven bound).  Higher-order functions cannot
-    contain subqueries, so these 144 parameters are read once and inlined as literals;
-    no data rows pass through the driver.
-    """
+def transition_arrays(trans: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start[9], tr[9][9], end[9] of the fitted transitions (at most 12 x 12 rows are read)."""
     idx = {n: i for i, n in enumerate(ALL_LABELS)}
-    cells = {(idx[r["from_label"]], idx[r["to_label"]]): float(r["score"])
-             for r in trans.select("from_label", "to_label", "score").collect()}
-    lit = lambda xs: F.array(*[F.lit(x).cast("double") for x in xs])
-    start = [cells.get((idx[SOS], j), FORBIDDEN) for j in range(N_TAG)]
-    end = [cells.get((i, idx[EOS]), FORBIDDEN) for i in range(N_TAG)]
-    tr = [cells.get((i, j), FORBIDDEN) for i in range(N_TAG) for j in range(N_TAG)]
-    return F.struct(lit(start).alias("start"), lit(end).alias("end"), lit(tr).alias("tr"))
+    cells = {(idx[r["from_label"]], idx[r["to_label"]]): r["micro"] for r in trans.select("from_label", "to_label", "micro").collect()}
+    full = np.array([[cells[i, j] for j in range(N_ALL)] for i in range(N_ALL)], np.int64)
+    return full[idx[SOS], :N_TAG], full[:N_TAG, :N_TAG], full[:N_TAG, idx[EOS]]
 
 
 # ----------------------------------------------------------------------------------
-# M03 (emissions) and the per-token score arrays
+# M03 (emissions)
 # ----------------------------------------------------------------------------------
-def token_label_rows(win_labels: DataFrame) -> DataFrame:
-    z = F.arrays_zip(F.col("win_tokens").alias("token"), F.col("win_labels").alias("label"))
-    rows = bio.explode_rows(win_labels.select(z.alias("z")), "z", "p", [])
-    return rows.select(F.col("p.token").alias("token"), F.col("p.label").alias("label"))
+def token_label_rows(rows: DataFrame) -> DataFrame:
+    z = F.arrays_zip(F.col("tokens").alias("token"), F.col("token_labels").alias("label"))
+    out = bio.explode_rows(rows.select(z.alias("z")), "z", "p", [])
+    return out.select(F.col("p.token").alias("token"), F.col("p.label").alias("label"))
 
 
-def fit_emissions(win_labels: DataFrame) -> DataFrame:
-    """M03 (emissions): log P(token | label), add-one over the training vocabulary.
+def fit_emissions(rows: DataFrame) -> DataFrame:
+    """M03 (emissions): log P(token | label), add-one over the training vocabulary of V tokens.
 
-    -> (label, token, n, logp); unseen (label, token) pairs score ``log(1/(N_label+V))``.
+    -> (label, token, n, logp, n_label, v); an unseen pair scores ``log(1 / (n_label + V))``.
     """
-    tl = token_label_rows(win_labels).filter(F.col("label").isin(*ENTITY_LABELS))
+    tl = token_label_rows(rows).filter(F.col("label").isin(*ENTITY_LABELS))
     counts = tl.groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
     v = counts.select("token").distinct().agg(F.count(F.lit(1))).scalar()
     per_label = counts.groupBy("label").agg(F.sum("n").alias("n_label"))
     return (counts.join(F.broadcast(per_label), "label")          # <= 9 rows: proven bound
             .select("label", "token", "n", F.log((F.col("n") + 1) / (F.col("n_label") + v)).alias("logp"),
-                    "n_label"))
+                    "n_label", v.alias("v")))
 
 
-def emission_vectors(emissions: DataFrame) -> tuple[DataFrame, Column]:
-    """(token, scores[9]) for seen tokens, and the default vector for unseen tokens.
+def emission_vectors(emissions: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(token, scores[9]) of seen tokens and the scores of an unseen one; a label that the
+    training never had counts 0, like any other count."""
+    totals = {r["label"]: r["n_label"] for r in emissions.groupBy("label").agg(F.max("n_label").alias("n_label")).collect()}
+    v = emissions.agg(F.max("v")).first()[0] or 1
+    unseen = [int(math.floor(math.log(1.0 / (totals.get(n, 0) + v)) * MICRO + 0.5)) for n in ENTITY_LABELS]
+    cells = [F.coalesce(F.max(F.when(F.col("label") == n, micro(F.col("logp")))), F.lit(u)) for n, u in zip(ENTITY_LABELS, unseen)]
+    return emissions.groupBy("token").agg(F.array(*cells).alias("scores")), np.array(unseen, np.int64)
 
-    The default vector has one value per entity label (9, a proven bound) and is
-    inlined as a literal; the per-token vectors stay a distributed table.
-    """
-    names = F.array(*[F.lit(n) for n in ENTITY_LABELS])
-    v = emissions.select("token").distinct().count()
-    n_label = {r["label"]: r["n_label"] for r in emissions.select("label", "n_label").distinct().collect()}
-    dvals = [math.log(1.0 / (n_label[n] + v)) if n in n_label else math.log(1e-12) for n in ENTITY_LABELS]
-    dflt = F.array(*[F.lit(x).cast("double") for x in dvals])
-    per_tok = emissions.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("label", "logp")))
-                                             .alias("m"))
-    raw = F.transform(names, lambda n: F.element_at(F.col("m"), n))
-    vec = per_tok.select("token", F.zip_with(raw, dflt, lambda a, d: F.coalesce(a, d)).alias("scores"))
-    return vec, dflt
-
-
-def window_emissions(windows: DataFrame, vec: DataFrame, dflt: Column, keys: list[str]) -> DataFrame:
-    """Per window: emissions[pos][9] looked up by token (join on token, regroup by window)."""
-    rows = bio.explode_rows(windows.select(*keys, "win_tokens"), "win_tokens", "token", keys, pos="pos")
-    j = rows.join(vec, "token", "left").withColumn("scores", F.coalesce("scores", dflt))
-    g = j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "scores"))).alias("e"))
-    return g.select(*keys, F.transform("e", lambda x: x["scores"]).alias("emissions"))
+
+def with_emissions(rows: DataFrame, vec: DataFrame) -> DataFrame:
+    """``rows`` plus ``emissions``: the score vectors of the distinct known tokens."""
+    return attach(rows, F.col("tokens"), vec, "token", ["scores"], "emissions")
+
+
+def emission_matrix(tokens, hits, unseen: np.ndarray) -> np.ndarray:
+    """[positions, 9] scores of one text."""
+    of = {} if hits is None else {x["token"]: x["scores"] for x in hits}
+    return np.array([of.get(t, unseen) for t in tokens], np.int64).reshape(-1, N_TAG)
 
 
 # ----------------------------------------------------------------------------------
-# Constrained Viterbi decode (per window, native fold)
+# Constrained Viterbi decode; M05: path score; M08: per-token argmax
 # ----------------------------------------------------------------------------------
-def viterbi(emissions: Column, model: Column) -> Column:
-    """Best label-id path (0..8) of one window under emissions + transitions.
+def viterbi(mats: list[np.ndarray], start: np.ndarray, tr: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Best label-id path of every text; one step per position for all texts still running.
 
-    Ties take the lowest label id (first maximum), in every step and at the end.  The
-    candidate vector of a label is rebuilt for max and argmax: measured faster than
-    one fused max/argmax pass, whose per-candidate structs dominate in interpreted lambdas.
+    Ties take the lowest label id, in every step and at the end.
     """
-    labs = F.sequence(F.lit(0), F.lit(N_TAG - 1))
-    tr = model["tr"]
-    s0 = F.zip_with(model["start"], F.element_at(emissions, 1), lambda a, b: a + b)
-    acc0 = F.struct(s0.alias("s"), F.expr("cast(array() as array<array<int>>)").alias("bp"))
-
-    def step(acc, e):
-        cand = lambda j: F.transform(labs, lambda i: F.element_at(acc["s"], i + 1)
-                                     + F.element_at(tr, i * N_TAG + j + 1))
-        best = F.transform(labs, lambda j: F.array_max(cand(j)))
-        arg = F.transform(labs, lambda j: (F.array_position(cand(j), F.array_max(cand(j))) - 1).cast("int"))
-        return F.struct(F.zip_with(best, e, lambda a, b: a + b).alias("s"),
-                        F.concat(acc["bp"], F.array(arg)).alias("bp"))
-
-    def finish(acc):
-        fin = F.zip_with(acc["s"], model["end"], lambda a, b: a + b)
-        last = (F.array_position(fin, F.array_max(fin)) - 1).cast("int")
-        # backtrack: walk the back-pointer rows from the end, prepending one label per row
-        return F.aggregate(F.reverse(acc["bp"]), F.array(last),
-                           lambda p, row: F.concat(F.array(F.element_at(row, F.element_at(p, 1) + 1)), p))
-
-    rest = F.slice(emissions, 2, F.greatest(F.size(emissions) - 1, F.lit(0)))
-    return F.when(F.size(emissions) == 0, F.expr("cast(array() as array<int>)")).otherwise(
-        F.aggregate(rest, acc0, step, finish))
-
-
-def path_score(emissions: Column, path_ids: Column, model: Column) -> Column:
-    """Score of a given label path (gold path): start + emissions + transitions + end."""
-    n = F.size(path_ids)
-    em = F.aggregate(F.arrays_zip(emissions.alias("e"), path_ids.alias("y")), F.lit(0.0),
-                     lambda a, p: a + F.element_at(p["e"], p["y"] + 1))
-    pairs = F.arrays_zip(F.slice(path_ids, 1, n - 1).alias("a"), F.slice(path_ids, 2, n - 1).alias("b"))
-    trs = F.aggregate(pairs, F.lit(0.0),
-                      lambda a, p: a + F.element_at(model["tr"], p["a"] * N_TAG + p["b"] + 1))
-    st = F.element_at(model["start"], F.element_at(path_ids, 1) + 1)
-    en = F.element_at(model["end"], F.element_at(path_ids, -1) + 1)
-    return F.when(n == 0, F.lit(0.0)).otherwise(st + em + trs + en)
+    n = np.array([len(m) for m in mats], np.int64)
+    order = np.argsort(-n, kind="stable")
+    length = n[order]
+    live = int((length > 0).sum())
+    if not live:
+        return [np.empty(0, np.int64) for _ in mats]
+    flat = np.concatenate([mats[i] for i in order[:live]])
+    at = np.concatenate([[0], np.cumsum(length[:live])[:-1]])
+    score = start + flat[at]
+    back = []
+    for t in range(1, int(length[0])):
+        a = int(np.searchsorted(-length[:live], -t, "left"))      # texts longer than t
+        cand = score[:a, :, None] + tr
+        back.append(cand.argmax(1).astype(np.int8))
+        score[:a] = cand.max(1) + flat[at[:a] + t]
+    cur = (score + end).argmax(1)
+    paths = np.empty(len(flat), np.int64)
+    for t in range(int(length[0]) - 1, 0, -1):
+        a = len(back[t - 1])
+        paths[at[:a] + t] = cur[:a]
+        cur[:a] = back[t - 1][np.arange(a), cur[:a]]
+    paths[at] = cur
+    out = [np.empty(0, np.int64)] * len(mats)
+    for k, i in enumerate(order[:live]):
+        out[i] = paths[at[k]:at[k] + length[k]]
+    return out
+
+
+def decode(rows: DataFrame, trans: DataFrame, emis: DataFrame, out: str = "path") -> DataFrame:
+    """Add the best label-id path of each row's ``tokens`` under emissions and transitions."""
+    vec, unseen = emission_vectors(emis)
+    start, tr, end = transition_arrays(trans)
+
+    @F.pandas_udf("array<int>")
+    def path(tokens: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series(viterbi([emission_matrix(t, h, unseen) for t, h in zip(tokens, hits)], start, tr, end))
+
+    return with_emissions(rows, vec).withColumn(out, path("tokens", "emissions")).drop("emissions")
+
+
+def argmax_tags(rows: DataFrame, emis: DataFrame, out: str = "path") -> DataFrame:
+    """M08, unconstrained: the label with the best emission score at every position."""
+    vec, unseen = emission_vectors(emis)
+
+    @F.pandas_udf("array<int>")
+    def path(tokens: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([emission_matrix(t, h, unseen).argmax(1) for t, h in zip(tokens, hits)])
+
+    return with_emissions(rows, vec).withColumn(out, path("tokens", "emissions")).drop("emissions")
+
+
+def path_scores(rows: DataFrame, trans: DataFrame, emis: DataFrame, ids: str, out: str = "score") -> DataFrame:
+    """Add the score (millionths) of each row's own label path; an empty text scores 0."""
+    vec, unseen = emission_vectors(emis)
+    start, tr, end = transition_arrays(trans)
+
+    @F.pandas_udf("long")
+    def score(tokens: pd.Series, hits: pd.Series, path: pd.Series) -> pd.Series:
+        got = []
+        for t, h, p in zip(tokens, hits, path):
+            p = np.asarray(p, np.int64)
+            e = emission_matrix(t, h, unseen)
+            got.append(int(start[p[0]] + e[np.arange(len(p)), p].sum() + tr[p[:-1], p[1:]].sum() + end[p[-1]]) if len(p) else 0)
+        return pd.Series(got)
+
+    return with_emissions(rows, vec).withColumn(out, score("tokens", "emissions", ids)).drop("emissions")
 
 
 # ----------------------------------------------------------------------------------
 # Multinomial naive Bayes over tokens
 # ----------------------------------------------------------------------------------
 def fit_mood(docs: DataFrame, tokens: str = "tokens", cls: str = "class") -> tuple[DataFrame, DataFrame]:
-    """(class, token, n, logp) and priors (class, n_docs, prior)."""
+    """(class, token, n, logp) and priors (class, n_docs, prior, n_class, v)."""
     rows = bio.explode_rows(docs.select(cls, tokens), tokens, "token", [cls])
     counts = rows.groupBy(cls, "token").agg(F.count(F.lit(1)).alias("n"))
     v = counts.select("token").distinct().agg(F.count(F.lit(1))).scalar()
@@ -201,24 +223,28 @@ def fit_mood(docs: DataFrame, tokens: str = "tokens", cls: str = "class") -> tup
     return model, priors.join(per_class, cls)
 
 
-def predict_mood(docs: DataFrame, model: DataFrame, priors: DataFrame, key: str = "id",
-                 tokens: str = "tokens", cls: str = "class") -> DataFrame:
-    """Argmax over classes of prior + sum of token log-likelihoods; ties -> lowest class.
+def predict_mood(docs: DataFrame, model: DataFrame, priors: DataFrame, tokens: str = "tokens", cls: str = "class",
+                 out: str = "pred") -> DataFrame:
+    """``docs`` plus the argmax over classes of prior + token log-likelihoods; ties: lowest class.
 
     Tokens never seen in training are ignored; a seen token missing for a class scores
-    ``log(1/(N_class+V))``.  The per-document sum is partially aggregated in each task.
+    ``log(1 / (N_class + V))``.  The tokens are looked up once per text and row.
     """
     classes = [0, 1, 2]
-    pr = priors.select(cls, "prior", (F.log(F.lit(1.0) / (F.col("n_class") + F.col("v")))).alias("dflt"))
-    prior = {c: pr.filter(F.col(cls) == c).agg(F.max("prior")).scalar() for c in classes}
-    dflt = {c: pr.filter(F.col(cls) == c).agg(F.max("dflt")).scalar() for c in classes}
-    wide = model.groupBy("token").agg(*[F.max(F.when(F.col(cls) == c, F.col("logp"))).alias(f"l{c}")
-                                        for c in classes])
-    rows = bio.explode_rows(docs.select(key, tokens), tokens, "token", [key])
-    j = rows.join(wide, "token", "inner")
-    sums = j.groupBy(key).agg(*[F.sum(F.coalesce(F.col(f"l{c}"), F.lit(0.0))).alias(f"s{c}") for c in classes],
-                              *[F.count(F.when(F.col(f"l{c}").isNull(), 1)).alias(f"m{c}") for c in classes])
-    allk = docs.select(key).join(sums, key, "left")
-    scores = F.array(*[F.coalesce(F.col(f"s{c}"), F.lit(0.0)) + F.coalesce(F.col(f"m{c}"), F.lit(0)) * dflt[c]
-                       + prior[c] for c in classes])
-    return allk.select(key, (F.array_position(scores, F.array_max(scores)) - 1).cast("int").alias(cls))
+    p = {r[cls]: r for r in priors.select(cls, micro(F.col("prior")).alias("prior"),
+                                          micro(F.log(F.lit(1.0) / (F.col("n_class") + F.col("v")))).alias("unseen")).collect()}
+    never = -(1 << 60)                                              # a class without training texts
+    wide = model.groupBy("token").agg(F.array(*[F.coalesce(F.max(F.when(F.col(cls) == c, micro(F.col("logp")))),
+                                                            F.lit(p[c]["unseen"] if c in p else 0)) for c in classes]).alias("scores"))
+    prior = np.array([p[c]["prior"] if c in p else never for c in classes], np.int64)
+
+    @F.pandas_udf("int")
+    def best(rows: pd.Series, hits: pd.Series) -> pd.Series:
+        got = []
+        for t, h in zip(rows, hits):
+            of = {} if h is None else {x["token"]: x["scores"] for x in h}
+            known = [of[x] for x in t if x in of]
+            got.append(int((prior + (np.array(known, np.int64).sum(0) if known else 0)).argmax()))
+        return pd.Series(got)
+
+    return attach(docs, F.col(tokens), wide, "token", ["scores"], "__mood").withColumn(out, best(tokens, "__mood")).drop("__mood")

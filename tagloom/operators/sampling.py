@@ -23,8 +23,8 @@ def hash_key(key, seed: int | str = SEED) -> "F.Column":
 
 
 def hash_int(h) -> "F.Column":
-    """First 32 bits of a hex md5 as a non-negative long."""
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+    """First 60 bits of a hex md5 as a non-negative long."""
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
 
 
 def split_90_10(df: DataFrame, key: str = "id", seed: int = SEED) -> DataFrame:
@@ -63,19 +63,21 @@ def sample_with_replacement(df: DataFrame, key: str = "id", factor: int = 2, see
     Each row spawns ``factor`` draw numbers, so the draws are generated where the data is
     (no driver-side count or range); draw d picks row ``hash(seed, d) mod N`` through an
     equi-join on the dense index.  A row is picked about ``factor`` times on average, so
-    the join has no hot key.
+    the join has no hot key.  Only keys (which must be unique) are ranked and drawn; the rows
+    are joined last.
     """
-    ranked = dense_rank_by_hash(df.withColumn("__h", hash_key(key, seed)), "__h", key)
+    ranked = dense_rank_by_hash(df.select(key).withColumn("__h", hash_key(key, seed)), "__h", key)
     n = df.agg(F.count(F.lit(1))).scalar()
     draws = ranked.select(F.explode(F.sequence(F.col("idx") * factor, F.col("idx") * factor + factor - 1))
                           .alias("draw"))
     draws = draws.withColumn("pick", F.pmod(hash_int(F.md5(F.concat(
         F.lit(f"{seed}:draw:"), F.col("draw").cast("string")))), n))
-    return draws.join(ranked.drop("__h"), draws["pick"] == ranked["idx"]).drop("pick", "idx")
+    drawn = draws.join(ranked.drop("__h"), draws["pick"] == ranked["idx"]).select("draw", key)
+    return drawn if df.columns == [key] else drawn.join(df, key).select("draw", *df.columns)
 
 
 def batches(df: DataFrame, key: str = "id", split: str = "split", size: int = BATCH_SIZE,
             seed: int = SEED + 1) -> DataFrame:
     """Shuffled batches of ``size`` within each split; only the last one is partial."""
     ranked = dense_rank_by_hash(df.withColumn("__h", hash_key(key, seed)), "__h", key, group=[split])
-    return ranked.withColumn("batch_id", (F.col("idx") / F.lit(size)).cast("long")).drop("__h", "idx")
+    return ranked.withColumn("batch_id", (F.col("idx") / F.lit(size)).cast("long")).drop("__h")

@@ -1,6 +1,6 @@
 """Vocabulary mining (T10/A07), the vocabulary table (S06) and corpus tokenization.
 
-Tokenizer contract (a table job, not a per-row library):
+Tokenizer contract (a table job):
 
 * pieces are maximal ASCII-letter runs, digit runs, or any other single non-blank
   character; the ASCII blank U+0020 separates pieces and is dropped;
@@ -10,54 +10,54 @@ Tokenizer contract (a table job, not a per-row library):
 * the whole text is tokenized; fixed-length encodings are cut into consecutive
   windows of ``MAX_SEQ_LEN - 2`` tokens (see ``encode_windows``), so no text is cut.
 
-Token ids: ``[PAD]`` 0, ``[UNK]`` 100, ``[CLS]`` 101, ``[SEP]`` 102; a one-character
-token gets ``1000 + code point``; a longer token gets ``2000000 + (first 28 bits of
-md5)``.  Ids are computable in any engine without a global dictionary build.
-
-Only the pieces that need the vocabulary (letter runs) go through the join; the join
-side is the distinct vocabulary, so AQE broadcasts it when its runtime size is under the
-threshold and otherwise shuffles both sides on the word, splitting hot words
-(skew join) instead of sending them to one task.
+The text stays in its row: only the distinct letter runs of each row are looked up in the
+vocabulary (``lookup.attach``), and an Arrow function cuts the text with the row's own known
+words.  Token ids: ``[PAD]`` 0, ``[UNK]`` 100, ``[CLS]`` 101, ``[SEP]`` 102; a one-character
+token gets ``1000 + code point``; a longer one ``2000000`` plus its rank among the corpus's
+longer tokens, so an id names one token.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.constants import MAX_SEQ_LEN, added_vocab
+from tagloom.operators import sampling as sp
+from tagloom.operators.lookup import attach
 
 PIECE_RE = r"[A-Za-z]+|[0-9]+|[^ ]"
-# One word per match.  The blank-joined multi-word run ``[A-Za-z]+(?: [A-Za-z]+)*`` gives the
-# same distinct words after splitting, but Java's regex recurses per repetition of the group
-# and overflows the stack on long texts; single runs are linear.
-LATIN_RUN_RE = r"[A-Za-z]+"
-OTHER_BLANK_RE = r"^[\t\n\x0B\f\r]$"
+WORD_RE = r"[A-Za-z]++"
+# blank-joined words; possessive, so that Java's matcher does not recurse on long texts
+LATIN_RUN_RE = r"[A-Za-z]++(?: [A-Za-z]++)*+"
+OTHER_BLANKS = "\t\n\x0b\f\r"
 PAD_TOKEN_ID, UNK_TOKEN_ID, CLS_TOKEN_ID, SEP_TOKEN_ID = 0, 100, 101, 102
+FIRST_LONG_ID = 2000000
 
 
 def mined_words(reviews: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct blank-split words of the Latin runs of a corpus -> (word)."""
-    runs = reviews.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(LATIN_RUN_RE), 0))
-                          .alias("word"))
+    runs = reviews.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(WORD_RE), 0)).alias("word"))
     return runs.distinct()
 
 
 def latin_run_trace(reviews: DataFrame) -> DataFrame:
-    """T10 trace: every Latin run of a row with its label slice (id, k, run, labels).
+    """T10 trace: every blank-joined Latin run of a row with its label slice (id, k, run, labels).
 
     A run's label slice is read from the character labels at the run's offset, so a
     slice may start with ``I-`` (mention began earlier) or change inside the run.
     """
-    from tagloom.functions import bio
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(LATIN_RUN_RE + "|[^A-Za-z]+"), 0)
-    lens = F.transform(pieces, lambda p: F.length(p))
-    z = F.arrays_zip(pieces.alias("p"), bio.exclusive_prefix(lens).alias("o"))
-    runs = F.filter(z, lambda e: e["p"].rlike("^[A-Za-z]"))
-    return (reviews.select("id", "BIO_anno", F.posexplode(runs).alias("k", "r"))
-            .select("id", F.col("k").cast("long").alias("k"), F.col("r.p").alias("run"),
-                    F.array_join(F.slice(bio.bio_split("BIO_anno"), F.col("r.o") + 1,
-                                         F.length(F.col("r.p"))), " ").alias("labels")))
+    @F.pandas_udf("array<struct<run:string,labels:string>>")
+    def runs(text: pd.Series, labels: pd.Series) -> pd.Series:
+        pattern = re.compile(r"[A-Za-z]+(?: [A-Za-z]+)*")
+        return pd.Series([[{"run": m[0], "labels": " ".join(lab.split()[m.start():m.end()])} for m in pattern.finditer(t)]
+                          if t is not None else None for t, lab in zip(text, labels)])
+
+    return (reviews.select("id", F.posexplode(runs("text", "BIO_anno")).alias("k", "r"))
+            .select("id", F.col("k").cast("long").alias("k"), F.col("r.run").alias("run"), F.col("r.labels").alias("labels")))
 
 
 def fixed_vocab(spark: SparkSession) -> DataFrame:
@@ -70,55 +70,69 @@ def read_line_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, reviews: DataFrame) -> DataFrame:
-    """Tokenizer vocabulary: the fixed added words plus the words mined from the corpus."""
+    """Tokenizer vocabulary: the fixed added words plus the words mined from ``reviews``."""
     fixed = F.explode(F.split(F.col("word"), " ")).alias("word")
     return fixed_vocab(spark).select(fixed).unionByName(mined_words(reviews)).distinct()
 
 
-def _piece_tokens(piece, known) -> "F.Column":
-    is_run = piece.rlike("^[A-Za-z]+$")
-    split_run = F.array(F.substring(piece, 1, 1), F.concat(F.lit("##"), F.substring(piece, 2, 1 << 20)))
-    return (F.when(is_run & known.isNull() & (F.length(piece) >= 2), split_run)
-            .when(piece.rlike(OTHER_BLANK_RE), F.array(F.lit("[UNK]")))
-            .otherwise(F.array(piece)))
-
-
-def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text", key: str = "id") -> DataFrame:
-    """Add ``tokens`` (array<string>, the whole text) to every row of ``df``."""
-    exploded = df.select(key, F.posexplode_outer(
-        F.regexp_extract_all(F.col(text_col), F.lit(PIECE_RE), 0)).alias("k", "piece"))
-    runs = exploded.filter(F.col("piece").rlike("^[A-Za-z]{2,}$"))
-    v = vocab.select(F.col("word").alias("piece"), F.lit(True).alias("known"))
-    looked = runs.join(v, "piece", "left")
-    rest = exploded.filter(~F.col("piece").rlike("^[A-Za-z]{2,}$") | F.col("piece").isNull()) \
-        .withColumn("known", F.lit(None).cast("boolean"))
-    both = looked.select(key, "k", "piece", "known").unionByName(rest.select(key, "k", "piece", "known"))
-    per_row = (both.groupBy(key)
-               .agg(F.array_sort(F.collect_list(F.struct(
-                   "k", _piece_tokens(F.col("piece"), F.col("known")).alias("t")))).alias("ts")))
-    toks = per_row.select(key, F.flatten(F.transform(
-        F.filter("ts", lambda e: e["k"].isNotNull()), lambda e: e["t"])).alias("tokens"))
-    return df.join(toks, key, "inner")
-
-
-def token_id(tok) -> "F.Column":
-    return (F.when(tok == "[UNK]", F.lit(UNK_TOKEN_ID))
-            .when(F.length(tok) == 1, F.lit(1000) + F.ascii(tok))
-            .otherwise(F.lit(2000000) + F.conv(F.substring(F.md5(tok), 1, 7), 16, 10).cast("int")))
-
-
-def encode_windows(df: DataFrame, tokens: str = "tokens", key: str = "id") -> DataFrame:
-    """One row per window of ``MAX_SEQ_LEN - 2`` tokens: (key, win, win_tokens)."""
+def cut(text: str, known) -> list[str]:
+    """Tokens of one text, given the known words among its letter runs."""
+    out = []
+    for piece in re.findall(PIECE_RE, text):
+        if len(piece) > 1 and piece[0].isalpha() and piece not in known:
+            out += [piece[0], "##" + piece[1:]]
+        else:
+            out.append("[UNK]" if piece in OTHER_BLANKS else piece)
+    return out
+
+
+def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``tokens`` (array<string>, the whole text; null text: null) to every row of ``df``."""
+    @F.pandas_udf("array<string>")
+    def tokens(text: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut(t, set() if k is None else set(k)) for t, k in zip(text, known)])
+
+    words = F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z]{2,}+"), 0)
+    found = attach(df, words, vocab, "word", [], "__known")
+    known = F.transform("__known", lambda x: x["word"])
+    return found.withColumn("tokens", tokens(F.col(text_col), known)).drop("__known")
+
+
+def token_ids(tokenized: DataFrame) -> DataFrame:
+    """Add ``ids`` to rows with ``tokens``; longer tokens are numbered over the whole table."""
+    long = (tokenized.select(F.explode_outer(F.array_distinct("tokens")).alias("token"))
+            .where((F.length("token") > 1) & (F.col("token") != "[UNK]")).distinct())
+    ranked = sp.dense_rank_by_hash(long.withColumn("__h", F.md5("token")), "__h", "token", out="rank")
+    table = ranked.select("token", (F.col("rank") + FIRST_LONG_ID).alias("tid"))
+
+    @F.pandas_udf("array<long>")
+    def ids(tokens: pd.Series, hits: pd.Series) -> pd.Series:
+        out = []
+        for row, found in zip(tokens, hits):
+            of = {} if found is None else {x["token"]: x["tid"] for x in found}
+            out.append(None if row is None else [UNK_TOKEN_ID if t == "[UNK]" else of[t] if len(t) > 1 else 1000 + ord(t) for t in row])
+        return pd.Series(out)
+
+    found = attach(tokenized, F.col("tokens"), table, "token", ["tid"], "__ids")
+    return found.withColumn("ids", ids("tokens", "__ids")).drop("__ids")
+
+
+def encode_windows(df: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """One row per window of ``MAX_SEQ_LEN - 2`` positions: (key, win, win_<column>...)."""
     from tagloom.functions import bio
-    return bio.explode_rows(df, bio.windows(tokens), "win_tokens", [key], pos="win")
-
-
-def encode(tokens, length: int = MAX_SEQ_LEN):
-    """Fixed-length encoding of one window: input_ids, attention_mask, token_type_ids."""
-    ids = F.transform(tokens, token_id)
-    framed = F.concat(F.array(F.lit(CLS_TOKEN_ID)), ids, F.array(F.lit(SEP_TOKEN_ID)))
-    pad = F.array_repeat(F.lit(PAD_TOKEN_ID), F.lit(length) - F.size(framed))
-    input_ids = F.concat(framed, pad)
-    mask = F.concat(F.array_repeat(F.lit(1), F.size(framed)), F.array_repeat(F.lit(0), F.lit(length) - F.size(framed)))
-    types = F.array_repeat(F.lit(0), F.lit(length))
-    return input_ids, mask, types
+    n = F.greatest(F.lit(1), F.ceil(F.size(columns[0]) / bio.WINDOW).cast("int"))
+    rows = df.select(key, *columns, F.explode(F.sequence(F.lit(0), n - 1)).alias("win"))
+    return rows.select(key, F.col("win").cast("long").alias("win"),
+                       *[F.slice(c, F.col("win") * bio.WINDOW + 1, F.lit(bio.WINDOW)).alias(f"win_{c}") for c in columns])
+
+
+def attention_mask(n, length: int = MAX_SEQ_LEN):
+    """1 for ``n`` tokens and their frame, 0 for padding."""
+    return F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), F.lit(length - 2) - n))
+
+
+def encode(ids, length: int = MAX_SEQ_LEN):
+    """Fixed-length encoding of one window of token ids: input_ids, attention_mask, token_type_ids."""
+    framed = F.concat(F.array(F.lit(CLS_TOKEN_ID).cast("long")), ids, F.array(F.lit(SEP_TOKEN_ID).cast("long")))
+    pad = F.array_repeat(F.lit(PAD_TOKEN_ID).cast("long"), F.lit(length) - F.size(framed))
+    return F.concat(framed, pad), attention_mask(F.size(ids), length), F.array_repeat(F.lit(0), F.lit(length))

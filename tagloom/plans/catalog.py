@@ -97,20 +97,26 @@ def _null_join(arr, sep=" "):
     return F.array_join(arr, sep, "∅")
 
 
+def train_reviews(spark, sf_dir):
+    """The train part of the training corpus: what the vocabulary and the models learn from."""
+    return sp.split_90_10(driver.reviews(spark, sf_dir)).where("split = 'train'")
+
+
+def vocabulary(spark, sf_dir):
+    """The tokenizer vocabulary, mined from the train part and written once per plan."""
+    return materialize(tk.vocabulary(spark, train_reviews(spark, sf_dir)), "vocab")
+
+
 def tokenized_reviews(spark, sf_dir, vocab=None):
     """Training corpus with labels, tokens and token labels (T03 + T04)."""
-    r = _labels(driver.reviews(spark, sf_dir))
-    t = tk.tokenize(r, vocab if vocab is not None else tk.vocabulary(spark, r))
+    t = tk.tokenize(_labels(driver.reviews(spark, sf_dir)), vocab if vocab is not None else vocabulary(spark, sf_dir))
     return bio.with_aligned(t, "text", "labels", "tokens", "token_labels")
 
 
 def label_windows(spark, sf_dir):
     """Token-label ids of the training corpus, one row per 198-token window."""
     t = tokenized_reviews(spark, sf_dir).withColumn("ids", bio.label_encode("token_labels"))
-    t = t.withColumn("tw", bio.windows("tokens"))
-    w = bio.explode_rows(t, bio.windows("ids"), "win_ids", ["id", "tw"], pos="win")
-    return w.select("id", F.col("win").cast("long").alias("win"), "win_ids",
-                    F.element_at("tw", F.col("win") + 1).alias("win_tokens"))
+    return tk.encode_windows(t, ["ids"])
 
 
 @query("vocab_mining")
@@ -120,17 +126,20 @@ def vocab_mining(spark, sf_dir):
 
 @query("vocab_list")
 def vocab_list(spark, sf_dir):
-    return tk.vocabulary(spark, driver.reviews(spark, sf_dir))
+    return tk.vocabulary(spark, train_reviews(spark, sf_dir))
+
+
+@query("vocab_trace")
+def vocab_trace(spark, sf_dir):
+    return tk.latin_run_trace(driver.reviews(spark, sf_dir))
 
 
 @query("tokenize_corpus")
 def tokenize_corpus(spark, sf_dir):
-    docs = driver.documents(spark, sf_dir)
-    vocab = tk.vocabulary(spark, driver.reviews(spark, sf_dir))
-    w = tk.encode_windows(tk.tokenize(docs, vocab))
-    ids, mask, _types = tk.encode(F.col("win_tokens"))
-    return w.select("id", F.col("win").cast("long").alias("win"),
-                    F.size("win_tokens").alias("n_tokens"),
+    t = tk.token_ids(materialize(tk.tokenize(driver.documents(spark, sf_dir), vocabulary(spark, sf_dir)), "tokens"))
+    w = tk.encode_windows(t, ["tokens", "ids"])
+    ids, mask, _types = tk.encode(F.col("win_ids"))
+    return w.select("id", "win", F.size("win_tokens").alias("n_tokens"),
                     F.array_join("win_tokens", " ").alias("tokens"),
                     F.array_join(ids, ",").alias("input_ids"),
                     F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("n_attended"))
@@ -184,8 +193,7 @@ def frame_pad(spark, sf_dir):
 @query("mask_positions")
 def mask_positions(spark, sf_dir):
     w = label_windows(spark, sf_dir)
-    _ids, mask, _ = tk.encode(F.col("win_tokens"))
-    valid = bio.mask_positions(bio.frame_pad(F.col("win_ids")), mask)
+    valid = bio.mask_positions(bio.frame_pad(F.col("win_ids")), tk.attention_mask(F.size("win_ids")))
     return w.select("id", "win", F.size(valid).alias("n_valid"), F.array_join(valid, ",").alias("valid_ids"))
 
 
@@ -198,9 +206,7 @@ def strip_frame(spark, sf_dir):
 
 @query("normalise_text")
 def normalise_text(spark, sf_dir):
-    docs = driver.documents(spark, sf_dir)
-    vocab = tk.vocabulary(spark, driver.reviews(spark, sf_dir))
-    t = tk.tokenize(docs, vocab)
+    t = tk.tokenize(driver.documents(spark, sf_dir), vocabulary(spark, sf_dir))
     detok = F.replace(F.array_join("tokens", " "), F.lit(" ##"), F.lit(""))
     return t.select("id", bio.normalise_text(detok).alias("normalised"))
 
@@ -212,7 +218,8 @@ from tagloom.operators import corpus as cp  # noqa: E402
 from tagloom.operators import metrics as mt  # noqa: E402
 from tagloom.operators import sampling as sp  # noqa: E402
 
-SAMPLE_N = 1000
+SAMPLE_N = 50
+HEAD_N = 40
 
 
 @query("scan_aux")
@@ -245,6 +252,18 @@ def corpus_union(spark, sf_dir):
     return _full_corpus(spark, sf_dir).select("id", "oid", "text", "class", "type")
 
 
+@query("corpus_no_origin")
+def corpus_no_origin(spark, sf_dir):
+    """G04 with the origin rows switched off: the schema-only seed (S03) opens the union."""
+    return cp.mood_corpus(spark, sf_dir, with_origin=False, with_gpt=True, with_ext=True).select("id", "text", "class", "type")
+
+
+@query("corpus_marked")
+def corpus_marked(spark, sf_dir):
+    """G04 with marked origin texts (T02) and generated rows."""
+    return cp.mood_corpus(spark, sf_dir, with_gpt=True, mark=True).select("id", "text", "class", "type")
+
+
 @query("class_strict")
 def class_strict(spark, sf_dir):
     return _full_corpus(spark, sf_dir).groupBy("type", "class").agg(F.count(F.lit(1)).alias("n"))
@@ -286,7 +305,7 @@ def dataset_sizes(spark, sf_dir):
 
 @query("debug_head")
 def debug_head(spark, sf_dir):
-    return sp.debug_head(driver.reviews(spark, sf_dir).select("id", "class"))
+    return sp.debug_head(driver.reviews(spark, sf_dir).select("id", "class"), HEAD_N)
 
 
 @query("sample_n")
@@ -307,11 +326,11 @@ def batching(spark, sf_dir):
 @query("flatten_preds")
 def flatten_preds(spark, sf_dir):
     t = tokenized_reviews(spark, sf_dir).select("id", bio.label_encode("token_labels").alias("ids"))
-    b = sp.batches(sp.split_90_10(t))
-    g = b.groupBy("split", "batch_id").agg(F.collect_list("ids").alias("rows"))
-    flat = F.flatten("rows")
-    return g.select("split", "batch_id", F.size(flat).alias("n_positions"),
-                    F.size(F.filter(flat, lambda x: x != 8)).alias("n_entity_positions"))
+    b = sp.batches(sp.split_90_10(t)).select("split", "batch_id", F.struct("idx", "ids").alias("r"))
+    # a batch is at most 40 texts
+    g = b.groupBy("split", "batch_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    flat = F.flatten(F.transform("rows", lambda r: r["ids"]))
+    return g.select("split", "batch_id", F.size(flat).alias("n_positions"), F.array_join(flat, ",").alias("flat"))
 
 
 def _epochs(spark, sf_dir):
@@ -349,173 +368,158 @@ def argmax_class(spark, sf_dir):
 # count models: transitions, audit, fit, decode, path score, mood model, submission
 # ---------------------------------------------------------------------------------
 from tagloom.operators import models as md  # noqa: E402
-from tagloom.session import materialize  # noqa: E402
+from tagloom.session import materialize, scratch_path  # noqa: E402
 
 
-def train_windows(spark, sf_dir, vocab=None):
-    """Training windows (id, win, win_tokens, win_labels) of the 0.9 train split."""
-    t = sp.split_90_10(tokenized_reviews(spark, sf_dir, vocab))
-    t = t.withColumn("tw", bio.windows("tokens"))
-    w = bio.explode_rows(t, bio.windows("token_labels"), "win_labels", ["id", "split", "tw"], pos="win")
-    return w.select("id", "split", F.col("win").cast("long").alias("win"),
-                    F.element_at("tw", F.col("win") + 1).alias("win_tokens"), "win_labels")
+def _tagger(spark, sf_dir, vocab=None):
+    """(tokenized training corpus with splits, transitions, emissions); each computed once."""
+    t = tokenized_reviews(spark, sf_dir, vocab).select("id", "text", "class", "tokens", "token_labels")
+    t = materialize(sp.split_90_10(t), "labelled_tokens")
+    train = t.filter(F.col("split") == "train")
+    trans = materialize(md.fit_transitions(spark, train), "transitions")
+    emis = materialize(md.fit_emissions(train), "emissions")
+    return t, trans, emis
 
 
-def _vocab(spark, sf_dir):
-    """The tokenizer vocabulary, written once per plan that needs it several times."""
-    return materialize(tk.vocabulary(spark, driver.reviews(spark, sf_dir)), "vocab")
+@query("bio_transitions")
+def bio_transitions(spark, sf_dir):
+    _t, trans, _e = _tagger(spark, sf_dir)
+    return trans.select("from_label", "to_label", "allowed", "n", F.round("score", 6).alias("score"))
 
 
-def _tagger(spark, sf_dir, vocab=None):
-    w = materialize(train_windows(spark, sf_dir, vocab), "label_windows")
-    tr = w.filter(F.col("split") == "train")
-    trans = materialize(md.fit_transitions(spark, tr), "transitions")
-    emis = materialize(md.fit_emissions(tr), "emissions")
-    return w, trans, emis
+@query("tagger_fit")
+def tagger_fit(spark, sf_dir):
+    _t, _tr, emis = _tagger(spark, sf_dir)
+    return emis.select("label", "token", "n", F.round("logp", 6).alias("logp"))
 
 
-def decode_windows(spark, windows, trans, emis, keys):
-    vec, dflt = md.emission_vectors(emis)
-    e = md.window_emissions(windows, vec, dflt, keys).withColumn("model", md.transition_arrays(trans))
-    return e.withColumn("path", md.viterbi(F.col("emissions"), F.col("model")))
+def _val(t):
+    return t.filter(F.col("split") == "val")
 
 
-@query("bio_transitions")
-def bio_transitions(spark, sf_dir):
-    _w, trans, _e = _tagger(spark, sf_dir)
-    return trans.select("from_label", "to_label", "allowed", "n", F.round("score", 6).alias("score"))
+def _argmax(spark, sf_dir):
+    t, _tr, emis = _tagger(spark, sf_dir)
+    tagged = md.argmax_tags(_val(t).select("id", "tokens"), emis)
+    return tagged.select("id", bio.label_decode("path").alias("token_labels"))
 
 
-@query("bio_audit")
-def bio_audit(spark, sf_dir):
-    w = train_windows(spark, sf_dir)
-    framed = F.concat(F.array(F.lit("[SOS]")), F.col("win_labels"), F.array(F.lit("[EOS]")))
-    pairs = F.arrays_zip(F.slice(framed, 1, F.size(framed) - 1).alias("f"),
-                         F.slice(framed, 2, F.size(framed) - 1).alias("t"))
-    bad = F.filter(pairs, lambda p: ~md.allowed(p["f"], p["t"]))
-    r = bio.explode_rows(w.select("id", "win", bad.alias("bad")), "bad", "b", ["id", "win"], pos="pos")
-    return r.select("id", "win", F.col("pos").cast("long").alias("pos"),
-                    F.col("b.f").alias("from_label"), F.col("b.t").alias("to_label"))
+@query("tagger_argmax")
+def tagger_argmax(spark, sf_dir):
+    return _argmax(spark, sf_dir).select("id", F.array_join("token_labels", " ").alias("pred"))
 
 
-@query("tagger_fit")
-def tagger_fit(spark, sf_dir):
-    _w, _t, emis = _tagger(spark, sf_dir)
-    return emis.select("label", "token", "n", F.round("logp", 6).alias("logp"))
+@query("bio_audit")
+def bio_audit(spark, sf_dir):
+    """M02 on the unconstrained tagger's output, whole texts."""
+    rows = materialize(_argmax(spark, sf_dir), "argmax_tags")
+    pairs = md.framed_bigrams(rows, keep=("id",))
+    return pairs.filter(~md.allowed(F.col("from_label"), F.col("to_label")))
 
 
 @query("tagger_decode")
 def tagger_decode(spark, sf_dir):
-    w, trans, emis = _tagger(spark, sf_dir)
-    val = w.filter(F.col("split") == "val")
-    d = decode_windows(spark, val, trans, emis, ["id", "win"])
-    return d.select("id", "win", F.array_join(md_label_names(F.col("path")), " ").alias("pred"))
-
-
-def md_label_names(ids):
-    return bio.label_decode(ids)
+    t, trans, emis = _tagger(spark, sf_dir)
+    d = md.decode(_val(t).select("id", "tokens"), trans, emis)
+    return d.select("id", F.array_join(bio.label_decode("path"), " ").alias("pred"))
 
 
 @query("path_nll")
 def path_nll(spark, sf_dir):
-    w, trans, emis = _tagger(spark, sf_dir)
-    val = w.filter(F.col("split") == "val")
-    vec, dflt = md.emission_vectors(emis)
-    e = md.window_emissions(val, vec, dflt, ["id", "win"]).join(val.select("id", "win", "win_labels"), ["id", "win"])
-    e = e.withColumn("model", md.transition_arrays(trans))
-    score = md.path_score(F.col("emissions"), bio.label_encode("win_labels"), F.col("model"))
-    return e.select("id", "win", F.round(-score, 6).alias("nll"))
+    t, trans, emis = _tagger(spark, sf_dir)
+    gold = _val(t).select("id", "tokens", bio.label_encode("token_labels").alias("gold"))
+    return md.path_scores(gold, trans, emis, "gold").select("id", (-F.col("score") / md.MICRO).alias("nll"))
 
 
 @query("token_accuracy")
 def token_accuracy(spark, sf_dir):
-    w, trans, emis = _tagger(spark, sf_dir)
-    val = w.filter(F.col("split") == "val")
-    d = decode_windows(spark, val, trans, emis, ["id", "win"]).join(val.select("id", "win", "win_labels"),
-                                                                      ["id", "win"])
-    # framed comparison: [SOS] and [EOS] count, [PAD] does not (only real positions exist here)
-    gold = bio.frame_pad(bio.label_encode("win_labels"))
-    pred = bio.frame_pad(F.col("path"))
-    n = F.size(F.col("win_labels")) + 2
-    hits = F.size(F.filter(F.slice(F.arrays_zip(gold.alias("g"), pred.alias("p")), 1, n),
-                           lambda z: z["g"] == z["p"]))
-    per_doc = d.select("id", hits.alias("hits"), n.alias("n"))
-    b = sp.batches(per_doc.groupBy("id").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
-                   .withColumn("split", F.lit("val")))
+    t, trans, emis = _tagger(spark, sf_dir)
+    gold = _val(t).select("id", "tokens", bio.label_encode("token_labels").alias("gold"))
+    d = md.decode(gold, trans, emis)
+    # framed comparison: [SOS] and [EOS] always agree, [PAD] does not count
+    hits = F.size(F.filter(F.zip_with("gold", "path", lambda g, p: g == p), lambda x: x)) + 2
+    per_doc = d.select("id", hits.alias("hits"), (F.size("gold") + 2).alias("n"), F.lit("val").alias("split"))
+    b = sp.batches(per_doc)
     return b.groupBy("batch_id").agg(F.round(F.sum("hits") / F.sum("n"), 6).alias("acc"))
 
 
-def _mood(spark, sf_dir, mark=False, vocab=None):
-    r = cp.origin_rows(spark, sf_dir, mark)
-    vocab = vocab if vocab is not None else _vocab(spark, sf_dir)
-    t = materialize(sp.split_90_10(tk.tokenize(r, vocab)), "mood_tokens")
-    model, priors = md.fit_mood(t.filter(F.col("split") == "train"))
-    return t, materialize(model, "mood_model"), materialize(priors, "mood_priors"), vocab
+def _mood_train(spark, sf_dir, mark=False):
+    """L06 for M06: the train part of the origin rows plus all generated rows."""
+    origin = sp.split_90_10(cp.origin_rows(spark, sf_dir, mark)).where("split = 'train'").select("text", "class")
+    return cp.strict_class(origin.unionByName(cp.gpt_rows(spark, sf_dir)))
+
+
+def _mood(spark, sf_dir, vocab, mark=False):
+    train = materialize(tk.tokenize(_mood_train(spark, sf_dir, mark), vocab).select("class", "tokens"), "mood_tokens")
+    model, priors = md.fit_mood(train)
+    return materialize(model, "mood_model"), materialize(priors, "mood_priors")
 
 
 @query("mood_fit")
 def mood_fit(spark, sf_dir):
-    _t, model, _p, _v = _mood(spark, sf_dir)
+    model, _p = _mood(spark, sf_dir, vocabulary(spark, sf_dir))
     return model.select("class", "token", "n", F.round("logp", 6).alias("logp"))
 
 
 @query("mood_predict")
 def mood_predict(spark, sf_dir):
-    _t, model, priors, vocab = _mood(spark, sf_dir)
+    vocab = vocabulary(spark, sf_dir)
     test = tk.tokenize(driver.test_reviews(spark, sf_dir), vocab)
-    return md.predict_mood(test, model, priors)
+    return md.predict_mood(test, *_mood(spark, sf_dir, vocab), out="class").select("id", "class")
 
 
 @query("class_accuracy")
 def class_accuracy(spark, sf_dir):
-    t, model, priors, _v = _mood(spark, sf_dir)
-    val = t.filter(F.col("split") == "val")
-    pred = md.predict_mood(val, model, priors).withColumnRenamed("class", "pred")
-    b = sp.batches(val.select("id", "class", "split").join(pred, "id"))
+    vocab = vocabulary(spark, sf_dir)
+    val = sp.split_90_10(cp.origin_rows(spark, sf_dir)).where("split = 'val'")
+    pred = md.predict_mood(tk.tokenize(val, vocab), *_mood(spark, sf_dir, vocab))
+    b = sp.batches(materialize(pred.select("id", "class", "split", "pred"), "mood_pred"))
     return b.groupBy("batch_id").agg(F.round(F.avg((F.col("pred") == F.col("class")).cast("double")), 6)
                                      .alias("acc"))
 
 
-def tag_docs(spark, sf_dir, docs, vocab=None):
-    """Tokenize -> windows -> decode -> strip frames -> expand -> realign -> BIO string."""
-    vocab = vocab if vocab is not None else _vocab(spark, sf_dir)
-    _w, trans, emis = _tagger(spark, sf_dir, vocab)
-    t = tk.tokenize(docs, vocab)
-    win = tk.encode_windows(t)
-    d = decode_windows(spark, win, trans, emis, ["id", "win"])
-    per_doc = d.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("win", "path"))).alias("ps"))
-    labels = per_doc.select("id", bio.label_decode(F.flatten(F.transform("ps", lambda x: x["path"])))
-                            .alias("token_labels"))
-    full = t.join(labels, "id", "left").withColumn(
-        "token_labels", F.coalesce("token_labels", bio.empty_strings()))
-    full = bio.with_expanded(full, "tokens", "token_labels", "exp")
+def tag_docs(spark, sf_dir, docs, vocab):
+    """Tokenize, decode, expand, realign -> (id, text, tokens, BIO_anno); written once."""
+    _t, trans, emis = _tagger(spark, sf_dir, vocab)
+    d = md.decode(tk.tokenize(docs, vocab), trans, emis)
+    d = d.withColumn("token_labels", bio.label_decode("path"))
+    full = bio.with_expanded(d, "tokens", "token_labels", "exp")
     full = bio.with_realigned(full, "text", "tokens", "exp", "realigned")
-    return full.select("id", "text", bio.join_labels(F.col("realigned"), "O").alias("BIO_anno"))
+    return materialize(full.select("id", "text", "tokens", bio.join_labels(F.col("realigned"), "O").alias("BIO_anno")), "tags")
 
 
 @query("tag_corpus")
 def tag_corpus(spark, sf_dir):
-    return tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir)).select("id", "BIO_anno")
+    return tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir), vocabulary(spark, sf_dir)).select("id", "BIO_anno")
 
 
 @query("submission")
 def submission(spark, sf_dir):
-    vocab = _vocab(spark, sf_dir)
-    test = driver.test_reviews(spark, sf_dir)
-    tags = tag_docs(spark, sf_dir, test, vocab).select("id", "BIO_anno")
-    _t, model, priors, _v = _mood(spark, sf_dir, vocab=vocab)
-    moods = md.predict_mood(tk.tokenize(test, vocab), model, priors)
-    return tags.join(moods, "id", "left").select("id", "BIO_anno", "class")
+    """Tags and moods of the same row; the test texts are tokenized once for both."""
+    vocab = vocabulary(spark, sf_dir)
+    tags = tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir), vocab)
+    return md.predict_mood(tags, *_mood(spark, sf_dir, vocab), out="class").select("id", "BIO_anno", "class")
+
+
+def write_submission(df: DataFrame, path: str) -> None:
+    """(id, BIO_anno, class) as CSV with a header."""
+    df.select("id", "BIO_anno", "class").write.mode("overwrite").option("header", True).csv(path)
+
+
+@query("submission_csv")
+def submission_csv(spark, sf_dir):
+    """The submission written as CSV and read back."""
+    path = scratch_path(spark, "submission")
+    write_submission(submission(spark, sf_dir), path)
+    return spark.read.schema("id long, BIO_anno string, class int").option("header", True).csv(path).fillna("", ["BIO_anno"])
 
 
 @query("two_stage_submission")
 def two_stage_submission(spark, sf_dir):
-    vocab = _vocab(spark, sf_dir)
+    """The mood is read from the text marked with the predicted tags."""
+    vocab = vocabulary(spark, sf_dir)
     tags = tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir), vocab)
-    marked = tags.select("id", bio.mark_text(F.col("text"), bio.bio_split("BIO_anno")).alias("text"))
-    _t, model, priors, _v = _mood(spark, sf_dir, mark=True, vocab=vocab)
-    moods = md.predict_mood(tk.tokenize(marked, vocab), model, priors)
-    return tags.select("id", "BIO_anno").join(moods, "id", "left")
+    marked = tags.select("id", "BIO_anno", bio.mark_text(F.col("text"), bio.bio_split("BIO_anno")).alias("text"))
+    return md.predict_mood(tk.tokenize(marked, vocab), *_mood(spark, sf_dir, vocab, mark=True), out="class").select("id", "BIO_anno", "class")
 
 
 FLAGSHIP = "submission"
@@ -560,7 +564,7 @@ def augment_union(spark, sf_dir):
         "id", "draw", F.col("new_text").alias("text"), F.col("new_labels").alias("labels"), "class")
     orig = r.select("id", F.lit(None).cast("long").alias("draw"), "text", "labels", "class")
     u = orig.unionByName(rep)
-    return u.select("id", "draw", "class", F.length("text").alias("n_chars"), F.size("labels").alias("n_labels"))
+    return u.select("id", "draw", "class", "text", bio.join_labels(F.col("labels")).alias("BIO_anno"))
 
 
 @query("request_table")

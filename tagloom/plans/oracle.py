@@ -7,7 +7,7 @@ where the Spark side uses row-local folds.
 
 from __future__ import annotations
 
-from tagloom.constants import CORPUS_LEXICON
+from tagloom.constants import CORPUS_LEXICON, CORPUS_PAIRS
 
 ORACLE: dict[str, str] = {}
 
@@ -21,6 +21,11 @@ def _kind_case(x: str) -> str:
     return f"(CASE lower({x}) {whens} END)"
 
 
+def _pair_case(a: str, blank: str, b: str) -> str:
+    whens = " ".join(f"WHEN '{x} {y}' THEN '{v}'" for (x, y), v in CORPUS_PAIRS.items())
+    return f"(CASE WHEN {blank} = ' ' THEN CASE lower({a}) || ' ' || lower({b}) {whens} END END)"
+
+
 # The derived corpus as CTEs: docs(id,text,source), cls(id,class), tagged(id,text,source,BIO_anno),
 # reviews(id,text,BIO_anno,class,source), test_reviews(id,text).
 CORPUS_CTES = f"""
@@ -31,12 +36,19 @@ cls AS (SELECT doc_id AS id,
 pieces AS (
   SELECT d.id, u.p, u.k
   FROM docs d, unnest(regexp_extract_all(d.text, '[A-Za-z]+|[^A-Za-z]+')) WITH ORDINALITY AS u(p, k)),
+near AS (
+  SELECT *, lead(p, 1) OVER w AS n1, lead(p, 2) OVER w AS n2, lag(p, 1) OVER w AS b1, lag(p, 2) OVER w AS b2
+  FROM pieces WINDOW w AS (PARTITION BY id ORDER BY k)),
+kinds AS (
+  SELECT id, k, p, coalesce({_pair_case('b1', 'p', 'n1')}, {_pair_case('b2', 'b1', 'p')}) AS goes_on,
+         coalesce({_pair_case('p', 'n1', 'n2')}, {_kind_case('p')}) AS kind
+  FROM near),
 piece_labels AS (
   SELECT id, k,
-         CASE WHEN {_kind_case('p')} IS NOT NULL
-              THEN 'B-' || {_kind_case('p')} || repeat(' I-' || {_kind_case('p')}, length(p) - 1)
+         CASE WHEN goes_on IS NOT NULL THEN trim(repeat('I-' || goes_on || ' ', length(p)))
+              WHEN kind IS NOT NULL THEN 'B-' || kind || repeat(' I-' || kind, length(p) - 1)
               ELSE trim(repeat('O ', length(p))) END AS lab
-  FROM pieces),
+  FROM kinds),
 tagged AS (
   SELECT d.id, d.text, d.source, string_agg(pl.lab, ' ' ORDER BY pl.k) AS BIO_anno
   FROM docs d JOIN piece_labels pl USING (id) GROUP BY d.id, d.text, d.source),
@@ -49,4 +61,4 @@ def with_corpus(body: str, extra_ctes: str = "") -> str:
     ctes = CORPUS_CTES.strip()
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip()
-    return f"WITH {ctes}\n{body.strip()}"
+    return f"WITH RECURSIVE {ctes}\n{body.strip()}"

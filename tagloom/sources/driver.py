@@ -6,7 +6,8 @@ is written independently in DuckDB for the oracle):
 1. ``text`` = the whole ``documents.text``, ``id`` = ``doc_id``;
 2. the text is cut into maximal ASCII-letter runs and the runs between them;
 3. a letter run whose lower-cased word is in ``CORPUS_LEXICON`` gets ``B-kind`` on its
-   first character and ``I-kind`` on the rest; every other character gets ``O``;
+   first character and ``I-kind`` on the rest, and so do two runs with one blank between them
+   whose words are in ``CORPUS_PAIRS`` (as one mention); every other character gets ``O``;
 4. ``class`` from ``labels``: toxic -> 0 (NEG), else quality -> 1 (POS), else 2 (NEU).
 
 Labelled documents are the training corpus, unlabelled ones the test set.
@@ -19,7 +20,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.constants import CORPUS_LEXICON
+from tagloom.constants import CORPUS_LEXICON, CORPUS_PAIRS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lexicon_tag(text) -> "F.Column":
     """BIO string of a text under the fixed corpus lexicon (row-local, no explode)."""
     lex = F.create_map(*[x for k, v in CORPUS_LEXICON.items() for x in (F.lit(k), F.lit(v))])
+    pairs = F.create_map(*[x for (a, b), v in CORPUS_PAIRS.items() for x in (F.lit(f"{a} {b}"), F.lit(v))])
     pieces = F.regexp_extract_all(text, F.lit("[A-Za-z]+|[^A-Za-z]+"), 0)
-
-    def piece_labels(p):
-        kind = F.try_element_at(lex, F.lower(p))
-        n = F.length(p)
-        return (F.when(kind.isNotNull(),
-                       F.concat(F.lit("B-"), kind, F.repeat(F.concat(F.lit(" I-"), kind), n - 1)))
+    # every piece with the next two, and the one before
+    near = F.arrays_zip(pieces.alias("p"), F.concat(F.array(F.lit(""), F.lit("")), pieces).alias("back2"),
+                        F.concat(F.array(F.lit("")), pieces).alias("back1"),
+                        F.slice(pieces, F.lit(2), F.size(pieces)).alias("next1"), F.slice(pieces, F.lit(3), F.size(pieces)).alias("next2"))
+
+    def pair(a, blank, b):
+        return F.when(blank == " ", F.try_element_at(pairs, F.lower(F.concat_ws(" ", a, b))))
+
+    def piece_labels(x):
+        p, n = x["p"], F.length(x["p"])
+        opens, inside, closes = pair(p, x["next1"], x["next2"]), pair(x["back1"], p, x["next1"]), pair(x["back2"], x["back1"], p)
+        kind = F.coalesce(opens, F.try_element_at(lex, F.lower(p)))
+        goes_on = F.coalesce(inside, closes)
+        return (F.when(goes_on.isNotNull(), F.trim(F.repeat(F.concat(F.lit("I-"), goes_on, F.lit(" ")), n)))
+                .when(kind.isNotNull(), F.concat(F.lit("B-"), kind, F.repeat(F.concat(F.lit(" I-"), kind), n - 1)))
                 .otherwise(F.trim(F.repeat(F.lit("O "), n))))
 
-    return F.array_join(F.transform(pieces, piece_labels), " ")
+    return F.array_join(F.transform(F.filter(near, lambda x: x["p"].isNotNull()), piece_labels), " ")
 
 
 def mood_class(labels: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ MAX_DOMAINS = 32
 
 
 def words(text: Column) -> Column:
-    """Blank-separated words, ASCII lower-cased, blanks at the ends ignored."""
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Pieces between blanks, lower-cased; an empty text, or a blank at its ends, gives an empty piece."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
 
 
 def bucket(word: Column) -> Column:
@@ -52,13 +52,14 @@ def word_model(docs: DataFrame, labelled: DataFrame, per_domain: int = 3000) ->
     domains = sorted(shares)
     if not domains:
         return [], None
-    each = sample.select("label", F.explode(F.array_distinct(F.transform(words(F.col("text")), bucket))).alias("bucket"))
+    each = sample.select("doc_id", "label", F.explode(words(F.col("text"))).alias("word")).where("word <> ''")
+    each = each.select("doc_id", "label", bucket(F.col("word")).alias("bucket")).distinct()
     counts = each.groupBy("bucket").agg(*[F.count_if(F.col("label") == k).alias(f"c{i}") for i, k in enumerate(domains)])
     counts = materialize(counts, "mixing-words")
     total = counts.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(domains))]).first()
     logs = [F.log((F.col(f"c{i}") + 0.5) / ((total[i] or 0) + 0.5 * BUCKETS)) for i in range(len(domains))]
     mean = sum(logs[1:], logs[0]) / len(domains)
-    return domains, materialize(counts.select("bucket", *[(x - mean).cast("float").alias(f"l{i}") for i, x in enumerate(logs)]), "mixing-model")
+    return domains, materialize(counts.select("bucket", *[(x - mean).cast("float").alias(f"mix_l{i}") for i, x in enumerate(logs)]), "mixing-model")
 
 
 def posteriors(docs: DataFrame, domains: list[str], model: DataFrame | None) -> DataFrame:
@@ -66,24 +67,26 @@ def posteriors(docs: DataFrame, domains: list[str], model: DataFrame | None) ->
 
     The evidence of a text is its summed ratios over the square root of its word count, which keeps
     long texts from certainty.  Without words (null, empty), or a model, all domains are equal.
-    One row per row of ``docs``: rows are told apart by a row number, not by their ids.
+    One row per row of ``docs``: rows are told apart by a row number, not by their ids, and a row's
+    words are summed in the task that reads it, so only sums are shuffled.
     """
     rest = [c for c in docs.columns if c != "text"]
-    even = F.array(*[F.lit(1.0 / max(1, len(domains)))] * max(1, len(domains)))
-    if model is None:
-        return docs.select(*rest, F.size(words(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"), even.alias("p"))
-    keep = F.struct(*[F.col(c) for c in rest]) if rest else F.struct(F.lit(0))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), keep.alias("keep"), words(F.coalesce("text", F.lit(""))).alias("w"))
-    each = rows.select("row", "keep", F.explode_outer("w").alias("word"))
-    each = each.select("row", "keep", F.col("word").isNotNull().cast("long").alias("one"),
-                       F.when(F.col("word").isNotNull(), bucket(F.col("word"))).alias("bucket"))
-    each = each.join(F.broadcast(model), "bucket", "left")        # at most BUCKETS rows
-    sums = each.groupBy("row").agg(F.first("keep").alias("keep"), F.sum("one").alias("n_tokens"),
-                                   *[F.sum(F.coalesce(F.col(f"l{i}"), F.lit(0.0))).alias(f"s{i}") for i in range(len(domains))])
-    z = F.transform(F.array(*[F.col(f"s{i}") for i in range(len(domains))]), lambda s: s / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1))))
-    sums = sums.select("keep", "n_tokens", z.alias("z")).select("keep", "n_tokens", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return sums.select(*[F.col("keep")[c].alias(c) for c in rest], "n_tokens", F.transform("e", lambda x: x / total).alias("p"))
+    k = len(domains)
+    row, word = C.unused(docs, "mix_row"), C.unused(docs, "mix_word")
+    each = docs.select(F.monotonically_increasing_id().alias(row), *rest, F.explode(words(F.col("text"))).alias(word))
+    known = F.col(word) != ""
+    each = each.select(row, *rest, known.cast("long").alias("mix_one"), F.when(known, bucket(F.col(word))).alias("mix_bucket"))
+    if model is not None:                                         # at most BUCKETS rows
+        each = each.join(F.broadcast(model.withColumnRenamed("bucket", "mix_bucket")), "mix_bucket", "left")
+    sums = each.groupBy(row, *rest).agg(F.sum("mix_one").alias("mix_n"),
+                                        *[F.sum(F.coalesce(F.col(f"mix_l{i}"), F.lit(0.0))).alias(f"mix_s{i}") for i in range(k)])
+    if not k:
+        return sums.select(*rest, F.col("mix_n").alias("n_tokens"), F.array(F.lit(1.0)).alias("p"))
+    scale = F.sqrt(F.greatest(F.col("mix_n"), F.lit(1)))
+    z = F.array(*[F.col(f"mix_s{i}") / scale for i in range(k)])
+    sums = sums.select(*rest, "mix_n", z.alias("mix_z")).select(*rest, "mix_n", F.transform("mix_z", lambda x: F.exp(x - F.array_max("mix_z"))).alias("mix_e"))
+    total = F.aggregate("mix_e", F.lit(0.0), lambda a, x: a + x)
+    return sums.select(*rest, F.col("mix_n").alias("n_tokens"), F.transform("mix_e", lambda x: x / total).alias("p"))
 
 
 # --- rates -------------------------------------------------------------------------------

@@ -196,6 +196,7 @@ def drops(docs: DataFrame, min_docs: int = 2) -> DataFrame:
     at = materialize(lines.where("doc_id is not null").select("doc_id", "line").join(named, "line"), "line-places")
     stats = (at.groupBy("template").agg(F.min("doc_id").alias("home"), F.count_distinct("doc_id").alias("docs"))
              .where(F.col("docs") >= min_docs).select("template", "home"))
+    stats = materialize(stats, "line-stats")                     # a join of two tables: a hot template is split
     return (at.join(stats, "template").where("doc_id <> home")
             .groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
 

@@ -73,7 +73,8 @@ def posteriors(docs: DataFrame, domains: list[str], model: DataFrame | None) ->
     rest = [c for c in docs.columns if c != "text"]
     k = len(domains)
     row, word = C.unused(docs, "mix_row"), C.unused(docs, "mix_word")
-    each = docs.select(F.monotonically_increasing_id().alias(row), *rest, F.explode(words(F.col("text"))).alias(word))
+    rows = docs.select(F.monotonically_increasing_id().alias(row), *rest, "text")    # numbered before the words are spread
+    each = rows.select(row, *rest, F.explode(words(F.col("text"))).alias(word))
     known = F.col(word) != ""
     each = each.select(row, *rest, known.cast("long").alias("mix_one"), F.when(known, bucket(F.col(word))).alias("mix_bucket"))
     if model is not None:                                         # at most BUCKETS rows

@@ -18,6 +18,9 @@ from tagloom.functions import bio
 from tagloom.operators import sampling as sp
 
 
+WORD_PIECES = r"[A-Za-z]+|[\x{4e00}-\x{9fff}]{1,2}|[^A-Za-z\x{4e00}-\x{9fff}]+"
+
+
 def lexicon_wide(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(bank_lexicon_rows(), "bank string, cn string, en string")
 
@@ -85,9 +88,10 @@ def with_entity_replaced(df: DataFrame, key: str = "id", text: str = "text", lab
 
 def with_brackets(df: DataFrame, key: str = "id", text: str = "text", labels: str = "labels",
                   p: float = 0.1, seed: int = SEED) -> DataFrame:
-    """Each letter word becomes ``<word>`` with probability p; the two added
-    characters repeat the word's last label (appended after the word's labels)."""
-    d = df.withColumn("__pcs", F.regexp_extract_all(F.col(text), F.lit("[A-Za-z]+|[^A-Za-z]+"), 0))
+    """Each word becomes ``<word>`` with probability p; the two added characters repeat
+    the word's last label (appended after the word's labels).  A word is an ASCII letter run or,
+    in text without blanks between words, one or two Han characters."""
+    d = df.withColumn("__pcs", F.regexp_extract_all(F.col(text), F.lit(WORD_PIECES), 0))
     d = d.withColumn("__off", bio.exclusive_prefix(F.transform("__pcs", lambda x: F.length(x))))
     z = F.arrays_zip(F.col("__pcs").alias("w"), F.col("__off").alias("o"))
     lab, k = F.col(labels), F.col(key)
@@ -95,7 +99,7 @@ def with_brackets(df: DataFrame, key: str = "id", text: str = "text", labels: st
     def one(e, g):
         w, o = e["w"], e["o"]
         wl = F.slice(lab, o + 1, F.length(w))
-        hit = w.rlike("^[A-Za-z]") & (_uniform(k, g + 1, seed + 7) < F.lit(p))
+        hit = w.rlike(r"^[A-Za-z\x{4e00}-\x{9fff}]") & (_uniform(k, g + 1, seed + 7) < F.lit(p))
         return F.struct(F.when(hit, F.concat(F.lit("<"), w, F.lit(">"))).otherwise(w).alias("t"),
                         F.when(hit, F.concat(wl, F.array_repeat(F.element_at(wl, -1), 2))).otherwise(wl).alias("l"))
 

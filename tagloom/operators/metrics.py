@@ -2,7 +2,7 @@
 J03, W01-W02, S09).
 
 Driver stand-in for training logs: ``events`` rows are batch items.  ``run`` =
-``user_id % 3``; ``epoch`` = ``event_id div 500`` (0-based); ``batch`` = ``event_id % 20``;
+``(user_id div 10) % 20``; ``epoch`` = ``event_id div 500`` (0-based); ``batch`` = ``event_id % 20``;
 an item is in validation when ``user_id % 10 = 0``; its loss is ``value`` and it is a hit
 when ``value < 50``.  A batch holding an ``error`` event worth more than 450 failed: its
 loss is null but it still counts in the loss denominator (A04).
@@ -23,7 +23,7 @@ EPOCH_RE = (r"Epochs: (\d+) \|\s+Loss:\s+(\S+) \|\s+Accuracy:\s+(\S+) \|"
 def batch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = driver.table(spark, sf_dir, "events")
     return e.select(
-        F.pmod("user_id", F.lit(3)).alias("run"),
+        F.pmod(F.floor(F.col("user_id") / 10), F.lit(20)).alias("run"),
         (F.col("event_id") / 500).cast("long").alias("epoch0"),
         F.pmod("event_id", F.lit(20)).alias("batch"),
         F.when(F.pmod("user_id", F.lit(10)) == 0, F.lit("val")).otherwise(F.lit("train")).alias("split"),
@@ -88,8 +88,12 @@ def parse_epoch_records(df: DataFrame, text: str = "record", keep: list[str] | N
 
 
 def read_epoch_log(spark: SparkSession, path: str) -> DataFrame:
-    """S09 reader: whole log files (one task per file; a log is small) -> epoch rows."""
-    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    """S09 reader: epoch rows of log files, one record per input row.
+
+    A file is cut at ``Epochs: `` while it is read, so a long log is split over tasks.
+    """
+    raw = spark.read.text(path, lineSep="Epochs: ").select(F.concat(F.lit("Epochs: "), F.col("value")).alias("value"),
+                                                           F.input_file_name().alias("file"))
     return parse_epoch_records(raw, "value", ["file"])
 
 

@@ -307,7 +307,7 @@ GROUP BY split, batch_id
 """, _TOK_REVIEWS))
 
 EPOCH_CTES = """
-items AS (SELECT user_id % 3 AS run, event_id // 500 AS epoch0, event_id % 20 AS batch,
+items AS (SELECT (user_id // 10) % 20 AS run, event_id // 500 AS epoch0, event_id % 20 AS batch,
                  CASE WHEN user_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, value AS loss,
                  CASE WHEN value < 50 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit,
                  (event_type = 'error' AND value > 450) AS failed FROM events),
@@ -394,10 +394,10 @@ FROM (
   FROM (SELECT id, k, w,
                coalesce(sum(length(w)) OVER (PARTITION BY id ORDER BY k
                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
-               regexp_matches(w, '^[A-Za-z]')
+               regexp_matches(w, '^[A-Za-z\\x{4e00}-\\x{9fff}]')
                  AND CAST(('0x' || substr(md5('125:p:' || CAST(id AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 15))
                           AS BIGINT) / 1152921504606846976.0 < 0.1 AS hit
-        FROM reviews, unnest(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+')) WITH ORDINALITY AS u(w, k)) p
+        FROM reviews, unnest(regexp_extract_all(text, '[A-Za-z]+|[\\x{4e00}-\\x{9fff}]{1,2}|[^A-Za-z\\x{4e00}-\\x{9fff}]+')) WITH ORDINALITY AS u(w, k)) p
   JOIN rl ON rl.id = p.id AND rl.pos > p.off AND rl.pos <= p.off + length(p.w)
   GROUP BY p.id, p.k, p.w, p.hit) x
 GROUP BY id

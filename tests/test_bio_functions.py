@@ -22,9 +22,9 @@ def test_strip_blank_labels(spark):
 
 
 def test_align(spark):
-    row = (["工", "行", "ap", "##p", "好"], "B-BANK I-BANK B-PRODUCT I-PRODUCT I-PRODUCT O".split())
-    df = spark.createDataFrame([row], "t array<string>, l array<string>")
-    got = df.select(bio.align_labels(F.col("t"), F.col("l"))).collect()[0][0]
+    df = spark.createDataFrame([("工行 app好", "B-BANK I-BANK O B-PRODUCT I-PRODUCT I-PRODUCT O".split(), ["工", "行", "ap", "##p", "好"])],
+                               "s string, l array<string>, t array<string>")
+    got = bio.with_aligned(df, "s", "l", "t", "x").select("x").collect()[0][0]
     assert got == ["B-BANK", "I-BANK", "B-PRODUCT", "I-PRODUCT", "O"]
 
 
@@ -39,21 +39,25 @@ def test_expand(spark):
     assert _expand(spark, ["ap", "##p"], ["B-PRODUCT", "O"]) == ["B-PRODUCT", "I-PRODUCT", "I-PRODUCT"]
 
 
-def _realign(spark, text, toks, labs, walk=False):
-    df = spark.createDataFrame([(text, toks, labs)], "s string, t array<string>, l array<string>")
-    if walk:
-        return df.select(bio.realign_walk(F.col("s"), F.col("t"), F.col("l"))).collect()[0][0]
-    return bio.with_realigned(df, "s", "t", "l", "x").select("x").collect()[0][0]
-
-
-def test_realign_cases(spark):
+def test_realign_cases():
     exp = ["B-BANK", "I-BANK", "B-PRODUCT", "I-PRODUCT", "I-PRODUCT", "O"]
-    for walk in (False, True):
-        assert _realign(spark, "工行 App好", ["工", "行", "app", "好"], exp, walk) == \
-            ["B-BANK", "I-BANK", "O", "B-PRODUCT", "I-PRODUCT", "I-PRODUCT", "O"]
-        assert _realign(spark, "工行  ", ["工", "行"], ["B-BANK", "I-BANK"], walk) == ["B-BANK", "I-BANK"]
-        assert _realign(spark, "工㐀行", ["工", "[UNK]", "行"], ["B-BANK", "I-BANK", "I-BANK"], walk) == \
-            ["B-BANK", "O", "I-BANK"]
+    assert bio.realign("工行 App好", ["工", "行", "app", "好"], exp) == \
+        ["B-BANK", "I-BANK", "O", "B-PRODUCT", "I-PRODUCT", "I-PRODUCT", "O"]
+    assert bio.realign("工行  ", ["工", "行"], ["B-BANK", "I-BANK"]) == ["B-BANK", "I-BANK"]
+    assert bio.realign("工㐀行", ["工", "[UNK]", "行"], ["B-BANK", "I-BANK", "I-BANK"]) == ["B-BANK", "O", "I-BANK"]
+    # a tokenizer that drops characters: they get O, the rest keeps its labels
+    assert bio.realign("a-b-c", ["a", "b", "c"], ["B-BANK", "I-BANK", "O"]) == ["B-BANK", "O", "I-BANK", "O", "O"]
+
+
+def test_helpers_can_be_filtered_and_exploded(spark):
+    text = "visa card of the bank " * 2000
+    rows = spark.createDataFrame([(i, text, ["O"] * len(text), text.split()) for i in range(8)],
+                                 "id long, s string, l array<string>, t array<string>")
+    d = bio.with_aligned(rows, "s", "l", "t", "a")
+    d = bio.with_realigned(bio.with_expanded(d, "t", "a", "e"), "s", "t", "e", "r")
+    for c in ("a", "e", "r"):
+        n = d.filter(F.size(c) > 0).select(F.explode(c).alias("x")).filter("x = 'O'").groupBy("x").count().first()["count"]
+        assert n > 8 * 2000
 
 
 def test_mark_text(spark):

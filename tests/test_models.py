@@ -27,20 +27,36 @@ def numpy_viterbi(em, start, end, tr):
     return path
 
 
-def test_viterbi_matches_numpy(spark):
+def test_viterbi_matches_numpy():
     rng = np.random.default_rng(7)
     L = 9
-    tr = rng.normal(size=(L, L))
-    tr[rng.random((L, L)) < 0.3] = FORBIDDEN
-    start, end = rng.normal(size=L), rng.normal(size=L)
-    cases = [rng.normal(size=(n, L)) for n in (1, 2, 5, 40, 198)]
-    model = F.struct(F.array(*[F.lit(float(x)) for x in start]).alias("start"),
-                     F.array(*[F.lit(float(x)) for x in end]).alias("end"),
-                     F.array(*[F.lit(float(x)) for x in tr.reshape(-1)]).alias("tr"))
-    df = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(cases)], "i int, e array<array<double>>")
-    got = {r["i"]: r["p"] for r in df.select("i", md.viterbi(F.col("e"), model).alias("p")).collect()}
-    for i, c in enumerate(cases):
-        assert got[i] == numpy_viterbi(c, start, end, tr), i
+    tr = rng.integers(-1000, 0, (L, L))
+    tr[rng.random((L, L)) < 0.3] = FORBIDDEN * md.MICRO
+    start, end = rng.integers(-1000, 0, L), rng.integers(-1000, 0, L)
+    cases = [rng.integers(-3, 0, (n, L)) for n in (5, 1, 0, 2, 40, 198, 40, 777)]     # ties are common
+    got = md.viterbi(cases, start, tr, end)
+    for g, c in zip(got, cases):
+        assert g.tolist() == (numpy_viterbi(c, start, end, tr) if len(c) else [])
+    assert [len(x) for x in md.viterbi([cases[2]], start, tr, end)] == [0]
+
+
+def test_mention_across_an_old_window_edge(spark):
+    """Whole texts have one frame: a mention over position 198 is one mention."""
+    from tagloom.functions import bio
+    train = [(i, ["x"] * 197 + ["a", "b"] + ["x"] * 50, ["O"] * 197 + ["B-BANK", "I-BANK"] + ["O"] * 50) for i in range(3)]
+    rows = spark.createDataFrame(train, "id long, tokens array<string>, token_labels array<string>")
+    trans, emis = md.fit_transitions(spark, rows), md.fit_emissions(rows)
+    n = {(r["from_label"], r["to_label"]): r["n"] for r in trans.collect()}
+    assert n["[SOS]", "O"] == 3 and n["B-BANK", "I-BANK"] == 3 and n["O", "[EOS]"] == 3
+    got = md.decode(rows, trans, emis).select(bio.label_decode("path")).first()[0]
+    assert got == train[0][2]
+    assert not md.framed_bigrams(rows).filter(~md.allowed(F.col("from_label"), F.col("to_label"))).count()
+
+
+def test_unseen_label_counts_zero(spark):
+    rows = spark.createDataFrame([(["a", "b"], ["O", "O"])], "tokens array<string>, token_labels array<string>")
+    _vec, unseen = md.emission_vectors(md.fit_emissions(rows))
+    assert unseen.tolist() == [round(np.log(1 / 2) * md.MICRO)] * 8 + [round(np.log(1 / 4) * md.MICRO)]
 
 
 def test_decode_is_legal(spark):
@@ -64,3 +80,47 @@ def test_mood_predict_covers_test_set(spark):
     test = driver.test_reviews(spark, "/root/testdata/sf0.001")
     assert pred.count() == test.count()
     assert {r["class"] for r in pred.collect()} <= {0, 1, 2}
+
+
+def test_corpus_has_pieces_and_inner_labels(spark):
+    from tagloom.plans import catalog
+    t = catalog.tokenized_reviews(spark, "/root/testdata/sf0.001")
+    tokens = t.select(F.explode(F.arrays_zip("tokens", "token_labels")).alias("x")).select("x.tokens", "x.token_labels")
+    assert tokens.filter(F.col("tokens").startswith("##")).count() > 100
+    assert tokens.filter(F.col("token_labels").startswith("I-")).count() > 100
+
+
+def test_tokenize_without_usable_ids(spark):
+    from tagloom.operators import tokenize as tk
+    rows = [(1, "ab cd 12\tx"), (1, "zz ab"), (2, ""), (None, "cd"), (None, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    vocab = spark.createDataFrame([("ab",), ("cd",)], "word string")
+    got = sorted(((r["id"], r["text"], r["tokens"]) for r in tk.tokenize(df, vocab).collect()), key=str)
+    want = {"ab cd 12\tx": ["ab", "cd", "12", "[UNK]", "x"], "zz ab": ["z", "##z", "ab"], "": [], "cd": ["cd"], None: None}
+    assert got == sorted(((i, t, want[t]) for i, t in rows), key=str)
+
+
+def test_token_ids_name_one_token(spark):
+    from tagloom.operators import tokenize as tk
+    words = [f"w{a}" for a in ["ord", "all", "est", "ind"]] + [chr(97 + i) + chr(97 + j) for i in range(26) for j in range(26)]
+    df = spark.createDataFrame([(i, [w, "##" + w[1:], "[UNK]", w[0]]) for i, w in enumerate(words)], "id long, tokens array<string>")
+    pairs = {(t, x) for r in tk.token_ids(df).collect() for t, x in zip(r["tokens"], r["ids"])}
+    assert len(pairs) == len({t for t, _ in pairs}) == len({x for _, x in pairs})
+
+
+def test_one_decode_and_one_test_tokenization_per_submission(spark):
+    import __spark_entry__ as E
+    plan = E.queries()["submission"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") < 12 and "documents" not in plan
+
+
+def test_line_list_and_vocabulary_trace(spark, tmp_path):
+    from tagloom.constants import added_vocab
+    from tagloom.operators import tokenize as tk
+    (tmp_path / "words.txt").write_text("\n".join(added_vocab()) + "\n\n")
+    assert {r["word"] for r in tk.read_line_list(spark, str(tmp_path / "words.txt")).collect()} == set(added_vocab())
+    rows = [(1, "用visa卡", "O B-PRODUCT I-PRODUCT I-PRODUCT I-PRODUCT O"), (2, "真nb", "B-COMMENTS_ADJ I-COMMENTS_ADJ I-COMMENTS_ADJ"),
+            (3, "line friends卡", "B-PRODUCT " + "I-PRODUCT " * 11 + "O")]
+    got = {r["id"]: (r["run"], r["labels"]) for r in tk.latin_run_trace(spark.createDataFrame(rows, "id long, text string, BIO_anno string")).collect()}
+    assert got == {1: ("visa", "B-PRODUCT I-PRODUCT I-PRODUCT I-PRODUCT"), 2: ("nb", "I-COMMENTS_ADJ I-COMMENTS_ADJ"),
+                   3: ("line friends", "B-PRODUCT " + " ".join(["I-PRODUCT"] * 11))}

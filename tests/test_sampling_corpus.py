@@ -54,3 +54,22 @@ def test_entity_replace_keeps_lengths(spark):
     row = ag.with_entity_replaced(one).collect()[0]
     assert row["new_text"].endswith("好") and row["new_labels"][0] == "B-BANK"
     assert row["new_labels"][-1] == "O" and len(row["new_labels"]) == len(row["new_text"])
+
+
+def test_brackets_reach_han_text_and_a_replacement_can_be_given(spark):
+    from pyspark.sql import functions as F
+    from tagloom.operators import augment as ag
+    df = spark.createDataFrame([(i, "工商银行很好 ok", ["B-BANK"] + ["I-BANK"] * 3 + ["O"] * 5) for i in range(50)],
+                               "id long, text string, labels array<string>")
+    rows = ag.with_brackets(df, p=0.5).collect()
+    assert sum("<" in r["new_text"] for r in rows) > 40
+    assert all(len(r["new_text"]) == len(r["new_labels"]) and r["new_text"].replace("<", "").replace(">", "") == r["text"] for r in rows)
+    row = ag.with_entity_replaced(df, choose=lambda mention, n: F.concat(F.lit("x"), mention)).first()
+    assert row["new_text"] == "x工商银行很好 ok" and row["new_labels"] == ["B-BANK"] + ["I-BANK"] * 4 + ["O"] * 5
+
+
+def test_draws_use_sixty_bits(spark):
+    from pyspark.sql import functions as F
+    from tagloom.operators import sampling as sp
+    top = spark.range(2000).select(sp.hash_int(F.md5(F.col("id").cast("string"))).alias("h")).agg(F.max("h")).first()[0]
+    assert (1 << 59) < top < (1 << 60)

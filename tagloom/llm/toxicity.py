@@ -7,7 +7,8 @@ in a text is kept, and a logistic layer turns these into a probability.  Trainin
 bounded sample; the gradient flows only through the pooled positions, so it is sparse.
 
 The score never sees the language.  It only picks the threshold of the verdict: for every language
-the cutoff with the best F1 over all labelled texts, counted as a histogram.
+the cutoff with the best F1 over an eighth of all labelled texts, chosen by a hash of the id and
+scored by a model that was trained without them, counted as a histogram.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 BINS = 200
-MIN_POSITIVE = 30
+MIN_POSITIVE = 20
 MAX_LANGUAGES = 512
 
 
@@ -248,10 +249,15 @@ def judge(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> DataFram
     ``labels`` is (doc_id, label 0/1); null ids and labels do not count and the largest label of
     an id holds.  Null languages share the threshold of all.  Repeated rows are scored each.
     """
-    model = train(docs.select("doc_id", "text"), labels, per_class)
-    found, t = score(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text"), model)
-    scored = materialize(found.select("doc_id", "lang", F.col(f"{t}.score").alias("score")), "toxicity-scores")
-    by, whole = thresholds(scored, labels)
+    calibrate = F.pmod(F.xxhash64(F.lit(101), F.col("doc_id")), F.lit(8)) == 0
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+
+    def scores(rows, labels):
+        found, t = score(rows, train(docs.select("doc_id", "text"), labels, per_class))
+        return materialize(found.select("doc_id", "lang", F.col(f"{t}.score").alias("score")), "toxicity-scores")
+
+    scored = scores(rows, labels)
+    by, whole = thresholds(scores(rows.where(calibrate), labels.where(~calibrate)), labels.where(calibrate))
     cut = F.lit(whole)
     if by:
         table = F.create_map(*[x for k, v in by.items() for x in (F.lit(k), F.lit(v))])

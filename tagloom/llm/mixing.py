@@ -4,23 +4,26 @@ A labelled table teaches a word classifier the domains; every document then has
 ``p[d, k]`` and belongs to every domain a little.  Wanted are document rates ``r[d] >= 0`` (how
 often a document is used per epoch) whose expected domain token totals match the targets:
 
-    minimise  1/2 * sum_k (sum_d r[d] n[d] p[d, k] / N - w[k])^2  +  ridge / (2 D) * sum_d (r[d] - 1)^2
+    minimise  1/2 * e' M e  +  ridge / (2 D) * sum_d (r[d] - 1)^2,   e[k] = sum_d r[d] q[d, k] - w[k]
 
-with ``n[d]`` the tokens of a document, ``N`` of all, ``D`` documents and ``w`` the target shares.
-It is solved by accelerated projected gradient: the residuals are K sums over all documents, the
-step follows from the K x K Gram matrix, and every rate moves by its own gradient and is cut at
-zero.  All documents take part in every step; per step K numbers reach the driver.
+with ``q[d, k] = n[d] p[d, k] / N``, ``n[d]`` the tokens of a document, ``N`` of all, ``D`` documents,
+``w`` the target shares and ``M`` the inverse of the domains' K x K Gram matrix ``D * q' q`` (with a
+little on its diagonal).  That weighting makes rare and frequent domains equally steep, so the
+gradient step has length 1 whatever the data.  It is solved by accelerated projected gradient: the
+residuals are K sums over all documents, and every rate moves by its own gradient and is cut at
+zero.  All documents take part in every step; per step 2 K numbers reach the driver.
 
 The classifier is multinomial naive Bayes over hashed words, counted over the sampled labelled texts
 with smoothing and scored by a join of exploded words with the table of ``BUCKETS`` rows (of fixed
 size, broadcast), summed per row in the same task before it is shuffled.  Everything on the main
-path is DataFrame expressions.
+path is DataFrame expressions (numpy inverts the K x K matrix on the driver).
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,18 +95,14 @@ def posteriors(docs: DataFrame, domains: list[str], model: DataFrame | None) ->
 
 # --- rates -------------------------------------------------------------------------------
 
-def largest_eigenvalue(g: list[list[float]]) -> float:
-    v, top = [1.0] * len(g), 0.0
-    for _ in range(200):
-        u = [sum(a * b for a, b in zip(row, v)) for row in g]
-        top = math.sqrt(sum(x * x for x in u))
-        if not top:
-            return 0.0
-        v = [x / top for x in u]
-    return top
+def residual_weights(gram: list[list[float]]) -> list[list[float]]:
+    """Inverse of the K x K Gram matrix with a millionth of its mean diagonal added."""
+    g = np.array(gram, float)
+    k = len(g)
+    return np.linalg.inv(g + max(np.trace(g) / k, 1e-12) * 1e-6 * np.eye(k)).tolist()
 
 
-def fit_rates(member: DataFrame, targets: list[float], ridge: float = 1e-3, steps: int = 200,
+def fit_rates(member: DataFrame, targets: list[float], ridge: float = 1e-3, steps: int = 60,
               tolerance: float = 1e-4, every: int = 10) -> tuple[DataFrame, list[float]]:
     """``member`` (.., n_tokens, p) plus ``rate``, and the domain shares that the rates give.
 
@@ -118,9 +117,9 @@ def fit_rates(member: DataFrame, targets: list[float], ridge: float = 1e-3, step
         return member.withColumn("rate", F.lit(1.0)), [0.0] * k
     q = [F.col("n_tokens") * F.col("p")[i] / n for i in range(k)]   # share of domain i per unit rate
     gram = member.agg(*[F.sum(q[i] * q[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    g = [[gram[f"g{min(i, j)}_{max(i, j)}"] * d for j in range(k)] for i in range(k)]
-    step = 1.0 / (largest_eigenvalue(g) + ridge)
-    # in the metric scaled by D: gradient of r[d] is D * sum_k q[d, k] e[k] + ridge * (r[d] - 1)
+    m = residual_weights([[gram[f"g{min(i, j)}_{max(i, j)}"] * d for j in range(k)] for i in range(k)])
+    step = 1.0 / (1.0 + ridge)
+    # in the metric scaled by D: gradient of r[d] is D * sum_k q[d, k] (M e)[k] + ridge * (r[d] - 1)
     state = member.withColumn("rate", F.lit(1.0)).withColumn("ahead", F.lit(1.0))
     t, shares = 1.0, None
     for i in range(steps):
@@ -131,7 +130,8 @@ def fit_rates(member: DataFrame, targets: list[float], ridge: float = 1e-3, step
         shares = new
         if settled or max(abs(a - b) for a, b in zip(new, targets)) <= tolerance:
             break
-        error = [now[f"s{j}"] - targets[j] for j in range(k)]
+        residual = [now[f"s{j}"] - targets[j] for j in range(k)]
+        error = [sum(a * b for a, b in zip(row, residual)) for row in m]
         slope = sum((q[j] * (error[j] * d) for j in range(1, k)), q[0] * (error[0] * d)) + ridge * (F.col("ahead") - 1)
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         state = (state.withColumn("next", F.greatest(F.lit(0.0), F.col("ahead") - step * slope))

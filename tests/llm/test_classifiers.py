@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from conftest import documents, sf_dir
+from llm_fixtures import documents, sf_dir
 from tagloom.llm import common, language_id, quality_classifier, queries, toxicity
 
 SF = "/root/testdata/sf0.01"

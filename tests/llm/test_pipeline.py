@@ -2,7 +2,7 @@
 import random
 
 import corpus_pipeline
-from conftest import documents, sf_dir
+from llm_fixtures import documents, sf_dir
 from tagloom.llm import stages
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from conftest import documents, sf_dir
+from llm_fixtures import documents, sf_dir
 from tagloom.llm import graph, mixing, queries, simhash, warc
 
 

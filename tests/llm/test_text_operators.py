@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from conftest import documents, sf_dir
+from llm_fixtures import documents, sf_dir
 from tagloom.llm import decontaminate, line_dedup, pii, quality_rules, queries
 
 LABELS = "doc_id long, quality int, toxic int"

@@ -1,7 +1,7 @@
 """Check the derived corpus label counts against SURVEY 7.1 (sf0.01)."""
 import sys
 
-sys.path.insert(0, "/root/repo")
+sys.path.insert(0, ".")
 from pyspark.sql import functions as F  # noqa: E402
 
 from tagloom.session import get_session  # noqa: E402

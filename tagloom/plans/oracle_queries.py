@@ -344,7 +344,6 @@ from tagloom.streaming.ingest import SYSTEM_PROMPT  # noqa: E402
 
 BANK_WIDE_VALUES = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in bank_lexicon_rows())
 ALIAS_POOL_VALUES = ", ".join(f"({i}, '{a}')" for i, a in enumerate(alias_pool()))
-Q = "chr(39)"
 
 register("lexicon_long", with_corpus(f"""
 SELECT kind, alias FROM (UNPIVOT (SELECT * FROM (VALUES {BANK_WIDE_VALUES}) w(bank, cn, en))
@@ -415,8 +414,7 @@ resp AS (SELECT doc_id AS oid,
                      WHEN doc_id % 10 = 0 THEN text ELSE lang || '#####' || text END AS content FROM documents),
 rsplit AS (SELECT oid,
                   CASE WHEN len(string_split(content, '#####')) = 2 THEN string_split(content, '#####')[1]
-                       ELSE '[' || {Q} || array_to_string(string_split(content, '#####'), {Q} || ', ' || {Q})
-                            || {Q} || ']' END AS en,
+                       ELSE CAST(to_json(string_split(content, '#####')) AS VARCHAR) END AS en,
                   CASE WHEN len(string_split(content, '#####')) = 2 THEN string_split(content, '#####')[2]
                        ELSE 'ERR' END AS cn FROM resp)
 """

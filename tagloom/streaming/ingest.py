@@ -36,9 +36,9 @@ def responses_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def split_response(df: DataFrame, content: str = "content") -> DataFrame:
-    """Exactly two parts -> (en, cn); otherwise en = the parts listed, cn = 'ERR'."""
+    """Exactly two parts -> (en, cn); otherwise en = the parts as a JSON array, cn = 'ERR'."""
     parts = F.split(F.col(content), RESPONSE_SEP, -1)
-    listed = F.concat(F.lit("['"), F.array_join(parts, "', '"), F.lit("']"))
+    listed = F.to_json(parts)
     ok = F.size(parts) == 2
     return df.select("oid", F.when(ok, F.element_at(parts, 1)).otherwise(listed).alias("en"),
                      F.when(ok, F.element_at(parts, 2)).otherwise(F.lit(RESPONSE_ERR)).alias("cn"))

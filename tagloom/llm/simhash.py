@@ -219,7 +219,8 @@ def keep_first(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFram
     keep = (found.where("doc_id = component_id").groupBy("doc_id", "fp").agg((F.count("*") > 1).alias("again"))
             .groupBy("doc_id").agg(F.max("again").alias("again")))
     keep = materialize(keep, "simhash-keep")
-    kept = docs.join(keep.where("not again").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # always a sort-merge join: the documents to keep grow with the corpus
+    kept = docs.join(keep.where("not again").select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
     if keep.where("again").limit(1).count():
         again = docs.join(keep.where("again").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
         kept = kept.union(again.dropDuplicates(["doc_id", "text"]))

@@ -274,32 +274,31 @@ def normalise_text(s) -> Column:
 # ----------------------------------------------------------------------------------
 # spans
 # ----------------------------------------------------------------------------------
-def with_spans(df: DataFrame, labels: str, out: str) -> DataFrame:
-    """Labels -> array<struct<start,end,kind>> (0-based, end exclusive), linear.
+def spans(labels) -> list[dict]:
+    """T14 of one text: mentions as (start, end, kind), 0-based, end exclusive.
 
     A position continues the run before it when it is ``I-X`` and the previous label is
     ``B-X`` or ``I-X``; every other position breaks.  A span is a run that starts with
     ``B-X``; a run headed by a stray ``I-X`` opens nothing (D6).
     """
-    d = df.withColumn("__lab", F.col(labels))
-    lab = F.col("__lab")
-
-    def brk(i):
-        cur = F.element_at(lab, i)
-        prev = F.try_element_at(lab, i - 1)
-        cont = (i > 1) & cur.startswith("I-") & prev.rlike("^[BI]-") & \
-            (F.substring(prev, F.lit(3), F.length(prev)) == F.substring(cur, F.lit(3), F.length(cur)))
-        return ~F.coalesce(cont, F.lit(False))
-
-    d = d.withColumn("__brk", _pinned(lab, F.filter(positions(lab), brk)))
-    b = F.col("__brk")
-    n = F.size(lab)
-    runs = _pinned(b, _pinned(lab, F.transform(b, lambda s, g: F.struct(
-        (s - 1).alias("start"), (F.coalesce(F.try_element_at(b, g + 2), n + 1) - 1).alias("end"),
-        F.element_at(lab, s).alias("head")))))
-    spans = F.transform(F.filter(runs, lambda r: r["head"].startswith("B-")), lambda r: F.struct(
-        r["start"].alias("start"), r["end"].alias("end"), F.substring(r["head"], F.lit(3), F.length(r["head"])).alias("kind")))
-    return d.withColumn(out, spans).drop("__lab", "__brk")
+    out, prev, opened = [], "", None
+    for i, lab in enumerate(labels):
+        if not (lab.startswith("I-") and prev[:2] in ("B-", "I-") and prev[2:] == lab[2:]):
+            if opened is not None:
+                out.append({"start": opened, "end": i, "kind": prev[2:]})
+            opened = i if lab.startswith("B-") else None
+        prev = lab
+    if opened is not None:
+        out.append({"start": opened, "end": len(labels), "kind": prev[2:]})
+    return out
+
+
+def with_spans(df: DataFrame, labels: str, out: str) -> DataFrame:
+    """Labels -> array<struct<start,end,kind>>, linear."""
+    @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else spans(r) for r in rows])
+    return df.withColumn(out, run(labels))
 
 
 def explode_rows(df: DataFrame, arr, alias: str, keep: list[str], pos: str | None = None) -> DataFrame:

@@ -35,7 +35,12 @@ def split_90_10(df: DataFrame, key: str = "id", seed: int = SEED) -> DataFrame:
 
 def dense_rank_by_hash(df: DataFrame, h: str, key: str, group: list[str] | None = None,
                        out: str = "idx") -> DataFrame:
-    """0-based rank of each row ordered by (h, key) within ``group``, without a global sort."""
+    """0-based rank of each row ordered by (h, key) within ``group``, without a global sort.
+
+    ``group`` must have few values (it is used for splits): the broadcast bucket sizes are at most
+    65,536 rows for each.  A bucket is sorted in one task, so a table of more than some 10^10 rows
+    wants a longer prefix.  Rank keys alone and join the rows last if they are wide.
+    """
     group = group or []
     b = df.withColumn("__b", F.substring(F.col(h), 1, 4))
     sizes = b.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))

@@ -7,6 +7,8 @@ where the Spark side uses row-local folds.
 
 from __future__ import annotations
 
+import re
+
 from tagloom.constants import CORPUS_LEXICON, CORPUS_PAIRS
 
 ORACLE: dict[str, str] = {}
@@ -57,8 +59,13 @@ test_reviews AS (SELECT d.id, d.text FROM docs d ANTI JOIN cls c USING (id))
 """
 
 
+# CTEs that others read several times (or in every step of a recursion) are computed once
+_ONCE = re.compile(r"^(\w*tok|tlab|tw|trw|tr|val|\w*em|emcnt|trans|reviews|test_reviews|tagged|rc|rl|qrc|qrl|vocab|\w*tchar"
+                   r"|\w*path|qbio|marked|omarked|mtrain|mlog|mpr|mseen) AS \(", re.M)
+
+
 def with_corpus(body: str, extra_ctes: str = "") -> str:
     ctes = CORPUS_CTES.strip()
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip()
-    return f"WITH RECURSIVE {ctes}\n{body.strip()}"
+    return f"WITH RECURSIVE {_ONCE.sub(lambda m: m[1] + ' AS MATERIALIZED (', ctes)}\n{body.strip()}"

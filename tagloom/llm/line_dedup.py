@@ -6,8 +6,10 @@ least ``SIMILAR`` of the tokens agree position by position form one template, wh
 positions are variable.  A template that occurs in ``min_docs`` documents recurs; its lines stay in
 the document with the least doc_id and are dropped from all others.
 
-Leaves with more than ``MAX_LEAF`` different lines are routed by ``DEEPER`` tokens, and those still
-too large by all tokens, so a leaf's work is bounded and no line is left out.
+A leaf's lines have an order (most documents first), and each joins the first template that is near
+enough, or opens one.  Leaves with more than ``MAX_LEAF`` different lines get the same templates in
+rounds: the first ``MAX_LEAF`` lines left are worked through in one task, and the templates that they
+open are compared with all other lines of the leaf in as many tasks as it has pieces.
 
 Three passes over the texts: leaves with their document counts (combined in each batch before they
 are shuffled); the lines of recurring leaves, found with a bitmap of fixed size (a wrong hit only
@@ -16,18 +18,24 @@ costs a little work); the final cut of the documents that lose lines.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
 from tagloom.session import materialize
 
 DEPTH = 3
-DEEPER = 8
 SIMILAR = 0.7
-MAX_LEAF = 4096
+MAX_LEAF = 1 << 15              # lines of a leaf that one task works through
+STEP = 2048                     # of these, compared with one another directly
+PAIRS = 1 << 22                 # tokens compared at once
+FLUSH = 1 << 13                 # lines that a task gathers before it works through their leaves
 MIN_TOKENS = 3
 BITMAP_BITS = 23
 
@@ -105,7 +113,7 @@ def recurring_leaves(docs: DataFrame, min_docs: int) -> np.ndarray:
 
 
 def candidate_lines(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(doc_id, leaf, deep, line, tokens): each different line of a document in the bitmap's leaves.
+    """(doc_id, leaf, line, tokens): each different line of a document in the bitmap's leaves.
 
     ``tokens`` packs the line's token hashes (4 bytes each, 0 for a variable field).
     """
@@ -126,35 +134,171 @@ def candidate_lines(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 tokens = [small[a:a + n].tobytes() for a, n in zip(lines.first[here].tolist(), lines.count[here].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(lines.owner[here] + lo)), pa.array(leaf[here].view(np.int64)),
-                     pa.array(lines.key(DEEPER)[here].view(np.int64)), pa.array(line[here].view(np.int64)), pa.array(tokens, pa.binary())],
-                    names=["doc_id", "leaf", "deep", "line", "tokens"])
+                     pa.array(line[here].view(np.int64)), pa.array(tokens, pa.binary())],
+                    names=["doc_id", "leaf", "line", "tokens"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, leaf long, deep long, line long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, leaf long, line long, tokens binary")
+
+
+def near(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which rows agree with the other line in enough positions."""
+    return (rows == others).mean(1) >= SIMILAR
+
+
+def block_columns(n: int) -> Iterator[np.ndarray]:
+    """Position sets; near lines of ``n`` tokens agree in every position of at least one of them.
+
+    With at most ``m`` unequal positions, one of ``m + 1`` disjoint blocks is untouched, and two of ``m + 2``.
+    The leading tokens, equal in a leaf, are left out.
+    """
+    m = n - int(np.argmax(np.arange(n + 1) / n >= SIMILAR))
+    free = np.arange(DEPTH if n > DEPTH else 0, n)
+    pick = 2 if m <= 8 and len(free) >= m + 2 else 1
+    for blocks in combinations(np.array_split(free, m + pick), pick):
+        yield np.concatenate(blocks)
+
+
+def first_near(rows: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """The first of ``leads`` that each row is near to, or -1; only pairs with an equal block are compared."""
+    none = len(leads)
+    out = np.full(len(rows), none)
+    if not none or not len(rows):
+        return np.full(len(rows), -1)
+
+    def key(tokens: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(tokens), C.U64)
+        for c in columns.tolist():
+            h = C.mix(h + tokens[:, c].astype(C.U64) + C.U64(c + 1))
+        return h
+
+    for columns in block_columns(rows.shape[1]):
+        lead = key(leads, columns)
+        order = np.argsort(lead, kind="stable")
+        lead = lead[order]
+        mine = key(rows, columns)
+        lo = np.searchsorted(lead, mine, "left")
+        total = np.concatenate([[0], np.cumsum(np.searchsorted(lead, mine, "right") - lo)])
+        a = 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + max(1, PAIRS // rows.shape[1]), "right")) - 1)
+            count = np.diff(total[a:b + 1])
+            row = np.repeat(np.arange(a, b), count)
+            other = order[np.arange(total[a], total[b]) - np.repeat(total[a:b], count) + np.repeat(lo[a:b], count)]
+            better = other < out[row]
+            row, other = row[better], other[better]
+            same = near(rows[row], leads[other])
+            np.minimum.at(out, row[same], other[same])
+            a = b
+    return np.where(out == none, -1, out)
 
 
 def template_of(tokens: np.ndarray) -> np.ndarray:
     """Row of each line's template in one leaf: the first line, in order, that is similar enough."""
     out = np.arange(len(tokens))
-    left = np.arange(len(tokens))
-    while len(left) > 1:
-        near = (tokens[left] == tokens[left[0]]).mean(1) >= SIMILAR
-        out[left[near]] = left[0]
-        left = left[~near]
+    leads = np.empty(0, np.int64)
+    for lo in range(0, len(tokens), STEP):
+        left = np.arange(lo, min(len(tokens), lo + STEP))
+        at = first_near(tokens[left], tokens[leads])
+        out[left[at >= 0]] = leads[at[at >= 0]]
+        left, new = left[at < 0], []
+        while len(left):
+            same = near(tokens[left], tokens[left[0]])
+            out[left[same]] = left[0]
+            new.append(left[0])
+            left = left[~same]
+        leads = np.concatenate([leads, np.array(new, np.int64)])
+    return out
+
+
+def matrix(tokens: pa.ChunkedArray) -> np.ndarray:
+    """Token hashes of lines of one leaf, a row each."""
+    data, _ = C.utf8(tokens)
+    return np.frombuffer(data.tobytes(), np.uint32).reshape(len(tokens), -1)
+
+
+def in_pieces(lines: DataFrame) -> DataFrame:
+    """``lines`` (leaf, n, line, tokens) plus piece: consecutive lines of a leaf, numbered in its order."""
+    def run(batches):
+        task, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            leaf = batch.column(0).to_numpy(zero_copy_only=False)
+            head = np.append(True, leaf[1:] != leaf[:-1])
+            cut = np.flatnonzero(head)
+            place = np.arange(len(leaf)) - cut[np.cumsum(head) - 1]
+            if leaf[0] == last:
+                place[:cut[1] if len(cut) > 1 else len(leaf)] += seen
+            last, seen = leaf[-1], int(place[-1]) + 1
+            piece = (task << 32) + place // MAX_LEAF
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(piece, pa.int64())], names=["leaf", "n", "line", "tokens", "piece"])
+
+    order = [F.col("leaf"), F.desc("n"), F.col("line")]
+    ordered = lines.select("leaf", "n", "line", "tokens").repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, "leaf long, n long, line long, tokens binary, piece long")
+
+
+def open_templates(table: pa.Table) -> pa.Table:
+    """The first lines of a leaf with their templates; place is the line's in the order, for those that open one."""
+    table = table.sort_by([("n", "descending"), ("line", "ascending")])
+    line = table.column("line").to_numpy()
+    at = template_of(matrix(table.column("tokens")))
+    opens = at == np.arange(len(at))
+    tokens = [t if o else None for t, o in zip(table.column("tokens").to_pylist(), opens.tolist())]
+    return pa.table({"leaf": table.column("leaf"), "line": line, "template": line[at],
+                     "place": pa.array(np.arange(len(at)), pa.int64(), mask=~opens), "tokens": pa.array(tokens, pa.binary())})
+
+
+def join_templates(rows: pa.Table, leads: pa.Table) -> pa.Table:
+    """A piece's lines with the first of the leaf's open templates that each is near to, or null."""
+    template = np.zeros(len(rows), np.int64)
+    at = np.full(len(rows), -1)
+    if len(rows) and len(leads):
+        leads = leads.sort_by("place")
+        at = first_near(matrix(rows.column("tokens")), matrix(leads.column("tokens")))
+        template = leads.column("line").to_numpy()[at]
+    return rows.select(["leaf", "n", "line", "tokens", "piece"]).append_column("template", pa.array(template, pa.int64(), mask=at < 0))
+
+
+def templates_by_rounds(lines: DataFrame) -> DataFrame:
+    """(line, template) of large leaves: the templates that one task would find, working through the whole leaf."""
+    left, done = materialize(in_pieces(lines), "line-pieces"), []
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("leaf").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    while True:
+        size = left.groupBy("leaf", "piece").agg(F.count("*").alias("c")).withColumn("before", before)
+        first = (F.col("before") == 0) | (F.col("before") + F.col("c") <= MAX_LEAF)
+        size = materialize(size.select("leaf", "piece", first.alias("first")), "line-heads")
+        if size.isEmpty():
+            break
+        marked = left.join(size, ["leaf", "piece"])
+        head = marked.where("first").drop("first").groupBy("leaf").applyInArrow(
+            open_templates, "leaf long, line long, template long, place long, tokens binary")
+        head = materialize(head, "line-opened")
+        leads = head.where("place is not null").select("leaf", "line", "place", "tokens").join(size.where("not first").select("leaf", "piece"), "leaf")
+        rest = marked.where("not first").drop("first").groupBy("leaf", "piece").cogroup(leads.groupBy("leaf", "piece")).applyInArrow(
+            join_templates, "leaf long, n long, line long, tokens binary, piece long, template long")
+        rest = materialize(rest, "line-rest")
+        done += [head.select("line", "template"), rest.where("template is not null").select("line", "template")]
+        left = rest.where("template is null").drop("template")
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
     return out
 
 
 def templates(lines: DataFrame) -> DataFrame:
     """(line, template) for the different lines of ``lines``; a template is named by its first line."""
-    distinct = lines.groupBy("leaf", "deep", "line").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    distinct = lines.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
     distinct = materialize(distinct, "line-distinct")
     large = materialize(distinct.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") > MAX_LEAF).select("leaf"), "line-large")
-    part = F.when(F.col("big").isNull(), F.col("leaf")).otherwise(F.col("deep"))
-    routed = distinct.join(large.withColumn("big", F.lit(True)), "leaf", "left").withColumn("leaf", part).drop("big", "deep")
-    still = materialize(routed.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") > MAX_LEAF).select("leaf"), "line-still")
-    routed = (routed.join(still.withColumn("big", F.lit(True)), "leaf", "left")
-              .withColumn("leaf", F.when(F.col("big").isNull(), F.col("leaf")).otherwise(F.col("line"))).drop("big"))
+    if large.isEmpty():
+        return templates_in_tasks(distinct)
+    return templates_in_tasks(distinct.join(large, "leaf", "left_anti")).union(templates_by_rounds(distinct.join(large, "leaf", "left_semi")))
+
 
+def templates_in_tasks(lines: DataFrame) -> DataFrame:
+    """(line, template) of leaves that a task can hold."""
     def run(batches):
         held: list = []
 
@@ -179,13 +323,13 @@ def templates(lines: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                if sum(b.num_rows for b in held) >= 2 * MAX_LEAF:
+                if sum(b.num_rows for b in held) >= FLUSH:
                     out, held = flush(False)
                     yield out
         if held:
             yield flush(True)[0]
 
-    ordered = routed.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line").select("leaf", "line", "tokens")
+    ordered = lines.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line").select("leaf", "line", "tokens")
     return ordered.mapInArrow(run, "line long, template long")
 
 

@@ -259,3 +259,41 @@ def test_large_leaf_is_routed_deeper(spark, monkeypatch):
     texts = [f"a b c {x} e f g {y} i" for x in "pqrst" for y in "klmno"] + ["a b c p e f g k i"]
     got = {r.doc_id: r.text for r in line_dedup.dedup(documents(spark, texts)).collect()}
     assert got[25] == "" and got[0] == texts[0]
+
+
+def leader_templates(rows):
+    """Each line joins the first line, in order, that opened a template and is 70 % equal, one after another."""
+    out, leads = [], []
+    for i, row in enumerate(rows):
+        at = next((j for j in leads if sum(a == b for a, b in zip(rows[j], row)) * 10 >= 7 * len(row)), i)
+        leads += [i] * (at == i)
+        out.append(at)
+    return out
+
+
+def test_template_of_is_the_plain_rule_at_every_length(monkeypatch):
+    rng = np.random.default_rng(3)
+    for step, pairs in ((7, 16), (2048, 1 << 22)):
+        monkeypatch.setattr(line_dedup, "STEP", step)
+        monkeypatch.setattr(line_dedup, "PAIRS", pairs)
+        for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 20, 37):
+            base = rng.integers(0, 3, (12, n))
+            rows = np.where(rng.random((150, n)) < 0.25, rng.integers(0, 3, (150, n)), base[rng.integers(0, 12, 150)]).astype(np.uint32)
+            rows[:, :3] = 1
+            assert line_dedup.template_of(rows).tolist() == leader_templates(rows.tolist())
+
+
+def test_leaf_above_the_limit_drops_what_it_drops_below(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    # one template whose words vary in the tokens 4-8, and lines of the same leaf that are near none or few
+    lines = [f"Posted by user {word()} in town on our site today" for _ in range(60)]
+    lines += [f"Posted by user {' '.join(rng.choice('klm') for _ in range(7))}" for _ in range(60)]
+    texts = ["\n".join(lines[i::40]) for i in range(40)] + ["\n".join(rng.sample(lines, 3)) for _ in range(5)]
+    docs = documents(spark, texts)
+    below = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
+    monkeypatch.setattr(line_dedup, "MAX_LEAF", 16)
+    above = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
+    assert above == below
+    hot = [i for i, t in above.items() if "on our site" in t]
+    assert len(hot) == 1

@@ -7,21 +7,25 @@ often a document is used per epoch) whose expected domain token totals match the
     minimise  1/2 * e' M e  +  ridge / (2 D) * sum_d (r[d] - 1)^2,   e[k] = sum_d r[d] q[d, k] - w[k]
 
 with ``q[d, k] = n[d] p[d, k] / N``, ``n[d]`` the tokens of a document, ``N`` of all, ``D`` documents,
-``w`` the target shares and ``M`` the inverse of the domains' K x K Gram matrix ``D * q' q`` (with a
-little on its diagonal).  That weighting makes rare and frequent domains equally steep, so the
-gradient step has length 1 whatever the data.  It is solved by accelerated projected gradient: the
-residuals are K sums over all documents, and every rate moves by its own gradient and is cut at
-zero.  All documents take part in every step; per step 2 K numbers reach the driver.
+``w`` the target shares and ``M`` the inverse of the domains' K x K Gram matrix ``G = D * q' q``.  Its
+dual has K unknowns: ``r[d] = max(0, 1 + D * sum_k q[d, k] u[k])``, where ``u`` solves
+
+    sum_d r[d] q[d, k] - w[k] + ridge * (G u)[k] = 0
+
+by Newton steps with step halving; one pass over all documents gives a step's K sums and the K x K
+Gram matrix of the documents whose rate is not zero.  While the shares miss the targets, the ridge is
+lowered and ``G`` is taken over the documents whose rate is not zero, so that a few very long
+documents, once at zero, no longer decide how much a miss weighs.  What is left of the miss is returned.
 
 The classifier is multinomial naive Bayes over hashed words, counted over the sampled labelled texts
 with smoothing and scored by a join of exploded words with the table of ``BUCKETS`` rows (of fixed
 size, broadcast), summed per row in the same task before it is shuffled.  Everything on the main
-path is DataFrame expressions (numpy inverts the K x K matrix on the driver).
+path is DataFrame expressions (numpy solves the K x K systems on the driver).
 """
 
 from __future__ import annotations
 
-import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -32,6 +36,7 @@ from tagloom.session import materialize
 
 BUCKETS = 1 << 14
 MAX_DOMAINS = 32
+GAP = 1e-4                      # a share may miss its target by so much
 
 
 def words(text: Column) -> Column:
@@ -95,52 +100,68 @@ def posteriors(docs: DataFrame, domains: list[str], model: DataFrame | None) ->
 
 # --- rates -------------------------------------------------------------------------------
 
-def residual_weights(gram: list[list[float]]) -> list[list[float]]:
-    """Inverse of the K x K Gram matrix with a millionth of its mean diagonal added."""
-    g = np.array(gram, float)
-    k = len(g)
-    return np.linalg.inv(g + max(np.trace(g) / k, 1e-12) * 1e-6 * np.eye(k)).tolist()
+def solve(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solution of a K x K system, scaled so that rare domains count like frequent ones."""
+    scale = 1 / np.sqrt(np.maximum(np.diag(matrix), 1e-300))
+    return scale * np.linalg.lstsq(matrix * scale[:, None] * scale, right * scale, rcond=1e-13)[0]
 
 
 def fit_rates(member: DataFrame, targets: list[float], ridge: float = 1e-3, steps: int = 60,
-              tolerance: float = 1e-4, every: int = 10) -> tuple[DataFrame, list[float]]:
+              tolerance: float = 1e-4) -> tuple[DataFrame, list[float]]:
     """``member`` (.., n_tokens, p) plus ``rate``, and the domain shares that the rates give.
 
-    Stops when all expected shares are within ``tolerance`` of the targets or none moves by a tenth of
-    that in a step, at the latest after ``steps``.  The state is written every ``every`` steps, which cuts the lineage.  Documents
-    without tokens have rate 1.  With all documents empty every rate is 1.
+    Stops when all shares are within ``tolerance`` of the targets, when lowering the ridge twice brings
+    them no nearer (the targets cannot be met), or after ``steps`` passes.  Documents without tokens
+    have rate 1.  With all documents empty every rate is 1.
     """
     k = len(targets)
     size = member.agg(F.sum("n_tokens").alias("n"), F.count("*").alias("d")).first()
     n, d = float(size["n"] or 0), float(size["d"] or 0)
     if not n:
         return member.withColumn("rate", F.lit(1.0)), [0.0] * k
+    w = np.array(targets, float)
     q = [F.col("n_tokens") * F.col("p")[i] / n for i in range(k)]   # share of domain i per unit rate
-    gram = member.agg(*[F.sum(q[i] * q[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    m = residual_weights([[gram[f"g{min(i, j)}_{max(i, j)}"] * d for j in range(k)] for i in range(k)])
-    step = 1.0 / (1.0 + ridge)
-    # in the metric scaled by D: gradient of r[d] is D * sum_k q[d, k] (M e)[k] + ridge * (r[d] - 1)
-    state = member.withColumn("rate", F.lit(1.0)).withColumn("ahead", F.lit(1.0))
-    t, shares = 1.0, None
-    for i in range(steps):
-        now = state.agg(*[F.sum(q[j] * F.col("ahead")).alias(f"s{j}") for j in range(k)],
-                        *[F.sum(q[j] * F.col("rate")).alias(f"r{j}") for j in range(k)]).first()
-        new = [now[f"r{j}"] for j in range(k)]
-        settled = shares is not None and max(abs(a - b) for a, b in zip(new, shares)) <= tolerance / 10
-        shares = new
-        if settled or max(abs(a - b) for a, b in zip(new, targets)) <= tolerance:
+
+    def rate(u: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), sum((q[i] * float(u[i] * d) for i in range(k)), F.lit(1.0)))
+
+    def look(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual's sum over documents, the shares, and the Gram matrix of documents with a rate."""
+        r = F.col("rate")
+        row = member.select("n_tokens", "p", rate(u).alias("rate")).where(r > 0).agg(
+            F.sum(r * r / (2 * d)).alias("value"), *[F.sum(r * q[i]).alias(f"s{i}") for i in range(k)],
+            *[F.sum(q[i] * q[j] * d).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float)
+        return row["value"] or 0.0, np.array([row[f"s{i}"] or 0.0 for i in range(k)]), gram
+
+    u = np.zeros(k)
+    value, shares, gram = look(u)
+    weight, passes = gram, 1
+    best, stuck = (np.inf, u, shares), 0
+    while True:
+        low = value - w @ u + ridge / 2 * u @ weight @ u
+        slope = shares - w + ridge * weight @ u
+        while np.abs(slope).max() > tolerance / 10 and passes < steps:
+            move, length = -solve(gram + ridge * weight, slope), 1.0
+            while passes < steps:
+                new = u + length * move
+                value, shares, gram = look(new)
+                passes += 1
+                at = value - w @ new + ridge / 2 * new @ weight @ new
+                if at <= low + 1e-4 * length * (slope @ move) + 1e-12 * abs(low):
+                    break
+                length /= 2
+            u, low = new, at
+            slope = shares - w + ridge * weight @ u
+        gap = float(np.abs(shares - w).max())
+        stuck = stuck + 1 if gap > 0.99 * best[0] else 0
+        if gap < best[0]:
+            best = (gap, u, shares)
+        if gap <= tolerance or stuck == 2 or passes >= steps:
             break
-        residual = [now[f"s{j}"] - targets[j] for j in range(k)]
-        error = [sum(a * b for a, b in zip(row, residual)) for row in m]
-        slope = sum((q[j] * (error[j] * d) for j in range(1, k)), q[0] * (error[0] * d)) + ridge * (F.col("ahead") - 1)
-        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        state = (state.withColumn("next", F.greatest(F.lit(0.0), F.col("ahead") - step * slope))
-                 .withColumn("ahead", F.col("next") + (t - 1) / t2 * (F.col("next") - F.col("rate")))
-                 .withColumn("rate", F.col("next")).drop("next"))
-        t = t2
-        if i % every == every - 1:
-            state = materialize(state, "mixing-rates")
-    return state.drop("ahead"), shares
+        ridge, weight = ridge / 10, gram
+    _, u, shares = best
+    return member.withColumn("rate", rate(u)), shares.tolist()
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], per_domain: int = 3000) -> DataFrame:
@@ -150,12 +171,19 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], per_dom
     domain; they are scaled to sum 1 over the domains that the labelled table has.  A domain
     without a target has share 0.  Without any labelled text there is one domain and all rates
     are 1.  Null and empty texts have equal posteriors, no tokens and rate 1; repeated rows and null
-    ids are rows like others.
+    ids are rows like others.  The column ``rate`` has the targets, the shares that the rates give and the
+    largest gap between them as metadata; a gap above ``GAP`` is also warned of.
     """
     domains, model = word_model(docs.select("doc_id", "text"), labelled, per_domain)
     member = materialize(posteriors(docs, domains, model), "mixing-members")
     wanted = [max(0.0, targets.get(k, 0.0)) for k in domains]
     if not sum(wanted):
         return member.withColumn("rate", F.lit(1.0))
-    rated, _ = fit_rates(member, [x / sum(wanted) for x in wanted])
-    return rated
+    wanted = [x / sum(wanted) for x in wanted]
+    rated, shares = fit_rates(member, wanted, tolerance=GAP)
+    gap = max(abs(a - b) for a, b in zip(shares, wanted)) if any(shares) else 0.0
+    if gap > GAP:
+        warnings.warn(f"rates miss the target shares by up to {gap:.2g}: "
+                      + ", ".join(f"{k} {a:.4f} of {b:.4f}" for k, a, b in zip(domains, shares, wanted)), stacklevel=2)
+    told = {"targets": dict(zip(domains, wanted)), "shares": dict(zip(domains, shares)), "gap": gap}
+    return rated.withColumn("rate", F.col("rate").alias("rate", metadata=told))

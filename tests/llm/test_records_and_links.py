@@ -177,6 +177,34 @@ def test_rates_match_projected_gradient(spark):
     assert r[n == 0] == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("long", [1, 3])
+def test_rates_meet_targets_beside_very_long_documents(spark, long):
+    rng = np.random.default_rng(5)
+    n = np.maximum(1, rng.lognormal(5, 1, 3000)).astype(int)
+    n[:long] = 2_000_000
+    kind = rng.choice(3, 3000, p=[0.5, 0.3, 0.2])
+    kind[:long] = 1 + np.arange(long) % 2
+    p = 0.97 * np.eye(3)[kind] + 0.01
+    p[:, 0] = 1 - p[:, 1] - p[:, 2]
+    member = spark.createDataFrame([(i, int(a), [float(x) for x in b]) for i, (a, b) in enumerate(zip(n, p))], "doc_id long, n_tokens long, p array<double>")
+    target = np.array([0.92, 0.06, 0.02])
+    rated, shares = mixing.fit_rates(member, target.tolist())
+    r = np.array([x.rate for x in sorted(rated.collect(), key=lambda x: x.doc_id)])
+    reached = (n[:, None] * p / n.sum()).T @ r
+    assert (r >= 0).all() and reached == pytest.approx(np.array(shares), abs=1e-9)
+    assert np.abs(reached - target).max() <= 1e-4
+
+
+def test_mix_tells_the_gap(spark):
+    texts = ["red apple pear"] * 10 + ["iron steel bolt"] * 10
+    labels = spark.createDataFrame([(i, "fruit" if i < 10 else "metal") for i in range(20)], "doc_id long, label string")
+    met = mixing.mix(documents(spark, texts), labels, {"fruit": 3, "metal": 1}).schema["rate"].metadata
+    assert met["gap"] <= 1e-4 and met["targets"] == {"fruit": 0.75, "metal": 0.25} and met["shares"]["fruit"] == pytest.approx(0.75, abs=1e-4)
+    with pytest.warns(UserWarning, match="miss the target"):      # posteriors are never 0 and 1
+        missed = mixing.mix(documents(spark, texts), labels, {"fruit": 1}).schema["rate"].metadata
+    assert missed["gap"] > 1e-4
+
+
 def test_mix_end_to_end(spark):
     texts = ["red apple pear"] * 20 + ["iron steel bolt"] * 20 + ["red iron", None, "", "unseen words"]
     docs = documents(spark, texts, [*range(40), None, 41, 41, 43])

@@ -46,7 +46,7 @@ _DIGIT = C.lut(range(0x30, 0x3A))
 class Lines:
     """The lines of a slice: byte spans, text, token count, leaf keys, line key, token hashes."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, min_tokens: int = MIN_TOKENS):
         feed = data == 0x0A
         word = ~_SPACE[data]
         # a class change at every line feed and blank; tokens never hold a feed (it is a blank)
@@ -67,7 +67,7 @@ class Lines:
         h[field & np.repeat(fields <= (1 - SIMILAR) * count, count)] = 0
         self.text = np.searchsorted(offs, self.start, "right") - 1
         self.n_texts = len(offs) - 1
-        keep = count >= MIN_TOKENS
+        keep = count >= max(1, min_tokens)
         self.line = np.flatnonzero(keep)                        # lines that take part
         self.first, self.count, self.hashes = first[:-1][keep], count[keep], h
         self.owner = self.text[keep]
@@ -88,13 +88,13 @@ def slot(leaf: np.ndarray) -> np.ndarray:
     return (leaf & C.U64((1 << BITMAP_BITS) - 1)).astype(np.int64)
 
 
-def recurring_leaves(docs: DataFrame, min_docs: int) -> np.ndarray:
+def recurring_leaves(docs: DataFrame, min_docs: int, min_tokens: int = MIN_TOKENS) -> np.ndarray:
     """Bitmap (bytes of bits) of the leaves that occur in ``min_docs`` texts or more."""
     def run(batches):
         for batch in batches:
             found = []
             for _, _, data, offs in C.slices(*C.utf8(batch.column(0))):
-                lines = Lines(data, offs)
+                lines = Lines(data, offs, min_tokens)
                 leaf = lines.key(DEPTH)
                 pair = np.unique(np.stack([lines.owner.astype(C.U64), leaf], 1), axis=0) if len(leaf) else np.empty((0, 2), C.U64)
                 found.append(pair[:, 1])
@@ -112,7 +112,7 @@ def recurring_leaves(docs: DataFrame, min_docs: int) -> np.ndarray:
     return out
 
 
-def candidate_lines(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def candidate_lines(docs: DataFrame, bitmap: np.ndarray, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, leaf, line, tokens): each different line of a document in the bitmap's leaves.
 
     ``tokens`` packs the line's token hashes (4 bytes each, 0 for a variable field).
@@ -123,7 +123,7 @@ def candidate_lines(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for lo, _, data, offs in C.slices(*C.utf8(batch.column(1))):
-                lines = Lines(data, offs)
+                lines = Lines(data, offs, min_tokens)
                 leaf, bits = lines.key(DEPTH), shared.value
                 at = slot(leaf)
                 here = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
@@ -333,9 +333,9 @@ def templates_in_tasks(lines: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "line long, template long")
 
 
-def drops(docs: DataFrame, min_docs: int = 2) -> DataFrame:
+def drops(docs: DataFrame, min_docs: int = 2, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, lines): the keys of the lines that each document loses."""
-    lines = materialize(candidate_lines(docs, recurring_leaves(docs, min_docs)), "line-candidates")
+    lines = materialize(candidate_lines(docs, recurring_leaves(docs, min_docs, min_tokens), min_tokens), "line-candidates")
     named = materialize(templates(lines), "line-templates")
     at = materialize(lines.where("doc_id is not null").select("doc_id", "line").join(named, "line"), "line-places")
     stats = (at.groupBy("template").agg(F.min("doc_id").alias("home"), F.count_distinct("doc_id").alias("docs"))
@@ -345,15 +345,16 @@ def drops(docs: DataFrame, min_docs: int = 2) -> DataFrame:
             .groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
 
 
-def dedup(docs: DataFrame, min_docs: int = 2, report: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = 2, report: bool = False, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` (doc_id, text, any others) without the lines whose templates recur.
 
     Rows that share a doc_id are one document; rows with a null doc_id stay as they are.  Null and
-    empty texts stay; a text may become empty.  Lines of fewer than ``MIN_TOKENS`` tokens stay.
+    empty texts stay; a text may become empty.  Lines of fewer than ``min_tokens`` tokens stay;
+    with 1 every line that is not blank takes part, the shorter ones as exact repeats.
     With ``report`` a struct column ``line_report`` (n_lines, n_dropped) is added under an unused
     name, as the last column.
     """
-    lost = drops(docs.select("doc_id", "text"), min_docs)
+    lost = drops(docs.select("doc_id", "text"), min_docs, min_tokens)
     key, gone = C.unused(docs, "lost_id"), C.unused(docs, "lost_lines")
     lost = lost.select(F.col("doc_id").alias(key), F.col("lines").alias(gone))
     joined = docs.join(lost, docs["doc_id"] == lost[key], "left").drop(key)
@@ -370,7 +371,7 @@ def dedup(docs: DataFrame, min_docs: int = 2, report: bool = False) -> DataFrame
                 new: dict[int, bytes] = {}
                 lose = np.zeros(hi - lo, np.int64)
                 if some:
-                    lines = Lines(data, offs)
+                    lines = Lines(data, offs, min_tokens)
                     line = lines.key(None).view(np.int64)
                     edge = np.append(lines.start, len(data))
                     raw = data.tobytes()

@@ -59,7 +59,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup(C.text_rows(C.table(spark, sf_dir, "documents")), report=True)
+    done = line_dedup.dedup(C.text_rows(C.table(spark, sf_dir, "documents")), report=True, min_tokens=1)
     return done.select("doc_id", "line_report.n_lines", "line_report.n_dropped",
                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 

@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of recurring templates that an earlier document has."""
-    out = line_dedup.dedup(docs)
+    out = line_dedup.dedup(docs, min_tokens=1)
     kinds = dict(out.dtypes)
     return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in kinds else out
 

@@ -297,3 +297,14 @@ def test_leaf_above_the_limit_drops_what_it_drops_below(spark, monkeypatch):
     assert above == below
     hot = [i for i, t in above.items() if "on our site" in t]
     assert len(hot) == 1
+
+
+def test_query_and_stage_drop_recurring_lines_of_one_and_two_tokens(spark, tmp_path):
+    from llm_fixtures import sf_dir
+    from tagloom.llm import stages
+    texts = ["Read more\nfirst text of its own", "Read more\nMenu\n\nthe second text is other", "Menu\n\nRead more.\nRead 2\nRead 3", "Read 4\n \nRead more"]
+    docs = documents(spark, texts)
+    want = {0: texts[0], 1: "Menu\n\nthe second text is other", 2: "\nRead more.\nRead 2\nRead 3", 3: "Read 4\n "}
+    assert {r.doc_id: r.text for r in stages.lines(spark, docs, "").collect()} == want
+    rows = queries.op6_line_dedup(spark, sf_dir(spark, tmp_path, documents=docs)).collect()
+    assert {r.doc_id: r.n_dropped for r in rows} == {0: 0, 1: 1, 2: 1, 3: 1}

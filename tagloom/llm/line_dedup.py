@@ -12,8 +12,8 @@ rounds: the first ``MAX_LEAF`` lines left are worked through in one task, and th
 open are compared with all other lines of the leaf in as many tasks as it has pieces.
 
 Three passes over the texts: leaves with their document counts (combined in each batch before they
-are shuffled); the lines of recurring leaves, found with a bitmap of fixed size (a wrong hit only
-costs a little work); the final cut of the documents that lose lines.
+are shuffled); the lines of recurring leaves, found with a bitmap of eight bits or more a leaf (a
+wrong hit only costs a little work; beyond ``MAX_BITMAP_BITS`` a join removes them); the final cut of the documents that lose lines.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ STEP = 2048                     # of these, compared with one another directly
 PAIRS = 1 << 22                 # tokens compared at once
 FLUSH = 1 << 13                 # lines that a task gathers before it works through their leaves
 MIN_TOKENS = 3
-BITMAP_BITS = 23
+BITMAP_BITS = 23                # least size of the bitmap, as a power of two
+MAX_BITMAP_BITS = 28            # 32 MB; above, the leaves are also joined
 
 _SPACE = C.lut(C.WHITESPACE)
 _DIGIT = C.lut(range(0x30, 0x3A))
@@ -84,12 +85,12 @@ class Lines:
         return C.mix(C.mix(h) + self.count.astype(C.U64) * C.U64(0xD6E8FEB86659FD93))
 
 
-def slot(leaf: np.ndarray) -> np.ndarray:
-    return (leaf & C.U64((1 << BITMAP_BITS) - 1)).astype(np.int64)
+def slot(leaf: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    return (leaf & C.U64(64 * len(bitmap) - 1)).astype(np.int64)
 
 
-def recurring_leaves(docs: DataFrame, min_docs: int, min_tokens: int = MIN_TOKENS) -> np.ndarray:
-    """Bitmap (bytes of bits) of the leaves that occur in ``min_docs`` texts or more."""
+def recurring_leaves(docs: DataFrame, min_docs: int, min_tokens: int = MIN_TOKENS) -> tuple[np.ndarray, DataFrame | None]:
+    """Bitmap (words of bits) of the leaves that occur in ``min_docs`` texts or more; the leaves, if it is too small."""
     def run(batches):
         for batch in batches:
             found = []
@@ -102,18 +103,19 @@ def recurring_leaves(docs: DataFrame, min_docs: int, min_tokens: int = MIN_TOKEN
             yield pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), pa.array(n, pa.int64())], names=["leaf", "n"])
 
     seen = docs.select("text").mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
-    place = F.col("leaf").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    words = (seen.where(F.col("n") >= min_docs).select(place.alias("at"))
-             .groupBy(F.shiftrightunsigned("at", 6).alias("word"))
-             .agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).collect())
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for r in words:
-        out[r["word"]] = r["bits"]
-    return out
+    seen = materialize(seen.where(F.col("n") >= min_docs).select("leaf"), "line-leaves")
+    wanted = max(BITMAP_BITS, (8 * seen.count()).bit_length())
+    bits = min(wanted, MAX_BITMAP_BITS)
+    place = F.col("leaf").bitwiseAND(F.lit((1 << bits) - 1))
+    words = (seen.select(place.alias("at")).groupBy(F.shiftrightunsigned("at", 6).alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow())
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out, seen if wanted > bits else None
 
 
-def candidate_lines(docs: DataFrame, bitmap: np.ndarray, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc_id, leaf, line, tokens): each different line of a document in the bitmap's leaves.
+def candidate_lines(docs: DataFrame, bitmap: np.ndarray, leaves: DataFrame | None = None, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(doc_id, leaf, line, tokens): each different line of a document in the bitmap's leaves (and in ``leaves``).
 
     ``tokens`` packs the line's token hashes (4 bytes each, 0 for a variable field).
     """
@@ -125,7 +127,7 @@ def candidate_lines(docs: DataFrame, bitmap: np.ndarray, min_tokens: int = MIN_T
             for lo, _, data, offs in C.slices(*C.utf8(batch.column(1))):
                 lines = Lines(data, offs, min_tokens)
                 leaf, bits = lines.key(DEPTH), shared.value
-                at = slot(leaf)
+                at = slot(leaf, bits)
                 here = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
                 line = lines.key(None)
                 _, one = np.unique(np.stack([lines.owner[here].astype(C.U64), line[here]], 1), axis=0, return_index=True) if len(here) else (0, here)
@@ -138,7 +140,8 @@ def candidate_lines(docs: DataFrame, bitmap: np.ndarray, min_tokens: int = MIN_T
                     names=["doc_id", "leaf", "line", "tokens"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, leaf long, line long, tokens binary")
+    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, leaf long, line long, tokens binary")
+    return out if leaves is None else out.join(leaves, "leaf", "left_semi")
 
 
 def near(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -335,7 +338,7 @@ def templates_in_tasks(lines: DataFrame) -> DataFrame:
 
 def drops(docs: DataFrame, min_docs: int = 2, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, lines): the keys of the lines that each document loses."""
-    lines = materialize(candidate_lines(docs, recurring_leaves(docs, min_docs, min_tokens), min_tokens), "line-candidates")
+    lines = materialize(candidate_lines(docs, *recurring_leaves(docs, min_docs, min_tokens), min_tokens), "line-candidates")
     named = materialize(templates(lines), "line-templates")
     at = materialize(lines.where("doc_id is not null").select("doc_id", "line").join(named, "line"), "line-places")
     stats = (at.groupBy("template").agg(F.min("doc_id").alias("home"), F.count_distinct("doc_id").alias("docs"))

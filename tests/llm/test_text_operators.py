@@ -308,3 +308,15 @@ def test_query_and_stage_drop_recurring_lines_of_one_and_two_tokens(spark, tmp_p
     assert {r.doc_id: r.text for r in stages.lines(spark, docs, "").collect()} == want
     rows = queries.op6_line_dedup(spark, sf_dir(spark, tmp_path, documents=docs)).collect()
     assert {r.doc_id: r.n_dropped for r in rows} == {0: 0, 1: 1, 2: 1, 3: 1}
+
+
+def test_candidates_are_few_however_many_leaves_recur(spark, monkeypatch):
+    once = ["\n".join(f"once{i} x{j} y z" for j in range(20)) for i in range(20)]
+    twice = ["\n".join(f"twice{j} x{i} y z" for i in range(50)) for j in range(2)] * 2
+    docs = documents(spark, once + twice)
+    monkeypatch.setattr(line_dedup, "BITMAP_BITS", 6)
+    for most in (28, 6):                                          # a larger bitmap, or a join
+        monkeypatch.setattr(line_dedup, "MAX_BITMAP_BITS", most, raising=False)
+        got = line_dedup.recurring_leaves(docs, 2)
+        lines = line_dedup.candidate_lines(docs, *(got if isinstance(got, tuple) else (got,)))
+        assert 200 <= lines.count() < 300                         # of 600; 200 of them recur

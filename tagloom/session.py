@@ -81,14 +81,14 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    _remove_at_exit(spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
+def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Materialised tables belong to this process: they go when it ends."""
     if not _TABLES:
         atexit.register(remove_tables)

@@ -81,6 +81,21 @@ def runs(cls: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1][keep], at[1:][keep]
 
 
+def gather(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the concatenated spans (start, size), or of those that ``which`` names."""
+    if which is not None:
+        starts, sizes = starts[which], sizes[which]
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def same_bytes(data: np.ndarray, s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarray,
+               other: np.ndarray | None = None) -> bool:
+    """Whether the spans of ``data`` equal their counterparts (in ``other``, if given)."""
+    other = data if other is None else other
+    return bool(((e1 - s1) == (e2 - s2)).all()) and bool((data[gather(s1, e1 - s1)] == other[gather(s2, e2 - s2)]).all())
+
+
 # --- hashes ------------------------------------------------------------------------------
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -142,6 +157,37 @@ def string_hash(text: bytes) -> int:
     return int(SpanHash(data)(np.array([0]), np.array([len(data)]))[0])
 
 
+# --- first rows -------------------------------------------------------------------------
+
+NO_SCORE = np.int64(-1) << np.int64(62)
+NO_ID = np.int64((1 << 63) - 1)       # stands for null: last among equal scores
+
+
+class Best:
+    """The first ``k`` (score descending, id ascending) rows of each slot."""
+
+    def __init__(self, slots: int, k: int):
+        self.k, self.score, self.id = k, np.full((slots, k), NO_SCORE), np.full((slots, k), NO_ID)
+
+    def floor(self) -> np.ndarray:
+        """A row must score this to enter a slot."""
+        return self.score[:, -1]
+
+    def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if not len(slot):
+            return
+        here = np.unique(slot)
+        slot = np.concatenate([slot, np.repeat(here, self.k)])
+        score = np.concatenate([score, self.score[here].ravel()])
+        ids = np.concatenate([ids, self.id[here].ravel()])
+        order = np.lexsort((ids, -score, slot))
+        slot, score, ids = slot[order], score[order], ids[order]
+        rank = np.arange(len(slot)) - np.searchsorted(slot, slot)
+        keep = rank < self.k
+        self.score[slot[keep], rank[keep]] = score[keep]
+        self.id[slot[keep], rank[keep]] = ids[keep]
+
+
 # --- rows in, rows out -------------------------------------------------------------------
 
 def unused(df: DataFrame, name: str) -> str:
@@ -154,7 +200,7 @@ def unused(df: DataFrame, name: str) -> str:
 
 def arrow_schema(fields: list[tuple[str, str]]) -> list[tuple[str, pa.DataType]]:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
-             "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
+             "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
              "array<string>": pa.list_(pa.string())}
     return [(n, kinds[t]) for n, t in fields]
 
@@ -178,7 +224,7 @@ def add_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], make: C
             parts: list[list] = [[] for _ in kinds]
             for _, _, data, offs in slices(*utf8(batch.column(at))):
                 for part, values, (_, kind) in zip(parts, make(data, offs), kinds):
-                    part.append(pa.array(values, kind))
+                    part.append(values if isinstance(values, pa.Array) else pa.array(values, kind))
             arrays = [pa.concat_arrays(p) if p else pa.array([], k) for p, (_, k) in zip(parts, kinds)]
             made = pa.StructArray.from_arrays(arrays, names=[n for n, _ in kinds])
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])

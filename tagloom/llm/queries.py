@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
-from tagloom.llm import decontaminate, language_id, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, toxicity, warc
+from tagloom.llm import (bpe, decontaminate, hard_negatives, language_id, line_dedup, mixing, pii, quality_classifier, quality_rules,
+                         ranked_search, simhash, toxicity, warc)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +96,47 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row of ``embeddings`` whose id is divisible by 50, by ``hard_negatives.mine``.
+
+    One row per anchor, positive and rank.  Rows without label, without vector or with a component that
+    is null or not finite take no part; null ids are no anchors.
+    """
+    table = C.table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = (table.where(hard_negatives.usable(F.col("embedding"), F.col("label")))
+            .select("vec_id", label.alias("label"), hard_negatives.quantised(F.col("embedding")).alias("vector")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+#: tokenizer file of op12; every executor has it
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text of ``documents`` and the text decoded from them, as digests, by ``bpe``.
+
+    One row per document row; a null text is empty.
+    """
+    import public_tokenizers
+    path = public_tokenizers.path(TOKENIZER)
+    found, t = bpe.encode(C.text_rows(C.table(spark, sf_dir, "documents")), path)
+    back, d = bpe.decode(found.select("doc_id", f"{t}.n_tokens", f"{t}.ids"), path, "ids")
+    return back.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+                       F.sha2(F.col(f"{d}.text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best ``documents`` of every ``benchmark`` item, by ``ranked_search.rank``.
+
+    Texts that are null or have no term are found by none and find none; ties go to the smaller id.
+    """
+    return ranked_search.rank(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_benchmark_decontamination, op4_quality_rules, op5_quality_classifier,
-                                   op6_line_dedup, op7_toxicity, op8_language_id, op9_simhash_near_dedup, op10_warc)}
+                                   op6_line_dedup, op7_toxicity, op8_language_id, op9_simhash_near_dedup, op10_warc,
+                                   op11_hard_negatives, op12_bpe, op13_ranked_search)}
 #: DuckDB SQL of the queries that SQL can express; the others are tested by brute force in tests/llm
 ORACLE_SQL = {
     "op3_benchmark_decontamination": r"""
@@ -128,5 +168,40 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to
 FROM q
+""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND (a.vec_id <> b.vec_id OR a.label <> b.label)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+      FROM p JOIN (SELECT * FROM s WHERE NOT same) USING (anchor_id)
+      WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+""",
+    "op13_ranked_search": r"""
+WITH lowered AS (SELECT row_number() OVER () AS rid, doc_id,
+                        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+d AS (SELECT rid, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM lowered WHERE len(t) > 0),
+g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+i AS (SELECT row_number() OVER () AS iid, item_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+it AS (SELECT iid, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT iid, unnest(t) AS term FROM i) GROUP BY ALL),
+p AS (SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(t) AS term FROM d)
+      WHERE term IN (SELECT term FROM it) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), g),
+s AS (SELECT iid, rid, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+      FROM it JOIN p USING (term) JOIN w USING (term) JOIN d USING (rid), g GROUP BY ALL),
+r AS (SELECT iid, doc_id, score, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+      FROM s JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r JOIN i USING (iid) WHERE rank <= 20
 """,
 }

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -25,7 +26,7 @@ from tagloom.llm import common as C
 
 END = "Ā"                  # stands for the end of a word; bytes are the characters below it
 CACHE = 200_000                 # encoded words that a worker remembers
-PAIRS = 2_000_000               # pair verdicts that a worker remembers
+PAIRS = 1_000_000               # pair verdicts that a worker remembers
 SPACE, LETTER, NUMBER, SYMBOL, MARK = range(5)
 FIRST_MARK = 0xF8               # bytes from here on never occur in UTF-8; they stand for special tokens
 #: FIXED VALUES: the split pattern and the steps that this module carries out
@@ -183,7 +184,7 @@ class Tokenizer:
         if (model["type"] != "BPE" or not model["end_of_word_suffix"] or spec["decoder"] is not None or spec["post_processor"] is not None
                 or [s["type"] for s in steps] != STEPS or split["pattern"].get("Regex") != PATTERN):
             raise ValueError(f"{path} is not of the kind of tokenizer that is carried out here")
-        self.vocabulary = Vocabulary(model["vocab"], model["merges"], model["end_of_word_suffix"])
+        self.model = model
         self.library = Library.from_file(path)
         self.normaliser = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -203,6 +204,11 @@ class Tokenizer:
         self.lower[65:91] += 32
         self.learn(np.arange(128))
 
+    @cached_property
+    def vocabulary(self) -> Vocabulary:
+        """Only encoding needs it."""
+        return Vocabulary(self.model["vocab"], self.model["merges"], self.model["end_of_word_suffix"])
+
     def learn(self, points: np.ndarray) -> None:
         """Ask the file's pattern what kind of character each unknown code point is."""
         pieces = self.library.pre_tokenizer.pre_tokenize_str

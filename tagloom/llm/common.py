@@ -242,21 +242,28 @@ def fold(id_col, parts: int):
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(parts))
 
 
+def held_out(id_col, parts: int, rest: int):
+    """Whether the id's fold is ``rest``; a null id has none (and is in no fold to learn from)."""
+    return F.coalesce(fold(id_col, parts) == rest, F.lit(False))
+
+
 def sample_by_class(docs: DataFrame, labels: DataFrame, per_class: int, seed: int = 17,
-                    bound: int = 64) -> tuple[DataFrame, dict]:
+                    bound: int | None = 64) -> tuple[DataFrame, dict]:
     """A bounded sample of labelled texts: (doc_id, text, label) and the kept share per class.
 
     ``labels`` is (doc_id, label).  About ``per_class`` ids are kept of each class, by a hash of
     the id against the class's share, so the sample is the same whatever the partitioning.  Ids
     without a label, with a null id or in no document do not count; an id with several labels
-    takes the largest; of a repeated id one text is taken.  There may be ``bound`` classes.
+    takes the largest; of a repeated id the longest text is taken, of equally long ones the
+    last in binary order.  There may be ``bound`` classes; None: the caller has bounded them.
     The sampled ids (``per_class`` x classes, so of proven size) are broadcast and the texts
     are never shuffled before the choice.
     """
     labels = (labels.where("doc_id is not null and label is not null")
               .groupBy("doc_id").agg(F.max("label").alias("label")))
-    sizes = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).limit(bound + 1).collect()}
-    if len(sizes) > bound:
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    sizes = {r["label"]: r["n"] for r in (sizes if bound is None else sizes.limit(bound + 1)).collect()}
+    if bound is not None and len(sizes) > bound:
         raise ValueError(f"more than {bound} classes")
     shares = {k: min(1.0, per_class / n) for k, n in sizes.items()}
     if not shares:
@@ -266,7 +273,7 @@ def sample_by_class(docs: DataFrame, labels: DataFrame, per_class: int, seed: in
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(steps)) < limit[F.col("label")]
     chosen = labels.where(drawn)
     sample = (docs.join(F.broadcast(chosen), "doc_id")
-              .groupBy("doc_id").agg(F.max_by("text", F.length("text")).alias("text"), F.max("label").alias("label")))
+              .groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text"), F.max("label").alias("label")))
     return sample, shares
 
 

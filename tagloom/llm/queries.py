@@ -30,7 +30,7 @@ def domains(labels: DataFrame) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, domains(C.table(spark, sf_dir, "labels")), TARGETS)
+    return mixing.mix(docs, domains(C.table(spark, sf_dir, "labels")), TARGETS, keep_text=False)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = C.table(spark, sf_dir, "labels").where(C.fold(F.col("doc_id"), 5) != 0)
     weights = quality_classifier.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
     scored, s = quality_classifier.score(docs, weights)
-    return scored.select("doc_id", (C.fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col(f"{s}.score"),
+    return scored.select("doc_id", C.held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col(f"{s}.score"),
                          F.when(F.col(f"{s}.score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
@@ -69,7 +69,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     labels = C.table(spark, sf_dir, "labels").where(C.fold(F.col("doc_id"), 3) != 1)
     found = toxicity.judge(docs, labels.select("doc_id", F.col("toxic").alias("label")))
-    return found.select("doc_id", (C.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+    return found.select("doc_id", C.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score",
                         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
                         F.col("threshold").alias("lang_threshold"), F.col("toxic").alias("lang_verdict"))
 
@@ -81,7 +81,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").alias("label")))
     languages, weights = language_id.train(learn)
     found, f = language_id.predict(docs, languages, weights)
-    return found.select("doc_id", (C.fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+    return found.select("doc_id", C.held_out(F.col("doc_id"), 3, 1).alias("held_out"),
                         F.col(f"{f}.lang").alias("lang_pred"), F.col(f"{f}.score"))
 
 

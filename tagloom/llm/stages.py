@@ -35,7 +35,11 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its tokens, domain posteriors and rate."""
+    """Every document, with its text as the stages before left it, plus its tokens, domain posteriors and rate.
+
+    Null and empty texts have rate 1; repeated rows and null ids are rows like others; an empty table
+    gives none.  Where the documents have columns of those names the new ones end in an underscore.
+    """
     return mixing.mix(docs, domains(C.table(spark, sf_dir, "labels")), TARGETS)
 
 

@@ -32,4 +32,38 @@ def test_pipeline(spark, tmp_path):
     assert set(range(30)) <= set(seen["simhash_near_dedup"])
     assert set(seen["benchmark_decontamination"]) == set(seen["simhash_near_dedup"]) - {32}
     assert set(seen["mixing"]) == set(seen["benchmark_decontamination"]) and all(r["rate"] >= 0 for r in seen["mixing"].values())
-    assert corpus_pipeline.run(spark, d).count() == len(seen["mixing"])
+    for i, r in seen["mixing"].items():                    # the product: the text and columns that the stage before left
+        assert {c: r[c] for c in docs.columns} == seen["benchmark_decontamination"][i]
+        assert r["n_tokens"] == len((r["text"] or "").split()) and sum(r["p"]) > 0.99
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.run(spark, d).collect()}
+    assert got == {i: r["text"] for i, r in seen["mixing"].items()}
+
+
+CLASHES = ("n_tokens", "p", "rate", "mix_n", "mix_bucket", "mix_l0", "mix_at", "verdict", "line_report", "fp", "component_id", "leak",
+           "row", "hits", "items", "leaf", "part", "kept", "spans", "found")
+
+
+def test_pipeline_with_any_columns_and_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows, null, empty and long texts, and extra columns of the operators' names."""
+    rng = random.Random(7)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    texts = [text(80) for _ in range(12)] + [None, "", text(20_000), text(60), text(60)]
+    ids = [*range(12), 12, 13, 14, None, 3]
+    rows = [(i, t, "en", "s", len(t or ""), *CLASHES) for i, t in zip(ids, texts)]
+    rows += [rows[0], (None, None, None, None, None, *CLASHES)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    d = sf_dir(spark, tmp_path, documents=docs, benchmark=spark.createDataFrame([(None, None), (1, "")], "item_id long, text string"),
+               labels=spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int"))
+    out = corpus_pipeline.run(spark, d)
+    assert out.columns == [*docs.columns, "n_tokens_", "p_", "rate_"]
+    got = out.collect()
+    assert all(r[c] == c for r in got for c in CLASHES)
+    assert {texts.index(r["text"]) for r in got} >= {1, 2, 4, 14, 15, 16}      # clean texts stay, whatever their ids
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    d = sf_dir(spark, tmp_path, documents=documents(spark, []), benchmark=spark.createDataFrame([], "item_id long, text string"),
+               labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    out = corpus_pipeline.run(spark, d)
+    assert out.count() == 0 and set(documents(spark, []).columns) <= set(out.columns)

@@ -2,11 +2,13 @@
 import base64
 import hashlib
 import io
+import math
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from llm_fixtures import documents, sf_dir
@@ -210,7 +212,9 @@ def test_mix_end_to_end(spark):
     docs = documents(spark, texts, [*range(40), None, 41, 41, 43])
     labels = spark.createDataFrame([(i, "fruit" if i < 20 else "metal") for i in range(0, 40, 2)] + [(None, "fruit"), (1, None)], "doc_id long, label string")
     rows = mixing.mix(docs, labels, {"fruit": 3, "metal": 1}).collect()
-    assert len(rows) == len(texts) and "text" not in rows[0].__fields__ and rows[0].counts == "x"
+    assert len(rows) == len(texts) and rows[0].counts == "x"
+    assert sorted(str(r.text) for r in rows) == sorted(map(str, texts))
+    assert "text" not in mixing.mix(docs, labels, {"fruit": 3, "metal": 1}, keep_text=False).columns
     by = {r.doc_id: r for r in rows if r.doc_id not in (None, 41)}
     assert by[1].p[0] > 0.7 and by[21].p[1] > 0.7 and by[43].p == pytest.approx([0.5, 0.5])
     total = sum(r.n_tokens for r in rows)
@@ -223,3 +227,47 @@ def test_mix_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, label string")
     assert [r.rate for r in mixing.mix(documents(spark, ["a b", None]), none, {"x": 1}).collect()] == [1.0, 1.0]
     assert mixing.mix(documents(spark, []), none, {"x": 1}).count() == 0
+
+
+def test_mix_keeps_columns_of_its_own_names(spark):
+    texts = ["red apple pear"] * 6 + ["iron steel bolt"] * 6 + [None]
+    names = ("n_tokens", "p", "rate", "mix_n", "mix_bucket", "mix_l0", "mix_at", "mix_z", "mix_e", "q0", "r", "label")
+    docs = documents(spark, texts).select("doc_id", "text", *[F.lit(c).alias(c) for c in names])
+    labels = spark.createDataFrame([(i, "fruit" if i < 6 else "metal") for i in range(12)], "doc_id long, label string")
+    out = mixing.mix(docs, labels, {"fruit": 3, "metal": 1})
+    assert out.columns == [*docs.columns, "n_tokens_", "p_", "rate_"]
+    for r in out.collect():
+        assert all(r[c] == c for c in names) and r["n_tokens_"] == (3 if r.text else 0)
+    assert out.agg(F.sum("rate_")).first()[0] > 0
+
+
+def test_labels_without_a_target_are_one_domain(spark):
+    texts = ["red apple pear"] * 6 + ["iron steel bolt"] * 6 + [f"w{i} w{i} x{i}" for i in range(80)]
+    labels = spark.createDataFrame([(i, "fruit" if i < 6 else "metal" if i < 12 else f"stray {i}") for i in range(92)], "doc_id long, label string")
+    out = mixing.mix(documents(spark, texts), labels, {"fruit": 3, "metal": 1})
+    told = out.schema["rate"].metadata
+    assert set(told["shares"]) == {"fruit", "metal", "other"} and told["targets"]["other"] == 0
+
+
+def test_posteriors_match_naive_bayes(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(vocab[20 * (i % 2):20 * (i % 2) + 25], 12)) for i in range(60)] + ["", None, "Unknown", "w1  W2\tw3"]
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "doc_id long, label string")
+    docs = documents(spark, texts)
+    domains, model = mixing.word_model(docs.select("doc_id", "text"), labels)
+    got = {r.doc_id: (r.n_tokens, r.p) for r in mixing.posteriors(docs, domains, model).collect()}
+    place = {r.w: r.b for r in spark.createDataFrame([(v,) for v in {w for t in texts if t for w in t.lower().split()}], "w string")
+             .select("w", mixing.bucket(F.col("w")).alias("b")).collect()}
+    counts = {k: {} for k in "ab"}
+    for i in range(40):
+        for b in {place[w] for w in texts[i].lower().split()}:
+            counts["ab"[i % 2]][b] = counts["ab"[i % 2]].get(b, 0) + 1
+    for i, t in enumerate(texts):
+        ws, z = (t or "").lower().split(), {}
+        for k in "ab":
+            total = sum(counts[k].values()) + 0.5 * mixing.BUCKETS
+            z[k] = sum(math.log((counts[k].get(place[w], 0) + 0.5) / total) for w in ws
+                       if counts["a"].get(place[w], 0) + counts["b"].get(place[w], 0)) / math.sqrt(max(1, len(ws)))
+        want = 1 / (1 + math.exp(z["b"] - z["a"]))
+        assert got[i][0] == len(ws) and got[i][1][0] == pytest.approx(want, abs=1e-9)

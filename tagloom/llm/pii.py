@@ -2,7 +2,7 @@
 
 1. Base spans: leftmost non-overlapping matches of four patterns (email, ip, card, phone), checked
    for ranges, checksum and digit counts.  They always stay.
-2. Candidates: looser spans (spelled-out addresses, digit groups of 7 to 19 digits) outside them.
+2. Candidates: looser spans (spelled-out addresses, number-shaped groups of 7 to 19 digits) outside them.
 3. Labelers vote +1, 0 or -1 on every span: shapes (regex), word lists (gazetteer) and the words
    before it (context).
 4. Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler
@@ -15,8 +15,9 @@ span tables are shuffled, combined by pattern first.  The driver sees at most on
 feature pattern (3^4 x 5 x 3 x 2^2, whatever the data).
 
 Positions are code points, end exclusive.  They come from the lengths of the pieces between the
-matches (``split``) and of the matches, by prefix sums in blocks.  All patterns are possessive and
-anchored at run starts, so they are linear and never recurse, and match what the plain forms match.
+matches (``split``) and of the matches, by running sums in blocks (``running``), linear in the text.
+All base patterns are possessive and anchored at run starts, so they are linear and never recurse, and
+match what the plain forms match.
 """
 
 from __future__ import annotations
@@ -37,52 +38,112 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-SPELLED = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+"
-           r"(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}+)++")
-DIGITS = r"(?<![A-Za-z0-9_.@-])\(?[0-9](?:[\x20().-]{0,2}[0-9])++(?![A-Za-z0-9_@])"
+SPELLED = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: (?:dot|punkt|punto|point) [A-Za-z0-9_%+-]++)*+ ?(?:\(at\)|\[at\]|\{at\}|<at>) ?"
+           r"[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\.) ?[A-Za-z0-9-]++| dot [A-Za-z0-9-]++)++")
+#: a number begins where no word, address or number goes on; shapes that hold blanks come first, so that
+#: numbers beside each other stay apart
+NUMBERS = (r"(?<![A-Za-z0-9_.@/-])(?:"
+           r"(?:1[\x20.-])?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"            # area, exchange, line
+           r"|[0-9]{4}(?:[\x20-][0-9]{4}){2,3}(?:[\x20-][0-9]{1,3})?(?![0-9])"                     # cards in fours
+           r"|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}(?![0-9])"                                     # cards of 15 digits
+           r"|\(?0[0-9]{1,4}\)?[\x20/][0-9]{2,4}(?:[\x20-][0-9]{2,4}){1,3}(?![0-9])"               # trunk prefix and groups
+           r"|\(?[0-9]++\)?+(?:[./()-]{1,2}[0-9]++)*+"
+           r")(?![A-Za-z0-9_@])")
 CONTEXT = 24
-BLOCK = 64
+BLOCK = 32
 ACCEPT = 0.9
 
-#: words before a span that speak for or against personal data, and known number and name parts
-FOR_WORDS = r"(?i)(?:tel|phone|call|fax|mobile|cell|contact|mail|write to|card|visa|ssn|kontakt|anruf|telefon|téléphone|appel|llama|correo)[^A-Za-z0-9]{0,4}$"
-AGAINST_WORDS = r"(?i)(?:page|version|isbn|issn|doi|id|no|nr|token|key|password|year|total|build|serial|seite|página)[^A-Za-z0-9]{0,4}$"
-MAIL_ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
-TOLL_FREE = ("800", "888", "877", "866", "855", "844", "833", "900")
+#: words before a span that speak for or against personal data
+FOR_WORDS = (r"(?i)(?:tel|phone|telephone|call|fax|mobile|cell|contact|mail|email|write to|reach|card|visa|mastercard|amex|ssn|security|iban|"
+             r"kontakt|anruf|telefon|handy|rufnummer|téléphone|appel|portable|llama|llame|teléfono|móvil|correo|kredit|tarjeta|carte)"
+             r"[^A-Za-z0-9]{0,4}$")
+AGAINST_WORDS = (r"(?i)(?:page|pages|version|isbn|issn|doi|id|no|nr|token|key|password|year|total|build|serial|order|invoice|ticket|commit|row|"
+                 r"seite|jahr|página|año|página|rechnung|facture|pedido|numéro)[^A-Za-z0-9]{0,4}$")
+#: gazetteer of mail ends (besides every two-letter country end) and mail providers
+MAIL_ENDS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "aero", "coop", "museum", "jobs", "mobi",
+             "travel", "tel", "cat", "asia", "post", "xyz", "online", "site", "store", "app", "dev", "cloud", "email", "tech", "blog")
+PROVIDERS = ("gmail", "googlemail", "yahoo", "ymail", "hotmail", "outlook", "live", "msn", "icloud", "me", "mac", "aol", "gmx", "web",
+             "proton", "protonmail", "fastmail", "zoho", "mail", "yandex", "qq", "163", "126", "orange", "wanadoo", "free", "laposte",
+             "libero", "t-online", "freenet", "comcast", "verizon", "att")
+#: numbers that belong to nobody (toll-free codes), and the first digits of card issuers
+TOLL_FREE = ("800", "888", "877", "866", "855", "844", "833", "822", "900")
+ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|30|36|38|35|6011|62|64|65)"
+
+
+# --- running values ----------------------------------------------------------------------
+
+def running(df: DataFrame, values: str, out: str, combine, zero) -> DataFrame:
+    """``df`` plus ``out``: the values of an array column combined up to and with each position.
+
+    In blocks of ``BLOCK``, whose totals are combined in the same way; the totals of the third level, one
+    for ``BLOCK``^3 values, are few.  Linear, as the arrays are columns: each is computed once, and the
+    lambdas only slice it (the size asked beside them keeps the optimiser from moving it into them).
+    """
+    zero = F.lit(zero).cast("long")
+    fold = lambda x: F.aggregate(x, zero, combine)
+    steps = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    levels, names = [values], []
+
+    def held(name, arr, made):
+        nonlocal df
+        df = df.withColumn(name, F.when(F.size(arr) >= 0, made))
+        names.append(name)
+        return name
+
+    def blocks(arr):
+        return steps(F.ceil(F.size(arr) / BLOCK).cast("int"))
+
+    def part(arr, b):
+        return F.slice(arr, b * BLOCK + 1, F.lit(BLOCK))
+
+    def totals(arr):
+        return F.transform(blocks(arr), lambda b: fold(part(arr, b)))
+
+    def within(arr, up, through):
+        """Each block's values combined, after what came before the block."""
+        def block(b):
+            here = part(arr, b)
+            return F.transform(here, lambda _, j: combine(F.get(up, b), fold(F.slice(here, F.lit(1), j + 1 if through else j))))
+        return F.when(F.size(up) >= 0, F.flatten(F.transform(blocks(arr), block)))
+
+    for i in range(3):
+        levels.append(held(f"{out}_up{i}", levels[-1], totals(levels[-1])))
+    top = levels[-1]
+    before = held(f"{out}_top", top, F.transform(steps(F.size(top)), lambda i: fold(F.slice(top, F.lit(1), i))))
+    for i in (2, 1, 0):
+        before = held(f"{out}_down{i}", levels[i], within(levels[i], before, i == 0))
+    return df.withColumn(out, F.col(before)).drop(*names)
 
 
 # --- spans -------------------------------------------------------------------------------
 
-def starts_of(gaps: Column, lengths: Column) -> Column:
-    """Start of each match, from the lengths of the pieces before the matches and of the matches.
-
-    Prefix sums in blocks of ``BLOCK``: linear but for one sum per pair of blocks.
-    """
-    steps = F.zip_with(gaps, lengths, lambda g, n: F.coalesce(g, F.lit(0)) + F.coalesce(n, F.lit(0)))
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / BLOCK).cast("int") - 1),
-                         lambda b: F.struct(b.alias("b"), F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)).alias("x")))
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
-    ends = F.flatten(F.transform(blocks, lambda k: F.transform(
-        F.sequence(F.lit(1), F.size(k["x"])), lambda j: total(F.slice(k["x"], 1, j)))))
-    sums = F.transform(blocks, lambda k: total(k["x"]))
-    before = F.flatten(F.transform(blocks, lambda k: F.array_repeat(total(F.slice(sums, F.lit(1), k["b"])), F.size(k["x"]))))
-    return F.zip_with(F.zip_with(ends, before, lambda e, o: e + o), lengths, lambda e, n: e - n)
-
+def add_matches(df: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``df`` (with column text) plus, for each name, an array of (s, e, m, before), empty without matches.
 
-def add_matches(df: DataFrame, name: str, pattern: str, guard: Column) -> DataFrame:
-    """``df`` (with column text) plus ``name``: array of (s, e, m, before), empty without matches.
-
-    ``before`` holds the last ``CONTEXT`` characters ahead of the match.
+    ``patterns`` is name -> (pattern, guard); ``before`` holds the last ``CONTEXT`` characters ahead of the
+    match.  A start is the running length of the pieces between the matches and of the matches.
     """
     none = F.array().cast("array<string>")
-    df = df.withColumn("_m", F.when(guard, F.regexp_extract_all("text", F.lit(pattern), 0)).otherwise(none))
-    df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split("text", pattern, -1)).otherwise(none))
-    df = df.withColumn("_n", F.transform("_m", lambda m: F.length(m)))
-    df = df.withColumn("_l", F.slice(F.transform("_g", lambda g: F.length(g)), F.lit(1), F.size("_m")))
-    df = df.withColumn("_s", F.when(F.size("_m") > 0, starts_of(F.col("_l"), F.col("_n"))).otherwise(F.array().cast("array<long>")))
-    rows = F.zip_with("_s", F.zip_with("_m", F.slice("_g", F.lit(1), F.size("_m")), lambda m, g: F.struct(m.alias("m"), F.right(g, F.lit(CONTEXT)).alias("g"))),
-                      lambda s, x: F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"), x["g"].alias("before")))
-    return df.withColumn(name, rows).drop("_m", "_g", "_n", "_l", "_s")
+    for name, (pattern, guard) in patterns.items():
+        df = df.withColumn(f"{name}_m", F.when(guard, F.regexp_extract_all("text", F.lit(pattern), 0)).otherwise(none))
+        df = df.withColumn(f"{name}_g", F.when(F.size(f"{name}_m") > 0, F.split("text", pattern, -1)).otherwise(none))
+        df = df.withColumn(f"{name}_g", F.slice(f"{name}_g", F.lit(1), F.size(f"{name}_m")))
+    lengths = [F.zip_with(f"{n}_g", f"{n}_m", lambda g, m: (F.length(g) + F.length(m)).cast("long")) for n in patterns]
+    df = running(df.withColumn("_steps", F.concat(*lengths)), "_steps", "_ends", lambda a, b: a + b, 0)
+    first = F.lit(0)
+    for name in patterns:
+        size = F.size(f"{name}_m")
+        before = F.coalesce(F.get("_ends", first - 1), F.lit(0).cast("long"))
+        rows = placed(F.slice("_ends", first + 1, size), before, f"{name}_m", f"{name}_g")
+        df = df.withColumn(name, F.when(F.size("_ends") >= 0, rows))
+        first = first + size
+    return df.drop("_steps", "_ends", *[f"{n}_{x}" for n in patterns for x in "mg"])
+
+
+def placed(ends: Column, origin: Column, matches: str, gaps: str) -> Column:
+    pieces = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("m"), F.right(g, F.lit(CONTEXT)).alias("g")))
+    return F.zip_with(ends, pieces, lambda e, x: F.struct((e - origin - F.length(x["m"])).alias("s"), (e - origin).alias("e"),
+                                                          x["m"].alias("m"), x["g"].alias("before")))
 
 
 def digits(m: Column) -> Column:
@@ -99,11 +160,8 @@ def luhn(d: Column) -> Column:
 
 def holds(kind: str, m: Column) -> Column:
     """The base check of a match."""
-    if kind == "ip":
-        def small(p):
-            p = F.regexp_replace(p, "^0+", "")
-            return (F.length(p) <= 3) & (F.concat(F.lit("0"), F.when(F.length(p) <= 3, p).otherwise(F.lit("0"))).cast("int") <= 255)
-        return F.forall(F.split(m, r"\."), small)
+    if kind == "ip":                                               # at most 255 each, whatever zeros stand before
+        return m.rlike(r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])?(?:\.|$)){4}$")
     if kind == "card":
         d = digits(m)
         return F.when(F.length(d).between(16, 19), luhn(d)).otherwise(F.lit(False))
@@ -112,19 +170,42 @@ def holds(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (with text) plus ``base``: array of (k, s, e, m, before), by kind then start."""
-    numbers = F.col("text").rlike("[0-9]")
-    guards = {"email": F.contains("text", F.lit("@")), "ip": numbers, "card": numbers, "phone": F.contains("text", F.lit("+"))}
-    for kind in KINDS:
-        docs = add_matches(docs, f"_{kind}", PATTERNS[kind], guards[kind])
-
-    def kept(n, kind):
-        return F.transform(F.filter(F.col(f"_{kind}"), lambda x: holds(kind, x["m"])),
-                           lambda x: F.struct(F.lit(n).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["before"].alias("before")))
+def all_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` (with text) plus ``base``, by kind then start, and ``cand``: arrays of (k, s, e, m, before).
 
-    parts = [kept(n, kind) for n, kind in enumerate(KINDS)]
-    return docs.withColumn("base", F.concat(*parts)).drop(*[f"_{k}" for k in KINDS])
+    Candidates are numbers of 7 to 19 digits and spelled-out addresses that share no character with a
+    base span, found by one pass over both in the order of their places.
+    """
+    text = F.col("text")
+    numbers = text.rlike("[0-9]")
+    at = text.rlike(r"[(\[{<]at[)\]}>]")
+    docs = add_matches(docs, {"_email": (PATTERNS["email"], F.contains("text", F.lit("@"))), "_ip": (PATTERNS["ip"], numbers),
+                              "_card": (PATTERNS["card"], numbers), "_phone": (PATTERNS["phone"], F.contains("text", F.lit("+"))),
+                              "_spelled": (SPELLED, at), "_number": (NUMBERS, numbers)})
+
+    def span(k, x):
+        return F.struct(k.alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["before"].alias("before"))
+
+    def checked(n, kind):
+        return F.transform(F.filter(F.col(f"_{kind}"), lambda x: holds(kind, x["m"])), lambda x: span(F.lit(n), x))
+
+    base = [checked(n, kind) for n, kind in enumerate(KINDS)]
+    counted = F.transform("_number", lambda x: F.struct(x.alias("x"), F.length(digits(x["m"])).alias("n")))
+    found = F.concat(F.transform("_spelled", lambda x: span(F.lit(0), x)),
+                     F.transform(F.filter(counted, lambda x: x["n"].between(7, 19)),
+                                 lambda x: span(F.when(x["n"] >= 13, 2).otherwise(3), x["x"])))
+    docs = docs.withColumn("base", F.concat(*base)).withColumn("_found", found)
+    # a candidate is met by a base span if one that starts before its end ends after its start
+    events = F.sort_array(F.concat(
+        F.transform("base", lambda b: F.struct(b["s"].alias("at"), F.lit(1).alias("side"), b["e"].alias("until"), F.lit(-1).alias("i"))),
+        F.transform("_found", lambda c, i: F.struct(c["e"].alias("at"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("until"), i.alias("i")))))
+    docs = docs.withColumn("_events", events).withColumn("_until", F.transform("_events", lambda v: v["until"]))
+    docs = running(docs, "_until", "_reach", lambda a, b: F.greatest(a, b), 0)
+    met = F.zip_with("_events", "_reach", lambda v, r: F.struct(v["i"].alias("i"), r.alias("r")))
+    free = F.filter(F.transform(F.filter(met, lambda v: v["i"] >= 0), lambda v: F.struct(F.get("_found", v["i"]).alias("c"), v["r"].alias("r"))),
+                    lambda v: v["r"] <= v["c"]["s"])
+    cand = F.when(F.size("_found") >= 0, F.transform(free, lambda v: v["c"]))
+    return docs.withColumn("cand", cand).drop("_found", "_events", "_until", "_reach", *[f"_{k}" for k in (*KINDS, "spelled", "number")])
 
 
 # --- candidates, votes and features ------------------------------------------------------
@@ -133,20 +214,29 @@ VOTES = ("shape", "checksum", "gazetteer", "context")
 FEATURES = ("size", "form", "opens", "cued")
 
 
-def described(x: Column) -> Column:
-    """A span with the labelers' votes and the classifier's features (small integers)."""
-    m, d = x["m"], digits(x["m"])
+def described(spans: Column) -> Column:
+    """Spans with the labelers' votes and the classifier's features (small integers)."""
+    found = F.transform(spans, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["before"].alias("before"),
+                                                  digits(x["m"]).alias("d"), x["m"].rlike(r"[A-Za-z@]").alias("name")))
+    return F.transform(found, judged)
+
+
+def judged(x: Column) -> Column:
+    m, d, name = x["m"], x["d"], x["name"]
     n = F.length(d)
-    name = F.contains(m, F.lit("@")) | m.rlike(r"[A-Za-z]")
-    shape = (F.when(m.rlike(r"^(?:\+?1[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^\+[0-9]"), 1)
-             .when(name | m.rlike(r"^(?:[0-9]{4}[\x20-]){3}[0-9]{4}$"), 1)
-             .when(m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}|^[0-9]+\.[0-9]+$|^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}$"), -1).otherwise(0))
-    checksum = F.when(n.between(13, 19) & ~name, F.when(luhn(F.when(n.between(13, 19), d).otherwise(F.lit("0"))), 1).otherwise(-1)).otherwise(0)
-    end = F.lower(F.regexp_extract(m, "([A-Za-z]+)$", 1))
-    area = F.substring(F.regexp_replace(d, "^1(?=[0-9]{10}$)", ""), 1, 3)
-    gazetteer = (F.when(name, F.when(end.isin(*MAIL_ENDS), 1).otherwise(0))
-                 .when(n.between(10, 11) & area.isin(*TOLL_FREE), -1)
-                 .when(n.between(10, 11) & (F.substring(d, -7, 3) == "555"), 1).otherwise(0))
+    shape = (F.when(name, 1)
+             .when(m.rlike(r"^(?:\+?1[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^\+[0-9]|^\(?0[0-9]{1,4}\)?[\x20/]"
+                           r"|^(?:[0-9]{4}[\x20-]){3}[0-9]{4}$|^[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}$"), 1)
+             .when(m.rlike(r"^[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|^[0-9]+\.[0-9]+$|^[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}$|^97[89]-"), -1).otherwise(0))
+    long = F.when(n.between(13, 19), d).otherwise(F.lit("0"))
+    checksum = F.when(name | ~n.between(13, 19), 0).when(luhn(long), 1).otherwise(-1)
+    end = F.lower(F.regexp_extract(m, "([A-Za-z0-9-]+)$", 1))
+    area = F.regexp_replace(d, "^1(?=[0-9]{10}$)", "")
+    gazetteer = (F.when(name, F.when(end.isin(*MAIL_ENDS) | end.rlike("^[a-z]{2}$") | m.rlike(r"(?i)[@)\]}> ](?:" + "|".join(PROVIDERS) + r")[ .(\[{<]"), 1).otherwise(-1))
+                 .when(n.between(13, 19), F.when(d.rlike(ISSUERS), 1).otherwise(-1))
+                 .when(n.between(10, 11) & F.substring(area, 1, 3).isin(*TOLL_FREE), -1)
+                 .when(n.between(10, 11) & area.rlike("^[2-9][0-8][0-9][2-9][0-9]{6}$") & ~area.rlike("^[2-9]11|^...[2-9]11"), 1)
+                 .when((n == 9) & m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(d.rlike("^(?:000|666|9|...00|.....0000)"), -1).otherwise(1)).otherwise(0))
     context = F.when(x["before"].rlike(FOR_WORDS), 1).when(x["before"].rlike(AGAINST_WORDS), -1).otherwise(0)
     size = F.when(name, 0).when(n < 8, 1).when(n < 12, 2).when(n < 16, 3).otherwise(4)
     form = F.when(m.rlike(r"^[0-9]+$"), 0).when(m.rlike(r"^[0-9]{1,4}(?:\.[0-9]{1,4})+$"), 1).otherwise(2)
@@ -156,35 +246,11 @@ def described(x: Column) -> Column:
                     (context != 0).cast("int").alias("cued"))
 
 
-def candidate_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (with text and base) plus ``cand``: spans of 7 to 19 digits or spelled out, outside the base."""
-    docs = add_matches(docs, "_spelled", SPELLED, F.contains("text", F.lit("(at)")) | F.contains("text", F.lit("[at]")))
-    docs = add_matches(docs, "_digits", DIGITS, F.col("text").rlike("[0-9]"))
-
-    def kind(x, spelled):
-        n = F.length(digits(x["m"]))
-        return F.lit(0) if spelled else F.when(n >= 13, 2).otherwise(3)
-
-    def wanted(x):
-        return F.length(digits(x["m"])).between(7, 19)
-
-    def shaped(x, spelled):
-        return F.struct(kind(x, spelled).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["before"].alias("before"))
-
-    found = F.concat(F.transform("_spelled", lambda x: shaped(x, True)),
-                     F.transform(F.filter("_digits", wanted), lambda x: shaped(x, False)))
-    docs = docs.withColumn("_found", found).drop("_spelled", "_digits")
-    # a base span can only touch a candidate if it does not end before it or start after it
-    free = F.filter("_found", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    return docs.withColumn("cand", free).drop("_found")
-
-
 def span_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, base, cand) without the texts, written to the shared folder: all later steps read this."""
     docs = C.text_rows(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    docs = candidate_spans(base_spans(docs))
-    docs = docs.select("doc_id", F.transform("base", described).alias("base"), F.transform("cand", described).alias("cand"))
-    return materialize(docs, "pii-spans")
+    docs = all_spans(docs)
+    return materialize(docs.select("doc_id", described(F.col("base")).alias("base"), described(F.col("cand")).alias("cand")), "pii-spans")
 
 
 # --- EM over vote patterns, classifier over feature patterns -----------------------------
@@ -284,7 +350,7 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     bare = lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))
     added = F.filter("cand", lambda x: probability(x, weights) >= accept)
     return rows.select("doc_id", F.transform("base", bare).alias("base"),
-                       F.array_sort(F.transform(F.concat("base", added), bare)).alias("spans"))
+                       F.sort_array(F.transform(F.concat("base", added), bare)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

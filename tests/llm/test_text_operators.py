@@ -1,13 +1,17 @@
 """Operators on single texts, against brute force."""
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from llm_fixtures import documents, sf_dir
 from tagloom.llm import decontaminate, line_dedup, pii, quality_rules, queries
 
@@ -126,6 +130,93 @@ def test_pii_base_spans(spark, tmp_path):
             assert set(brute_spans(by[r.doc_id])[1]) <= set(r.spans.split(","))
 
 
+def labelled_text(rng):
+    """A text and the (kind, value) of the personal data in it, besides numbers that are not."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: rng.choice(["jane", "max", "li", "ana.b", "o-k", "zoë"[:2]]) + d(2)
+
+    def luhn(head, n):
+        body = head + d(n - len(head) - 1)
+        for last in "0123456789":
+            if sum(sum(map(int, str(int(c) * (1 + i % 2)))) for i, c in enumerate(reversed(body + last))) % 10 == 0:
+                return body + last
+
+    def amex():
+        c = luhn(rng.choice(["34", "37"]), 15)
+        return rng.choice([c, f"{c[:4]} {c[4:10]} {c[10:]}", f"{c[:4]}-{c[4:10]}-{c[10:]}"])
+
+    phone = lambda: rng.choice(["212", "415", "646", "303"]) + rng.choice("-. ") + rng.choice(["555", "482", "739"]) + "-" + d(4)
+    makers = [
+        (0, lambda: f"{name()} (at) {rng.choice(['mail', 'work', 'uni-x'])} (dot) {rng.choice(['org', 'com', 'de', 'fr'])}"),
+        (0, lambda: f"{name()}[at]{rng.choice(['gmail', 'gmx', 'firm'])}[dot]{rng.choice(['com', 'net', 'es'])}"),
+        (0, lambda: f"{name()} dot {name()} (at) example.org"),
+        (3, phone), (3, phone), (3, lambda: f"({rng.choice(['212', '415'])}) {rng.choice(['555', '482'])}-{d(4)}"),
+        (3, lambda: f"{rng.choice(['123', '321', '456'])}-{rng.choice(['45', '67'])}-{rng.randint(1000, 9999)}"),
+        (3, lambda: f"0{rng.choice(['30', '89', '221'])} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)}"),
+        (2, amex)]
+    other = [lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"isbn 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
+             lambda: f"order {d(9)}", lambda: f"version {d(2)}.{d(3)}.{d(4)}", lambda: f"{d(3)}.{d(5)}", lambda: f"id {d(12)}", lambda: f"800-555-{d(4)}"]
+    cue = {0: ["write to", "mail:", "", ""], 3: ["call", "tel:", "", "", "or", "fax"], 2: ["card", "amex", "", ""]}
+    out, found = "", []
+    for _ in range(rng.randint(1, 9)):
+        out += " ".join(rng.choice(["the", "red", "house", "ist", "grün"]) for _ in range(rng.randint(0, 4))) + rng.choice([" ", ", "])
+        if rng.random() < 0.3:
+            out += rng.choice(other)() + rng.choice([" ", ", "])
+            continue
+        kind, make = rng.choice(makers)
+        out += rng.choice(cue[kind]) + " "
+        value = make()
+        found.append((kind, len(out), len(out) + len(value)))
+        out += value + rng.choice([" ", ", ", " " + "10.0.0.1 " if rng.random() < 0.2 else " "])
+    return out, found
+
+
+def test_pii_recall_of_added_spans(spark):
+    rng = random.Random(12)
+    made = [labelled_text(rng) for _ in range(1500)]
+    rows = pii.find(documents(spark, [t for t, _ in made])).collect()
+    hit = total = extra = 0
+    for r in rows:
+        want = set(made[r.doc_id][1])
+        base = {(x.k, x.s, x.e) for x in r.base}
+        got = {(x.k, x.s, x.e) for x in r.spans} - base
+        total += len(want)
+        hit += len(want & got)
+        extra += len(got - want)
+        assert not any(s < b and a < e for _, s, e in base for _, a, b in got)     # outside the base
+    assert total > 3000 and hit / total >= 0.9, (hit, total)
+    assert extra / (hit + extra) <= 0.1, (extra, hit)
+
+
+def test_pii_spans_beside_each_other(spark):
+    texts = ["212-555-0199 212-555-0198 212-555-0197", "212-555-0199, 212-555-0198", "10.0.0.1 212-555-0199", "212-555-0199 10.0.0.1 212-555-0198 a@b.cd"]
+    for r in pii.span_rows(documents(spark, texts)).collect():
+        t = texts[r.doc_id]
+        assert [t[x.s:x.e] for x in r.cand] == re.findall(r"212-555-019[0-9]", t)
+
+
+def test_pii_is_linear_in_one_text(spark):
+    seconds = []
+    for n in (20_000, 40_000, 80_000):
+        docs = documents(spark, ["a 1.1.1.1 b " * n])
+        t = time.time()
+        r = pii.span_rows(docs).selectExpr("size(base) n", "base[size(base) - 1].e e").first()
+        seconds.append(time.time() - t)
+        assert (r.n, r.e) == (n, 12 * n - 3)
+    assert seconds[2] < 2.6 * seconds[1] + 2
+
+
+def test_running_values(spark):
+    rng = random.Random(2)
+    sizes = [0, 1, 31, 32, 33, 1023, 1024, 1025, 32768, 32769, 70000]
+    rows = [(i, [rng.randint(0, 9) for _ in range(n)]) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "i int, v array<long>")
+    sums = {r.i: r.o for r in pii.running(df, "v", "o", lambda a, b: a + b, 0).collect()}
+    most = {r.i: r.o for r in pii.running(df, "v", "o", lambda a, b: F.greatest(a, b), 0).collect()}
+    for i, v in rows:
+        assert sums[i] == list(itertools.accumulate(v)) and most[i] == list(itertools.accumulate(v, max))
+
+
 def test_pii_empty(spark, tmp_path):
     d = sf_dir(spark, tmp_path, documents=documents(spark, []))
     assert queries.op1_pii(spark, d).count() == 0

@@ -1,8 +1,8 @@
-"""BIO sequence functions as native Spark column expressions.
+"""BIO sequence functions: native Spark column expressions, and Arrow kernels for T04-T06 and T14.
 
-Everything is built from higher-order functions (``transform``, ``filter``,
-``aggregate``, ``zip_with``) so a row's sequence work stays inside that row: no Python
-worker, no shuffle.
+Most are built from higher-order functions (``transform``, ``filter``, ``aggregate``,
+``zip_with``); what needs prefix sums over several sequences runs as columnar kernels
+(``kernels``).  Either way a row's sequence work stays inside that row: no shuffle.
 
 Whole texts can be long (10^5 characters), so every per-character function here is
 **linear** in the sequence length.  Immutable Spark arrays make an ``aggregate`` that
@@ -21,11 +21,12 @@ inlining it into the per-element lambda.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.constants import ALL_LABELS, EOS_ID, MAX_SEQ_LEN, PAD_ID, SOS_ID
+from tagloom.functions import kernels
 
 UNK = "[UNK]"
 WINDOW = MAX_SEQ_LEN - 2          # positions of one fixed-length window without its frame
@@ -156,84 +157,27 @@ def token_len(token) -> Column:
     return F.when(t == UNK, F.lit(1)).otherwise(F.length(token_text(t)))
 
 
-def _body(token: str) -> str:
-    return token[2:] if token.startswith("##") else token
-
-
-def _inner(label):
-    return "I" + label[1:] if label is not None and label.startswith("B") else label
-
-
-def align(text: str, labels, tokens) -> list:
-    """T03 + T04 of one text: the label of each token's first character, null past the labels."""
-    plain = [lab for ch, lab in zip(text, labels) if ch != " "]
-    out, at = [], 0
-    for t in tokens:
-        out.append(plain[at] if at < len(plain) else None)
-        at += 1 if t == UNK else len(_body(t))
-    return out
-
-
-def expand(tokens, labels) -> list:
-    """T05 of one text: token labels -> labels of the token text's characters.
-
-    The first character keeps the token's label, the rest get its inner form; a ``##`` piece
-    ignores its own label and goes on with the inner form of its word head's label.
-    """
-    out, head = [], None
-    for t, lab in zip(tokens, labels):
-        n = 1 if t == UNK else len(_body(t))
-        if t.startswith("##"):
-            out += [_inner(head)] * n
-        else:
-            head = lab
-            out += [lab] + [_inner(lab)] * (n - 1)
-    return out
-
-
-def realign(text: str, tokens, labels) -> list:
-    """T06 of one text: walk the text and the token text together.
-
-    A matching character takes the label under the pointer; an unknown token character
-    (``[UNK]``) gives ``O`` and moves on; a character that the tokenizer dropped gives ``O``.  The
-    walk ends with the token text.  Linear, for any tokenizer.
-    """
-    body = [c for t in tokens for c in ([None] if t == UNK else map(str.lower, _body(t)))]
-    out, i = [], 0
-    for ch in text:
-        if i >= len(body):
-            break
-        if body[i] is None:
-            out.append("O")
-            i += 1
-        elif ch.lower() == body[i]:
-            out.append(labels[i] if i < len(labels) else None)
-            i += 1
-        else:
-            out.append("O")
-    return out
-
-
-def _by_row(fn):
-    @F.pandas_udf(_STR_ARRAY)
-    def run(*cols: pd.Series) -> pd.Series:
-        return pd.Series([None if any(x is None for x in row) else fn(*row) for row in zip(*cols)])
+def _columnar(kernel, returns: str = _STR_ARRAY):
+    """An Arrow function of a kernel; a row with any null input is null."""
+    @F.arrow_udf(returns)
+    def run(*columns: pa.Array) -> pa.Array:
+        return kernels.by_slices(kernel, *columns)
     return run
 
 
 def with_aligned(df: DataFrame, text: str, labels: str, tokens: str, out: str) -> DataFrame:
     """T03 + T04: one label per token."""
-    return df.withColumn(out, _by_row(align)(text, labels, tokens))
+    return df.withColumn(out, _columnar(kernels.align)(text, labels, tokens))
 
 
 def with_expanded(df: DataFrame, tokens: str, token_labels: str, out: str) -> DataFrame:
     """Token labels -> character labels of the token text."""
-    return df.withColumn(out, _by_row(expand)(tokens, token_labels))
+    return df.withColumn(out, _columnar(kernels.expand)(tokens, token_labels))
 
 
 def with_realigned(df: DataFrame, text: str, tokens: str, char_labels: str, out: str) -> DataFrame:
     """The token-text labels back on the original characters."""
-    return df.withColumn(out, _by_row(realign)(text, tokens, char_labels))
+    return df.withColumn(out, _columnar(kernels.realign)(text, tokens, char_labels))
 
 
 # ----------------------------------------------------------------------------------
@@ -274,31 +218,9 @@ def normalise_text(s) -> Column:
 # ----------------------------------------------------------------------------------
 # spans
 # ----------------------------------------------------------------------------------
-def spans(labels) -> list[dict]:
-    """T14 of one text: mentions as (start, end, kind), 0-based, end exclusive.
-
-    A position continues the run before it when it is ``I-X`` and the previous label is
-    ``B-X`` or ``I-X``; every other position breaks.  A span is a run that starts with
-    ``B-X``; a run headed by a stray ``I-X`` opens nothing (D6).
-    """
-    out, prev, opened = [], "", None
-    for i, lab in enumerate(labels):
-        if not (lab.startswith("I-") and prev[:2] in ("B-", "I-") and prev[2:] == lab[2:]):
-            if opened is not None:
-                out.append({"start": opened, "end": i, "kind": prev[2:]})
-            opened = i if lab.startswith("B-") else None
-        prev = lab
-    if opened is not None:
-        out.append({"start": opened, "end": len(labels), "kind": prev[2:]})
-    return out
-
-
 def with_spans(df: DataFrame, labels: str, out: str) -> DataFrame:
     """Labels -> array<struct<start,end,kind>>, linear."""
-    @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else spans(r) for r in rows])
-    return df.withColumn(out, run(labels))
+    return df.withColumn(out, _columnar(kernels.spans, "array<struct<start:int,end:int,kind:string>>")(labels))
 
 
 def explode_rows(df: DataFrame, arr, alias: str, keep: list[str], pos: str | None = None) -> DataFrame:

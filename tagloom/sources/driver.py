@@ -27,29 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def mention_pattern() -> str:
+    """The lexicon's mentions as whole letter runs, pairs first.
+
+    One pass from the left gives the rule's mentions as long as no pair ends with a word that another
+    begins with, so that no run is in two pairs.
+    """
+    if {b for _, b in CORPUS_PAIRS} & {a for a, _ in CORPUS_PAIRS}:
+        raise ValueError("pairs of the corpus lexicon overlap")
+    mentions = [f"{a} {b}" for a, b in CORPUS_PAIRS] + list(CORPUS_LEXICON)
+    return r"(?i)(?<![A-Za-z])(?:" + "|".join(mentions) + r")(?![A-Za-z])"
+
+
 def lexicon_tag(text) -> "F.Column":
-    """BIO string of a text under the fixed corpus lexicon (row-local, no explode)."""
-    lex = F.create_map(*[x for k, v in CORPUS_LEXICON.items() for x in (F.lit(k), F.lit(v))])
-    pairs = F.create_map(*[x for (a, b), v in CORPUS_PAIRS.items() for x in (F.lit(f"{a} {b}"), F.lit(v))])
-    pieces = F.regexp_extract_all(text, F.lit("[A-Za-z]+|[^A-Za-z]+"), 0)
-    # every piece with the next two, and the one before
-    near = F.arrays_zip(pieces.alias("p"), F.concat(F.array(F.lit(""), F.lit("")), pieces).alias("back2"),
-                        F.concat(F.array(F.lit("")), pieces).alias("back1"),
-                        F.slice(pieces, F.lit(2), F.size(pieces)).alias("next1"), F.slice(pieces, F.lit(3), F.size(pieces)).alias("next2"))
-
-    def pair(a, blank, b):
-        return F.when(blank == " ", F.try_element_at(pairs, F.lower(F.concat_ws(" ", a, b))))
-
-    def piece_labels(x):
-        p, n = x["p"], F.length(x["p"])
-        opens, inside, closes = pair(p, x["next1"], x["next2"]), pair(x["back1"], p, x["next1"]), pair(x["back2"], x["back1"], p)
-        kind = F.coalesce(opens, F.try_element_at(lex, F.lower(p)))
-        goes_on = F.coalesce(inside, closes)
-        return (F.when(goes_on.isNotNull(), F.trim(F.repeat(F.concat(F.lit("I-"), goes_on, F.lit(" ")), n)))
-                .when(kind.isNotNull(), F.concat(F.lit("B-"), kind, F.repeat(F.concat(F.lit(" I-"), kind), n - 1)))
-                .otherwise(F.trim(F.repeat(F.lit("O "), n))))
-
-    return F.array_join(F.transform(F.filter(near, lambda x: x["p"].isNotNull()), piece_labels), " ")
+    """BIO string of a text under the fixed corpus lexicon (row-local, no explode).
+
+    Only the mentions are looked at one by one; what lies between them is ``O`` by its length.
+    """
+    kinds = {f"{a} {b}": v for (a, b), v in CORPUS_PAIRS.items()} | CORPUS_LEXICON
+    kind_of = F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.lit(v))])
+    pattern = mention_pattern()
+
+    def labels(between, mention):
+        kind = F.element_at(kind_of, F.lower(mention))
+        outside = F.repeat(F.lit("O "), F.length(between))
+        return F.when(mention.isNull(), outside).otherwise(F.concat(
+            outside, F.lit("B-"), kind, F.repeat(F.concat(F.lit(" I-"), kind), F.length(mention) - 1), F.lit(" ")))
+
+    return F.rtrim(F.array_join(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), labels), ""))
 
 
 def mood_class(labels: DataFrame) -> DataFrame:

@@ -1,7 +1,12 @@
 """Literal fixtures for the sequence functions (FIXTURES X4)."""
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tagloom.functions import bio
+from tagloom.functions import bio, kernels
 
 
 def one(spark, row, schema, fn):
@@ -39,14 +44,81 @@ def test_expand(spark):
     assert _expand(spark, ["ap", "##p"], ["B-PRODUCT", "O"]) == ["B-PRODUCT", "I-PRODUCT", "I-PRODUCT"]
 
 
+def _realign(rows):
+    text, tokens, labels = (pa.array([r[i] for r in rows]) for i in range(3))
+    return kernels.by_slices(kernels.realign, text, tokens.cast(pa.list_(pa.string())), labels.cast(pa.list_(pa.string()))).to_pylist()
+
+
 def test_realign_cases():
     exp = ["B-BANK", "I-BANK", "B-PRODUCT", "I-PRODUCT", "I-PRODUCT", "O"]
-    assert bio.realign("工行 App好", ["工", "行", "app", "好"], exp) == \
-        ["B-BANK", "I-BANK", "O", "B-PRODUCT", "I-PRODUCT", "I-PRODUCT", "O"]
-    assert bio.realign("工行  ", ["工", "行"], ["B-BANK", "I-BANK"]) == ["B-BANK", "I-BANK"]
-    assert bio.realign("工㐀行", ["工", "[UNK]", "行"], ["B-BANK", "I-BANK", "I-BANK"]) == ["B-BANK", "O", "I-BANK"]
-    # a tokenizer that drops characters: they get O, the rest keeps its labels
-    assert bio.realign("a-b-c", ["a", "b", "c"], ["B-BANK", "I-BANK", "O"]) == ["B-BANK", "O", "I-BANK", "O", "O"]
+    assert _realign([
+        ("工行 App好", ["工", "行", "app", "好"], exp),
+        ("工行  ", ["工", "行"], ["B-BANK", "I-BANK"]),
+        ("工㐀行", ["工", "[UNK]", "行"], ["B-BANK", "I-BANK", "I-BANK"]),
+        ("a-b-c", ["a", "b", "c"], ["B-BANK", "I-BANK", "O"]),      # a tokenizer that drops characters: they get O
+        (None, ["a"], ["O"]), ("", [], []), ("  ", ["a"], ["O"]), ("ab", ["ab"], ["B-BANK"]), ("a \t", ["a", "[UNK]"], ["B-BANK", "O"]),
+    ]) == [["B-BANK", "I-BANK", "O", "B-PRODUCT", "I-PRODUCT", "I-PRODUCT", "O"], ["B-BANK", "I-BANK"], ["B-BANK", "O", "I-BANK"],
+           ["B-BANK", "O", "I-BANK", "O", "O"], None, [], ["O", "O"], ["B-BANK", None], ["B-BANK", "O"]]
+
+
+def test_kernels_match_per_element_definitions():
+    """Each kernel against its definition, element by element, over rows that fall in several slices."""
+    rng = random.Random(4)
+    pool = ["B-BANK", "I-BANK", "B-PRODUCT", "I-PRODUCT", "O"]
+    rows = []
+    for _ in range(400):
+        tokens = [rng.choice(["工", "a", "app", "[UNK]", "##p", "##ay", "好好", "B"]) for _ in range(rng.randint(0, 12))]
+        body = [t if t != "[UNK]" else "\t" for t in tokens]
+        text = "".join(rng.choice(["", " ", "", "  "]) + t.removeprefix("##").upper() for t in body) + rng.choice(["", " "])
+        rows.append((text, tokens, [rng.choice(pool) for _ in range(rng.randint(0, len(text) + 2))], [rng.choice(pool) for _ in tokens]))
+    rows[3], rows[7] = (None, ["a"], ["O"], ["O"]), ("a", None, ["O"], None)
+    size = lambda t: 1 if t == "[UNK]" else len(t.removeprefix("##"))
+    strings = pa.list_(pa.string())
+    text, tokens, labels, token_labels = (pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.string(), strings, strings, strings]))
+    kernels.SLICE, keep = 200, kernels.SLICE
+    try:
+        aligned = kernels.by_slices(kernels.align, text, labels, tokens).to_pylist()
+        expanded = kernels.by_slices(kernels.expand, tokens, token_labels).to_pylist()
+        found = kernels.by_slices(kernels.spans, labels).to_pylist()
+        back = kernels.by_slices(kernels.realign, text, tokens, pa.array(expanded, strings)).to_pylist()
+    finally:
+        kernels.SLICE = keep
+    for i, (t, toks, labs, tlabs) in enumerate(rows):
+        want = [(m.start(), m.end(), m.group().split("-")[1][:4]) for m in re.finditer(r"B-BANK(?:,I-BANK)*(?=,|$)|B-PROD(?:,I-PROD)*(?=,|$)",
+                                                                                     ",".join(labs).replace("PRODUCT", "PROD"))]
+        joined = ",".join(labs).replace("PRODUCT", "PROD")
+        want = [(joined[:s].count(","), joined[:e].count(",") + 1, k) for s, e, k in want]
+        assert [(s["start"], s["end"], s["kind"][:4]) for s in found[i]] == want
+        if t is None or toks is None:
+            assert aligned[i] is None and back[i] is None
+            continue
+        solid = [lab for ch, lab in zip(t, labs) if ch != " "]
+        starts = [sum(map(size, toks[:k])) for k in range(len(toks))]
+        assert aligned[i] == [solid[s] if s < len(solid) else None for s in starts]
+        want = []
+        for k, tok in enumerate(toks):
+            heads = [h for h in range(k + 1) if not toks[h].startswith("##")]
+            lab = tlabs[heads[-1]] if heads else None
+            inner = "I" + lab[1:] if lab and lab[0] == "B" else lab
+            want += [inner] * size(tok) if tok.startswith("##") else [lab] + [inner] * (size(tok) - 1)
+        assert expanded[i] == want
+        chars = [c for tok in toks for c in ([None] if tok == "[UNK]" else tok.removeprefix("##").lower())]
+        place = [p for p, ch in enumerate(t) if ch != " "]
+        got = {p: "O" if c is None else want[k] for k, (p, c) in enumerate(zip(place, chars))}
+        assert [got.get(p, "O") for p in range(len(back[i]))] == back[i] and len(back[i]) <= len(t)
+
+
+def test_meet_skips_what_the_tokenizer_drops():
+    rng = np.random.default_rng(2)
+    body = rng.integers(0, 5, 3000)
+    text, want = [], []
+    for k, b in enumerate(body):
+        for _ in range(rng.integers(0, 400) if rng.random() < 0.02 else 0):
+            text.append(9)
+            want.append(-1)
+        text.append(b)
+        want.append(k)
+    assert kernels.meet(np.array(text + [9, 9]), body).tolist() == want
 
 
 def test_helpers_can_be_filtered_and_exploded(spark):

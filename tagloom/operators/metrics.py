@@ -50,15 +50,29 @@ def epoch_rollup(batches: DataFrame) -> DataFrame:
             .select("run", (F.col("epoch0") + 1).alias("epoch"), "loss", "acc", "val_acc"))
 
 
-def best_epochs(epochs: DataFrame, freq: int = 5, run: str = "run") -> DataFrame:
+RANGE = 4096            # epochs whose running best one task finds
+
+
+def best_epochs(epochs: DataFrame, freq: int = 5, run: str = "run", size: int = RANGE) -> DataFrame:
     """Strict improvement on the running best (start -1); saved = best, else the
-    0-based epoch is a multiple of ``freq``; ``freq = 0`` disables saving."""
-    w = Window.partitionBy(run).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    prev_best = F.coalesce(F.max("val_acc").over(w), F.lit(-1.0))
-    is_best = (F.col("val_acc") > prev_best) if freq else F.lit(False)
-    periodic = (F.pmod(F.col("epoch") - 1, F.lit(freq)) == 0) if freq else F.lit(False)
-    return (epochs.withColumn("is_best", F.coalesce(is_best, F.lit(False)))
-            .withColumn("saved", F.col("is_best") | periodic))
+    0-based epoch is a multiple of ``freq``; ``freq = 0`` disables saving.
+
+    The running maximum has two levels: the maxima of ranges of ``size`` epochs, few enough for one
+    window over a run's ranges, and the window inside each range, which starts with what the ranges
+    before it reached.  So a long run is spread over as many tasks as it has ranges.
+    """
+    if not freq:
+        return epochs.withColumn("is_best", F.lit(False)).withColumn("saved", F.lit(False))
+    cut = epochs.withColumn("__range", F.floor(F.col("epoch") / size))
+    before = Window.partitionBy(run).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (cut.groupBy(run, "__range").agg(F.max("val_acc").alias("__max"))
+               .select(F.col(run).alias("__run"), F.col("__range").alias("__r"), F.max("__max").over(before).alias("__carry")))
+    inside = Window.partitionBy(run, "__range").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.join(carried, cut[run].eqNullSafe(carried["__run"]) & cut["__range"].eqNullSafe(carried["__r"]))
+    best = F.coalesce(F.greatest(F.max("val_acc").over(inside), F.col("__carry")), F.lit(-1.0))
+    periodic = F.pmod(F.col("epoch") - 1, F.lit(freq)) == 0
+    return (rows.withColumn("is_best", F.coalesce(F.col("val_acc") > best, F.lit(False)))
+            .withColumn("saved", F.col("is_best") | periodic).select(*epochs.columns, "is_best", "saved"))
 
 
 def render_epoch_log(epochs: DataFrame) -> DataFrame:

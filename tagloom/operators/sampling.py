@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.constants import BATCH_SIZE, SEED
+from tagloom.session import materialize
 
 SPLIT_THRESHOLD = "e6666666"          # 0.9 of the 32-bit hash range
 
 
 def hash_key(key, seed: int | str = SEED) -> "F.Column":
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    """md5 of seed and key as text; a null key counts as an empty one."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
 def hash_int(h) -> "F.Column":
@@ -34,8 +36,8 @@ def split_90_10(df: DataFrame, key: str = "id", seed: int = SEED) -> DataFrame:
 
 
 def dense_rank_by_hash(df: DataFrame, h: str, key: str, group: list[str] | None = None,
-                       out: str = "idx") -> DataFrame:
-    """0-based rank of each row ordered by (h, key) within ``group``, without a global sort.
+                       out: str = "idx", ties: list[str] | None = None) -> DataFrame:
+    """0-based rank of each row ordered by (h, key, ties) within ``group``, without a global sort.
 
     ``group`` must have few values (it is used for splits): the broadcast bucket sizes are at most
     65,536 rows for each.  A bucket is sorted in one task, so a table of more than some 10^10 rows
@@ -46,7 +48,7 @@ def dense_rank_by_hash(df: DataFrame, h: str, key: str, group: list[str] | None
     sizes = b.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(*group, "__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    within = Window.partitionBy(*group, "__b").orderBy(h, key)
+    within = Window.partitionBy(*group, "__b").orderBy(h, key, *(ties or []))
     return (b.join(F.broadcast(offs), group + ["__b"])
             .withColumn(out, (F.col("__off") + F.row_number().over(within) - 1).cast("long"))
             .drop("__b", "__off"))
@@ -68,17 +70,24 @@ def sample_with_replacement(df: DataFrame, key: str = "id", factor: int = 2, see
     Each row spawns ``factor`` draw numbers, so the draws are generated where the data is
     (no driver-side count or range); draw d picks row ``hash(seed, d) mod N`` through an
     equi-join on the dense index.  A row is picked about ``factor`` times on average, so
-    the join has no hot key.  Only keys (which must be unique) are ranked and drawn; the rows
-    are joined last.
+    the join has no hot key.  What is drawn are rows: repeated and null keys are rows of their own.
+    Wide rows are numbered in a written table, so that only keys and numbers are ranked and drawn and
+    the rows are joined last.
     """
-    ranked = dense_rank_by_hash(df.select(key).withColumn("__h", hash_key(key, seed)), "__h", key)
+    wide = df.columns != [key]
+    if wide:
+        df = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    own = ["__row"] if wide else []
+    ranked = dense_rank_by_hash(df.select(key, *own).withColumn("__h", hash_key(key, seed)), "__h", key, ties=own)
     n = df.agg(F.count(F.lit(1))).scalar()
     draws = ranked.select(F.explode(F.sequence(F.col("idx") * factor, F.col("idx") * factor + factor - 1))
                           .alias("draw"))
     draws = draws.withColumn("pick", F.pmod(hash_int(F.md5(F.concat(
         F.lit(f"{seed}:draw:"), F.col("draw").cast("string")))), n))
-    drawn = draws.join(ranked.drop("__h"), draws["pick"] == ranked["idx"]).select("draw", key)
-    return drawn if df.columns == [key] else drawn.join(df, key).select("draw", *df.columns)
+    drawn = draws.join(ranked.drop("__h"), draws["pick"] == ranked["idx"])
+    if not wide:
+        return drawn.select("draw", key)
+    return drawn.select("draw", "__row").join(df, "__row").select("draw", *[c for c in df.columns if c != "__row"])
 
 
 def batches(df: DataFrame, key: str = "id", split: str = "split", size: int = BATCH_SIZE,

@@ -368,6 +368,7 @@ def argmax_class(spark, sf_dir):
 # count models: transitions, audit, fit, decode, path score, mood model, submission
 # ---------------------------------------------------------------------------------
 from tagloom.operators import models as md  # noqa: E402
+from tagloom.operators import scoring as sc  # noqa: E402
 from tagloom.session import materialize, scratch_path  # noqa: E402
 
 
@@ -478,13 +479,9 @@ def class_accuracy(spark, sf_dir):
 
 
 def tag_docs(spark, sf_dir, docs, vocab):
-    """Tokenize, decode, expand, realign -> (id, text, tokens, BIO_anno); written once."""
+    """M08 with a tagger fitted on the training corpus; written once."""
     _t, trans, emis = _tagger(spark, sf_dir, vocab)
-    d = md.decode(tk.tokenize(docs, vocab), trans, emis)
-    d = d.withColumn("token_labels", bio.label_decode("path"))
-    full = bio.with_expanded(d, "tokens", "token_labels", "exp")
-    full = bio.with_realigned(full, "text", "tokens", "exp", "realigned")
-    return materialize(full.select("id", "text", "tokens", bio.join_labels(F.col("realigned"), "O").alias("BIO_anno")), "tags")
+    return materialize(sc.tag(docs, vocab, trans, emis), "tags")
 
 
 @query("tag_corpus")
@@ -495,9 +492,26 @@ def tag_corpus(spark, sf_dir):
 @query("submission")
 def submission(spark, sf_dir):
     """Tags and moods of the same row; the test texts are tokenized once for both."""
+    return sc.score(driver.test_reviews(spark, sf_dir), fitted(spark, sf_dir))
+
+
+def fitted(spark, sf_dir):
+    """The tables that scoring needs, fitted on the training corpus and written once."""
     vocab = vocabulary(spark, sf_dir)
-    tags = tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir), vocab)
-    return md.predict_mood(tags, *_mood(spark, sf_dir, vocab), out="class").select("id", "BIO_anno", "class")
+    _t, trans, emis = _tagger(spark, sf_dir, vocab)
+    return sc.Models(vocab, trans, emis, *_mood(spark, sf_dir, vocab))
+
+
+@query("stream_submission")
+def stream_submission(spark, sf_dir):
+    """M08 and M07 on a stream: the files of ``documents`` as they arrive, scored batch by batch."""
+    def unlabelled(batch):
+        known = driver.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+        return batch.select(F.col("doc_id").alias("id"), "text").join(known, "id", "left_anti")
+
+    docs = ig.arriving(spark, sf_dir, "documents")
+    scored = ss.score_stream(docs, fitted(spark, sf_dir), prepare=unlabelled)
+    return spark.read.schema(sc.SUBMISSION).parquet(scored).select("id", "BIO_anno", "class")
 
 
 def write_submission(df: DataFrame, path: str) -> None:
@@ -530,6 +544,7 @@ FLAGSHIP = "submission"
 # ---------------------------------------------------------------------------------
 from tagloom.operators import augment as ag  # noqa: E402
 from tagloom.streaming import ingest as ig  # noqa: E402
+from tagloom.streaming import score as ss  # noqa: E402
 
 
 @query("lexicon_long")
@@ -583,6 +598,14 @@ def stream_ingest_responses(spark, sf_dir):
     return spark.read.parquet(ig.ingest_responses(spark, sf_dir))
 
 
+@query("open_requests")
+def open_requests(spark, sf_dir):
+    """T15 after S08: of two requests for every review, those that the ingested answers leave open."""
+    answers = spark.read.parquet(ig.ingest_answers(ig.answers_from_documents(ig.arriving(spark, sf_dir, "documents"))))
+    asked = ig.request_table(driver.reviews(spark, sf_dir).select("id", "text"), repeat=2)
+    return ig.open_requests(asked, answers).select("oid", "rep", "user")
+
+
 @query("backtranslation_join")
 def backtranslation_join(spark, sf_dir):
     retrans = ig.split_response(ig.responses_from_documents(driver.table(spark, sf_dir, "documents")))

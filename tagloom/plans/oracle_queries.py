@@ -420,6 +420,9 @@ rsplit AS (SELECT oid,
 """
 register("response_split", f"WITH {RESP_CTES.strip()} SELECT oid, en, cn FROM rsplit")
 register("stream_ingest_responses", f"WITH {RESP_CTES.strip()} SELECT oid, en, cn FROM rsplit")
+register("open_requests", with_corpus("""
+SELECT id AS oid, CAST(2 AS INTEGER) AS rep, text AS "user" FROM reviews WHERE id % 3 <> 0
+"""))
 register("backtranslation_join", with_corpus("""
 SELECT r.oid, r.cn AS text, v.class FROM rsplit r JOIN reviews v ON v.id = r.oid WHERE r.cn <> 'ERR'
 """, RESP_CTES))
@@ -606,6 +609,7 @@ _SUBMISSION = with_corpus(f"SELECT id, BIO_anno, class FROM qbio JOIN ({mood_sql
                           _TAGGED + "," + mood_ctes())
 register("submission", _SUBMISSION)
 register("submission_csv", _SUBMISSION)
+register("stream_submission", _SUBMISSION)
 
 
 def marked_sql(chars: str, labels: str) -> str:

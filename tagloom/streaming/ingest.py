@@ -1,5 +1,7 @@
 """Back-translation tables: requests (T15), response split (T16), lineage join (J04) and
-the incremental response ingest (S08) as a Structured Streaming job.
+the incremental response ingest (S08) as Structured Streaming jobs: once per file
+(``ingest_responses``), or once per request (``ingest_answers``), after which ``open_requests``
+are those still to be asked.
 
 The remote call itself is not built.  Responses over the driver tables are
 ``lang + '#####' + text`` of each document, with malformed answers for every tenth
@@ -26,21 +28,21 @@ def request_table(sample: DataFrame, repeat: int = 1, key: str = "id", text: str
                          F.lit(SYSTEM_PROMPT).alias("system"), F.col(text).alias("user"))
 
 
-def responses_from_documents(docs: DataFrame) -> DataFrame:
-    """Stand-in answers (oid, content) built from the documents table."""
+def responses_from_documents(docs: DataFrame, *keep: str) -> DataFrame:
+    """Stand-in answers (oid, .., content) built from the documents table."""
     content = (F.when(F.pmod("doc_id", F.lit(20)) == 10,
                       F.concat_ws(RESPONSE_SEP, "lang", "source", "text"))
                .when(F.pmod("doc_id", F.lit(10)) == 0, F.col("text"))
                .otherwise(F.concat_ws(RESPONSE_SEP, "lang", "text")))
-    return docs.select(F.col("doc_id").alias("oid"), content.alias("content"))
+    return docs.select(F.col("doc_id").alias("oid"), *keep, content.alias("content"))
 
 
-def split_response(df: DataFrame, content: str = "content") -> DataFrame:
+def split_response(df: DataFrame, content: str = "content", keep: tuple | list = ("oid",)) -> DataFrame:
     """Exactly two parts -> (en, cn); otherwise en = the parts as a JSON array, cn = 'ERR'."""
     parts = F.split(F.col(content), RESPONSE_SEP, -1)
     listed = F.to_json(parts)
     ok = F.size(parts) == 2
-    return df.select("oid", F.when(ok, F.element_at(parts, 1)).otherwise(listed).alias("en"),
+    return df.select(*keep, F.when(ok, F.element_at(parts, 1)).otherwise(listed).alias("en"),
                      F.when(ok, F.element_at(parts, 2)).otherwise(F.lit(RESPONSE_ERR)).alias("cn"))
 
 
@@ -68,3 +70,65 @@ def ingest_responses(spark: SparkSession, sf_dir: str, sink: str | None = None)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return os.path.join(sink, "data")
+
+
+# ----------------------------------------------------------------------------------
+# S08 by key: one answer for each request, whatever arrives twice or late
+# ----------------------------------------------------------------------------------
+KEY = ["oid", "rep"]
+ANSWER = "oid long, rep int, en string, cn string"
+
+
+def arriving(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 1000) -> DataFrame:
+    """The files of a table as a stream; the table is one file or a folder of files.
+
+    The last letter is given as a pattern, as a stream takes a single file only by a pattern.
+    """
+    path = os.path.join(sf_dir, f"{table}.parquet")
+    return (spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+            .parquet(os.path.join(sf_dir, f"{table}.parque[t]")))
+
+
+def answers_from_documents(docs: DataFrame) -> DataFrame:
+    """Stand-in answers (oid, rep, content): every document's first request, every third's second as well,
+    and every seventh's first once more."""
+    reps = F.concat(F.array(F.lit(1)), F.when(F.pmod("doc_id", F.lit(3)) == 0, F.array(F.lit(2))).otherwise(F.array().cast("array<int>")),
+                    F.when(F.pmod("doc_id", F.lit(7)) == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return responses_from_documents(docs.select("*", F.explode(reps).alias("rep")), "rep")
+
+
+def first_answers(answers: DataFrame) -> DataFrame:
+    """One answer for each key of a batch: the least content, null last, whatever their order."""
+    content = F.min(F.struct(F.col("content").isNull().alias("none"), "content"))["content"]
+    return answers.groupBy(*KEY).agg(content.alias("content"))
+
+
+def ingest_answers(stream: DataFrame, sink: str | None = None) -> str:
+    """S08 by key: stream answers (oid, rep, content) into a table with one row for each request.
+
+    A micro-batch's answers are made one per key, those whose key an earlier batch has are left out by
+    an anti-join, and the rest is written to the batch's own folder, which a repeated batch replaces.
+    The table's keys are the state: nothing is held in memory between batches.  Returns the folder of
+    (oid, rep, en, cn, batch).
+    """
+    from tagloom.streaming.score import batch_folder, run_batches
+
+    spark = stream.sparkSession
+    sink = sink or scratch_path(spark, "answers")
+    data = os.path.join(sink, "data")
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = split_response(first_answers(batch), keep=KEY)
+        if number > 0:
+            known = spark.read.schema(ANSWER + ", batch long").parquet(data).where(F.col("batch") < number).select(*KEY)
+            new = new.join(known, [new[k].eqNullSafe(known[k]) for k in KEY], "left_anti")
+        new.select("oid", F.col("rep").cast("int").alias("rep"), "en", "cn").write.mode("overwrite").parquet(batch_folder(sink, number))
+
+    run_batches(stream, sink, write)
+    return data
+
+
+def open_requests(requests: DataFrame, answers: DataFrame, ask_again: bool = False) -> DataFrame:
+    """The requests that no answer in the table settles; ``ask_again``: malformed answers settle none."""
+    settled = answers.where(F.col("cn") != RESPONSE_ERR) if ask_again else answers
+    return requests.join(settled.select(*KEY).distinct(), KEY, "left_anti")

@@ -1,5 +1,6 @@
 """Epoch metrics: best-epoch flags on the 20-epoch log (X1), log parsing."""
 import os
+import random
 import tempfile
 
 from tagloom.operators import metrics as mt
@@ -17,6 +18,20 @@ def test_best_epoch_flags(spark):
     assert not any(r["saved"] for r in mt.best_epochs(df, freq=0).collect())
 
 
+def test_best_epochs_over_many_ranges(spark):
+    """Two runs, ranges of 7 epochs, nulls, ties: the same flags as one pass from the left."""
+    rng = random.Random(3)
+    rows = [(run, e, rng.choice([None, round(rng.random(), 2), round(rng.random() * e / 500, 3)])) for run in (1, None) for e in range(1, 400)]
+    df = spark.createDataFrame(rows, "run int, epoch int, val_acc double").repartition(5)
+    got = {(r["run"], r["epoch"]): (r["is_best"], r["saved"]) for r in mt.best_epochs(df, freq=5, size=7).collect()}
+    best = {1: -1.0, None: -1.0}
+    for run, e, v in rows:
+        flag = v is not None and v > best[run]
+        best[run] = v if flag else best[run]
+        assert got[run, e] == (flag, flag or (e - 1) % 5 == 0)
+    assert len(got) == len(rows)
+
+
 LOG = """{"val acc 0.91"}
 Epochs: 1 | 
                 Loss:  0.12349840 | 

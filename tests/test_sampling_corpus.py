@@ -73,3 +73,14 @@ def test_draws_use_sixty_bits(spark):
     from tagloom.operators import sampling as sp
     top = spark.range(2000).select(sp.hash_int(F.md5(F.col("id").cast("string"))).alias("h")).agg(F.max("h")).first()[0]
     assert (1 << 59) < top < (1 << 60)
+
+
+def test_draws_are_rows(spark):
+    """Repeated and null keys: still exactly 2N draws, each of an existing row."""
+    rows = [(1, "a"), (1, "b"), (1, "b"), (None, "c"), (None, "d"), (2, "e"), (3, "f")] * 4
+    df = spark.createDataFrame(rows, "id long, v string")
+    got = sp.sample_with_replacement(df).collect()
+    assert sorted(r["draw"] for r in got) == list(range(2 * len(rows)))
+    assert {(r["id"], r["v"]) for r in got} <= set(rows)
+    keys = sp.sample_with_replacement(df.select("id")).collect()
+    assert sorted(r["draw"] for r in keys) == list(range(2 * len(rows)))

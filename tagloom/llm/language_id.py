@@ -171,9 +171,14 @@ def train(learn: DataFrame, per_language: int = 1500) -> tuple[list[str], np.nda
     """(languages, weights) from about ``per_language`` texts of each language.
 
     ``learn`` is (doc_id, text, label) with the language; null labels do not count.  Document
-    frequencies are counted over all its labelled texts.  At most ``MAX_LANGUAGES``.
+    frequencies are counted over all its labelled texts.  Of more than ``MAX_LANGUAGES`` values those
+    with the most texts are learned (ties: by name), so stray values cost no more than they are worth.
+    Of a repeated id the longest text may be sampled, of equally long ones the last in binary order.
     """
     learn = learn.where("label is not null")
+    learn = learn.withColumn("label", F.col("label").cast("string"))
+    most = learn.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).select("label")
+    learn = learn.join(F.broadcast(most), "label").select("doc_id", "text", "label")     # at most MAX_LANGUAGES names
     sample, shares = C.sample_by_class(learn.select("doc_id", "text"), learn.select("doc_id", "label"), per_language, bound=MAX_LANGUAGES)
     languages = sorted(shares)
     if not languages:

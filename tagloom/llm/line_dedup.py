@@ -36,7 +36,6 @@ MAX_LEAF = 1 << 15              # lines of a leaf that one task works through
 STEP = 2048                     # of these, compared with one another directly
 PAIRS = 1 << 22                 # tokens compared at once
 FLUSH = 1 << 13                 # lines that a task gathers before it works through their leaves
-MIN_TOKENS = 3
 BITMAP_BITS = 23                # least size of the bitmap, as a power of two
 MAX_BITMAP_BITS = 28            # 32 MB; above, the leaves are also joined
 
@@ -47,7 +46,7 @@ _DIGIT = C.lut(range(0x30, 0x3A))
 class Lines:
     """The lines of a slice: byte spans, text, token count, leaf keys, line key, token hashes."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, min_tokens: int = MIN_TOKENS):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, min_tokens: int = 1):
         feed = data == 0x0A
         word = ~_SPACE[data]
         # a class change at every line feed and blank; tokens never hold a feed (it is a blank)
@@ -89,7 +88,7 @@ def slot(leaf: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (leaf & C.U64(64 * len(bitmap) - 1)).astype(np.int64)
 
 
-def recurring_leaves(docs: DataFrame, min_docs: int, min_tokens: int = MIN_TOKENS) -> tuple[np.ndarray, DataFrame | None]:
+def recurring_leaves(docs: DataFrame, min_docs: int, min_tokens: int = 1) -> tuple[np.ndarray, DataFrame | None]:
     """Bitmap (words of bits) of the leaves that occur in ``min_docs`` texts or more; the leaves, if it is too small."""
     def run(batches):
         for batch in batches:
@@ -114,7 +113,7 @@ def recurring_leaves(docs: DataFrame, min_docs: int, min_tokens: int = MIN_TOKEN
     return out, seen if wanted > bits else None
 
 
-def candidate_lines(docs: DataFrame, bitmap: np.ndarray, leaves: DataFrame | None = None, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def candidate_lines(docs: DataFrame, bitmap: np.ndarray, leaves: DataFrame | None = None, min_tokens: int = 1) -> DataFrame:
     """(doc_id, leaf, line, tokens): each different line of a document in the bitmap's leaves (and in ``leaves``).
 
     ``tokens`` packs the line's token hashes (4 bytes each, 0 for a variable field).
@@ -336,7 +335,7 @@ def templates_in_tasks(lines: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "line long, template long")
 
 
-def drops(docs: DataFrame, min_docs: int = 2, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def drops(docs: DataFrame, min_docs: int = 2, min_tokens: int = 1) -> DataFrame:
     """(doc_id, lines): the keys of the lines that each document loses."""
     lines = materialize(candidate_lines(docs, *recurring_leaves(docs, min_docs, min_tokens), min_tokens), "line-candidates")
     named = materialize(templates(lines), "line-templates")
@@ -348,7 +347,7 @@ def drops(docs: DataFrame, min_docs: int = 2, min_tokens: int = MIN_TOKENS) -> D
             .groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
 
 
-def dedup(docs: DataFrame, min_docs: int = 2, report: bool = False, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = 2, report: bool = False, min_tokens: int = 1) -> DataFrame:
     """``docs`` (doc_id, text, any others) without the lines whose templates recur.
 
     Rows that share a doc_id are one document; rows with a null doc_id stay as they are.  Null and

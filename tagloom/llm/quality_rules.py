@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm import common as C
+from tagloom.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -41,8 +42,6 @@ RULES = {
     "echo_share": ("n_echoes", "n_words", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2]),
     "chars_per_word": ("word_chars", "n_words", [40, 30, 25, 20, 17, 15, 13, 12]),
 }
-MAX_STRATA = 4096
-
 _SPACE = C.lut(C.WHITESPACE)
 _SYMBOL = C.lut(SYMBOLS)
 _SHOUT = C.lut(b"!?")
@@ -122,10 +121,18 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(t - top) for t in terms))
 
 
-def choose(counts: dict[str, dict], risk: float, delta: float) -> dict[str, dict[str, float]]:
-    """Cutoffs per stratum from ``{stratum: {good, bad, (rule, i): (good hit, bad hit)}}``."""
+def enough(strata: int, risk: float, delta: float) -> int:
+    """Good texts that a stratum must have for any cutoff to be certified, with no good text rejected."""
+    return math.ceil(math.log(delta / max(1, strata * len(RULES))) / math.log1p(-risk / len(RULES)))
+
+
+def choose(counts: dict[str, dict], risk: float, delta: float, strata: int | None = None) -> dict[str, dict[str, float]]:
+    """Cutoffs per stratum from ``{stratum: {good, bad, (rule, i): (good hit, bad hit)}}``.
+
+    ``strata`` is the number of strata tested, if more than those in ``counts``.
+    """
     out: dict[str, dict[str, float]] = {}
-    each = delta / max(1, len(counts) * len(RULES))
+    each = delta / max(1, (strata or len(counts)) * len(RULES))
     share = risk / len(RULES)
     for stratum, seen in counts.items():
         out[stratum] = {}
@@ -145,8 +152,9 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, risk: float = 0.04, delta: f
     """Certified cutoffs ``{stratum: {rule: cutoff}}`` from every labelled text that passes the base.
 
     ``docs`` has doc_id, text, lang; ``labels`` has doc_id, quality (1 good, 0 bad; null ignored;
-    of several labels of one id the largest counts).  One aggregation row per stratum reaches the
-    driver; more than ``MAX_STRATA`` strata raise an error.
+    of several labels of one id the largest counts).  Every stratum counts as tested, but only
+    those with ``enough`` good texts can have a cutoff and reach the driver, one row each: a column of
+    many stray languages costs nothing there and no stratum is left out.
     """
     lab = (labels.where("doc_id is not null and quality is not null")
            .groupBy(F.col("doc_id").alias("lab_id")).agg(F.max("quality").alias("lab_quality")))
@@ -160,12 +168,12 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, risk: float = 0.04, delta: f
     for rule, i in names:
         hit = ratio(F.col(c), rule) >= RULES[rule][2][i]
         aggs += [F.count_if(hit & good).alias(f"g_{rule}_{i}"), F.count_if(hit & bad).alias(f"b_{rule}_{i}")]
-    rows = seen.groupBy("stratum").agg(*aggs).limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
+    sums = materialize(seen.groupBy("stratum").agg(*aggs), "quality-strata")
+    strata = sums.count()
+    rows = sums.where(F.col("good") >= enough(strata, risk, delta)).collect()
     counts = {r["stratum"]: {"good": r["good"], "bad": r["bad"]}
               | {(rule, i): (r[f"g_{rule}_{i}"], r[f"b_{rule}_{i}"]) for rule, i in names} for r in rows}
-    return choose(counts, risk, delta)
+    return choose(counts, risk, delta, strata)
 
 
 def rejected(c, stratum, cutoffs: dict[str, dict[str, float]]):

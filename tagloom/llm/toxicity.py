@@ -225,22 +225,22 @@ def thresholds(scored: DataFrame, labels: DataFrame) -> tuple[dict[str, float],
     """Cutoffs by language, and the one for all, from every labelled row of ``scored``.
 
     ``scored`` is (doc_id, lang, score).  A language with fewer than ``MIN_POSITIVE`` positive
-    labels has no cutoff of its own.  At most ``MAX_LANGUAGES`` x ``BINS`` x 2 counts are collected.
+    labels has no cutoff of its own, and neither has one beyond the ``MAX_LANGUAGES`` with the most
+    of them: they share the one for all.  So at most ``MAX_LANGUAGES`` x ``BINS`` x 2 counts are collected.
     """
     labels = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     part = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
-    rows = (scored.join(labels, "doc_id").groupBy(F.coalesce("lang", F.lit("und")).alias("lang"), part.alias("bin"),
-                                                  (F.col("label") >= 1).cast("int").alias("y"))
-            .agg(F.count("*").alias("n")).limit(MAX_LANGUAGES * BINS * 2 + 1).collect())
-    if len(rows) > MAX_LANGUAGES * BINS * 2:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = (scored.join(labels, "doc_id").groupBy(F.coalesce("lang", F.lit("und")).alias("lang"), part.alias("bin"),
+                                                    (F.col("label") >= 1).cast("int").alias("y"))
+              .agg(F.count("*").alias("n")))
+    counts = materialize(counts, "toxicity-bins")
+    whole = {(r["bin"], r["y"]): r["n"] for r in counts.groupBy("bin", "y").agg(F.sum("n").alias("n")).collect()}
+    known = (counts.groupBy("lang").agg(F.sum(F.col("n") * F.col("y")).alias("positive")).where(F.col("positive") >= MIN_POSITIVE)
+             .orderBy(F.desc("positive"), "lang").limit(MAX_LANGUAGES).select("lang"))
     by: dict[str, dict] = {}
-    whole: dict = {}
-    for r in rows:
+    for r in counts.join(F.broadcast(known), "lang").collect():   # at most MAX_LANGUAGES names
         by.setdefault(r["lang"], {})[r["bin"], r["y"]] = r["n"]
-        whole[r["bin"], r["y"]] = whole.get((r["bin"], r["y"]), 0) + r["n"]
-    enough = {k: h for k, h in by.items() if sum(n for (_, y), n in h.items() if y) >= MIN_POSITIVE}
-    return {k: best_cutoff(h) for k, h in enough.items()}, best_cutoff(whole) if whole else 0.5
+    return {k: best_cutoff(h) for k, h in by.items()}, best_cutoff(whole) if whole else 0.5
 
 
 def judge(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> DataFrame:

@@ -128,3 +128,36 @@ def test_ftrl_scores_by_sparse_dot_product():
     data, offs = common.utf8(__import__("pyarrow").array(["good nice fine", "### junk", "", None]))
     got = score(data, offs)[0]
     assert got[0] > 0.8 > 0.2 > got[1] and got[2] == got[3]
+
+
+def test_ids_without_a_fold(spark, tmp_path):
+    """A null id is not held out, and of a repeated id the same text is sampled in any layout."""
+    rows = spark.createDataFrame([(None, "a b c"), (5, "good text here")], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "1L n_chars")
+    labels = spark.createDataFrame([(5, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    d = sf_dir(spark, tmp_path, documents=rows, labels=labels)
+    for q in (queries.op5_quality_classifier, queries.op7_toxicity, queries.op8_language_id):
+        got = {r["doc_id"]: r for r in q(spark, d).collect()}
+        assert got[None]["held_out"] is False and len(got) == 2
+    texts = spark.createDataFrame([(1, t) for t in ("aaaa", "bbbb", "cccc", "d", None)], "doc_id long, text string")
+    label = spark.createDataFrame([(1, "x")], "doc_id long, label string")
+    for n in (1, 2, 3, 5, 7):
+        sample, _ = common.sample_by_class(texts.repartition(n), label, 10)
+        assert [r["text"] for r in sample.collect()] == ["cccc"]
+
+
+def test_stray_languages_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    rows = [(i, "the cat sat on that mat", "en") for i in range(20)] + [(50 + i, "der hund und die katze", "de") for i in range(20)]
+    rows += [(200 + i, f"zq{i}", f"stray{i}") for i in range(30)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    languages, weights = language_id.train(learn)
+    assert languages == ["de", "en"] and weights.shape[1] == 2
+
+
+def test_stray_languages_share_a_cutoff(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_LANGUAGES", 1)
+    rows = [(i, lang, 0.9 if i % 2 else 0.1) for i, lang in enumerate(["en"] * 100 + ["de"] * 80 + ["xx"] * 4)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id long, label int")
+    by, whole = toxicity.thresholds(scored, labels)
+    assert list(by) == ["en"] and 0.1 < whole < 0.91

@@ -19,14 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.llm import common as C
+from tagloom.session import materialize, remove_at_exit, scratch_path
 
 PHRASE = 13
 SHARD_BYTES = 4 << 20
 SAMPLE = 8
-BLOCK_BYTES = 16 << 20          # benchmark text of one broadcast block
-MAX_BLOCKS = 64
+BLOCK_BYTES = 16 << 20          # benchmark text of one broadcast block, and of one pass over the documents
 FIELDS = [("n_words", "long"), ("n_hit", "long"), ("items", "array<string>"), ("spans", "array<long>")]
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -55,9 +56,9 @@ def phrases(item_ids: list, texts: list) -> dict:
         own = symbol[first[i]:first[i + 1]]
         for j in range(max(min(len(own), 1), len(own) - PHRASE + 1)):
             part = own[j:j + PHRASE]
-            rows.append(np.concatenate([np.zeros(PHRASE - len(part), np.int64), part]))
+            rows.append(np.concatenate([np.zeros(PHRASE - len(part), np.int32), part.astype(np.int32)]))
             items.append(i)
-    matrix, back = np.unique(np.array(rows, np.int64).reshape(-1, PHRASE), axis=0, return_inverse=True)
+    matrix, back = np.unique(np.array(rows, np.int32).reshape(-1, PHRASE), axis=0, return_inverse=True)
     back = back.reshape(-1)
     order = np.argsort(back, kind="stable")
     return {"vocab": vocab, "matrix": matrix, "length": (matrix > 0).sum(1),
@@ -65,19 +66,17 @@ def phrases(item_ids: list, texts: list) -> dict:
             "ids": [None if x is None else str(x) for x in item_ids]}
 
 
-def blocks(benchmark: DataFrame) -> list:
-    """Broadcast phrase tables of at most about ``BLOCK_BYTES`` of benchmark text each."""
+def blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(item_id, text) of the benchmark, and in how many blocks of about ``BLOCK_BYTES`` it is searched."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / BLOCK_BYTES))
-    if n > MAX_BLOCKS:
-        raise ValueError(f"benchmark of {size} bytes: search it in parts of at most {MAX_BLOCKS * BLOCK_BYTES}")
-    out = []
-    for b in range(n):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()
-        made = phrases([r["item_id"] for r in part], [r["text"] for r in part])
-        out.append(benchmark.sparkSession.sparkContext.broadcast(made))
-    return out
+    return rows, max(1, math.ceil(size / BLOCK_BYTES))
+
+
+def block(rows: DataFrame, n: int, b: int):
+    """The broadcast phrase table of block ``b``; repeated texts fall in one block, and one text is never cut."""
+    part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()
+    return rows.sparkSession.sparkContext.broadcast(phrases([r["item_id"] for r in part], [r["text"] for r in part]))
 
 
 # --- the index ---------------------------------------------------------------------------
@@ -243,33 +242,92 @@ def scan(data: np.ndarray, offs: np.ndarray, tables: list[dict]) -> list:
     return [np.diff(first), C.per_text(hit, first), [sorted(x for x in s if x is not None) for s in items], spans]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", cut: bool = False) -> tuple[DataFrame, str]:
-    """``docs`` plus a struct column: n_words, n_hit, items, spans (bytes, flat pairs), and the name.
+def without(raw: bytes, spans: list) -> str:
+    """A text without its (flat, ascending) spans."""
+    keep = [0, *spans, len(raw)]
+    return b"".join(raw[keep[k]:keep[k + 1]] for k in range(0, len(keep), 2)).decode("utf-8", "replace")
 
-    With ``cut`` the struct also has ``rest``, the text without its spans.  Null texts have no
-    words (``rest``: null stays null); items without words or with a null text match nothing; a
-    null item_id's phrases are searched but it is not listed.  Repeated items are listed once.
-    """
-    tables = blocks(benchmark)
 
+def search_block(docs: DataFrame, table, text: str, cut: bool) -> tuple[DataFrame, str]:
     def make(data, offs):
         out = [[] for _ in FIELDS]
         for _, _, part, own in C.slices(data, offs, SHARD_BYTES):
-            for a, b in zip(out, scan(part, own, [t.value for t in tables])):
+            for a, b in zip(out, scan(part, own, [table.value])):
                 a.extend(b)
         if cut:
             raw = data.tobytes()
-            rest = []
-            for i, spans in enumerate(out[3]):
-                whole = raw[offs[i]:offs[i + 1]]
-                keep = [0, *spans, len(whole)]
-                rest.append(b"".join(whole[keep[k]:keep[k + 1]] for k in range(0, len(keep), 2)).decode("utf-8", "replace") if spans else None)
-            out.append(rest)
+            out.append([without(raw[offs[i]:offs[i + 1]], spans) if spans else None for i, spans in enumerate(out[3])])
         return out
 
     return C.add_columns(docs, text, FIELDS + [("rest", "string")] * cut, make, "leak")
 
 
+def united(pairs: np.ndarray) -> np.ndarray:
+    """The union of (start, end) rows, ascending; those that touch are one."""
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(pairs[:, 1])
+    first = np.concatenate([[True], pairs[1:, 0] > reach[:-1]])
+    return np.stack([pairs[first, 0], reach[np.append(np.flatnonzero(first)[1:], len(pairs)) - 1]], 1)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", cut: bool = False) -> tuple[DataFrame, str]:
+    """``docs`` plus a struct column: n_words, n_hit, items, spans (bytes, flat pairs), and the name.
+
+    With ``cut`` the struct also has ``rest``, the text without its spans.  Null texts have no
+    words (``rest``: null stays null); items without words or with a null text match nothing; a
+    null item_id's phrases are searched but it is not listed.  Repeated items are listed once.
+
+    A benchmark of more than one block is searched block after block, with one pass over the numbered
+    documents and one broadcast each; the rows with hits are written and united per document.
+    """
+    rows, n = blocks(benchmark)
+    if n == 1:
+        return search_block(docs, block(rows, 1, 0), text, cut)
+    spark = docs.sparkSession
+    number, hits, leak = C.unused(docs, "leak_row"), C.unused(docs, "leak_hits"), C.unused(docs, "leak")
+    base = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "leak-documents")
+    texts, path = base.select(F.col(number).alias("row"), F.col(text).cast("string").alias("text")), scratch_path(spark, "leak-hits")
+    for b in range(n):
+        table = block(rows, n, b)
+        found, s = search_block(texts, table, "text", False)
+        found.where(F.col(f"{s}.n_hit") > 0).select("row", f"{s}.items", f"{s}.spans").write.mode("append").parquet(path)
+        if b == 0:
+            remove_at_exit(spark, path)
+        table.destroy()
+    each = spark.read.schema("row long, items array<string>, spans array<bigint>").parquet(path)
+    each = each.groupBy(F.col("row").alias(number)).agg(F.struct(F.flatten(F.collect_list("items")).alias("items"),
+                                                                 F.flatten(F.collect_list("spans")).alias("spans")).alias(hits))
+    joined = base.join(each, number, "left").drop(number)
+    at, hits_at = joined.columns.index(text), joined.columns.index(hits)
+    fields = FIELDS + [("rest", "string")] * cut
+    struct = T.StructType([T.StructField(f, T._parse_datatype_string(t)) for f, t in fields])
+    schema = T.StructType([*[f for f in joined.schema.fields if f.name != hits], T.StructField(leak, struct)])
+
+    def unite(batches):
+        for batch in batches:
+            got, parts = batch.column(hits_at).to_pylist(), [[] for _ in fields]
+            for lo, _, data, offs in C.slices(*C.utf8(batch.column(at))):
+                _, starts, ends = word_hashes(data, offs)
+                first, raw = np.searchsorted(starts, offs), data.tobytes()
+                for i, (a, z) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+                    own = got[lo + i] or {"items": [], "spans": []}
+                    flat, hit = [], 0
+                    if own["spans"]:                               # in words, so that runs beside each other become one
+                        begin, end = starts[first[i]:first[i + 1]] - a, ends[first[i]:first[i + 1]] - a
+                        runs = united(np.searchsorted(begin, np.array(own["spans"], np.int64)).reshape(-1, 2))
+                        hit = int((runs[:, 1] - runs[:, 0]).sum())
+                        flat = np.stack([begin[runs[:, 0]], end[runs[:, 1] - 1]], 1).ravel().tolist()
+                    for part, v in zip(parts, (int(first[i + 1] - first[i]), hit, sorted(set(own["items"])), flat,
+                                               without(raw[a:z], flat) if flat else None)):
+                        part.append(v)
+            arrays = [pa.array(p, k) for p, (_, k) in zip(parts, C.arrow_schema(fields))]
+            made = pa.StructArray.from_arrays(arrays, names=[f for f, _ in fields])
+            names = [c for c in batch.schema.names if c != hits]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], made], names=[*names, leak])
+
+    return joined.mapInArrow(unite, schema), leak
+
+
 def contaminated(leak):
     """At least a twentieth of the words hit."""
     return (leak["n_hit"] > 0) & (20 * leak["n_hit"] >= leak["n_words"])

@@ -11,6 +11,10 @@ from tagloom.llm import (bpe, decontaminate, hard_negatives, language_id, line_d
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of ``documents``, by ``pii.find``: counts and digest of the base spans, all spans.
+
+    One row per document row; a null text is empty; repeated rows and null ids are rows like others.
+    """
     found = pii.find(C.table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda x: x["k"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)]
@@ -29,11 +33,19 @@ def domains(labels: DataFrame) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and rates of ``documents`` that meet ``TARGETS``, by ``mixing.mix``; without the texts.
+
+    One row per document row; null and empty texts have rate 1; without labels all rates are 1.
+    """
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, domains(C.table(spark, sf_dir, "labels")), TARGETS, keep_text=False)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of ``benchmark`` in every whole text of ``documents``, by ``decontaminate.find``.
+
+    One row per document row; a null text has no words; null items match nothing, null item ids are not listed.
+    """
     docs = C.text_rows(C.table(spark, sf_dir, "documents"))
     found, leak = decontaminate.find(docs, C.table(spark, sf_dir, "benchmark"))
     leak = F.col(leak)
@@ -44,6 +56,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and verdict of every whole text of ``documents``, by ``quality_rules.judge``.
+
+    One row per document row; null and empty texts fail the base; without labels only the base holds.
+    """
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged, v = quality_rules.judge(docs, C.table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *[F.col(f"{v}.{c}") for c in (
@@ -51,6 +67,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text of ``documents``, learned from the ids that are not held out.
+
+    One row per document row, empty and null texts too.  A null id is not held out and not learned from;
+    of a repeated id one text is learned from (``common.sample_by_class``).
+    """
     docs = C.text_rows(C.table(spark, sf_dir, "documents"))
     labels = C.table(spark, sf_dir, "labels").where(C.fold(F.col("doc_id"), 5) != 0)
     weights = quality_classifier.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
@@ -60,12 +81,21 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without lines of recurring templates, by ``line_dedup.dedup``: line counts and digest of the text.
+
+    Rows that share an id are one document; null ids lose nothing; a null text has a null digest.
+    """
     done = line_dedup.dedup(C.text_rows(C.table(spark, sf_dir, "documents")), report=True, min_tokens=1)
     return done.select("doc_id", "line_report.n_lines", "line_report.n_dropped",
                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text of ``documents``, learned from the ids that are not held out.
+
+    One row per document row, empty and null texts too.  A null id is not held out and not learned from.
+    The verdict by the language's own threshold follows; a null language shares the one of all.
+    """
     docs = C.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     labels = C.table(spark, sf_dir, "labels").where(C.fold(F.col("doc_id"), 3) != 1)
     found = toxicity.judge(docs, labels.select("doc_id", F.col("toxic").alias("label")))
@@ -75,6 +105,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of ``documents``, learned from the ids that are not held out.
+
+    One row per document row; ``und`` with score 0 where there is no letter.  A null id is not held out
+    and not learned from; null languages are not learned.
+    """
     table = C.table(spark, sf_dir, "documents")
     docs = C.text_rows(table)
     learn = (table.where(C.fold(F.col("doc_id"), 3) != 1)
@@ -86,11 +121,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of near copies of every whole text of ``documents``, by ``simhash.near_duplicates``.
+
+    One row per document row; null and empty texts have fingerprint zero and are linked like any other.
+    """
     found = simhash.near_duplicates(C.table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written as WARC records by ``warc.archive`` and read back: one row per page row.
+
+    A null payload is empty; of equal payloads the record with the largest id is the response.
+    """
     manifest, folder = warc.archive(C.table(spark, sf_dir, "pages"))
     found = warc.read(manifest, folder, payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

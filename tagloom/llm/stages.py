@@ -12,25 +12,28 @@ from tagloom.session import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null, empty and very short texts go, repeated rows are judged each."""
     judged, v = quality_rules.judge(docs, C.table(spark, sf_dir, "labels"))
     return judged.where(F.col(f"{v}.kept")).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of recurring templates that an earlier document has."""
+    """All documents, without the lines of recurring templates that an earlier document has.
+
+    Rows that share an id are one document, rows with a null id stay as they are; a text may become empty.
+    """
     out = line_dedup.dedup(docs, min_tokens=1)
     kinds = dict(out.dtypes)
     return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in kinds else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the least id; of its repeated rows one, and rows with a null id stay."""
     return simhash.keep_first(docs, shingle=4, distance=4)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated, without their removal spans."""
+    """Documents that are not contaminated, without their removal spans; null and empty texts have none."""
     return decontaminate.clean(docs, C.table(spark, sf_dir, "benchmark"))
 
 

@@ -427,3 +427,23 @@ def test_rules_with_many_stray_languages(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], LABELS)
     judged, v = quality_rules.judge(docs, labels)
     assert judged.where(F.col(f"{v}.kept")).count() == 300
+
+
+def test_decontamination_block_after_block(spark, monkeypatch):
+    """Many blocks, one pass each: the same hits, items, spans and texts as one block."""
+    rng = random.Random(21)
+    vocab = ["aa", "b", "c", "é", "1x", "dd"]
+    items = [(i % 25, rng_text(rng, vocab, rng.choice([3, 13, 20, 40]))) for i in range(40)] + [(None, "b c"), (3, None), (4, "")]
+    texts = EDGE + [rng_text(rng, vocab + ["zz"] * 4, n) for n in (1, 12, 40, 300) for _ in range(6)]
+    texts += [items[0][1] + " " + items[1][1], items[2][1] + "  \n" + items[3][1] + " zz"]
+    docs = documents(spark, texts).withColumn("leak_row", F.lit("x")).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = []
+    for size in (16 << 20, 200):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        found, leak = decontaminate.find(docs, bench, cut=True)
+        assert found.columns == [*docs.columns, leak]
+        out.append({r.doc_id: (r.text, r[leak]["n_words"], r[leak]["n_hit"], r[leak]["items"], r[leak]["spans"], r[leak]["rest"]) for r in found.collect()})
+        kept = {r.doc_id: r.text for r in decontaminate.clean(docs, bench).collect()}
+        out.append(kept)
+    assert out[0] == out[2] and out[1] == out[3] and sum(v[2] > 0 for v in out[0].values()) > 10

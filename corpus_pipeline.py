@@ -12,6 +12,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages keep, with their cleaned text and columns, and tokens, posteriors and rate.
+
+    Each stage's result is written to the shared folder and reread.  Null, empty and repeated rows, empty
+    tables and extra columns are as the stages (``llm/stages.py``) define them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

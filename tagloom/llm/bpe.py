@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from tagloom.llm import common as C
 
 END = "Ā"                  # stands for the end of a word; bytes are the characters below it
-CACHE = 200_000                 # encoded words that a worker remembers
-PAIRS = 1_000_000               # pair verdicts that a worker remembers
+CACHE = 150_000                 # encoded words that a worker remembers
+PAIRS = 400_000               # pair verdicts that a worker remembers
+SLICE_BYTES = 1 << 20           # text that is encoded at once
 SPACE, LETTER, NUMBER, SYMBOL, MARK = range(5)
 FIRST_MARK = 0xF8               # bytes from here on never occur in UTF-8; they stand for special tokens
 #: FIXED VALUES: the split pattern and the steps that this module carries out
@@ -207,7 +208,8 @@ class Tokenizer:
     @cached_property
     def vocabulary(self) -> Vocabulary:
         """Only encoding needs it."""
-        return Vocabulary(self.model["vocab"], self.model["merges"], self.model["end_of_word_suffix"])
+        model, self.model = self.model, None
+        return Vocabulary(model["vocab"], model["merges"], model["end_of_word_suffix"])
 
     def learn(self, points: np.ndarray) -> None:
         """Ask the file's pattern what kind of character each unknown code point is."""
@@ -359,9 +361,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "tokens")
     (unused) name of the struct.
     """
     def make(data, offs):
-        ids, at = load(path).encode(data, offs)
-        raw = ids.astype("<u4").tobytes()
-        return np.diff(at), [raw[4 * a:4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        sizes, packed = [], []
+        for _, _, part, own in C.slices(data, offs, SLICE_BYTES):
+            ids, at = load(path).encode(part, own)
+            raw = ids.astype("<u4").tobytes()
+            sizes += np.diff(at).tolist()
+            packed += [raw[4 * a:4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return sizes, packed
 
     return C.add_columns(docs, text, [("n_tokens", "long"), ("ids", "binary")], make, name)
 

@@ -9,8 +9,9 @@ Scores are logarithms in millionths, as integers: sums are exact in any engine a
 ties are real ties and go to the lowest label or class.
 
 Model sizes and how they travel: the transition model is at most 12 x 12 (a proven bound) and
-travels with the tasks; emission and mood models grow with the vocabulary and are looked up
-per distinct token of a row (``lookup.attach``).  Decoding is an Arrow function over whole
+travels with the tasks; emission and mood models grow with the vocabulary.  While texts are
+tokenized they are joined to the corpus's token dictionary (``path_column``, ``mood_column``); rows that
+have tokens already look up their distinct tokens (``lookup.attach``).  Decoding is an Arrow function over whole
 texts, one numpy step per position for all texts of a batch.
 """
 
@@ -20,12 +21,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.constants import ALL_LABELS, ENTITY_LABELS, EOS, FORBIDDEN, SOS
 from tagloom.functions import bio
 from tagloom.operators.lookup import attach
+from tagloom.operators.tokenize import TokenColumn, lists
 
 N_TAG = len(ENTITY_LABELS)          # the decoder ranges over the 9 entity labels
 N_ALL = len(ALL_LABELS)
@@ -177,6 +180,26 @@ def decode(rows: DataFrame, trans: DataFrame, emis: DataFrame, out: str = "path"
     return with_emissions(rows, vec).withColumn(out, path("tokens", "emissions")).drop("emissions")
 
 
+def value_matrix(values: pa.Array, missing: np.ndarray) -> np.ndarray:
+    """[entries, len(missing)] of a list column; ``missing`` where it is null."""
+    out = np.tile(missing, (len(values), 1))
+    out[values.is_valid().to_numpy(zero_copy_only=False)] = values.flatten().to_numpy().reshape(-1, len(missing))
+    return out
+
+
+def path_column(trans: DataFrame, emis: DataFrame, name: str = "path") -> TokenColumn:
+    """M04 while tokenizing: the best label-id path of each text."""
+    vec, unseen = emission_vectors(emis)
+    start, tr, end = transition_arrays(trans)
+
+    def paths(scores: pa.Array, entry: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        flat = value_matrix(scores, unseen)[entry]
+        best = viterbi([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])], start, tr, end)
+        return lists(np.concatenate([np.empty(0, np.int64), *best]), offsets, pa.int32())
+
+    return TokenColumn(name, "array<int>", lambda tokens: vec, "scores", paths)
+
+
 def argmax_tags(rows: DataFrame, emis: DataFrame, out: str = "path") -> DataFrame:
     """M08, unconstrained: the label with the best emission score at every position."""
     vec, unseen = emission_vectors(emis)
@@ -223,13 +246,8 @@ def fit_mood(docs: DataFrame, tokens: str = "tokens", cls: str = "class") -> tup
     return model, priors.join(per_class, cls)
 
 
-def predict_mood(docs: DataFrame, model: DataFrame, priors: DataFrame, tokens: str = "tokens", cls: str = "class",
-                 out: str = "pred") -> DataFrame:
-    """``docs`` plus the argmax over classes of prior + token log-likelihoods; ties: lowest class.
-
-    Tokens never seen in training are ignored; a seen token missing for a class scores
-    ``log(1 / (N_class + V))``.  The tokens are looked up once per text and row.
-    """
+def mood_vectors(model: DataFrame, priors: DataFrame, cls: str = "class") -> tuple[DataFrame, np.ndarray]:
+    """(token, scores[3]) of the tokens seen in training, and the priors of the classes."""
     classes = [0, 1, 2]
     p = {r[cls]: r for r in priors.select(cls, micro(F.col("prior")).alias("prior"),
                                           micro(F.log(F.lit(1.0) / (F.col("n_class") + F.col("v")))).alias("unseen")).collect()}
@@ -237,6 +255,29 @@ def predict_mood(docs: DataFrame, model: DataFrame, priors: DataFrame, tokens: s
     wide = model.groupBy("token").agg(F.array(*[F.coalesce(F.max(F.when(F.col(cls) == c, micro(F.col("logp")))),
                                                             F.lit(p[c]["unseen"] if c in p else 0)) for c in classes]).alias("scores"))
     prior = np.array([p[c]["prior"] if c in p else never for c in classes], np.int64)
+    return wide, prior
+
+
+def mood_column(model: DataFrame, priors: DataFrame, cls: str = "class", name: str = "class") -> TokenColumn:
+    """M07 while tokenizing: the class of each text, by the rule of ``predict_mood``."""
+    wide, prior = mood_vectors(model, priors, cls)
+
+    def best(scores: pa.Array, entry: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        none = np.zeros(len(prior), np.int64)                       # a token never seen adds nothing
+        sums = np.vstack([none, np.cumsum(value_matrix(scores, none)[entry], axis=0)])
+        return pa.array((prior + sums[offsets[1:]] - sums[offsets[:-1]]).argmax(1), pa.int32())
+
+    return TokenColumn(name, "int", lambda tokens: wide, "scores", best)
+
+
+def predict_mood(docs: DataFrame, model: DataFrame, priors: DataFrame, tokens: str = "tokens", cls: str = "class",
+                 out: str = "pred") -> DataFrame:
+    """``docs`` plus the argmax over classes of prior + token log-likelihoods; ties: lowest class.
+
+    Tokens never seen in training are ignored; a seen token missing for a class scores
+    ``log(1 / (N_class + V))``.  The tokens are looked up once per text and row.
+    """
+    wide, prior = mood_vectors(model, priors, cls)
 
     @F.pandas_udf("int")
     def best(rows: pd.Series, hits: pd.Series) -> pd.Series:

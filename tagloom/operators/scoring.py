@@ -25,11 +25,20 @@ class Models:
     priors: DataFrame
 
 
-def tag(docs: DataFrame, vocab: DataFrame, transitions: DataFrame, emissions: DataFrame) -> DataFrame:
-    """Tokenize, decode, expand, realign -> (id, text, tokens, BIO_anno)."""
-    d = md.decode(tk.tokenize(docs, vocab), transitions, emissions).withColumn("token_labels", bio.label_decode("path"))
+def tag(docs: DataFrame, vocab: DataFrame, transitions: DataFrame, emissions: DataFrame, more: tuple = ()) -> DataFrame:
+    """Tokenize, decode, expand, realign -> (id, text, tokens, BIO_anno, ``more``'s columns).
+
+    The texts are shuffled once, to the dictionary entries of their tokens.
+    """
+    columns = [md.path_column(transitions, emissions), *more]
+    d = tk.tokenize(docs.select("id", "text"), vocab, more=columns).withColumn("token_labels", bio.label_decode("path"))
     full = bio.with_realigned(bio.with_expanded(d, "tokens", "token_labels", "exp"), "text", "tokens", "exp", "realigned")
-    return full.select("id", "text", "tokens", bio.join_labels(F.col("realigned"), "O").alias("BIO_anno"))
+    return full.select("id", "text", "tokens", bio.join_labels(F.col("realigned"), "O").alias("BIO_anno"), *[m.name for m in more])
+
+
+def mood(docs: DataFrame, vocab: DataFrame, model: DataFrame, priors: DataFrame, out: str = "class") -> DataFrame:
+    """``docs`` plus ``tokens`` and the class of their texts; the texts are shuffled once."""
+    return tk.tokenize(docs, vocab, more=[md.mood_column(model, priors, name=out)])
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
@@ -37,5 +46,6 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 
     A null text is scored as an empty one; repeated and null ids are rows like others.
     """
-    tags = tag(docs.withColumn("text", F.coalesce("text", F.lit(""))), models.vocab, models.transitions, models.emissions)
-    return md.predict_mood(tags, models.mood, models.priors, out="class").select("id", "BIO_anno", "class")
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    tags = tag(docs, models.vocab, models.transitions, models.emissions, more=(md.mood_column(models.mood, models.priors),))
+    return tags.select("id", "BIO_anno", "class")

@@ -10,9 +10,9 @@ Tokenizer contract (a table job):
 * the whole text is tokenized; fixed-length encodings are cut into consecutive
   windows of ``MAX_SEQ_LEN - 2`` tokens (see ``encode_windows``), so no text is cut.
 
-The text stays in its row: only the distinct letter runs of each row are looked up in the
-vocabulary (``lookup.attach``), and an Arrow function cuts the text with the row's own known
-words.  Token ids: ``[PAD]`` 0, ``[UNK]`` 100, ``[CLS]`` 101, ``[SEP]`` 102; a one-character
+The distinct pieces of the corpus make one dictionary (``operators.dictionary``): vocabulary, token
+ids, emission and mood vectors are joined to it, and each block of texts is cut with the entries of
+its own pieces.  So a text is shuffled once, whatever is computed of its tokens.  Token ids: ``[PAD]`` 0, ``[UNK]`` 100, ``[CLS]`` 101, ``[SEP]`` 102; a one-character
 token gets ``1000 + code point``; a longer one ``2000000`` plus its rank among the corpus's
 longer tokens, so an id names one token.
 """
@@ -20,14 +20,22 @@ longer tokens, so an id names one token.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tagloom.constants import MAX_SEQ_LEN, added_vocab
+from tagloom.operators import dictionary as dy
 from tagloom.operators import sampling as sp
 from tagloom.operators.lookup import attach
+from tagloom.session import materialize
 
 PIECE_RE = r"[A-Za-z]+|[0-9]+|[^ ]"
 WORD_RE = r"[A-Za-z]++"
@@ -75,45 +83,117 @@ def vocabulary(spark: SparkSession, reviews: DataFrame) -> DataFrame:
     return fixed_vocab(spark).select(fixed).unionByName(mined_words(reviews)).distinct()
 
 
-def cut(text: str, known) -> list[str]:
-    """Tokens of one text, given the known words among its letter runs."""
-    out = []
-    for piece in re.findall(PIECE_RE, text):
-        if len(piece) > 1 and piece[0].isalpha() and piece not in known:
-            out += [piece[0], "##" + piece[1:]]
-        else:
-            out.append("[UNK]" if piece in OTHER_BLANKS else piece)
-    return out
+@dataclass
+class TokenColumn:
+    """A column computed from the tokens of a text.
 
+    ``table`` maps the dictionary's tokens (token) to rows (token, ``value``); ``of(values, tokens, offsets)``
+    gives the column for a block: ``values`` of the block's entries (null: not in the table), the entry of
+    every position, and the offsets of the texts among the positions.
+    """
 
-def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``tokens`` (array<string>, the whole text; null text: null) to every row of ``df``."""
-    @F.pandas_udf("array<string>")
-    def tokens(text: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else cut(t, set() if k is None else set(k)) for t, k in zip(text, known)])
+    name: str
+    type: str
+    table: Callable[[DataFrame], DataFrame]
+    value: str
+    of: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Array]
 
-    words = F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z]{2,}+"), 0)
-    found = attach(df, words, vocab, "word", [], "__known")
-    known = F.transform("__known", lambda x: x["word"])
-    return found.withColumn("tokens", tokens(F.col(text_col), known)).drop("__known")
 
+def dictionary(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(piece, pos, token): the tokens of every piece (piece) under the vocabulary (word)."""
+    known = vocab.select(F.col("word").alias("piece"), F.lit(True).alias("known")).distinct()
+    p = F.col("piece")
+    unknown = F.col("known").isNull() & (F.length(p) > 1) & p.rlike("^[A-Za-z]")
+    tokens = (F.when(unknown, F.array(F.substring(p, 1, 1), F.concat(F.lit("##"), F.expr("substring(piece, 2)"))))
+              .otherwise(F.array(F.when(p.isin(*OTHER_BLANKS), F.lit("[UNK]")).otherwise(p))))
+    return pieces.join(known, "piece", "left").select("piece", F.posexplode(tokens).alias("pos", "token"))
 
-def token_ids(tokenized: DataFrame) -> DataFrame:
-    """Add ``ids`` to rows with ``tokens``; longer tokens are numbered over the whole table."""
-    long = (tokenized.select(F.explode_outer(F.array_distinct("tokens")).alias("token"))
-            .where((F.length("token") > 1) & (F.col("token") != "[UNK]")).distinct())
+
+def _one(column) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def cut(texts: list[str | None], pieces: list[str], pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The dictionary entry of every token of the texts, and the offsets of the texts among them.
+
+    ``pieces`` and ``pos`` are the entries in the order (piece, pos).
+    """
+    first = np.flatnonzero(pos == 0)
+    per_piece = np.diff(np.append(first, len(pos)))
+    number = {pieces[i]: k for k, i in enumerate(first.tolist())}
+    find = re.compile(PIECE_RE).findall
+    codes = [np.fromiter(map(number.__getitem__, find(t or "")), np.int64) for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
+    code = np.concatenate([np.empty(0, np.int64), *codes])
+    n = per_piece[code]
+    end = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    return np.repeat(first[code] - end[:-1], n) + np.arange(end[-1]), end[at]
+
+
+def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text", more: tuple[TokenColumn, ...] | list = (),
+             block_bytes: int = dy.BLOCK_BYTES) -> DataFrame:
+    """Add ``tokens`` (array<string>, the whole text; null text: null) and ``more`` to every row of ``df``.
+
+    The rows are written once and shuffled once.  A column of ``more`` is null where the text is.
+    Repeated and null ids are rows like others.
+    """
+    rows = dy.in_blocks(df, text_col, block_bytes)
+    used = dy.block_keys(rows, F.regexp_extract_all(F.col(text_col), F.lit(PIECE_RE), 0), "piece")
+    entries = dictionary(used.select("piece").distinct(), vocab)
+    if more:
+        entries = materialize(entries, "dictionary")
+    plain = entries
+    for i, m in enumerate(more):
+        table = m.table(plain.select("token").distinct()).select("token", F.col(m.value).alias(f"value{i}"))
+        entries = entries.join(table, "token", "left")
+    names, work = df.columns, [(m.name, m.of) for m in more]
+    added = StructType.fromDDL(", ".join(["tokens array<string>", *[f"`{m.name}` {m.type}" for m in more]]))
+    schema = StructType([*df.schema.fields, *added.fields])
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right, sort_keys=[("piece", "ascending"), ("pos", "ascending")]))
+        text = left.column(text_col)
+        entry, offsets = cut(text.to_pylist(), right.column("piece").to_pylist(), right.column("pos").to_numpy())
+        null = pa.array(text.is_null().to_numpy())
+        tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _one(right.column("token")).take(pa.array(entry)), mask=null)
+        made = [of(_one(right.column(f"value{i}")), entry, offsets) for i, (_name, of) in enumerate(work)]
+        made = [pc.if_else(null, pa.scalar(None, c.type), c) if null.true_count else c for c in made]
+        return pa.Table.from_arrays([*[left.column(c) for c in names], tokens, *made], names=[*names, "tokens", *[name for name, _ in work]])
+
+    return dy.per_block(rows, used, entries, "piece", block, schema)
+
+
+def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list of values for every text."""
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def token_numbers(tokens: DataFrame) -> DataFrame:
+    """(token, tid) of distinct tokens (token); the longer ones are numbered by rank."""
+    long = tokens.where((F.length("token") > 1) & (F.col("token") != "[UNK]"))
     ranked = sp.dense_rank_by_hash(long.withColumn("__h", F.md5("token")), "__h", "token", out="rank")
-    table = ranked.select("token", (F.col("rank") + FIRST_LONG_ID).alias("tid"))
+    short = tokens.where((F.length("token") == 1) | (F.col("token") == "[UNK]"))
+    short_id = F.when(F.col("token") == "[UNK]", F.lit(UNK_TOKEN_ID)).otherwise(F.lit(1000) + F.ascii("token"))
+    return ranked.select("token", (F.col("rank") + FIRST_LONG_ID).alias("tid")).unionByName(
+        short.select("token", short_id.cast("long").alias("tid")))
+
+
+def id_column(name: str = "ids") -> TokenColumn:
+    """T09 while tokenizing: the token ids of each text."""
+    return TokenColumn(name, "array<long>", token_numbers, "tid",
+                       lambda tid, entry, offsets: lists(tid.to_numpy(zero_copy_only=False)[entry], offsets, pa.int64()))
+
+
+def token_ids(tokenized: DataFrame) -> DataFrame:
+    """Add ``ids`` to rows that have ``tokens`` already (null: null)."""
+    distinct = tokenized.select(F.explode_outer(F.array_distinct("tokens")).alias("token")).where(F.col("token").isNotNull()).distinct()
 
     @F.pandas_udf("array<long>")
     def ids(tokens: pd.Series, hits: pd.Series) -> pd.Series:
-        out = []
-        for row, found in zip(tokens, hits):
-            of = {} if found is None else {x["token"]: x["tid"] for x in found}
-            out.append(None if row is None else [UNK_TOKEN_ID if t == "[UNK]" else of[t] if len(t) > 1 else 1000 + ord(t) for t in row])
-        return pd.Series(out)
+        of = [{} if h is None else {x["token"]: x["tid"] for x in h} for h in hits]
+        return pd.Series([None if row is None else [found[t] for t in row] for row, found in zip(tokens, of)])
 
-    found = attach(tokenized, F.col("tokens"), table, "token", ["tid"], "__ids")
+    found = attach(tokenized, F.col("tokens"), token_numbers(distinct), "token", ["tid"], "__ids")
     return found.withColumn("ids", ids("tokens", "__ids")).drop("__ids")
 
 

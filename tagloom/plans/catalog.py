@@ -136,7 +136,7 @@ def vocab_trace(spark, sf_dir):
 
 @query("tokenize_corpus")
 def tokenize_corpus(spark, sf_dir):
-    t = tk.token_ids(materialize(tk.tokenize(driver.documents(spark, sf_dir), vocabulary(spark, sf_dir)), "tokens"))
+    t = tk.tokenize(driver.documents(spark, sf_dir), vocabulary(spark, sf_dir), more=[tk.id_column()])
     w = tk.encode_windows(t, ["tokens", "ids"])
     ids, mask, _types = tk.encode(F.col("win_ids"))
     return w.select("id", "win", F.size("win_tokens").alias("n_tokens"),
@@ -464,15 +464,14 @@ def mood_fit(spark, sf_dir):
 @query("mood_predict")
 def mood_predict(spark, sf_dir):
     vocab = vocabulary(spark, sf_dir)
-    test = tk.tokenize(driver.test_reviews(spark, sf_dir), vocab)
-    return md.predict_mood(test, *_mood(spark, sf_dir, vocab), out="class").select("id", "class")
+    return sc.mood(driver.test_reviews(spark, sf_dir), vocab, *_mood(spark, sf_dir, vocab)).select("id", "class")
 
 
 @query("class_accuracy")
 def class_accuracy(spark, sf_dir):
     vocab = vocabulary(spark, sf_dir)
     val = sp.split_90_10(cp.origin_rows(spark, sf_dir)).where("split = 'val'")
-    pred = md.predict_mood(tk.tokenize(val, vocab), *_mood(spark, sf_dir, vocab))
+    pred = sc.mood(val, vocab, *_mood(spark, sf_dir, vocab), out="pred")
     b = sp.batches(materialize(pred.select("id", "class", "split", "pred"), "mood_pred"))
     return b.groupBy("batch_id").agg(F.round(F.avg((F.col("pred") == F.col("class")).cast("double")), 6)
                                      .alias("acc"))
@@ -533,7 +532,7 @@ def two_stage_submission(spark, sf_dir):
     vocab = vocabulary(spark, sf_dir)
     tags = tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir), vocab)
     marked = tags.select("id", "BIO_anno", bio.mark_text(F.col("text"), bio.bio_split("BIO_anno")).alias("text"))
-    return md.predict_mood(tk.tokenize(marked, vocab), *_mood(spark, sf_dir, vocab, mark=True), out="class").select("id", "BIO_anno", "class")
+    return sc.mood(marked, vocab, *_mood(spark, sf_dir, vocab, mark=True)).select("id", "BIO_anno", "class")
 
 
 FLAGSHIP = "submission"

@@ -124,3 +124,55 @@ def test_line_list_and_vocabulary_trace(spark, tmp_path):
     got = {r["id"]: (r["run"], r["labels"]) for r in tk.latin_run_trace(spark.createDataFrame(rows, "id long, text string, BIO_anno string")).collect()}
     assert got == {1: ("visa", "B-PRODUCT I-PRODUCT I-PRODUCT I-PRODUCT"), 2: ("nb", "I-COMMENTS_ADJ I-COMMENTS_ADJ"),
                    3: ("line friends", "B-PRODUCT " + " ".join(["I-PRODUCT"] * 11))}
+
+
+def _small_models(spark):
+    from tagloom.operators import tokenize as tk
+    vocab = spark.createDataFrame([("visa",), ("card",), ("good",)], "word string")
+    train = [(["visa", "card", "i", "##s", "good"], ["B-BANK", "I-BANK", "O", "O", "B-COMMENTS_ADJ"], 1),
+             (["card", "b", "##ad", "[UNK]"], ["B-PRODUCT", "O", "O", "O"], 0)]
+    rows = spark.createDataFrame(train, "tokens array<string>, token_labels array<string>, class int")
+    return tk, vocab, md.fit_transitions(spark, rows), md.fit_emissions(rows), *md.fit_mood(rows)
+
+
+def test_columns_made_while_tokenizing_equal_the_lookups(spark):
+    """Blocks of one row, of some rows and of all give what the row-wise lookups give."""
+    tk, vocab, trans, emis, mood, priors = _small_models(spark)
+    texts = ["visa card is good", "card bad\tgood", "", "   ", "99 visa, 卡 visa", "zz " * 300 + "visa", None, "visa card is good"]
+    docs = spark.createDataFrame([(i % 3 or None, t) for i, t in enumerate(texts)], "id long, text string")
+    plain = tk.tokenize(docs.where("text is not null"), vocab)
+    want = md.predict_mood(md.decode(plain, trans, emis), mood, priors, out="class")
+    want = sorted(((r["id"], r["text"], r["tokens"], r["path"], r["class"]) for r in want.collect()), key=str)
+    for size in (1, 400, 1 << 20):
+        made = tk.tokenize(docs, vocab, more=[md.path_column(trans, emis), md.mood_column(mood, priors)], block_bytes=size)
+        got = [(r["id"], r["text"], r["tokens"], r["path"], r["class"]) for r in made.collect()]
+        assert sorted((r for r in got if r[1] is not None), key=str) == want
+        assert [r[2:] for r in got if r[1] is None] == [(None, None, None)]
+
+
+def test_blocks_hold_a_bounded_size_of_text(spark):
+    from tagloom.operators import dictionary as dy
+    df = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(2000)], "id long, text string").repartition(3)
+    sizes = dy.in_blocks(df, "text", 4096).groupBy(dy.BLOCK).agg(F.sum(F.length("text") + dy.ROW_BYTES).alias("n"), F.count("*").alias("k")).collect()
+    assert sum(r["k"] for r in sizes) == 2000 and len(sizes) > 30
+    assert max(r["n"] for r in sizes) < 4096 + 50 + dy.ROW_BYTES
+
+
+def test_token_ids_made_while_tokenizing(spark):
+    tk, vocab, *_rest = _small_models(spark)
+    docs = spark.createDataFrame([(1, "visa 卡 good zz\t1"), (2, None), (3, "")], "id long, text string")
+    got = {r["id"]: (r["tokens"], r["ids"]) for r in tk.tokenize(docs, vocab, more=[tk.id_column()]).collect()}
+    assert got[2] == (None, None) and got[3] == ([], [])
+    ids = dict(zip(*got[1]))
+    assert ids["卡"] == 1000 + ord("卡") and ids["[UNK]"] == tk.UNK_TOKEN_ID and ids["z"] == 1000 + ord("z")
+    assert sorted(ids[t] for t in ("visa", "good", "##z")) == [tk.FIRST_LONG_ID + i for i in range(3)]
+    assert tk.tokenize(docs.limit(0), vocab, more=[tk.id_column()]).count() == 0
+
+
+def test_scoring_shuffles_the_texts_once(spark):
+    from tagloom.operators import scoring as sc
+    _tk, vocab, trans, emis, mood, priors = _small_models(spark)
+    docs = spark.createDataFrame([(1, "visa card")], "id long, text string")
+    plan = sc.score(docs, sc.Models(vocab, trans, emis, mood, priors))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(__block") == 2           # the texts, and the entries of their pieces
+    assert "text#" not in "".join(x for x in plan.splitlines() if "Join" in x)

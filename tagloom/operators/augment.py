@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tagloom.constants import SEED, bank_lexicon_rows
 from tagloom.functions import bio
 from tagloom.operators import sampling as sp
+from tagloom.session import materialize
 
 
 WORD_PIECES = r"[A-Za-z]+|[\x{4e00}-\x{9fff}]{1,2}|[^A-Za-z\x{4e00}-\x{9fff}]+"
@@ -86,6 +87,32 @@ def with_entity_replaced(df: DataFrame, key: str = "id", text: str = "text", lab
     return d.withColumn("new_text", new_t).withColumn("new_labels", new_l).drop("__sp", "__m", "__pc")
 
 
+def with_lexicon_replaced(df: DataFrame, lexicon: DataFrame, order: list[str], alias: str = "alias", key: str = "id", text: str = "text",
+                          labels: str = "labels", p: float = 1.0, seed: int = SEED, kind: str = "BANK") -> DataFrame:
+    """G01 with the aliases of a table (J05): as ``with_entity_replaced``, for a lexicon of any size.
+
+    The lexicon's rows are numbered in the order of ``order``; an alias that occurs twice weighs double,
+    a null alias takes no part.  Each mention picks a number, the picks are joined with the numbered lexicon
+    (AQE splits a hot one), and a text's aliases are put back in the order of its mentions.  Mentions stay
+    as they are where the key is null or the lexicon empty.
+    """
+    columns = df.columns
+    index = sp.dense_index(lexicon.where(F.col(alias).isNotNull()).select(*dict.fromkeys([*order, alias])), order, out="__idx")
+    n = index.count()
+    if n == 0:
+        return with_entity_replaced(df, key, text, labels, p, seed, kind, choose=lambda mention, k: mention)
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    spans = bio.with_spans(rows.where(F.col(key).isNotNull()).select("__row", F.col(key).alias("__key"), labels), labels, "__sp")
+    mentions = F.filter("__sp", lambda s: s["kind"] == kind)
+    each = spans.select("__row", "__key", F.posexplode_outer(mentions).alias("__k", "__m")).where(F.col("__m").isNotNull())
+    picks = each.select("__row", "__k", _pick(F.col("__key"), F.col("__k") + 1, n, seed).cast("long").alias("__pick"))
+    got = (picks.join(index.select("__idx", F.col(alias).alias("__a")), F.col("__pick") == F.col("__idx"))
+           .groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__k", "__a"))).alias("__got")))
+    named = rows.join(got, "__row", "left").withColumn("__alias", F.transform("__got", lambda x: x["__a"]))
+    out = with_entity_replaced(named, key, text, labels, p, seed, kind, choose=lambda mention, k: F.get("__alias", k - 1))
+    return out.select(*columns, "new_text", "new_labels")
+
+
 def with_brackets(df: DataFrame, key: str = "id", text: str = "text", labels: str = "labels",
                   p: float = 0.1, seed: int = SEED) -> DataFrame:
     """Each word becomes ``<word>`` with probability p; the two added characters repeat

@@ -54,6 +54,26 @@ def dense_rank_by_hash(df: DataFrame, h: str, key: str, group: list[str] | None
             .drop("__b", "__off"))
 
 
+def dense_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
+    """0-based place of each row in the order of ``order``, then of the other columns.
+
+    The rows are sorted over ranges and numbered inside each; the driver adds up one count a range.
+    Equal rows have places of their own.  ``df`` is written once.
+    """
+    columns = [*order, *[c for c in df.columns if c not in order]]
+    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("__at", F.monotonically_increasing_id())
+    rows = materialize(placed, "ordered")
+    part = F.shiftright("__at", 33)
+    sizes = sorted((r["part"], r["n"]) for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, n = [], 0
+    for p, size in sizes:
+        offsets.append((p, n))
+        n += size
+    small = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part long, __off long"))          # one row a range
+    seen = rows.withColumn("__part", part).join(small, "__part")
+    return seen.withColumn(out, F.col("__off") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, out)
+
+
 def debug_head(df: DataFrame, n: int = 500, key: str = "id") -> DataFrame:
     """First n rows by key (TakeOrderedAndProject: per-partition top-n, then merge)."""
     return df.orderBy(key).limit(n)

@@ -563,6 +563,14 @@ def entity_replace(spark, sf_dir):
     return r.select("id", F.col("new_text").alias("text"), bio.join_labels(F.col("new_labels")).alias("BIO_anno"))
 
 
+@query("lexicon_replace")
+def lexicon_replace(spark, sf_dir):
+    """G01 / J05 with a lexicon table: the customers' names as aliases, by customer number."""
+    names = driver.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("alias"))
+    r = ag.with_lexicon_replaced(_labels(driver.reviews(spark, sf_dir)), names, ["pos"])
+    return r.select("id", F.col("new_text").alias("text"), bio.join_labels(F.col("new_labels")).alias("BIO_anno"))
+
+
 @query("bracket_perturb")
 def bracket_perturb(spark, sf_dir):
     r = ag.with_brackets(_labels(driver.reviews(spark, sf_dir)))

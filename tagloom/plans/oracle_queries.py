@@ -359,7 +359,9 @@ SELECT DISTINCT 'corpus', surface FROM (
 WHERE head = 'B-BANK'
 """, CHAR_CTES))
 
-_ISL = f"""
+def replaced_ctes(pool: str, n: str) -> str:
+    """The mentions of BANK and the alias picked for each from ``pool(k, alias)`` of ``n`` rows."""
+    return f"""
 c0 AS (SELECT rl.id, rl.pos, rl.label, rc.ch,
               CASE WHEN rl.label = 'I-BANK' AND lag(rl.label) OVER w IN ('B-BANK', 'I-BANK') THEN 0 ELSE 1 END AS brk
        FROM rl JOIN rc ON rc.id = rl.id AND rc.pos = rl.pos WINDOW w AS (PARTITION BY rl.id ORDER BY rl.pos)),
@@ -368,13 +370,14 @@ cm AS (SELECT *, first_value(label) OVER (PARTITION BY id, isl ORDER BY pos) AS
               pos = min(pos) OVER (PARTITION BY id, isl) AS is_first FROM ci),
 mention AS (SELECT id, isl, row_number() OVER (PARTITION BY id ORDER BY isl) AS m FROM cm
             WHERE head = 'B-BANK' AND is_first),
-pool(k, alias) AS (VALUES {ALIAS_POOL_VALUES}),
+pool(k, alias) AS ({pool}),
 picked AS (SELECT mention.id, mention.isl, pool.alias FROM mention JOIN pool
            ON pool.k = CAST(('0x' || substr(md5('118:' || CAST(mention.id AS VARCHAR) || ':'
-                                                || CAST(mention.m AS VARCHAR)), 1, 15)) AS BIGINT) % 150)
+                                                || CAST(mention.m AS VARCHAR)), 1, 15)) AS BIGINT) % {n})
 """
 
-register("entity_replace", with_corpus("""
+
+_REPLACE = """
 SELECT cm.id,
        string_agg(CASE WHEN cm.head = 'B-BANK' THEN (CASE WHEN cm.is_first THEN p.alias ELSE '' END) ELSE cm.ch END,
                   '' ORDER BY cm.pos) AS text,
@@ -383,7 +386,10 @@ SELECT cm.id,
                        ELSE cm.label END, ' ' ORDER BY cm.pos) AS BIO_anno
 FROM cm LEFT JOIN picked p ON p.id = cm.id AND p.isl = cm.isl
 GROUP BY cm.id
-""", CHAR_CTES + "," + _ISL))
+"""
+register("entity_replace", with_corpus(_REPLACE, CHAR_CTES + "," + replaced_ctes(f"VALUES {ALIAS_POOL_VALUES}", "150")))
+register("lexicon_replace", with_corpus(_REPLACE, CHAR_CTES + "," + replaced_ctes(
+    "SELECT row_number() OVER (ORDER BY c_custkey) - 1, c_name FROM customer", "(SELECT count(*) FROM customer)")))
 
 register("bracket_perturb", with_corpus("""
 SELECT id, string_agg(CASE WHEN hit THEN '<' || w || '>' ELSE w END, '' ORDER BY k) AS text,

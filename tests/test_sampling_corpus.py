@@ -84,3 +84,44 @@ def test_draws_are_rows(spark):
     assert {(r["id"], r["v"]) for r in got} <= set(rows)
     keys = sp.sample_with_replacement(df.select("id")).collect()
     assert sorted(r["draw"] for r in keys) == list(range(2 * len(rows)))
+
+
+def _mentions(spark):
+    labels = ["B-BANK", "I-BANK", "O", "B-BANK", "O", "B-PRODUCT"]
+    rows = [(i % 40 if i % 9 else None, "工行好招卡卡", labels) for i in range(120)] + [(7, "", []), (8, "好", ["O"]), (9, None, None)]
+    return spark.createDataFrame(rows, "id long, text string, labels array<string>")
+
+
+def test_lexicon_table_gives_the_fixed_pool_rows(spark):
+    """Repeated and null ids, empty and null texts; the table's rows in any order and partitions."""
+    from tagloom.operators import augment as ag
+    df = _mentions(spark)
+    pool = spark.createDataFrame(list(enumerate(ag.alias_pool())), "pos int, alias string").repartition(5)
+    show = lambda d: sorted(map(str, d.select("id", "text", "new_text", "new_labels").collect()))
+    want = show(ag.with_entity_replaced(df))
+    assert show(ag.with_lexicon_replaced(df, pool, ["pos"])) == want
+    half = ag.with_lexicon_replaced(df, pool, ["pos"], p=0.5)
+    assert show(half) == show(ag.with_entity_replaced(df, p=0.5)) != want and half.columns == df.columns + ["new_text", "new_labels"]
+    rows = ag.with_lexicon_replaced(df, pool.where("pos < 0"), ["pos"]).where("text is not null").collect()
+    assert all(r["new_text"] == r["text"] and r["new_labels"] == r["labels"] for r in rows)
+
+
+def test_lexicon_of_a_million_aliases_and_weights(spark):
+    from tagloom.operators import augment as ag
+    big = spark.range(1_000_000).select("id", F.concat(F.lit("a"), F.col("id").cast("string")).alias("alias"))
+    df = spark.createDataFrame([(i, "工行", ["B-BANK", "I-BANK"]) for i in range(500)], "id long, text string, labels array<string>")
+    got = ag.with_lexicon_replaced(df, big, ["id"])
+    h = F.md5(F.concat(F.lit("118:"), F.col("id").cast("string"), F.lit(":1")))
+    assert got.where(F.col("new_text") != F.concat(F.lit("a"), F.pmod(sp.hash_int(h), F.lit(1_000_000)).cast("string"))).count() == 0
+    assert got.count() == 500
+    twice = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "pos int, alias string")
+    n = {r["new_text"]: r["count"] for r in ag.with_lexicon_replaced(df, twice, ["pos"]).groupBy("new_text").count().collect()}
+    assert set(n) == {"x", "y"} and 280 < n["x"] < 390
+
+
+def test_dense_index_counts_every_row(spark):
+    df = spark.range(5000).select((F.col("id") % 700).alias("a"), F.lit("s").alias("s")).repartition(7)
+    got = [tuple(r) for r in sp.dense_index(df, ["a"]).collect()]
+    assert sorted(r[2] for r in got) == list(range(5000))
+    assert [a for a, _s, _i in sorted(got, key=lambda r: r[2])] == sorted(a for a, _s, _i in got)
+    assert sp.dense_index(df.limit(0), ["a"]).count() == 0

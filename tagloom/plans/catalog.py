@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import bio
+from tagloom.session import materialize, remove_at_exit, scratch_path
+from tagloom.sources import annotated as an
 from tagloom.sources import driver
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +38,27 @@ def scan_reviews(spark, sf_dir):
     return driver.reviews(spark, sf_dir).select("id", "text", "BIO_anno", "class")
 
 
+def _damaged(reviews):
+    """Stand-in files: some records have a class that is no number, none at all, or a label too few."""
+    names = F.split("BIO_anno", " ")
+    short = F.array_join(F.slice(names, F.lit(1), F.size(names) - 1), " ")
+    i = F.col("id")
+    return reviews.select("id", "text", F.when(i % 11 == 0, short).otherwise(F.col("BIO_anno")).alias("BIO_anno"),
+                          F.when(i % 17 == 0, F.lit("x")).when(i % 13 == 0, F.lit(None)).otherwise(F.col("class").cast("string")).alias("class"))
+
+
+@query("scan_annotated")
+def scan_annotated(spark, sf_dir):
+    """Annotated CSV files, sound rows and rejects."""
+    path = scratch_path(spark, "annotated-csv")
+    an.write(_damaged(driver.reviews(spark, sf_dir)), path)
+    remove_at_exit(spark, path)
+    good, rejects = an.load(spark, path)
+    none = F.lit(None).cast("string")
+    return good.withColumn("problem", none).unionByName(rejects.select(
+        "id", none.alias("text"), none.alias("BIO_anno"), F.lit(None).cast("int").alias("class"), "problem"))
+
+
 @query("scan_test")
 def scan_test(spark, sf_dir):
     return driver.test_reviews(spark, sf_dir)
@@ -369,7 +392,6 @@ def argmax_class(spark, sf_dir):
 # ---------------------------------------------------------------------------------
 from tagloom.operators import models as md  # noqa: E402
 from tagloom.operators import scoring as sc  # noqa: E402
-from tagloom.session import materialize, scratch_path  # noqa: E402
 
 
 def _tagger(spark, sf_dir, vocab=None):

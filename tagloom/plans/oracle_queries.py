@@ -17,6 +17,12 @@ rl AS (SELECT r.id, l.label, l.pos FROM reviews r,
 """
 
 register("scan_reviews", with_corpus("SELECT id, text, BIO_anno, class FROM reviews"))
+register("scan_annotated", with_corpus("""
+SELECT id, CASE WHEN problem IS NULL THEN text END AS text, CASE WHEN problem IS NULL THEN BIO_anno END AS BIO_anno,
+       CASE WHEN problem IS NULL THEN class END AS class, problem
+FROM (SELECT *, CASE WHEN id % 17 = 0 THEN 'malformed' WHEN id % 13 = 0 THEN 'no class' WHEN id % 11 = 0 THEN
+             CASE WHEN length(text) = 1 THEN 'no labels' ELSE 'label count' END END AS problem FROM reviews)
+"""))
 register("scan_test", with_corpus("SELECT id, text FROM test_reviews"))
 
 register("bio_split", with_corpus("""

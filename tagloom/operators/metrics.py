@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagloom.session import materialize
 from tagloom.sources import driver
 
 # the reference's epoch record, multi-line; val_Accuracy is absent when there is no validation
@@ -75,14 +76,14 @@ def best_epochs(epochs: DataFrame, freq: int = 5, run: str = "run", size: int =
             .withColumn("saved", F.col("is_best") | periodic).select(*epochs.columns, "is_best", "saved"))
 
 
-def render_epoch_log(epochs: DataFrame) -> DataFrame:
+def render_epoch_log(epochs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The log record of each epoch, as the training loop writes it (one text per epoch)."""
     fmt = lambda c: F.format_string(" %.8f", F.col(c))
     body = F.concat(F.lit("Epochs: "), F.col("epoch").cast("string"), F.lit(" | \n                Loss: "),
                     fmt("loss"), F.lit(" | \n                Accuracy: "), fmt("acc"), F.lit(" |"))
     val = F.when(F.col("val_acc").isNull(), F.lit("")).otherwise(
         F.concat(F.lit("\n                val_Accuracy: "), fmt("val_acc"), F.lit(" |")))
-    return epochs.select("run", F.concat(body, val, F.lit("\n")).alias("record"))
+    return epochs.select("run", *(keep or []), F.concat(body, val, F.lit("\n")).alias("record"))
 
 
 def parse_epoch_records(df: DataFrame, text: str = "record", keep: list[str] | None = None) -> DataFrame:
@@ -111,6 +112,55 @@ def read_epoch_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_epoch_records(raw, "value", ["file"])
 
 
+BATCH_LINE = r"val acc (\S+)"
+
+
+def read_ordered_log(spark: SparkSession, path: str) -> DataFrame:
+    """S09 with batch lines: (file, number, epoch, loss, acc, val_acc, batch_acc) of the log files in ``path``.
+
+    ``number`` counts a file's epoch records from 1 in the file's order; ``batch_acc`` are the values of the
+    ``val acc`` lines since the record before, in order.  Lines after a file's last record belong to an epoch
+    that was not finished: a row whose epoch is null, if there are any.  ``Epochs: `` must not occur but in
+    records.  A file is read in as many splits as
+    it has; a record's place is its split's start and its place in the split.  What crosses from one split to
+    the next is one row a split: its number of records and the values that its last record leaves open.
+    """
+    raw = spark.read.text(path, lineSep="Epochs: ").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), F.concat(F.lit("Epochs: "), F.col("value")).alias("record"))
+    values = F.regexp_extract_all("record", F.lit(BATCH_LINE), 1).cast("array<double>")
+    rows = materialize(raw.select("file", "start", "at", values.alias("after"), *[
+        F.regexp_extract("record", "^" + EPOCH_RE, i).alias(c) for i, c in enumerate(["e", "l", "a", "v"], 1)]), "log_records")
+    found = F.when(F.col("e") != "", 1).otherwise(0)        # the text before the first record of a file is no record
+    splits = rows.groupBy("file", "start").agg(F.max_by("after", "at").alias("open"), F.sum(found).alias("n"))
+    before = Window.partitionBy("file").orderBy("start")
+    carried = splits.select("file", "start", F.lag("open").over(before).alias("__open"),
+                            F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__n"))
+    inside = Window.partitionBy("file", "start").orderBy("at")
+    nothing = F.array().cast("array<double>")
+    num = lambda c: F.when(F.lower(c) == "nan", F.lit(float("nan"))).otherwise(F.nullif(c, F.lit("")).cast("double"))
+    numbered = rows.join(carried, ["file", "start"]).select(
+        "file", (F.col("__n") + F.sum(found).over(inside)).alias("number"), F.nullif("e", F.lit("")).cast("int").alias("epoch"),
+        num(F.col("l")).alias("loss"), num(F.col("a")).alias("acc"), num(F.col("v")).alias("val_acc"),
+        F.coalesce(F.lag("after").over(inside), F.when(F.row_number().over(inside) == 1, F.col("__open")), nothing).alias("batch_acc"))
+    ends = rows.groupBy("file").agg(F.max_by("after", F.struct("start", "at")).alias("batch_acc"), F.sum(found).alias("n"))
+    none = F.lit(None).cast("double")
+    unfinished = ends.where(F.size("batch_acc") > 0).select("file", (F.col("n") + 1).alias("number"), F.lit(None).cast("int").alias("epoch"),
+                                                            none.alias("loss"), none.alias("acc"), none.alias("val_acc"), "batch_acc")
+    return numbered.where(F.col("epoch").isNotNull()).unionByName(unfinished)
+
+
+def write_log(batches: DataFrame, path: str) -> None:
+    """One log file for each run, as the training loop writes it: an epoch's validation batches, then its record."""
+    lines = batches.where("split = 'val'").groupBy("run", (F.col("epoch0") + 1).alias("epoch")).agg(
+        F.array_sort(F.collect_list(F.struct("batch", "acc"))).alias("b"))
+    text = F.array_join(F.transform("b", lambda x: F.concat(F.lit("val acc "), x["acc"].cast("string"), F.lit("\n"))), "")
+    records = render_epoch_log(epoch_rollup(batches), keep=["epoch"]).join(lines, ["run", "epoch"], "left")
+    (records.select("run", "epoch", F.concat(F.coalesce(text, F.lit("")), "record").alias("value"))
+     .repartition("run").sortWithinPartitions("run", "epoch").select("run", "value")
+     .write.mode("overwrite").partitionBy("run").text(path))
+
+
 def argmax(arr) -> "F.Column":
     """Index of the first maximum (0-based)."""
     a = F.col(arr) if isinstance(arr, str) else arr

@@ -381,6 +381,19 @@ def epoch_log(spark, sf_dir):
         "run", "epoch", _r8("loss"), _r8("acc"), _r8("val_acc"))
 
 
+@query("epoch_log_batches")
+def epoch_log_batches(spark, sf_dir):
+    """Log files with batch lines, in the order of the file; the mean of an epoch's batches beside its record."""
+    path = scratch_path(spark, "logs")
+    mt.write_log(mt.batch_metrics(mt.batch_items(spark, sf_dir)), path)
+    remove_at_exit(spark, path)
+    log = mt.read_ordered_log(spark, path)
+    run = F.regexp_extract("file", r"run=(\d+)", 1).cast("long").alias("run")
+    mean = F.aggregate("batch_acc", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("batch_acc"), F.lit(0))
+    return log.select(run, F.col("number").cast("long").alias("number"), "epoch", _r8("val_acc"), F.size("batch_acc").alias("n_batches"),
+                      F.round(mean, 8).alias("batch_mean"), F.round(F.get("batch_acc", 0), 8).alias("first_acc"))
+
+
 @query("argmax_class")
 def argmax_class(spark, sf_dir):
     e = driver.table(spark, sf_dir, "embeddings")

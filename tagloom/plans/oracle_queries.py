@@ -331,6 +331,12 @@ SELECT run, epoch, round(loss, 8) AS loss, round(acc, 8) AS acc, round(val_acc,
 register("epoch_log", f"""WITH {EPOCH_CTES.strip()}
 SELECT run, CAST(epoch AS INTEGER) AS epoch, round(round(loss, 8), 8) AS loss, round(round(acc, 8), 8) AS acc,
        round(round(val_acc, 8), 8) AS val_acc FROM ep""")
+register("epoch_log_batches", f"""WITH {EPOCH_CTES.strip()},
+vb AS (SELECT run, epoch0 + 1 AS epoch, count(*) AS n, avg(acc) AS mean, min_by(acc, batch) AS first_acc
+       FROM bm WHERE split = 'val' GROUP BY ALL)
+SELECT run, row_number() OVER (PARTITION BY run ORDER BY epoch) AS number, CAST(epoch AS INTEGER) AS epoch, round(val_acc, 8) AS val_acc,
+       CAST(coalesce(n, 0) AS INTEGER) AS n_batches, round(mean, 8) AS batch_mean, round(first_acc, 8) AS first_acc
+FROM ep LEFT JOIN vb USING (run, epoch)""")
 register("best_epoch", f"""WITH {EPOCH_CTES.strip()}
 SELECT run, epoch, round(val_acc, 8) AS val_acc, is_best, is_best OR (epoch - 1) % 5 = 0 AS saved
 FROM (SELECT *, coalesce(val_acc > coalesce(max(val_acc) OVER (PARTITION BY run ORDER BY epoch

@@ -61,3 +61,36 @@ def test_render_then_parse_roundtrip(spark):
                                "run int, epoch int, loss double, acc double, val_acc double")
     back = mt.parse_epoch_records(mt.render_epoch_log(df), "record", ["run"]).orderBy("epoch").collect()
     assert [(r["epoch"], r["loss"], r["acc"], r["val_acc"]) for r in back] == [(1, 0.5, 0.25, None), (2, 0.1, 0.75, 0.9)]
+
+
+def test_batch_lines_belong_to_the_record_that_follows(spark, tmp_path):
+    """Two files, a restarted run, an unfinished epoch; splits of 300 bytes give what one split gives."""
+    rng = random.Random(5)
+
+    def record(epoch, values):
+        mean = sum(values) / len(values) if values else float("nan")
+        return ("".join(f"  3%|x\rval acc {v!r}\n" for v in values)
+                + f"Epochs: {epoch} | \n                Loss:  0.5 | \n                Accuracy:  0.25 |\n                val_Accuracy: {mean: .8f} |\n")
+
+    want = []
+    for name, epochs, rest in (("a", [*range(1, 30), 1, 2], [0.5, 0.25]), ("b", [1], []), ("c", [], [0.125])):
+        text = "a line before all\n" if name == "a" else ""
+        for n, e in enumerate(epochs, 1):
+            values = [round(rng.random(), 6) for _ in range(18 if e % 4 else 0)]
+            text += record(e, values)
+            want.append((name, n, e, values))
+        if rest:
+            want.append((name, len(epochs) + 1, None, rest))
+        (tmp_path / f"{name}.log").write_text(text + "".join(f"val acc {v}\n" for v in rest) + ("better acc 0.9 than 0.8\n" if name == "b" else ""))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128MB", "300"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            rows = mt.read_ordered_log(spark, str(tmp_path)).collect()
+            got = [(os.path.basename(r["file"])[0], r["number"], r["epoch"], list(r["batch_acc"])) for r in rows]
+            assert sorted(got, key=lambda r: r[:2]) == want
+            assert all(abs(sum(r["batch_acc"]) / 18 - r["val_acc"]) < 1e-8 for r in rows if r["epoch"] and r["batch_acc"])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -19,7 +19,7 @@ CHEAP = ["scan_reviews", "bio_split", "label_encode", "char_labels", "bio_spans"
          "batching", "sample_replace", "epoch_rollup", "best_epoch", "epoch_log", "argmax_class",
          "entity_replace", "bracket_perturb", "response_split", "backtranslation_join", "tagger_decode", "path_nll",
          "token_accuracy", "class_accuracy", "bio_audit", "submission", "two_stage_submission", "augment_union", "vocab_trace",
-         "stream_submission", "open_requests"]
+         "stream_submission", "open_requests", "scan_annotated", "lexicon_replace", "epoch_log_batches"]
 
 
 def test_stream_rerun_adds_nothing(spark):

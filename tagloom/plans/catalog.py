@@ -346,6 +346,13 @@ def batching(spark, sf_dir):
     return sp.batches(_split_origin(spark, sf_dir).select("id", "split")).select("id", "split", "batch_id")
 
 
+@query("batching_in_place")
+def batching_in_place(spark, sf_dir):
+    """L05 where the rows lie: which rows share a batch follows their files, so the batches' sizes are returned."""
+    b = sp.batches_in_place(_split_origin(spark, sf_dir).select("id", "split"))
+    return b.groupBy("split", "batch_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("flatten_preds")
 def flatten_preds(spark, sf_dir):
     t = tokenized_reviews(spark, sf_dir).select("id", bio.label_encode("token_labels").alias("ids"))
@@ -598,6 +605,14 @@ def entity_replace(spark, sf_dir):
     return r.select("id", F.col("new_text").alias("text"), bio.join_labels(F.col("new_labels")).alias("BIO_anno"))
 
 
+@query("callback_replace")
+def callback_replace(spark, sf_dir):
+    """the caller's own replacement of each mention, here the mention in brackets with its number."""
+    r = ag.with_entity_replaced(_labels(driver.reviews(spark, sf_dir)), choose=lambda mention, n: F.concat(
+        F.lit("["), mention, F.lit("#"), n.cast("string"), F.lit("]")))
+    return r.select("id", F.col("new_text").alias("text"), bio.join_labels(F.col("new_labels")).alias("BIO_anno"))
+
+
 @query("lexicon_replace")
 def lexicon_replace(spark, sf_dir):
     """G01 / J05 with a lexicon table: the customers' names as aliases, by customer number."""

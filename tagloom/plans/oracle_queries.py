@@ -302,6 +302,10 @@ register("batching", with_corpus(f"""
 SELECT id, split, CAST((row_number() OVER (PARTITION BY split ORDER BY {h(119, 'id')}, id) - 1) // 40 AS BIGINT)
        AS batch_id FROM split
 """, AUX_CTES))
+register("batching_in_place", with_corpus("""
+SELECT split, b AS batch_id, least(40, n - 40 * b) AS n
+FROM (SELECT split, count(*) AS n FROM split GROUP BY split) s, unnest(range((n + 39) // 40)) AS u(b)
+""", AUX_CTES))
 register("flatten_preds", with_corpus(f"""
 SELECT split, batch_id, CAST(count(*) AS INTEGER) AS n_positions,
        string_agg(CAST({_LABEL_ID_CASE} AS VARCHAR), ',' ORDER BY idx, tpos) AS flat
@@ -371,9 +375,7 @@ SELECT DISTINCT 'corpus', surface FROM (
 WHERE head = 'B-BANK'
 """, CHAR_CTES))
 
-def replaced_ctes(pool: str, n: str) -> str:
-    """The mentions of BANK and the alias picked for each from ``pool(k, alias)`` of ``n`` rows."""
-    return f"""
+_MENTIONS = """
 c0 AS (SELECT rl.id, rl.pos, rl.label, rc.ch,
               CASE WHEN rl.label = 'I-BANK' AND lag(rl.label) OVER w IN ('B-BANK', 'I-BANK') THEN 0 ELSE 1 END AS brk
        FROM rl JOIN rc ON rc.id = rl.id AND rc.pos = rl.pos WINDOW w AS (PARTITION BY rl.id ORDER BY rl.pos)),
@@ -382,6 +384,12 @@ cm AS (SELECT *, first_value(label) OVER (PARTITION BY id, isl ORDER BY pos) AS
               pos = min(pos) OVER (PARTITION BY id, isl) AS is_first FROM ci),
 mention AS (SELECT id, isl, row_number() OVER (PARTITION BY id ORDER BY isl) AS m FROM cm
             WHERE head = 'B-BANK' AND is_first),
+"""
+
+
+def replaced_ctes(pool: str, n: str) -> str:
+    """The mentions of BANK and the alias picked for each from ``pool(k, alias)`` of ``n`` rows."""
+    return _MENTIONS + f"""
 pool(k, alias) AS ({pool}),
 picked AS (SELECT mention.id, mention.isl, pool.alias FROM mention JOIN pool
            ON pool.k = CAST(('0x' || substr(md5('118:' || CAST(mention.id AS VARCHAR) || ':'
@@ -403,6 +411,11 @@ register("entity_replace", with_corpus(_REPLACE, CHAR_CTES + "," + replaced_ctes
 register("lexicon_replace", with_corpus(_REPLACE, CHAR_CTES + "," + replaced_ctes(
     "SELECT row_number() OVER (ORDER BY c_custkey) - 1, c_name FROM customer", "(SELECT count(*) FROM customer)")))
 
+register("callback_replace", with_corpus(_REPLACE, CHAR_CTES + "," + _MENTIONS + """
+picked AS (SELECT cm.id, cm.isl, '[' || string_agg(cm.ch, '' ORDER BY cm.pos) || '#' || any_value(mention.m) || ']' AS alias
+           FROM cm JOIN mention ON mention.id = cm.id AND mention.isl = cm.isl GROUP BY cm.id, cm.isl)
+"""))
+
 register("bracket_perturb", with_corpus("""
 SELECT id, string_agg(CASE WHEN hit THEN '<' || w || '>' ELSE w END, '' ORDER BY k) AS text,
        string_agg(CASE WHEN hit THEN wl || ' ' || lastl || ' ' || lastl ELSE wl END, ' ' ORDER BY k) AS BIO_anno

@@ -1,4 +1,6 @@
 """Sampling, splitting, batching and corpus invariants."""
+from collections import Counter
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,26 @@ def test_batches_full_but_last(spark):
         assert all(c == 40 for _, c in ss[:-1]) and 0 < ss[-1][1] <= 40
 
 
+def test_batches_in_place(spark):
+    """Full batches over any number of partitions, every row once; repeated and null keys and splits are rows too."""
+    ids = spark.range(0, 1003, 1, 7).select(F.when(F.col("id") % 11 > 0, F.col("id") % 500).alias("id"), F.col("id").alias("row"),
+                                            F.when(F.col("id") % 3 > 0, F.when(F.col("id") % 3 == 1, "a").otherwise("b")).alias("split"))
+    b = sp.batches_in_place(ids)
+    assert b.columns == ["id", "row", "split", "batch_id"]
+    rows = b.collect()
+    assert sorted(r["row"] for r in rows) == list(range(1003))
+    for split in ("a", "b", None):
+        n = Counter(r["batch_id"] for r in rows if r["split"] == split)
+        total = sum(n.values())
+        assert sorted(n) == list(range(-(-total // 40))) and all(n[k] == 40 for k in list(sorted(n))[:-1])
+    first = {r["row"] for r in rows if r["split"] == "a" and r["batch_id"] == 0}
+    assert first != set(sorted(r["row"] for r in rows if r["split"] == "a")[:40])         # shuffled inside the partition
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "hashpartitioning(split" not in plan
+    assert sp.batches_in_place(ids.limit(0)).collect() == []
+    assert [r["batch_id"] for r in sp.batches_in_place(ids.withColumn("batch_id", F.lit("x")).limit(1)).collect()] == [0]
+
+
 def test_sample_with_replacement_size(spark):
     df = spark.range(123)
     assert sp.sample_with_replacement(df).count() == 246

@@ -9,7 +9,12 @@ the document with the least doc_id and are dropped from all others.
 A leaf's lines have an order (most documents first), and each joins the first template that is near
 enough, or opens one.  Leaves with more than ``MAX_LEAF`` different lines get the same templates in
 rounds: the first ``MAX_LEAF`` lines left are worked through in one task, and the templates that they
-open are compared with all other lines of the leaf in as many tasks as it has pieces.
+open are compared with all other lines of the leaf in as many tasks as it has pieces.  Lines of such a
+leaf that share no block of positions with another one are near to none: they are templates of their
+own from the start, so that only lines with possible neighbours take rounds.
+
+A line is known by its leaf and a 64-bit hash, so different lines are only mixed up if they share the
+leaf and the hash; the token count is part of the leaf as a number.
 
 Three passes over the texts: leaves with their document counts (combined in each batch before they
 are shuffled); the lines of recurring leaves, found with a bitmap of eight bits or more a leaf (a
@@ -23,6 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,6 +83,10 @@ class Lines:
         np.cumsum((h + C.U64(1)) * up[:len(h)], out=self._sum[1:])
         self._down = down
 
+    def leaf(self) -> np.ndarray:
+        """Token count (12 bits, the last value for all above) and hash of the leading tokens (52 bits)."""
+        return (np.minimum(self.count, 4095).astype(C.U64) << C.U64(52)) | (self.key(DEPTH) >> C.U64(12))
+
     def key(self, tokens: int | None) -> np.ndarray:
         """Hash of a line's token count and its first ``tokens`` tokens (None: of all)."""
         n = self.count if tokens is None else np.minimum(self.count, tokens)
@@ -95,7 +105,7 @@ def recurring_leaves(docs: DataFrame, min_docs: int, min_tokens: int = 1) -> tup
             found = []
             for _, _, data, offs in C.slices(*C.utf8(batch.column(0))):
                 lines = Lines(data, offs, min_tokens)
-                leaf = lines.key(DEPTH)
+                leaf = lines.leaf()
                 pair = np.unique(np.stack([lines.owner.astype(C.U64), leaf], 1), axis=0) if len(leaf) else np.empty((0, 2), C.U64)
                 found.append(pair[:, 1])
             leaf, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, C.U64), np.empty(0, np.int64))
@@ -125,7 +135,7 @@ def candidate_lines(docs: DataFrame, bitmap: np.ndarray, leaves: DataFrame | Non
             ids = batch.column(0)
             for lo, _, data, offs in C.slices(*C.utf8(batch.column(1))):
                 lines = Lines(data, offs, min_tokens)
-                leaf, bits = lines.key(DEPTH), shared.value
+                leaf, bits = lines.leaf(), shared.value
                 at = slot(leaf, bits)
                 here = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
                 line = lines.key(None)
@@ -161,6 +171,14 @@ def block_columns(n: int) -> Iterator[np.ndarray]:
         yield np.concatenate(blocks)
 
 
+def block_key(tokens: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Hash of the tokens in some positions."""
+    h = np.zeros(len(tokens), C.U64)
+    for c in columns.tolist():
+        h = C.mix(h + tokens[:, c].astype(C.U64) + C.U64(c + 1))
+    return h
+
+
 def first_near(rows: np.ndarray, leads: np.ndarray) -> np.ndarray:
     """The first of ``leads`` that each row is near to, or -1; only pairs with an equal block are compared."""
     none = len(leads)
@@ -168,17 +186,11 @@ def first_near(rows: np.ndarray, leads: np.ndarray) -> np.ndarray:
     if not none or not len(rows):
         return np.full(len(rows), -1)
 
-    def key(tokens: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(tokens), C.U64)
-        for c in columns.tolist():
-            h = C.mix(h + tokens[:, c].astype(C.U64) + C.U64(c + 1))
-        return h
-
     for columns in block_columns(rows.shape[1]):
-        lead = key(leads, columns)
+        lead = block_key(leads, columns)
         order = np.argsort(lead, kind="stable")
         lead = lead[order]
-        mine = key(rows, columns)
+        mine = block_key(rows, columns)
         lo = np.searchsorted(lead, mine, "left")
         total = np.concatenate([[0], np.cumsum(np.searchsorted(lead, mine, "right") - lo)])
         a = 0
@@ -263,9 +275,33 @@ def join_templates(rows: pa.Table, leads: pa.Table) -> pa.Table:
     return rows.select(["leaf", "n", "line", "tokens", "piece"]).append_column("template", pa.array(template, pa.int64(), mask=at < 0))
 
 
+def with_neighbours(lines: DataFrame) -> DataFrame:
+    """(leaf, line) of the lines that share a block of positions with another line of their leaf.
+
+    All others are near to no line.  The blocks' keys are counted (combined in each task first) and only
+    the shared ones are joined back.
+    """
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column(2)
+            sizes = np.diff(C.utf8(tokens)[1]) // 4
+            for n in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == n)
+                rows, mine = matrix(tokens.take(pa.array(at))), [batch.column(k).take(pa.array(at)) for k in (0, 1)]
+                for b, columns in enumerate(block_columns(n)):
+                    key = C.mix(block_key(rows, columns) + C.U64(b + 1))
+                    yield pa.RecordBatch.from_arrays([*mine, pa.array(key.view(np.int64))], names=["leaf", "line", "key"])
+
+    keys = lines.select("leaf", "line", "tokens").mapInArrow(run, "leaf long, line long, key long")
+    shared = keys.groupBy("leaf", "key").agg(F.count("*").alias("c")).where("c > 1").select("leaf", "key")
+    return keys.join(shared, ["leaf", "key"], "left_semi").select("leaf", "line").distinct()
+
+
 def templates_by_rounds(lines: DataFrame) -> DataFrame:
-    """(line, template) of large leaves: the templates that one task would find, working through the whole leaf."""
-    left, done = materialize(in_pieces(lines), "line-pieces"), []
+    """(leaf, line, template) of large leaves: the templates that one task would find, working through the whole leaf."""
+    social = materialize(with_neighbours(lines), "line-neighbours")
+    alone = lines.join(social, ["leaf", "line"], "left_anti").select("leaf", "line", F.col("line").alias("template"))
+    left, done = materialize(in_pieces(lines.join(social, ["leaf", "line"], "left_semi")), "line-pieces"), [alone]
     before = F.coalesce(F.sum("c").over(Window.partitionBy("leaf").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     while True:
         size = left.groupBy("leaf", "piece").agg(F.count("*").alias("c")).withColumn("before", before)
@@ -281,7 +317,7 @@ def templates_by_rounds(lines: DataFrame) -> DataFrame:
         rest = marked.where("not first").drop("first").groupBy("leaf", "piece").cogroup(leads.groupBy("leaf", "piece")).applyInArrow(
             join_templates, "leaf long, n long, line long, tokens binary, piece long, template long")
         rest = materialize(rest, "line-rest")
-        done += [head.select("line", "template"), rest.where("template is not null").select("line", "template")]
+        done += [head.select("leaf", "line", "template"), rest.where("template is not null").select("leaf", "line", "template")]
         left = rest.where("template is null").drop("template")
     out = done[0]
     for more in done[1:]:
@@ -290,7 +326,7 @@ def templates_by_rounds(lines: DataFrame) -> DataFrame:
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """(line, template) for the different lines of ``lines``; a template is named by its first line."""
+    """(leaf, line, template) for the different lines of ``lines``; in its leaf a template is named by its first line."""
     distinct = lines.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
     distinct = materialize(distinct, "line-distinct")
     large = materialize(distinct.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") > MAX_LEAF).select("leaf"), "line-large")
@@ -300,7 +336,7 @@ def templates(lines: DataFrame) -> DataFrame:
 
 
 def templates_in_tasks(lines: DataFrame) -> DataFrame:
-    """(line, template) of leaves that a task can hold."""
+    """(leaf, line, template) of leaves that a task can hold."""
     def run(batches):
         held: list = []
 
@@ -320,7 +356,7 @@ def templates_in_tasks(lines: DataFrame) -> DataFrame:
                     rows = np.frombuffer(block, np.uint32).reshape(b - a, -1)
                     name[a:b] = line[a + template_of(rows)]
             rest = table.slice(end).to_batches() if not upto_last else []
-            return pa.RecordBatch.from_arrays([pa.array(line[:end]), pa.array(name[:end])], names=["line", "template"]), rest
+            return pa.RecordBatch.from_arrays([pa.array(leaf[:end]), pa.array(line[:end]), pa.array(name[:end])], names=["leaf", "line", "template"]), rest
 
         for batch in batches:
             if batch.num_rows:
@@ -332,18 +368,18 @@ def templates_in_tasks(lines: DataFrame) -> DataFrame:
             yield flush(True)[0]
 
     ordered = lines.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line").select("leaf", "line", "tokens")
-    return ordered.mapInArrow(run, "line long, template long")
+    return ordered.mapInArrow(run, "leaf long, line long, template long")
 
 
 def drops(docs: DataFrame, min_docs: int = 2, min_tokens: int = 1) -> DataFrame:
     """(doc_id, lines): the keys of the lines that each document loses."""
     lines = materialize(candidate_lines(docs, *recurring_leaves(docs, min_docs, min_tokens), min_tokens), "line-candidates")
     named = materialize(templates(lines), "line-templates")
-    at = materialize(lines.where("doc_id is not null").select("doc_id", "line").join(named, "line"), "line-places")
-    stats = (at.groupBy("template").agg(F.min("doc_id").alias("home"), F.count_distinct("doc_id").alias("docs"))
-             .where(F.col("docs") >= min_docs).select("template", "home"))
+    at = materialize(lines.where("doc_id is not null").select("doc_id", "leaf", "line").join(named, ["leaf", "line"]), "line-places")
+    stats = (at.groupBy("leaf", "template").agg(F.min("doc_id").alias("home"), F.count_distinct("doc_id").alias("docs"))
+             .where(F.col("docs") >= min_docs).select("leaf", "template", "home"))
     stats = materialize(stats, "line-stats")                     # a join of two tables: a hot template is split
-    return (at.join(stats, "template").where("doc_id <> home")
+    return (at.join(stats, ["leaf", "template"]).where("doc_id <> home")
             .groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
 
 
@@ -393,8 +429,7 @@ def dedup(docs: DataFrame, min_docs: int = 2, report: bool = False, min_tokens:
                         lose[i - lo] = len(bad)
                 n_gone += lose.tolist()
                 out += [new[i].decode("utf-8", "replace") if i in new else None for i in range(lo, hi)]
-            fresh = pa.array(out, pa.string())
-            merged = pa.array([a.as_py() if not b.is_valid else b.as_py() for a, b in zip(text, fresh)], pa.string()) if any(x is not None for x in out) else text
+            merged = pc.coalesce(pa.array(out, pa.string()).cast(text.type), text)
             arrays = [merged.cast(c.type) if k == text_at else c for k, c in enumerate(batch.columns[:gone_at])]
             names = list(columns)
             if report:

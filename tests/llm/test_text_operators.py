@@ -391,6 +391,50 @@ def test_leaf_above_the_limit_drops_what_it_drops_below(spark, monkeypatch):
     assert len(hot) == 1
 
 
+def test_only_lines_with_possible_neighbours_take_rounds(spark):
+    rng = np.random.default_rng(4)
+    rows, lone = [], set()
+    for n in (2, 5, 9, 40):
+        base = rng.integers(1, 1 << 31, (30, n)).astype(np.uint32)                # near to nothing but by chance
+        base[:, :min(3, n - 1)] = 7
+        base[20:] = np.where(rng.random((10, n)) < 0.15, 5, base[19])             # near one another
+        lone |= {(n, k) for k in range(19)} if n == 40 else set()
+        rows += [(n, k, n * 100 + k, bytearray(r.tobytes())) for k, r in enumerate(base)]
+    lines = spark.createDataFrame([(n, line, t) for n, _, line, t in rows], "leaf long, line long, tokens binary").repartition(3)
+    got = {(r.leaf, r.line - 100 * r.leaf) for r in line_dedup.with_neighbours(lines).collect()}
+    for n, k, _, t in rows:
+        mine = np.frombuffer(t, np.uint32)
+        if any(m == n and j != k and (np.frombuffer(o, np.uint32) == mine).mean() >= 0.7 for m, j, _, o in rows):
+            assert (n, k) in got
+    assert not lone & got
+
+
+def test_line_dedup_across_documents(spark, monkeypatch):
+    """Against a plain restatement: a template in two documents or more stays in the least one alone."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    bases = [["Say", "it", "so", *(word() for _ in range(9))] for _ in range(25)]
+    texts, names = [], []
+    for _ in range(50):
+        picks = [rng.randrange(25) for _ in range(rng.randint(0, 4))] if rng.random() < 0.8 else []
+        lines = []
+        for b in picks:
+            line = list(bases[b])
+            line[rng.randint(3, 11)] = word()                     # any two lines of a template share 10 of 12 tokens
+            lines.append(" ".join(line))
+        own = [" ".join(word() for _ in range(rng.randint(4, 8))) for _ in range(2)]
+        names.append([*picks, None, None])
+        texts.append("\n".join(lines + own))
+    homes = {}
+    for i, picks in enumerate(names):
+        for b in set(picks) - {None}:
+            homes.setdefault(b, []).append(i)
+    want = {i: "\n".join(x for x, b in zip(t.split("\n"), names[i]) if b is None or min(homes[b]) == i) for i, t in enumerate(texts)}
+    for most in (1 << 15, 8):
+        monkeypatch.setattr(line_dedup, "MAX_LEAF", most)
+        assert {r.doc_id: r.text for r in line_dedup.dedup(documents(spark, texts)).collect()} == want
+
+
 def test_query_and_stage_drop_recurring_lines_of_one_and_two_tokens(spark, tmp_path):
     from llm_fixtures import sf_dir
     from tagloom.llm import stages

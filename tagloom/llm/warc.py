@@ -6,8 +6,10 @@ record's own gzip member, the reader inflates, parses and emits chunk after chun
 carries the SHA-1 of the payload up to its end (the incremental digest); the last row's is the
 payload's and is checked against the header.
 
-Archives go to a folder below ``spark.checkpoint.dir`` through ``pyarrow.fs``, so it may be any
-file system that pyarrow opens by URI.  A task writes files under names of its own and reports
+Archives go to the caller's folder, or to one below ``spark.checkpoint.dir``, through ``pyarrow.fs``:
+any file system that pyarrow opens by URI.  Hadoop's names for S3 (``s3a``, ``s3n``) are opened as
+``s3``, with the credentials that pyarrow finds (environment, profile or instance role; settings of
+Hadoop's own such as ``fs.s3a.access.key`` are not read).  A task writes files under names of its own and reports
 them in the manifest; only files that a finished task reported are ever read, so a repeated task
 leaves at most an unread file.
 """
@@ -21,7 +23,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.session import materialize, scratch_path
@@ -36,6 +38,24 @@ def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
+# --- folders -----------------------------------------------------------------------------
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme and host that Spark gives it, so that every task means the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.toUri().getScheme():
+        return folder
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def file_system(folder: str):
+    """(pyarrow file system, path in it) of a folder; without a scheme it is a local one."""
+    from pyarrow import fs
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", folder) or folder.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"^(file:)?/+", "/", folder)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", folder))
+
+
 # --- records -----------------------------------------------------------------------------
 
 def records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
@@ -95,8 +115,7 @@ def head(page_id, url, n_bytes: int, digest: str, refers_to) -> bytes:
 def write(table: DataFrame, folder: str) -> DataFrame:
     """Write the chunked record table into gzip archives; returns the manifest (path, records, bytes)."""
     def run(batches):
-        from pyarrow import fs
-        files, where = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        files, where = file_system(folder)
         files.create_dir(where, recursive=True)
         out, packer, path, done, size = None, None, None, 0, 0
 
@@ -228,8 +247,7 @@ def read(manifest: DataFrame, folder: str, chunk: int = CHUNK, payload: bool = T
                        ("data", pa.binary()), ("digest_so_far", pa.string()), ("last", pa.bool_())])
 
     def run(batches):
-        from pyarrow import fs
-        files, _ = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        files, _ = file_system(folder)
         rows, held = [], 0
         for batch in batches:
             for path in batch.column("path").to_pylist():
@@ -248,10 +266,23 @@ def read(manifest: DataFrame, folder: str, chunk: int = CHUNK, payload: bool = T
     return manifest.select("path").repartition(n).mapInArrow(run, ROW)
 
 
-def archive(pages: DataFrame, min_revisit_bytes: int = 0) -> tuple[DataFrame, str]:
-    """Write one record per row of ``pages`` (page_id, url, html); returns the manifest and its folder.
+def archive(pages: DataFrame, min_revisit_bytes: int = 0, folder: str | None = None) -> tuple[DataFrame, str]:
+    """Write one record per row of ``pages`` (page_id, url, html); returns the manifest and the archives' folder.
 
+    With ``folder`` the archives are kept in ``folder/warc`` and their manifest in ``folder/manifest``, which
+    must not exist yet (it raises before anything is written); ``open_archive`` finds both again.  Without, the
+    archives lie below ``spark.checkpoint.dir`` and the manifest goes when the process ends.
     Other columns are not read.  An empty table gives an empty manifest.
     """
-    folder = scratch_path(pages.sparkSession, "warc")
-    return materialize(write(chunks(records(pages, min_revisit_bytes)), folder), "warc-manifest"), folder
+    spark = pages.sparkSession
+    table = chunks(records(pages, min_revisit_bytes))
+    if folder is None:
+        target = qualified(spark, scratch_path(spark, "warc"))
+        return materialize(write(table, target), "warc-manifest"), target
+    write(table, qualified(spark, f"{folder}/warc")).write.mode("errorifexists").parquet(f"{folder}/manifest")
+    return open_archive(spark, folder)
+
+
+def open_archive(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """The manifest and the archives' folder of what ``archive`` wrote to ``folder``, as ``read`` takes them."""
+    return spark.read.parquet(f"{folder}/manifest"), qualified(spark, f"{folder}/warc")

@@ -137,6 +137,28 @@ def test_warc_chunks_carry_digests(spark):
     assert whole == body and [r.last for r in rows] == [False] * (len(rows) - 1) + [True]
 
 
+def test_warc_in_a_folder_of_the_callers(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+    folder = f"{tmp_path}/kept here"
+    table = pages(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", None)])
+    warc.archive(table, folder=folder)
+    manifest, where = warc.open_archive(spark, folder)
+    assert sum(r.records for r in manifest.collect()) == 3
+    got = {r.page_id: (r.record_type, r.refers_to, bytes(r.data)) for r in warc.read(manifest, where).collect()}
+    assert got == {1: ("revisit", 2, b""), 2: ("response", None, b"ab"), 3: ("response", None, b"")}
+    with pytest.raises(AnalysisException):
+        warc.archive(table, folder=folder)
+
+
+def test_warc_file_systems():
+    from pyarrow import fs
+    for name in ("/a/b", "file:/a/b", "file:///a/b"):
+        files, path = warc.file_system(name)
+        assert isinstance(files, fs.LocalFileSystem) and path == "/a/b"
+    assert isinstance(warc.file_system("s3a://bucket/x?region=eu-west-1")[0], fs.S3FileSystem)
+    assert warc.file_system("s3n://bucket/x?region=eu-west-1")[1] == "bucket/x"
+
+
 def test_warc_min_size_empty_and_damage(spark):
     two = pages(spark, [(1, "u", "ab"), (2, "u", "ab")])
     manifest, folder = warc.archive(two, min_revisit_bytes=3)

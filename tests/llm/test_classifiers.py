@@ -1,5 +1,7 @@
 """Trained models: held-out accuracy, determinism, edge cases."""
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -130,6 +132,55 @@ def test_ftrl_scores_by_sparse_dot_product():
     assert got[0] > 0.8 > 0.2 > got[1] and got[2] == got[3]
 
 
+def plain_grams(text):
+    """Counts of a text's word n-grams, not hashed; a bigram of one word twice has no word."""
+    words = re.findall("[0-9A-Za-z\x80-\U0010FFFF]+|[^0-9A-Za-z\x80-\U0010FFFF \t-\r]+", text or "")
+    return Counter(words) + Counter(("twice",) if a == b else (a, b) for a, b in zip(words, words[1:]))
+
+
+def plain_regression(texts, y, weight, epochs=3, alpha=0.5, beta=1.0, l1=0.02, l2=0.1, scale=32.0):
+    """FTRL-proximal logistic regression, one coordinate at a time; returns the score of a text."""
+    grams = [plain_grams(t) for t in texts]
+    seen = Counter(g for row in grams for g in row)
+    z, n = Counter(), Counter()
+
+    def weight_of(g):
+        return 0.0 if abs(z[g]) <= l1 else -(z[g] - np.sign(z[g]) * l1) / ((beta + n[g] ** 0.5) / alpha + l2)
+
+    def vector(row, known):
+        total = max(1, sum(row.values()))
+        return {g: c * scale / total for g, c in row.items() if not known or seen[g] >= 3} | {None: 1.0}
+
+    rng = np.random.default_rng(3)
+    for _ in range(epochs):
+        for i in rng.permutation(len(texts)):
+            x = vector(grams[i], True)
+            w = {g: weight_of(g) for g in x}
+            p = 1 / (1 + np.exp(-sum(w[g] * v for g, v in x.items())))
+            for g, v in x.items():
+                step = weight[i] * (p - y[i]) * v
+                z[g] += step - ((n[g] + step * step) ** 0.5 - n[g] ** 0.5) / alpha * w[g]
+                n[g] += step * step
+    return lambda text: 1 / (1 + np.exp(-sum(weight_of(g) * v for g, v in vector(plain_grams(text), False).items())))
+
+
+def test_quality_scores_are_the_plain_regressions(spark):
+    """Fit and scores against one dictionary entry an n-gram: nulls, empty, repeated, very long and non-ASCII texts."""
+    rng = random.Random(6)
+    vocab = [["good", "fine", "näher", "the", "of", "3rd"], ["junk", "###", "spam", "the", "of", "!!"]]
+    texts = [" ".join(rng.choice(vocab[i % 2] + ["it", "a", "was"]) for _ in range(rng.randint(0, 25))) for i in range(80)] + ["", "spam spam spam"]
+    y, weight = np.arange(len(texts)) % 2 == 0, np.where(np.arange(len(texts)) % 2, 0.5, 1.0)
+    want = plain_regression(texts, y.astype(float), weight)
+    weights = quality_classifier.fit(texts, y.astype(float), weight)
+    asked = [*texts, None, "", "new words only", "good good\nfine...of ###!!", "näher " * 30_000 + "junk", *texts[:5]]
+    out, name = quality_classifier.score(documents(spark, asked).repartition(3), weights)
+    got = {r.doc_id: r[name].score for r in out.collect()}
+    assert len(got) == len(asked)
+    for i, text in enumerate(asked):
+        assert got[i] == pytest.approx(want(text), abs=2e-5)
+    assert max(got.values()) > 0.9 and min(got.values()) < 0.1
+
+
 def test_ids_without_a_fold(spark, tmp_path):
     """A null id is not held out, and of a repeated id the same text is sampled in any layout."""
     rows = spark.createDataFrame([(None, "a b c"), (5, "good text here")], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "1L n_chars")

@@ -61,10 +61,7 @@ def ingest_responses(spark: SparkSession, sf_dir: str, sink: str | None = None)
     Sink and checkpoint live under the shared checkpoint folder.
     """
     sink = sink or scratch_path(spark, "retrans")
-    schema = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")).schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-              .parquet(sf_dir))
-    out = split_response(responses_from_documents(stream))
+    out = split_response(responses_from_documents(arriving(spark, sf_dir, "documents")))
     q = (out.writeStream.format("parquet").option("path", os.path.join(sink, "data"))
          .option("checkpointLocation", os.path.join(sink, "_checkpoint"))
          .outputMode("append").trigger(availableNow=True).start())

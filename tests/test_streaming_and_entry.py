@@ -30,6 +30,15 @@ def test_stream_rerun_adds_nothing(spark):
     assert spark.read.parquet(p2).count() == n1 > 0
 
 
+def test_stream_ingest_of_a_folder_of_files(spark, tmp_path):
+    """The table is a folder of part files, not one file."""
+    rows = [(i, "en", "s", f"text {i}") for i in range(25)] + [(None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = E.queries()["stream_ingest_responses"](spark, str(tmp_path)).collect()
+    want = E.queries()["response_split"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 26
+
+
 def _answers(spark, folder, *files):
     for i, rows in enumerate(files):
         spark.createDataFrame(rows, "oid long, rep int, content string").coalesce(1).write.mode("append").parquet(folder)

@@ -31,17 +31,29 @@ def flat_list(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), offsets(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
 
 
-def coded(values: pa.Array) -> tuple[np.ndarray, list]:
+def encoded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(codes, distinct values); a null has code -1."""
-    d = values.dictionary_encode()
-    return d.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
+    d = values if pa.types.is_dictionary(values.type) else values.dictionary_encode()
+    return d.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
+
+
+def coded(values: pa.Array) -> tuple[np.ndarray, list]:
+    """``encoded`` with the distinct values as a list."""
+    codes, distinct = encoded(values)
+    return codes, distinct.to_pylist()
 
 
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(code points, row offsets) of a text column; a null text is empty."""
+    if not len(column):
+        return np.empty(0, np.uint32), np.zeros(1, np.int64)
     column = pc.fill_null(column.cast(pa.large_string()), "")
     offs = offsets(pc.utf8_length(column).to_numpy(zero_copy_only=False))
-    return np.frombuffer("".join(column.to_pylist()).encode("utf-32-le"), np.uint32), offs
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int64)[column.offset:column.offset + len(column) + 1]
+    if data is None or at[0] == at[-1]:
+        return np.empty(0, np.uint32), offs
+    return np.frombuffer(str(memoryview(data)[at[0]:at[-1]], "utf-8").encode("utf-32-le"), np.uint32), offs
 
 
 def row_of(offs: np.ndarray) -> np.ndarray:
@@ -58,6 +70,19 @@ def pick(names: list, codes: np.ndarray) -> pa.Array:
     return pa.array(names, pa.string()).take(pa.array(codes, pa.int64(), mask=codes < 0)) if names else pa.nulls(len(codes), pa.string())
 
 
+def named(names: list, codes: np.ndarray) -> pa.Array:
+    """Codes with their names, null for -1: what one kernel hands to the next."""
+    return pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int32), pa.int32(), mask=codes < 0), pa.array(names, pa.string()))
+
+
+def spelled(column: pa.Array) -> pa.Array:
+    """A list column of names as a list column of strings; others stay."""
+    if not (pa.types.is_list(column.type) and pa.types.is_dictionary(column.type.value_type)):
+        return column
+    values, at = flat_list(column)
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values.cast(pa.string()), mask=column.is_null())
+
+
 def any_null(*columns: pa.Array) -> np.ndarray:
     out = np.zeros(len(columns[0]), bool)
     for c in columns:
@@ -76,24 +101,26 @@ def by_slices(run: Callable, *columns: pa.Array) -> pa.Array:
         part = [c.slice(lo, hi - lo) for c in columns]
         nulls = any_null(*part)
         if nulls.any():
-            empty = pa.array(nulls)
-            part = [pc.if_else(empty, pa.scalar(None, c.type), c) for c in part]
-        parts.append(run(nulls, *part))
+            rows = pa.array(np.arange(hi - lo), pa.int64(), mask=nulls)
+            part = [c.take(rows) for c in part]
+        parts.append(spelled(run(nulls, *part)))
         lo = hi
-    return pa.concat_arrays(parts) if parts else run(np.zeros(0, bool), *columns)
+    return pa.concat_arrays(parts) if parts else spelled(run(np.zeros(0, bool), *columns))
 
 
 # --- tokens ------------------------------------------------------------------------------
 
-def token_table(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def token_table(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of distinct tokens: (characters each covers, whether it goes on a word, their characters, offsets).
 
     ``##`` marks a piece that goes on a word and covers none; the unknown token covers one character, -1.
     """
-    goes_on = np.array([t.startswith("##") for t in tokens], bool)
-    bodies = [[-1] if t == UNK else list(map(ord, t[2:] if g else t)) for t, g in zip(tokens, goes_on)]
-    sizes = np.array([len(b) for b in bodies], np.int64)
-    return sizes, goes_on, np.array([c for b in bodies for c in b], np.int64), offsets(sizes)
+    tokens = tokens.cast(pa.string())
+    goes_on, unknown = pc.starts_with(tokens, "##"), pc.equal(tokens, UNK)
+    points, at = code_points(pc.if_else(unknown, "?", pc.if_else(goes_on, pc.utf8_slice_codeunits(tokens, 2), tokens)))
+    points = points.astype(np.int64)
+    points[at[:-1][unknown.to_numpy(zero_copy_only=False)]] = -1
+    return np.diff(at), goes_on.to_numpy(zero_copy_only=False), points, at
 
 
 def inner_codes(names: list) -> tuple[list, np.ndarray]:
@@ -121,7 +148,7 @@ def align(nulls: np.ndarray, text: pa.Array, labels: pa.Array, tokens: pa.Array)
     codes, names = coded(flat_list(labels)[0])
     label_at = flat_list(labels)[1]
     words, token_at = flat_list(tokens)
-    kinds, distinct = coded(words)
+    kinds, distinct = encoded(words)
     sizes = token_table(distinct)[0]
 
     # labels of characters other than blanks, in order: positions in the flat labels
@@ -137,7 +164,7 @@ def align(nulls: np.ndarray, text: pa.Array, labels: pa.Array, tokens: pa.Array)
     found = place < np.diff(kept_at)[row]
     out = np.full(len(place), -1, np.int64)
     out[found] = codes[kept[kept_at[:-1][row[found]] + place[found]]]
-    return list_column(pick(names, out), np.diff(token_at), nulls)
+    return list_column(named(names, out), np.diff(token_at), nulls)
 
 
 def expand(nulls: np.ndarray, tokens: pa.Array, labels: pa.Array) -> pa.Array:
@@ -149,7 +176,7 @@ def expand(nulls: np.ndarray, tokens: pa.Array, labels: pa.Array) -> pa.Array:
     words, token_at = flat_list(tokens)
     values, label_at = flat_list(labels)
     both = np.minimum(np.diff(token_at), np.diff(label_at))
-    kinds, distinct = coded(words)
+    kinds, distinct = encoded(words)
     codes, names = coded(values)
     names, inner = inner_codes(names)
     sizes, goes_on, _, _ = token_table(distinct)
@@ -168,15 +195,18 @@ def expand(nulls: np.ndarray, tokens: pa.Array, labels: pa.Array) -> pa.Array:
     out = np.repeat(rest, size)
     char_at = offsets(size)
     out[char_at[:-1][~piece]] = codes[~piece]
-    return list_column(pick(names, out), np.diff(char_at[row_at]), nulls)
+    return list_column(named(names, out), np.diff(char_at[row_at]), nulls)
 
 
 def lowered(points: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     """A function that maps these code points to one number for each lower-case form; -1 stays."""
-    seen = np.unique(points)
+    of = np.zeros(int(points.max(initial=0)) + 2, np.int32)       # -1 is the last place
+    of[points] = 1
     number: dict[str, int] = {}
-    of = np.array([-1 if p < 0 else number.setdefault(chr(p).lower(), len(number)) for p in seen.tolist()], np.int64)
-    return lambda x: of[np.searchsorted(seen, x)] if len(x) else np.zeros(0, np.int64)
+    for p in np.flatnonzero(of[:-1]).tolist():
+        of[p] = number.setdefault(chr(p).lower(), len(number))
+    of[-1] = -1
+    return lambda x: of[x]
 
 
 def meet(text: np.ndarray, body: np.ndarray) -> np.ndarray:
@@ -219,7 +249,7 @@ def realign(nulls: np.ndarray, text: pa.Array, tokens: pa.Array, labels: pa.Arra
     codes, names = coded(values)
     outside = names.index("O") if "O" in names else len(names)
     names = names if "O" in names else [*names, "O"]
-    kinds, distinct = coded(words)
+    kinds, distinct = encoded(words)
     sizes, _, chars, char_at = token_table(distinct)
     size = sizes[kinds] if len(kinds) else np.zeros(0, np.int64)
     body = chars[gather(char_at[:-1][kinds], size)] if len(kinds) else np.zeros(0, np.int64)
@@ -263,7 +293,27 @@ def realign(nulls: np.ndarray, text: pa.Array, tokens: pa.Array, labels: pa.Arra
     has = inside & (stands < np.diff(label_at)[row])
     out[inside] = -1
     out[has] = codes[label_at[:-1][row[has]] + stands[has]]
-    return list_column(pick(names, out), end, nulls)
+    return list_column(named(names, out), end, nulls)
+
+
+def split_labels(nulls: np.ndarray, annotation: pa.Array) -> pa.Array:
+    """The labels of a blank-separated string."""
+    trimmed = pc.utf8_trim(annotation, " ")
+    parts = pc.split_pattern_regex(trimmed, r"\s+") if pc.any(pc.match_substring_regex(trimmed, r"\s\s|[^\S ]")).as_py() \
+        else pc.split_pattern(trimmed, " ")
+    values, at = flat_list(parts)
+    some = pc.fill_null(pc.not_equal(trimmed, ""), False).to_numpy(zero_copy_only=False)
+    keep = np.repeat(some, np.diff(at))
+    codes, names = coded(values)
+    return list_column(named(names, codes[keep]), np.where(some, np.diff(at), 0), nulls)
+
+
+def joined(nulls: np.ndarray, labels: pa.Array) -> pa.Array:
+    """Labels as one blank-separated string, ``O`` for a missing one."""
+    values, at = flat_list(labels)
+    codes, names = coded(values)
+    names, outside = (names, names.index("O")) if "O" in names else ([*names, "O"], len(names))
+    return pc.if_else(pa.array(nulls), None, pc.binary_join(list_column(pick(names, np.where(codes < 0, outside, codes)), np.diff(at), np.zeros(len(nulls), bool)), " "))
 
 
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])

@@ -14,40 +14,72 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructType
 
 from tagloom.session import materialize
 
 BLOCK = "__block"
 BLOCK_BYTES = 2 << 20
+LONG = [1 << 13, 1 << 16]       # bytes from which a text is in the next length class
 ROW_BYTES = 64                  # counted for each row besides its text, so that a block has a bounded number of rows
 
 
+def row_bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of each text, or of each list of strings; none for a null."""
+    if pa.types.is_list(column.type):
+        n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        reach = np.concatenate([[0], np.cumsum(row_bytes(column.flatten()))])
+        end = np.cumsum(n)
+        return reach[end] - reach[end - n]
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def in_blocks(df: DataFrame, text: str, size: int = BLOCK_BYTES) -> DataFrame:
-    """``df`` plus ``__block``: consecutive rows of a task share a block of about ``size`` bytes of text.
+    """``df`` plus ``__block``: rows of a task share a block of about ``size`` bytes of text (a string or a list of them).
 
-    A row is in the block in which its text begins, so a block holds less than ``size`` bytes and one
-    text.  The rows are written, which keeps the numbers if a task is repeated.
+    Rows of one length class (``LONG``) are numbered on, so a few long texts do not hold up blocks of
+    short ones.  A row is in the block in which its text begins, so a block holds less than ``size`` bytes
+    and one text.  The rows are written, which keeps the numbers if a task is repeated.
     """
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, seen = TaskContext.get().partitionId() << 33, 0
+        first, seen = TaskContext.get().partitionId() << 33, [0] * (len(LONG) + 1)
         for batch in batches:
             if batch.num_rows:
-                n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES
-                end = seen + np.cumsum(n)
-                block = pa.array(first + (end - n) // size, pa.int64())
-                seen = int(end[-1])
-                yield pa.RecordBatch.from_arrays([*batch.columns, block], names=[*batch.schema.names, BLOCK])
+                n = row_bytes(batch.column(text)) + ROW_BYTES
+                kind, block = np.searchsorted(LONG, n, "right"), np.empty(len(n), np.int64)
+                for k in np.unique(kind).tolist():
+                    own = kind == k
+                    end = seen[k] + np.cumsum(n[own])
+                    block[own] = first + (k << 31) + (end - n[own]) // size
+                    seen[k] = int(end[-1])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], names=[*batch.schema.names, BLOCK])
 
     schema = StructType([*df.schema.fields]).add(BLOCK, LongType())
     return materialize(df.mapInArrow(number, schema), "blocks")
 
 
-def block_keys(rows: DataFrame, keys: Column, key: str) -> DataFrame:
-    """(__block, key): the distinct keys of every block; null keys take no part.  Written once."""
-    each = rows.select(BLOCK, F.explode_outer(F.array_distinct(keys)).alias(key)).where(F.col(key).isNotNull())
+def block_keys(rows: DataFrame, column: str, key: str, find: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """(__block, key): the distinct keys of every block; null keys take no part.  Written once.
+
+    ``column`` is a list of keys, or a text in which ``find`` finds them.
+    """
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column(BLOCK).to_numpy()
+            order = np.argsort(block, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(block[order])) + 1, len(order)) if len(order) else []
+            lo = 0
+            for hi in ends:
+                own = batch.column(column).take(pa.array(order[lo:hi]))
+                if find is None:
+                    found = own.flatten().unique().drop_null()
+                else:
+                    found = pa.array(list(set().union(*(find(t) for t in own.to_pylist() if t))), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block[order[lo]])), found], names=[BLOCK, key])
+                lo = hi
+
+    each = rows.select(BLOCK, column).mapInArrow(keys, f"{BLOCK} long, {key} string")
     return materialize(each.distinct(), "block_keys")
 
 

@@ -11,24 +11,28 @@ ties are real ties and go to the lowest label or class.
 Model sizes and how they travel: the transition model is at most 12 x 12 (a proven bound) and
 travels with the tasks; emission and mood models grow with the vocabulary.  While texts are
 tokenized they are joined to the corpus's token dictionary (``path_column``, ``mood_column``); rows that
-have tokens already look up their distinct tokens (``lookup.attach``).  Decoding is an Arrow function over whole
-texts, one numpy step per position for all texts of a batch.
+have tokens already are cut into blocks of the same kind (``with_emissions``).  Decoding works on whole
+texts, one numpy step per position for all texts of a block.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tagloom.constants import ALL_LABELS, ENTITY_LABELS, EOS, FORBIDDEN, SOS
-from tagloom.functions import bio
+from tagloom.functions import bio, kernels
+from tagloom.operators import dictionary as dy
 from tagloom.operators.lookup import attach
-from tagloom.operators.tokenize import TokenColumn, lists
+from tagloom.operators.tokenize import TokenColumn, lists, one
 
 N_TAG = len(ENTITY_LABELS)          # the decoder ranges over the 9 entity labels
 N_ALL = len(ALL_LABELS)
@@ -121,15 +125,29 @@ def emission_vectors(emissions: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return emissions.groupBy("token").agg(F.array(*cells).alias("scores")), np.array(unseen, np.int64)
 
 
-def with_emissions(rows: DataFrame, vec: DataFrame) -> DataFrame:
-    """``rows`` plus ``emissions``: the score vectors of the distinct known tokens."""
-    return attach(rows, F.col("tokens"), vec, "token", ["scores"], "emissions")
+def with_emissions(rows: DataFrame, vec: DataFrame, unseen: np.ndarray, name: str, kind: str,
+                   work: Callable[[np.ndarray, np.ndarray, pa.Table], pa.Array]) -> DataFrame:
+    """``rows`` plus the column ``work(scores, offsets, rows)``, block by block; null where ``tokens`` is.
 
+    ``scores`` [positions, 9] are the emission scores of all positions of the block's texts, ``offsets`` the
+    places of the texts among them.
+    """
+    blocks = dy.in_blocks(rows, "tokens")
+    used = dy.block_keys(blocks, "tokens", "token")
+    names = rows.columns
+    schema = StructType([*[f for f in rows.schema.fields if f.name != name], *StructType.fromDDL(f"`{name}` {kind}").fields])
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        tokens = one(left.column("tokens"))
+        words, offsets = kernels.flat_list(tokens)
+        entry = pc.fill_null(pc.index_in(words, value_set=one(right.column("token"))), len(right)).to_numpy(zero_copy_only=False)
+        scores = np.vstack([value_matrix(one(right.column("scores")), unseen), unseen])[entry]
+        made = work(scores, offsets, left)
+        made = pc.if_else(tokens.is_null(), pa.scalar(None, made.type), made) if tokens.null_count else made
+        kept = [c for c in names if c != name]
+        return pa.Table.from_arrays([*[left.column(c) for c in kept], made], names=[*kept, name])
 
-def emission_matrix(tokens, hits, unseen: np.ndarray) -> np.ndarray:
-    """[positions, 9] scores of one text."""
-    of = {} if hits is None else {x["token"]: x["scores"] for x in hits}
-    return np.array([of.get(t, unseen) for t in tokens], np.int64).reshape(-1, N_TAG)
+    return dy.per_block(blocks, used, vec, "token", block, schema)
 
 
 # ----------------------------------------------------------------------------------
@@ -138,7 +156,8 @@ def emission_matrix(tokens, hits, unseen: np.ndarray) -> np.ndarray:
 def viterbi(mats: list[np.ndarray], start: np.ndarray, tr: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     """Best label-id path of every text; one step per position for all texts still running.
 
-    Ties take the lowest label id, in every step and at the end.
+    Ties take the lowest label id, in every step and at the end.  Scores are held in multiples of ``unit``
+    with the label they come from, lowest first, in the low bits: one maximum gives both.
     """
     n = np.array([len(m) for m in mats], np.int64)
     order = np.argsort(-n, kind="stable")
@@ -146,22 +165,31 @@ def viterbi(mats: list[np.ndarray], start: np.ndarray, tr: np.ndarray, end: np.n
     live = int((length > 0).sum())
     if not live:
         return [np.empty(0, np.int64) for _ in mats]
+    length, labels = length[:live], len(tr)
+    unit = 1 << labels.bit_length()
     flat = np.concatenate([mats[i] for i in order[:live]])
-    at = np.concatenate([[0], np.cumsum(length[:live])[:-1]])
-    score = start + flat[at]
-    back = []
-    for t in range(1, int(length[0])):
-        a = int(np.searchsorted(-length[:live], -t, "left"))      # texts longer than t
-        cand = score[:a, :, None] + tr
-        back.append(cand.argmax(1).astype(np.int8))
-        score[:a] = cand.max(1) + flat[at[:a] + t]
-    cur = (score + end).argmax(1)
-    paths = np.empty(len(flat), np.int64)
-    for t in range(int(length[0]) - 1, 0, -1):
-        a = len(back[t - 1])
-        paths[at[:a] + t] = cur[:a]
-        cur[:a] = back[t - 1][np.arange(a), cur[:a]]
-    paths[at] = cur
+    at = np.concatenate([[0], np.cumsum(length)[:-1]])
+    running = live - np.searchsorted(length[::-1], np.arange(int(length[0])), "right")    # texts longer than t
+    first = np.concatenate([[0], np.cumsum(running)])
+    # positions by step, then by text
+    place = first[np.arange(len(flat)) - np.repeat(at, length)] + np.repeat(np.arange(live), length)
+    scores = np.empty((labels, len(flat)), np.int64)
+    scores[:, place] = flat.T * unit
+    step = (tr * unit + (labels - 1 - np.arange(labels))[:, None])[:, :, None]
+    score = start[:, None] * unit + scores[:, :live]
+    back = np.empty((labels, len(flat)), np.int8)
+    spans = list(zip(first[1:-1].tolist(), first[2:].tolist()))
+    for lo, hi in spans:
+        best = (score[:, None, :hi - lo] + step).max(0)
+        np.subtract(labels - 1, best & (unit - 1), out=back[:, lo:hi], casting="unsafe")
+        np.add(best & -unit, scores[:, lo:hi], out=score[:, :hi - lo])
+    cur = (score + end[:, None] * unit).argmax(0)
+    by_step, every, back = np.empty(len(flat), np.int64), np.arange(len(flat)), back.reshape(-1)
+    for lo, hi in reversed(spans):
+        by_step[lo:hi] = cur[:hi - lo]
+        cur[:hi - lo] = back.take(cur[:hi - lo] * len(flat) + every[lo:hi])
+    by_step[:live] = cur
+    paths = by_step[place]
     out = [np.empty(0, np.int64)] * len(mats)
     for k, i in enumerate(order[:live]):
         out[i] = paths[at[k]:at[k] + length[k]]
@@ -172,12 +200,13 @@ def decode(rows: DataFrame, trans: DataFrame, emis: DataFrame, out: str = "path"
     """Add the best label-id path of each row's ``tokens`` under emissions and transitions."""
     vec, unseen = emission_vectors(emis)
     start, tr, end = transition_arrays(trans)
+    return with_emissions(rows, vec, unseen, out, "array<int>", lambda scores, offsets, _rows: best_paths(scores, offsets, start, tr, end))
 
-    @F.pandas_udf("array<int>")
-    def path(tokens: pd.Series, hits: pd.Series) -> pd.Series:
-        return pd.Series(viterbi([emission_matrix(t, h, unseen) for t, h in zip(tokens, hits)], start, tr, end))
 
-    return with_emissions(rows, vec).withColumn(out, path("tokens", "emissions")).drop("emissions")
+def best_paths(scores: np.ndarray, offsets: np.ndarray, start: np.ndarray, tr: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The best path of every text of a block."""
+    best = viterbi([scores[a:b] for a, b in zip(offsets[:-1], offsets[1:])], start, tr, end)
+    return lists(np.concatenate([np.empty(0, np.int64), *best]), offsets, pa.int32())
 
 
 def value_matrix(values: pa.Array, missing: np.ndarray) -> np.ndarray:
@@ -193,9 +222,7 @@ def path_column(trans: DataFrame, emis: DataFrame, name: str = "path") -> TokenC
     start, tr, end = transition_arrays(trans)
 
     def paths(scores: pa.Array, entry: np.ndarray, offsets: np.ndarray) -> pa.Array:
-        flat = value_matrix(scores, unseen)[entry]
-        best = viterbi([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])], start, tr, end)
-        return lists(np.concatenate([np.empty(0, np.int64), *best]), offsets, pa.int32())
+        return best_paths(value_matrix(scores, unseen)[entry], offsets, start, tr, end)
 
     return TokenColumn(name, "array<int>", lambda tokens: vec, "scores", paths)
 
@@ -203,12 +230,7 @@ def path_column(trans: DataFrame, emis: DataFrame, name: str = "path") -> TokenC
 def argmax_tags(rows: DataFrame, emis: DataFrame, out: str = "path") -> DataFrame:
     """M08, unconstrained: the label with the best emission score at every position."""
     vec, unseen = emission_vectors(emis)
-
-    @F.pandas_udf("array<int>")
-    def path(tokens: pd.Series, hits: pd.Series) -> pd.Series:
-        return pd.Series([emission_matrix(t, h, unseen).argmax(1) for t, h in zip(tokens, hits)])
-
-    return with_emissions(rows, vec).withColumn(out, path("tokens", "emissions")).drop("emissions")
+    return with_emissions(rows, vec, unseen, out, "array<int>", lambda scores, offsets, _rows: lists(scores.argmax(1), offsets, pa.int32()))
 
 
 def path_scores(rows: DataFrame, trans: DataFrame, emis: DataFrame, ids: str, out: str = "score") -> DataFrame:
@@ -216,16 +238,15 @@ def path_scores(rows: DataFrame, trans: DataFrame, emis: DataFrame, ids: str, ou
     vec, unseen = emission_vectors(emis)
     start, tr, end = transition_arrays(trans)
 
-    @F.pandas_udf("long")
-    def score(tokens: pd.Series, hits: pd.Series, path: pd.Series) -> pd.Series:
-        got = []
-        for t, h, p in zip(tokens, hits, path):
-            p = np.asarray(p, np.int64)
-            e = emission_matrix(t, h, unseen)
-            got.append(int(start[p[0]] + e[np.arange(len(p)), p].sum() + tr[p[:-1], p[1:]].sum() + end[p[-1]]) if len(p) else 0)
-        return pd.Series(got)
+    def score(scores: np.ndarray, offsets: np.ndarray, block: pa.Table) -> pa.Array:
+        got, paths = [], kernels.flat_list(one(block.column(ids)))
+        of = paths[0].to_numpy(zero_copy_only=False).astype(np.int64)
+        for at, a, b in zip(offsets[:-1].tolist(), paths[1][:-1].tolist(), paths[1][1:].tolist()):
+            p = of[a:b]
+            got.append(int(start[p[0]] + scores[at + np.arange(b - a), p].sum() + tr[p[:-1], p[1:]].sum() + end[p[-1]]) if b > a else 0)
+        return pa.array(got, pa.int64())
 
-    return with_emissions(rows, vec).withColumn(out, score("tokens", "emissions", ids)).drop("emissions")
+    return with_emissions(rows, vec, unseen, out, "long", score)
 
 
 # ----------------------------------------------------------------------------------

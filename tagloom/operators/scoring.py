@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions import bio
+from tagloom.constants import ALL_LABELS
+from tagloom.functions import kernels
 from tagloom.operators import models as md
 from tagloom.operators import tokenize as tk
 
@@ -25,20 +28,28 @@ class Models:
     priors: DataFrame
 
 
-def tag(docs: DataFrame, vocab: DataFrame, transitions: DataFrame, emissions: DataFrame, more: tuple = ()) -> DataFrame:
-    """Tokenize, decode, expand, realign -> (id, text, tokens, BIO_anno, ``more``'s columns).
+def _annotation(nulls: np.ndarray, text: pa.Array, tokens: pa.Array, path: pa.Array) -> pa.Array:
+    """A label-id path of the tokens as the text's annotation."""
+    values, at = kernels.flat_list(path)
+    labels = kernels.list_column(kernels.named(ALL_LABELS, values.to_numpy(zero_copy_only=False)), np.diff(at), nulls)
+    return kernels.joined(nulls, kernels.realign(nulls, text, tokens, kernels.expand(nulls, tokens, labels)))
 
-    The texts are shuffled once, to the dictionary entries of their tokens.
+
+def tag(docs: DataFrame, vocab: DataFrame, transitions: DataFrame, emissions: DataFrame, more: tuple = (),
+        keep: tuple[str, ...] = ("id", "text", "tokens")) -> DataFrame:
+    """Tokenize, decode, expand, realign -> (``keep``, BIO_anno, ``more``'s columns).
+
+    The texts are shuffled once, to the dictionary entries of their tokens, and annotated where these are.
     """
     columns = [md.path_column(transitions, emissions), *more]
-    d = tk.tokenize(docs.select("id", "text"), vocab, more=columns).withColumn("token_labels", bio.label_decode("path"))
-    full = bio.with_realigned(bio.with_expanded(d, "tokens", "token_labels", "exp"), "text", "tokens", "exp", "realigned")
-    return full.select("id", "text", "tokens", bio.join_labels(F.col("realigned"), "O").alias("BIO_anno"), *[m.name for m in more])
+    annotation = tk.RowColumn("BIO_anno", "string", ("text", "tokens", "path"), _annotation)
+    return tk.tokenize(docs.select("id", "text"), vocab, more=columns, then=[annotation], keep=[*keep, "BIO_anno", *[m.name for m in more]])
 
 
-def mood(docs: DataFrame, vocab: DataFrame, model: DataFrame, priors: DataFrame, out: str = "class") -> DataFrame:
-    """``docs`` plus ``tokens`` and the class of their texts; the texts are shuffled once."""
-    return tk.tokenize(docs, vocab, more=[md.mood_column(model, priors, name=out)])
+def mood(docs: DataFrame, vocab: DataFrame, model: DataFrame, priors: DataFrame, out: str = "class",
+         keep: list[str] | None = None) -> DataFrame:
+    """``docs`` plus ``tokens`` and the class of their texts, or those of these columns to ``keep``; the texts are shuffled once."""
+    return tk.tokenize(docs, vocab, more=[md.mood_column(model, priors, name=out)], keep=keep)
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
@@ -47,5 +58,5 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     A null text is scored as an empty one; repeated and null ids are rows like others.
     """
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    tags = tag(docs, models.vocab, models.transitions, models.emissions, more=(md.mood_column(models.mood, models.priors),))
+    tags = tag(docs, models.vocab, models.transitions, models.emissions, more=(md.mood_column(models.mood, models.priors),), keep=("id",))
     return tags.select("id", "BIO_anno", "class")

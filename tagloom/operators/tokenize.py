@@ -20,7 +20,7 @@ longer tokens, so an id names one token.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tagloom.constants import MAX_SEQ_LEN, added_vocab
+from tagloom.functions import kernels
 from tagloom.operators import dictionary as dy
 from tagloom.operators import sampling as sp
+from tagloom.operators.dictionary import row_bytes
 from tagloom.operators.lookup import attach
 from tagloom.session import materialize
 
@@ -58,14 +60,35 @@ def latin_run_trace(reviews: DataFrame) -> DataFrame:
     A run's label slice is read from the character labels at the run's offset, so a
     slice may start with ``I-`` (mention began earlier) or change inside the run.
     """
-    @F.pandas_udf("array<struct<run:string,labels:string>>")
-    def runs(text: pd.Series, labels: pd.Series) -> pd.Series:
-        pattern = re.compile(r"[A-Za-z]+(?: [A-Za-z]+)*")
-        return pd.Series([[{"run": m[0], "labels": " ".join(lab.split()[m.start():m.end()])} for m in pattern.finditer(t)]
-                          if t is not None else None for t, lab in zip(text, labels)])
-
-    return (reviews.select("id", F.posexplode(runs("text", "BIO_anno")).alias("k", "r"))
-            .select("id", F.col("k").cast("long").alias("k"), F.col("r.run").alias("run"), F.col("r.labels").alias("labels")))
+    pattern = re.compile(r"[A-Za-z]+(?: [A-Za-z]+)*")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, row_bytes(batch.column("text")) + row_bytes(batch.column("BIO_anno"))):
+                ids, row, k, run, labels = part.column("id"), [], [], [], []
+                for i, (t, lab) in enumerate(zip(part.column("text").to_pylist(), part.column("BIO_anno").to_pylist())):
+                    if t is None:
+                        continue
+                    lab = lab.split()
+                    for j, m in enumerate(pattern.finditer(t)):
+                        row.append(i)
+                        k.append(j)
+                        run.append(m[0])
+                        labels.append(" ".join(lab[m.start():m.end()]))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(k, pa.int64()), pa.array(run, pa.string()),
+                                                  pa.array(labels, pa.string())], names=["id", "k", "run", "labels"])
+
+    schema = StructType([reviews.schema["id"], *StructType.fromDDL("k long, run string, labels string").fields])
+    return reviews.select("id", "text", "BIO_anno").mapInArrow(runs, schema)
+
+
+def slices(batch: pa.RecordBatch, size: np.ndarray, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive whole rows of ``batch`` with about ``most`` in all of ``size``, or one row."""
+    reach, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def fixed_vocab(spark: SparkSession) -> DataFrame:
@@ -99,6 +122,19 @@ class TokenColumn:
     of: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Array]
 
 
+@dataclass
+class RowColumn:
+    """A column computed from other columns of the block, those of the rows or made before it.
+
+    ``kernel`` (of ``functions.kernels``) works on slices of whole rows; a row with any null input is null.
+    """
+
+    name: str
+    type: str
+    inputs: tuple[str, ...]
+    kernel: Callable[..., pa.Array]
+
+
 def dictionary(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
     """(piece, pos, token): the tokens of every piece (piece) under the vocabulary (word)."""
     known = vocab.select(F.col("word").alias("piece"), F.lit(True).alias("known")).distinct()
@@ -109,7 +145,7 @@ def dictionary(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
     return pieces.join(known, "piece", "left").select("piece", F.posexplode(tokens).alias("pos", "token"))
 
 
-def _one(column) -> pa.Array:
+def one(column) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
@@ -131,14 +167,15 @@ def cut(texts: list[str | None], pieces: list[str], pos: np.ndarray) -> tuple[np
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text", more: tuple[TokenColumn, ...] | list = (),
-             block_bytes: int = dy.BLOCK_BYTES) -> DataFrame:
-    """Add ``tokens`` (array<string>, the whole text; null text: null) and ``more`` to every row of ``df``.
+             block_bytes: int = dy.BLOCK_BYTES, then: tuple[RowColumn, ...] | list = (), keep: list[str] | None = None) -> DataFrame:
+    """Add ``tokens`` (array<string>, the whole text; null text: null), ``more`` and ``then`` to every row of ``df``.
 
-    The rows are written once and shuffled once.  A column of ``more`` is null where the text is.
-    Repeated and null ids are rows like others.
+    The rows are written once and shuffled once; ``then`` is computed where the tokens are made, so that
+    sequences of tokens and characters leave a block only if the columns to ``keep`` (null: all) have them.
+    A column of ``more`` is null where the text is.  Repeated and null ids are rows like others.
     """
     rows = dy.in_blocks(df, text_col, block_bytes)
-    used = dy.block_keys(rows, F.regexp_extract_all(F.col(text_col), F.lit(PIECE_RE), 0), "piece")
+    used = dy.block_keys(rows, text_col, "piece", re.compile(PIECE_RE).findall)
     entries = dictionary(used.select("piece").distinct(), vocab)
     if more:
         entries = materialize(entries, "dictionary")
@@ -146,21 +183,29 @@ def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text", more: tupl
     for i, m in enumerate(more):
         table = m.table(plain.select("token").distinct()).select("token", F.col(m.value).alias(f"value{i}"))
         entries = entries.join(table, "token", "left")
-    names, work = df.columns, [(m.name, m.of) for m in more]
-    added = StructType.fromDDL(", ".join(["tokens array<string>", *[f"`{m.name}` {m.type}" for m in more]]))
-    schema = StructType([*df.schema.fields, *added.fields])
+    work, steps = [(m.name, m.of) for m in more], [(c.name, c.inputs, c.kernel) for c in then]
+    added = StructType.fromDDL(", ".join(["tokens array<string>", *[f"`{m.name}` {m.type}" for m in [*more, *then]]]))
+    fields = {f.name: f for f in [*df.schema.fields, *added.fields]}
+    names = list(fields) if keep is None else keep
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.take(pc.sort_indices(right, sort_keys=[("piece", "ascending"), ("pos", "ascending")]))
         text = left.column(text_col)
         entry, offsets = cut(text.to_pylist(), right.column("piece").to_pylist(), right.column("pos").to_numpy())
         null = pa.array(text.is_null().to_numpy())
-        tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _one(right.column("token")).take(pa.array(entry)), mask=null)
-        made = [of(_one(right.column(f"value{i}")), entry, offsets) for i, (_name, of) in enumerate(work)]
-        made = [pc.if_else(null, pa.scalar(None, c.type), c) if null.true_count else c for c in made]
-        return pa.Table.from_arrays([*[left.column(c) for c in names], tokens, *made], names=[*names, "tokens", *[name for name, _ in work]])
-
-    return dy.per_block(rows, used, entries, "piece", block, schema)
+        token = pa.DictionaryArray.from_arrays(pa.array(entry, pa.int32()), one(right.column("token")))
+        made = {c: left.column(c) for c in left.column_names}
+        made["tokens"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), token, mask=null)
+        for i, (name, of) in enumerate(work):
+            column = of(one(right.column(f"value{i}")), entry, offsets)
+            made[name] = pc.if_else(null, pa.scalar(None, column.type), column) if null.true_count else column
+        for name, inputs, kernel in steps:
+            made[name] = kernels.by_slices(kernel, *[made[c] for c in inputs])
+        if "tokens" in names:
+            made["tokens"] = kernels.spelled(made["tokens"])
+        return pa.Table.from_arrays([made[c] for c in names], names=names)
+
+    return dy.per_block(rows, used, entries, "piece", block, StructType([fields[c] for c in names]))
 
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.functions import bio
+from tagloom.functions import bio, kernels
 from tagloom.session import materialize, remove_at_exit, scratch_path
 from tagloom.sources import annotated as an
 from tagloom.sources import driver
@@ -130,15 +130,21 @@ def vocabulary(spark, sf_dir):
     return materialize(tk.vocabulary(spark, train_reviews(spark, sf_dir)), "vocab")
 
 
-def tokenized_reviews(spark, sf_dir, vocab=None):
-    """Training corpus with labels, tokens and token labels (T03 + T04)."""
-    t = tk.tokenize(_labels(driver.reviews(spark, sf_dir)), vocab if vocab is not None else vocabulary(spark, sf_dir))
-    return bio.with_aligned(t, "text", "labels", "tokens", "token_labels")
+LABELS = tk.RowColumn("labels", "array<string>", ("BIO_anno",), kernels.split_labels)
+TOKEN_LABELS = tk.RowColumn("token_labels", "array<string>", ("text", "labels", "tokens"), kernels.align)
+EXPANDED = tk.RowColumn("exp", "array<string>", ("tokens", "token_labels"), kernels.expand)
+REALIGNED = tk.RowColumn("realigned", "array<string>", ("text", "tokens", "exp"), kernels.realign)
+
+
+def tokenized_reviews(spark, sf_dir, vocab=None, then=(), keep=("id", "text", "class", "tokens", "token_labels")):
+    """Training corpus with labels, tokens, token labels (T03 + T04) and ``then``, block by block."""
+    return tk.tokenize(driver.reviews(spark, sf_dir).select("id", "text", "BIO_anno", "class"), vocab if vocab is not None else vocabulary(spark, sf_dir),
+                       then=[LABELS, TOKEN_LABELS, *then], keep=list(keep))
 
 
 def label_windows(spark, sf_dir):
     """Token-label ids of the training corpus, one row per 198-token window."""
-    t = tokenized_reviews(spark, sf_dir).withColumn("ids", bio.label_encode("token_labels"))
+    t = tokenized_reviews(spark, sf_dir, keep=["id", "token_labels"]).withColumn("ids", bio.label_encode("token_labels"))
     return tk.encode_windows(t, ["ids"])
 
 
@@ -159,7 +165,7 @@ def vocab_trace(spark, sf_dir):
 
 @query("tokenize_corpus")
 def tokenize_corpus(spark, sf_dir):
-    t = tk.tokenize(driver.documents(spark, sf_dir), vocabulary(spark, sf_dir), more=[tk.id_column()])
+    t = tk.tokenize(driver.documents(spark, sf_dir), vocabulary(spark, sf_dir), more=[tk.id_column()], keep=["id", "tokens", "ids"])
     w = tk.encode_windows(t, ["tokens", "ids"])
     ids, mask, _types = tk.encode(F.col("win_ids"))
     return w.select("id", "win", F.size("win_tokens").alias("n_tokens"),
@@ -189,21 +195,20 @@ def bio_inner(spark, sf_dir):
 
 @query("align_labels")
 def align_labels(spark, sf_dir):
-    t = tokenized_reviews(spark, sf_dir)
+    t = tokenized_reviews(spark, sf_dir, keep=["id", "tokens", "token_labels"])
     return t.select("id", F.size("tokens").alias("n_tokens"),
                     _null_join(F.col("token_labels")).alias("token_labels"))
 
 
 @query("expand_labels")
 def expand_labels(spark, sf_dir):
-    t = bio.with_expanded(tokenized_reviews(spark, sf_dir), "tokens", "token_labels", "exp")
+    t = tokenized_reviews(spark, sf_dir, then=[EXPANDED], keep=["id", "exp"])
     return t.select("id", _null_join(F.col("exp")).alias("char_labels"))
 
 
 @query("realign_labels")
 def realign_labels(spark, sf_dir):
-    t = bio.with_expanded(tokenized_reviews(spark, sf_dir), "tokens", "token_labels", "exp")
-    t = bio.with_realigned(t, "text", "tokens", "exp", "realigned")
+    t = tokenized_reviews(spark, sf_dir, then=[EXPANDED, REALIGNED], keep=["id", "realigned"])
     return t.select("id", _null_join(F.col("realigned")).alias("realigned"))
 
 
@@ -229,7 +234,7 @@ def strip_frame(spark, sf_dir):
 
 @query("normalise_text")
 def normalise_text(spark, sf_dir):
-    t = tk.tokenize(driver.documents(spark, sf_dir), vocabulary(spark, sf_dir))
+    t = tk.tokenize(driver.documents(spark, sf_dir), vocabulary(spark, sf_dir), keep=["id", "tokens"])
     detok = F.replace(F.array_join("tokens", " "), F.lit(" ##"), F.lit(""))
     return t.select("id", bio.normalise_text(detok).alias("normalised"))
 
@@ -355,7 +360,7 @@ def batching_in_place(spark, sf_dir):
 
 @query("flatten_preds")
 def flatten_preds(spark, sf_dir):
-    t = tokenized_reviews(spark, sf_dir).select("id", bio.label_encode("token_labels").alias("ids"))
+    t = tokenized_reviews(spark, sf_dir, keep=["id", "token_labels"]).select("id", bio.label_encode("token_labels").alias("ids"))
     b = sp.batches(sp.split_90_10(t)).select("split", "batch_id", F.struct("idx", "ids").alias("r"))
     # a batch is at most 40 texts
     g = b.groupBy("split", "batch_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
@@ -416,7 +421,7 @@ from tagloom.operators import scoring as sc  # noqa: E402
 
 def _tagger(spark, sf_dir, vocab=None):
     """(tokenized training corpus with splits, transitions, emissions); each computed once."""
-    t = tokenized_reviews(spark, sf_dir, vocab).select("id", "text", "class", "tokens", "token_labels")
+    t = tokenized_reviews(spark, sf_dir, vocab)
     t = materialize(sp.split_90_10(t), "labelled_tokens")
     train = t.filter(F.col("split") == "train")
     trans = materialize(md.fit_transitions(spark, train), "transitions")
@@ -492,7 +497,7 @@ def _mood_train(spark, sf_dir, mark=False):
 
 
 def _mood(spark, sf_dir, vocab, mark=False):
-    train = materialize(tk.tokenize(_mood_train(spark, sf_dir, mark), vocab).select("class", "tokens"), "mood_tokens")
+    train = materialize(tk.tokenize(_mood_train(spark, sf_dir, mark), vocab, keep=["class", "tokens"]), "mood_tokens")
     model, priors = md.fit_mood(train)
     return materialize(model, "mood_model"), materialize(priors, "mood_priors")
 
@@ -506,14 +511,14 @@ def mood_fit(spark, sf_dir):
 @query("mood_predict")
 def mood_predict(spark, sf_dir):
     vocab = vocabulary(spark, sf_dir)
-    return sc.mood(driver.test_reviews(spark, sf_dir), vocab, *_mood(spark, sf_dir, vocab)).select("id", "class")
+    return sc.mood(driver.test_reviews(spark, sf_dir), vocab, *_mood(spark, sf_dir, vocab), keep=["id", "class"])
 
 
 @query("class_accuracy")
 def class_accuracy(spark, sf_dir):
     vocab = vocabulary(spark, sf_dir)
     val = sp.split_90_10(cp.origin_rows(spark, sf_dir)).where("split = 'val'")
-    pred = sc.mood(val, vocab, *_mood(spark, sf_dir, vocab), out="pred")
+    pred = sc.mood(val, vocab, *_mood(spark, sf_dir, vocab), out="pred", keep=["id", "class", "split", "pred"])
     b = sp.batches(materialize(pred.select("id", "class", "split", "pred"), "mood_pred"))
     return b.groupBy("batch_id").agg(F.round(F.avg((F.col("pred") == F.col("class")).cast("double")), 6)
                                      .alias("acc"))
@@ -522,7 +527,7 @@ def class_accuracy(spark, sf_dir):
 def tag_docs(spark, sf_dir, docs, vocab):
     """M08 with a tagger fitted on the training corpus; written once."""
     _t, trans, emis = _tagger(spark, sf_dir, vocab)
-    return materialize(sc.tag(docs, vocab, trans, emis), "tags")
+    return materialize(sc.tag(docs, vocab, trans, emis, keep=("id", "text")), "tags")
 
 
 @query("tag_corpus")
@@ -574,7 +579,7 @@ def two_stage_submission(spark, sf_dir):
     vocab = vocabulary(spark, sf_dir)
     tags = tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir), vocab)
     marked = tags.select("id", "BIO_anno", bio.mark_text(F.col("text"), bio.bio_split("BIO_anno")).alias("text"))
-    return sc.mood(marked, vocab, *_mood(spark, sf_dir, vocab, mark=True)).select("id", "BIO_anno", "class")
+    return sc.mood(marked, vocab, *_mood(spark, sf_dir, vocab, mark=True), keep=["id", "BIO_anno", "class"])
 
 
 FLAGSHIP = "submission"

@@ -176,3 +176,41 @@ def test_scoring_shuffles_the_texts_once(spark):
     plan = sc.score(docs, sc.Models(vocab, trans, emis, mood, priors))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(__block") == 2           # the texts, and the entries of their pieces
     assert "text#" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_block_work_is_in_one_python_pass(spark):
+    """Scoring and token labels make no sequences of characters that leave the block: one Python step a task."""
+    from tagloom.operators import models as md
+    from tagloom.operators import scoring as sc
+    tk, vocab, trans, emis, mood, priors = _small_models(spark)
+    docs = spark.createDataFrame([(1, "visa good"), (None, None), (1, "")], "id long, text string")
+    tags = sc.score(docs, sc.Models(vocab, trans, emis, mood, priors))
+    rows = tk.tokenize(docs, vocab)
+    for df in (tags, md.decode(rows, trans, emis), md.argmax_tags(rows, emis)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FlatMapCoGroupsInArrow") == 1 and "EvalPython" not in plan
+
+
+def test_trace_of_long_batches_is_made_in_slices(spark):
+    from tagloom.operators import tokenize as tk
+    n = 300
+    rows = [(i, "ab 1 " * 2000, " ".join(["O"] * 10000)) for i in range(n)] + [(None, None, None), (n, "", "")]
+    df = spark.createDataFrame(rows, "id long, text string, BIO_anno string").coalesce(1)
+    made = tk.latin_run_trace(df)
+    assert "EvalPython" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.count() == n * 2000 and made.where("run = 'ab' and labels = 'O O'").count() == n * 2000
+    assert made.where("id = 7").selectExpr("min(k)", "max(k)", "count(distinct k)").first()[:] == (0, 1999, 2000)
+
+
+def test_rows_with_tokens_in_blocks(spark):
+    """Decode, argmax and path score of null, empty and repeated rows, and of tokens never seen."""
+    from tagloom.operators import models as md
+    _tk, _vocab, trans, emis, _mood, _priors = _small_models(spark)
+    rows = spark.createDataFrame([(1, ["visa", "zz"], [8, 8]), (1, ["visa", "zz"], [8, 8]), (None, [], []), (2, None, None)],
+                                 "id long, tokens array<string>, gold array<int>")
+    sizes = {"decode": md.decode(rows, trans, emis), "argmax": md.argmax_tags(rows, emis)}
+    for df in sizes.values():
+        assert sorted(str((r["id"], r["path"] and len(r["path"]), r["path"] is None)) for r in df.collect()) == \
+            sorted(map(str, [(1, 2, False), (1, 2, False), (None, [], False), (2, None, True)]))
+    scores = sorted(str((r["id"], r["score"])) for r in md.path_scores(rows, trans, emis, "gold").collect())
+    assert scores[0] == scores[1] and scores[2:] == ["(2, None)", "(None, 0)"]

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tagloom.constants import ALL_LABELS
+
 SLICE = 1 << 20
 UNK = "[UNK]"
 
@@ -56,6 +58,34 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(str(memoryview(data)[at[0]:at[-1]], "utf-8").encode("utf-32-le"), np.uint32), offs
 
 
+#: Of a byte: blank, letter, digit, other character, and one that goes on a character.
+BLANK, LETTER, DIGIT, OTHER, GOES_ON = range(5)
+KIND = np.full(256, OTHER, np.int8)
+KIND[0x20], KIND[0x30:0x3A], KIND[0x80:0xC0] = BLANK, DIGIT, GOES_ON
+KIND[0x41:0x5B] = KIND[0x61:0x7B] = LETTER
+
+
+def pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces, row offsets): letter runs, digit runs and single other characters but the blank U+0020; a null text has none.
+
+    Pieces are cut from the UTF-8 bytes: one begins where the kind of byte changes, at every other character, and at a row.
+    """
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not len(column) or not (size := int(pc.sum(pc.binary_length(column)).as_py())):
+        return pa.array([], pa.large_string()), np.zeros(len(column) + 1, np.int64)
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int64)[column.offset:column.offset + len(column) + 1]
+    data, at = data.slice(int(at[0]), size), at - at[0]
+    kind = KIND[np.frombuffer(data, np.uint8)]
+    begins = np.ones(size, bool)
+    begins[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == OTHER)) & (kind[1:] != GOES_ON)
+    begins[at[:-1][at[:-1] < size]] = True
+    first = np.flatnonzero(begins)
+    runs = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(np.append(first, size)), data)
+    solid = kind[first] != BLANK
+    return runs.filter(pa.array(solid)), np.concatenate([[0], np.cumsum(solid)])[np.searchsorted(first, at)]
+
+
 def row_of(offs: np.ndarray) -> np.ndarray:
     """Row of every element."""
     return np.repeat(np.arange(len(offs) - 1), np.diff(offs))
@@ -308,11 +338,26 @@ def split_labels(nulls: np.ndarray, annotation: pa.Array) -> pa.Array:
     return list_column(named(names, codes[keep]), np.where(some, np.diff(at), 0), nulls)
 
 
-def joined(nulls: np.ndarray, labels: pa.Array) -> pa.Array:
-    """Labels as one blank-separated string, ``O`` for a missing one."""
+def label_ids(nulls: np.ndarray, labels: pa.Array) -> pa.Array:
+    """Label names -> ids; an unknown or missing label fails the job."""
+    values, at = flat_list(labels)
+    codes, distinct = encoded(values)
+    ids = pc.index_in(distinct.cast(pa.string()), value_set=pa.array(ALL_LABELS))
+    if ids.null_count or (codes < 0).any():
+        raise ValueError(f"unknown label: {distinct.filter(ids.is_null()).to_pylist() or None}")
+    return list_column(ids.take(pa.array(codes)), np.diff(at), nulls)
+
+
+def shown(nulls: np.ndarray, labels: pa.Array) -> pa.Array:
+    """Labels as one blank-separated string, ``∅`` for a missing one."""
+    return joined(nulls, labels, "∅")
+
+
+def joined(nulls: np.ndarray, labels: pa.Array, missing: str = "O") -> pa.Array:
+    """Labels as one blank-separated string, ``missing`` for a missing one."""
     values, at = flat_list(labels)
     codes, names = coded(values)
-    names, outside = (names, names.index("O")) if "O" in names else ([*names, "O"], len(names))
+    names, outside = (names, names.index(missing)) if missing in names else ([*names, missing], len(names))
     return pc.if_else(pa.array(nulls), None, pc.binary_join(list_column(pick(names, np.where(codes < 0, outside, codes)), np.diff(at), np.zeros(len(nulls), bool)), " "))
 
 

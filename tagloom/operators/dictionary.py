@@ -59,10 +59,10 @@ def in_blocks(df: DataFrame, text: str, size: int = BLOCK_BYTES) -> DataFrame:
     return materialize(df.mapInArrow(number, schema), "blocks")
 
 
-def block_keys(rows: DataFrame, column: str, key: str, find: Callable[[str], list[str]] | None = None) -> DataFrame:
+def block_keys(rows: DataFrame, column: str, key: str, find: Callable[[pa.Array], pa.Array] = lambda lists: lists.flatten()) -> DataFrame:
     """(__block, key): the distinct keys of every block; null keys take no part.  Written once.
 
-    ``column`` is a list of keys, or a text in which ``find`` finds them.
+    ``column`` is a list of keys, or texts in which ``find`` finds them.
     """
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,10 +72,7 @@ def block_keys(rows: DataFrame, column: str, key: str, find: Callable[[str], lis
             lo = 0
             for hi in ends:
                 own = batch.column(column).take(pa.array(order[lo:hi]))
-                if find is None:
-                    found = own.flatten().unique().drop_null()
-                else:
-                    found = pa.array(list(set().union(*(find(t) for t in own.to_pylist() if t))), pa.string())
+                found = find(own).unique().drop_null().cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block[order[lo]])), found], names=[BLOCK, key])
                 lo = hi
 

@@ -39,8 +39,6 @@ from tagloom.operators.dictionary import row_bytes
 from tagloom.operators.lookup import attach
 from tagloom.session import materialize
 
-PIECE_RE = r"[A-Za-z]+|[0-9]+|[^ ]"
-WORD_RE = r"[A-Za-z]++"
 # blank-joined words; possessive, so that Java's matcher does not recurse on long texts
 LATIN_RUN_RE = r"[A-Za-z]++(?: [A-Za-z]++)*+"
 OTHER_BLANKS = "\t\n\x0b\f\r"
@@ -50,8 +48,13 @@ FIRST_LONG_ID = 2000000
 
 def mined_words(reviews: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct blank-split words of the Latin runs of a corpus -> (word)."""
-    runs = reviews.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(WORD_RE), 0)).alias("word"))
-    return runs.distinct()
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, row_bytes(batch.column(0))):
+                found = kernels.pieces(part.column(0))[0].unique().cast(pa.string())
+                yield pa.RecordBatch.from_arrays([found.filter(pc.match_substring_regex(found, "^[A-Za-z]"))], names=["word"])
+
+    return reviews.select(text_col).mapInArrow(words, "word string").distinct()
 
 
 def latin_run_trace(reviews: DataFrame) -> DataFrame:
@@ -149,18 +152,19 @@ def one(column) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def cut(texts: list[str | None], pieces: list[str], pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut(texts: pa.Array, pieces: pa.Array, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The dictionary entry of every token of the texts, and the offsets of the texts among them.
 
     ``pieces`` and ``pos`` are the entries in the order (piece, pos).
     """
     first = np.flatnonzero(pos == 0)
     per_piece = np.diff(np.append(first, len(pos)))
-    number = {pieces[i]: k for k, i in enumerate(first.tolist())}
-    find = re.compile(PIECE_RE).findall
-    codes = [np.fromiter(map(number.__getitem__, find(t or "")), np.int64) for t in texts]
-    at = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
-    code = np.concatenate([np.empty(0, np.int64), *codes])
+    found, at = kernels.pieces(texts)
+    kinds, distinct = kernels.encoded(found)
+    number = pc.index_in(distinct.cast(pa.string()), value_set=pieces.take(pa.array(first)))
+    if number.null_count:
+        raise KeyError(distinct.filter(number.is_null())[0].as_py())
+    code = number.to_numpy(zero_copy_only=False).astype(np.int64)[kinds]
     n = per_piece[code]
     end = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
     return np.repeat(first[code] - end[:-1], n) + np.arange(end[-1]), end[at]
@@ -175,7 +179,7 @@ def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text", more: tupl
     A column of ``more`` is null where the text is.  Repeated and null ids are rows like others.
     """
     rows = dy.in_blocks(df, text_col, block_bytes)
-    used = dy.block_keys(rows, text_col, "piece", re.compile(PIECE_RE).findall)
+    used = dy.block_keys(rows, text_col, "piece", lambda texts: kernels.pieces(texts)[0])
     entries = dictionary(used.select("piece").distinct(), vocab)
     if more:
         entries = materialize(entries, "dictionary")
@@ -191,7 +195,7 @@ def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text", more: tupl
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.take(pc.sort_indices(right, sort_keys=[("piece", "ascending"), ("pos", "ascending")]))
         text = left.column(text_col)
-        entry, offsets = cut(text.to_pylist(), right.column("piece").to_pylist(), right.column("pos").to_numpy())
+        entry, offsets = cut(one(text), one(right.column("piece")), right.column("pos").to_numpy())
         null = pa.array(text.is_null().to_numpy())
         token = pa.DictionaryArray.from_arrays(pa.array(entry, pa.int32()), one(right.column("token")))
         made = {c: left.column(c) for c in left.column_names}

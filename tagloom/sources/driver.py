@@ -36,7 +36,8 @@ def mention_pattern() -> str:
     if {b for _, b in CORPUS_PAIRS} & {a for a, _ in CORPUS_PAIRS}:
         raise ValueError("pairs of the corpus lexicon overlap")
     mentions = [f"{a} {b}" for a, b in CORPUS_PAIRS] + list(CORPUS_LEXICON)
-    return r"(?i)(?<![A-Za-z])(?:" + "|".join(mentions) + r")(?![A-Za-z])"
+    first = "".join(sorted({m[0].lower() for m in mentions}))        # most places are none by their character alone
+    return rf"(?i)(?=[{first}])(?<![A-Za-z])(?:" + "|".join(mentions) + r")(?![A-Za-z])"
 
 
 def lexicon_tag(text) -> "F.Column":

@@ -18,7 +18,7 @@ texts, one numpy step per position for all texts of a block.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,11 +32,13 @@ from tagloom.constants import ALL_LABELS, ENTITY_LABELS, EOS, FORBIDDEN, SOS
 from tagloom.functions import bio, kernels
 from tagloom.operators import dictionary as dy
 from tagloom.operators.lookup import attach
-from tagloom.operators.tokenize import TokenColumn, lists, one
+from tagloom.operators.tokenize import TokenColumn, lists, one, row_bytes, slices
+from tagloom.session import materialize
 
 N_TAG = len(ENTITY_LABELS)          # the decoder ranges over the 9 entity labels
 N_ALL = len(ALL_LABELS)
 MICRO = 1_000_000
+POSITIONS = 1 << 17                 # decoded at a time: what a decoder holds, besides one text
 
 
 def micro(log: Column) -> Column:
@@ -69,12 +71,54 @@ def framed_bigrams(rows: DataFrame, labels: str = "token_labels", keep: tuple[st
     return out.select(*keep, F.col("pos").cast("long").alias("pos"), F.col("b.f").alias("from_label"), F.col("b.t").alias("to_label"))
 
 
+def combined(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], np.ndarray],
+             keys: Callable[[pa.RecordBatch], tuple[pa.Array, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (``names``.., n): how often each combination of the keys occurs in a slice of a batch."""
+    for batch in batches:
+        for part in slices(batch, size(batch)):
+            coded = [kernels.encoded(k) for k in keys(part)]
+            code = np.zeros(len(coded[0][0]), np.int64)
+            for codes, distinct in coded:
+                code = code * (len(distinct) + 1) + codes + 1
+            code, n = np.unique(code, return_counts=True)
+            out = []
+            for _, distinct in reversed(coded):
+                code, own = np.divmod(code, len(distinct) + 1)
+                out.append(distinct.take(pa.array(own - 1, mask=own == 0)))
+            yield pa.RecordBatch.from_arrays([*out[::-1], pa.array(n.astype(np.int64))], names=[*names, "n"])
+
+
+def bigram_counts(rows: DataFrame, labels: str = "token_labels") -> DataFrame:
+    """(from_label, to_label, n): the pairs of ``framed_bigrams``, counted slice by slice before they are summed."""
+    def pairs(part: pa.RecordBatch) -> tuple[pa.Array, ...]:
+        column = part.column(0).drop_null()
+        values, at = kernels.flat_list(column)
+        texts = len(column)
+        codes, names = kernels.coded(values)
+        # every text's labels with its frame around them
+        framed = np.empty(len(codes) + 2 * texts, np.int64)
+        inside = np.ones(len(framed), bool)
+        inside[at[:-1] + 2 * np.arange(texts)] = inside[at[1:] + 2 * np.arange(texts) + 1] = False
+        framed[inside] = codes
+        framed[at[:-1] + 2 * np.arange(texts)], framed[at[1:] + 2 * np.arange(texts) + 1] = len(names), len(names) + 1
+        opens = np.ones(len(framed), bool)
+        opens[at[1:] + 2 * np.arange(texts) + 1] = False
+        begin = np.flatnonzero(opens)
+        return tuple(kernels.named([*names, SOS, EOS], framed[p]) for p in (begin, begin + 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return combined(batches, lambda b: row_bytes(b.column(0)), pairs, ["from_label", "to_label"])
+
+    each = rows.select(labels).mapInArrow(count, "from_label string, to_label string, n long")
+    return each.groupBy("from_label", "to_label").agg(F.sum("n").alias("n"))
+
+
 def fit_transitions(spark, rows: DataFrame) -> DataFrame:
     """M03 (transitions): log P(to | from) with add-one smoothing; forbidden pairs -100.
 
     -> (from_label, to_label, n, score, allowed, micro)
     """
-    counts = framed_bigrams(rows).groupBy("from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(bigram_counts(rows), "bigrams")
     pairs = transition_pairs(spark).join(counts, ["from_label", "to_label"], "left") \
         .withColumn("n", F.coalesce("n", F.lit(0)))
     tot = counts.groupBy("from_label").agg(F.sum("n").alias("n_from"))
@@ -95,10 +139,26 @@ def transition_arrays(trans: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndar
 # ----------------------------------------------------------------------------------
 # M03 (emissions)
 # ----------------------------------------------------------------------------------
-def token_label_rows(rows: DataFrame) -> DataFrame:
-    z = F.arrays_zip(F.col("tokens").alias("token"), F.col("token_labels").alias("label"))
-    out = bio.explode_rows(rows.select(z.alias("z")), "z", "p", [])
-    return out.select(F.col("p.token").alias("token"), F.col("p.label").alias("label"))
+def token_label_counts(rows: DataFrame) -> DataFrame:
+    """(label, token, n) of the positions with an entity label, counted slice by slice before they are summed.
+
+    A text without tokens or without labels takes no part; a label past the tokens has a null token.
+    """
+    def pairs(part: pa.RecordBatch) -> tuple[pa.Array, ...]:
+        part = part.filter(pa.array(~kernels.any_null(*part.columns)))
+        (words, token_at), (values, label_at) = (kernels.flat_list(c) for c in part.columns)
+        place = np.arange(len(values)) - label_at[:-1][kernels.row_of(label_at)]
+        row = kernels.row_of(label_at)
+        known = pc.is_in(values, value_set=pa.array(ENTITY_LABELS)).to_numpy(zero_copy_only=False)
+        at = (token_at[:-1][row] + place)[known]
+        past = (place >= np.diff(token_at)[row])[known]
+        return values.filter(pa.array(known)), words.take(pa.array(at, mask=past))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return combined(batches, lambda b: row_bytes(b.column(0)) + row_bytes(b.column(1)), pairs, ["label", "token"])
+
+    each = rows.select("tokens", "token_labels").mapInArrow(count, "label string, token string, n long")
+    return each.groupBy("label", "token").agg(F.sum("n").alias("n"))
 
 
 def fit_emissions(rows: DataFrame) -> DataFrame:
@@ -106,8 +166,7 @@ def fit_emissions(rows: DataFrame) -> DataFrame:
 
     -> (label, token, n, logp, n_label, v); an unseen pair scores ``log(1 / (n_label + V))``.
     """
-    tl = token_label_rows(rows).filter(F.col("label").isin(*ENTITY_LABELS))
-    counts = tl.groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(token_label_counts(rows), "token_labels")        # counted once for three uses
     v = counts.select("token").distinct().agg(F.count(F.lit(1))).scalar()
     per_label = counts.groupBy("label").agg(F.sum("n").alias("n_label"))
     return (counts.join(F.broadcast(per_label), "label")          # <= 9 rows: proven bound
@@ -204,9 +263,15 @@ def decode(rows: DataFrame, trans: DataFrame, emis: DataFrame, out: str = "path"
 
 
 def best_paths(scores: np.ndarray, offsets: np.ndarray, start: np.ndarray, tr: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The best path of every text of a block."""
-    best = viterbi([scores[a:b] for a, b in zip(offsets[:-1], offsets[1:])], start, tr, end)
-    return lists(np.concatenate([np.empty(0, np.int64), *best]), offsets, pa.int32())
+    """The best path of every text of a block; texts of like length are decoded together, about ``POSITIONS`` at a time."""
+    n = np.diff(offsets)
+    order = np.argsort(-n, kind="stable")
+    group = (np.cumsum(n[order]) - n[order]) // POSITIONS
+    out = np.empty(int(offsets[-1]), np.int32)
+    for texts in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+        for i, path in zip(texts.tolist(), viterbi([scores[offsets[i]:offsets[i + 1]] for i in texts.tolist()], start, tr, end)):
+            out[offsets[i]:offsets[i + 1]] = path
+    return lists(out, offsets, pa.int32())
 
 
 def value_matrix(values: pa.Array, missing: np.ndarray) -> np.ndarray:
@@ -255,7 +320,7 @@ def path_scores(rows: DataFrame, trans: DataFrame, emis: DataFrame, ids: str, ou
 def fit_mood(docs: DataFrame, tokens: str = "tokens", cls: str = "class") -> tuple[DataFrame, DataFrame]:
     """(class, token, n, logp) and priors (class, n_docs, prior, n_class, v)."""
     rows = bio.explode_rows(docs.select(cls, tokens), tokens, "token", [cls])
-    counts = rows.groupBy(cls, "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(rows.groupBy(cls, "token").agg(F.count(F.lit(1)).alias("n")), "mood_counts")
     v = counts.select("token").distinct().agg(F.count(F.lit(1))).scalar()
     per_class = counts.groupBy(cls).agg(F.sum("n").alias("n_class"))
     model = (counts.join(F.broadcast(per_class), cls)               # 3 rows: proven bound

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -72,15 +73,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+#: Bytes and rows of an Arrow batch that a Python step of a written table holds.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 2000}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Inside, Python steps that are planned get batches of at most ``BATCH``, or of the session's own smaller setting."""
+    kept = {k: spark.conf.get(k) for k in BATCH}
+    try:
+        for k, most in BATCH.items():
+            own = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(kept[k]))
+            spark.conf.set(k, str(min(own, most) if own > 0 else most))
+        yield
+    finally:
+        for k, own in kept.items():
+            spark.conf.set(k, own)
+
+
 def materialize(df, name: str):
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage (executor loss recomputes from the table, not from the corpus) and
-    lets several actions reuse one fitted model instead of refitting it.
+    lets several actions reuse one fitted model instead of refitting it.  What Python
+    steps hold of it at a time is bounded by ``BATCH``, not by the rows of a task.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with small_batches(spark):
+        df.write.mode("overwrite").parquet(path)
     remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -120,6 +120,11 @@ def _null_join(arr, sep=" "):
     return F.array_join(arr, sep, "∅")
 
 
+def _shown(column):
+    """The joined form of a label column, made in the block: one string a text leaves it instead of one a character."""
+    return tk.RowColumn("shown", "string", (column,), kernels.shown)
+
+
 def train_reviews(spark, sf_dir):
     """The train part of the training corpus: what the vocabulary and the models learn from."""
     return sp.split_90_10(driver.reviews(spark, sf_dir)).where("split = 'train'")
@@ -133,6 +138,7 @@ def vocabulary(spark, sf_dir):
 LABELS = tk.RowColumn("labels", "array<string>", ("BIO_anno",), kernels.split_labels)
 TOKEN_LABELS = tk.RowColumn("token_labels", "array<string>", ("text", "labels", "tokens"), kernels.align)
 EXPANDED = tk.RowColumn("exp", "array<string>", ("tokens", "token_labels"), kernels.expand)
+LABEL_IDS = tk.RowColumn("ids", "array<int>", ("token_labels",), kernels.label_ids)
 REALIGNED = tk.RowColumn("realigned", "array<string>", ("text", "tokens", "exp"), kernels.realign)
 
 
@@ -144,7 +150,7 @@ def tokenized_reviews(spark, sf_dir, vocab=None, then=(), keep=("id", "text", "c
 
 def label_windows(spark, sf_dir):
     """Token-label ids of the training corpus, one row per 198-token window."""
-    t = tokenized_reviews(spark, sf_dir, keep=["id", "token_labels"]).withColumn("ids", bio.label_encode("token_labels"))
+    t = tokenized_reviews(spark, sf_dir, then=[LABEL_IDS], keep=["id", "ids"])
     return tk.encode_windows(t, ["ids"])
 
 
@@ -195,21 +201,20 @@ def bio_inner(spark, sf_dir):
 
 @query("align_labels")
 def align_labels(spark, sf_dir):
-    t = tokenized_reviews(spark, sf_dir, keep=["id", "tokens", "token_labels"])
-    return t.select("id", F.size("tokens").alias("n_tokens"),
-                    _null_join(F.col("token_labels")).alias("token_labels"))
+    t = tokenized_reviews(spark, sf_dir, then=[_shown("token_labels")], keep=["id", "tokens", "shown"])
+    return t.select("id", F.size("tokens").alias("n_tokens"), F.col("shown").alias("token_labels"))
 
 
 @query("expand_labels")
 def expand_labels(spark, sf_dir):
-    t = tokenized_reviews(spark, sf_dir, then=[EXPANDED], keep=["id", "exp"])
-    return t.select("id", _null_join(F.col("exp")).alias("char_labels"))
+    t = tokenized_reviews(spark, sf_dir, then=[EXPANDED, _shown("exp")], keep=["id", "shown"])
+    return t.select("id", F.col("shown").alias("char_labels"))
 
 
 @query("realign_labels")
 def realign_labels(spark, sf_dir):
-    t = tokenized_reviews(spark, sf_dir, then=[EXPANDED, REALIGNED], keep=["id", "realigned"])
-    return t.select("id", _null_join(F.col("realigned")).alias("realigned"))
+    t = tokenized_reviews(spark, sf_dir, then=[EXPANDED, REALIGNED, _shown("realigned")], keep=["id", "shown"])
+    return t.select("id", F.col("shown").alias("realigned"))
 
 
 @query("frame_pad")
@@ -421,7 +426,7 @@ from tagloom.operators import scoring as sc  # noqa: E402
 
 def _tagger(spark, sf_dir, vocab=None):
     """(tokenized training corpus with splits, transitions, emissions); each computed once."""
-    t = tokenized_reviews(spark, sf_dir, vocab)
+    t = tokenized_reviews(spark, sf_dir, vocab, keep=("id", "tokens", "token_labels"))
     t = materialize(sp.split_90_10(t), "labelled_tokens")
     train = t.filter(F.col("split") == "train")
     trans = materialize(md.fit_transitions(spark, train), "transitions")
@@ -524,10 +529,10 @@ def class_accuracy(spark, sf_dir):
                                      .alias("acc"))
 
 
-def tag_docs(spark, sf_dir, docs, vocab):
-    """M08 with a tagger fitted on the training corpus; written once."""
+def tag_docs(spark, sf_dir, docs, vocab, keep=("id",)):
+    """M08 with a tagger fitted on the training corpus."""
     _t, trans, emis = _tagger(spark, sf_dir, vocab)
-    return materialize(sc.tag(docs, vocab, trans, emis, keep=("id", "text")), "tags")
+    return sc.tag(docs, vocab, trans, emis, keep=keep)
 
 
 @query("tag_corpus")
@@ -577,7 +582,7 @@ def submission_csv(spark, sf_dir):
 def two_stage_submission(spark, sf_dir):
     """The mood is read from the text marked with the predicted tags."""
     vocab = vocabulary(spark, sf_dir)
-    tags = tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir), vocab)
+    tags = materialize(tag_docs(spark, sf_dir, driver.test_reviews(spark, sf_dir), vocab, keep=("id", "text")), "tags")
     marked = tags.select("id", "BIO_anno", bio.mark_text(F.col("text"), bio.bio_split("BIO_anno")).alias("text"))
     return sc.mood(marked, vocab, *_mood(spark, sf_dir, vocab, mark=True), keep=["id", "BIO_anno", "class"])
 

@@ -56,7 +56,7 @@ def in_blocks(df: DataFrame, text: str, size: int = BLOCK_BYTES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], names=[*batch.schema.names, BLOCK])
 
     schema = StructType([*df.schema.fields]).add(BLOCK, LongType())
-    return materialize(df.mapInArrow(number, schema), "blocks")
+    return materialize(df.mapInArrow(number, schema), "blocks", bounded=True)
 
 
 def block_keys(rows: DataFrame, column: str, key: str, find: Callable[[pa.Array], pa.Array] = lambda lists: lists.flatten()) -> DataFrame:
@@ -77,7 +77,7 @@ def block_keys(rows: DataFrame, column: str, key: str, find: Callable[[pa.Array]
                 lo = hi
 
     each = rows.select(BLOCK, column).mapInArrow(keys, f"{BLOCK} long, {key} string")
-    return materialize(each.distinct(), "block_keys")
+    return materialize(each.distinct(), "block_keys", bounded=True)
 
 
 def per_block(rows: DataFrame, used: DataFrame, dictionary: DataFrame, key: str,

@@ -118,7 +118,7 @@ def fit_transitions(spark, rows: DataFrame) -> DataFrame:
 
     -> (from_label, to_label, n, score, allowed, micro)
     """
-    counts = materialize(bigram_counts(rows), "bigrams")
+    counts = materialize(bigram_counts(rows), "bigrams", bounded=True)
     pairs = transition_pairs(spark).join(counts, ["from_label", "to_label"], "left") \
         .withColumn("n", F.coalesce("n", F.lit(0)))
     tot = counts.groupBy("from_label").agg(F.sum("n").alias("n_from"))
@@ -166,7 +166,7 @@ def fit_emissions(rows: DataFrame) -> DataFrame:
 
     -> (label, token, n, logp, n_label, v); an unseen pair scores ``log(1 / (n_label + V))``.
     """
-    counts = materialize(token_label_counts(rows), "token_labels")        # counted once for three uses
+    counts = materialize(token_label_counts(rows), "token_labels", bounded=True)        # counted once for three uses
     v = counts.select("token").distinct().agg(F.count(F.lit(1))).scalar()
     per_label = counts.groupBy("label").agg(F.sum("n").alias("n_label"))
     return (counts.join(F.broadcast(per_label), "label")          # <= 9 rows: proven bound

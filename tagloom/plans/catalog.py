@@ -132,7 +132,7 @@ def train_reviews(spark, sf_dir):
 
 def vocabulary(spark, sf_dir):
     """The tokenizer vocabulary, mined from the train part and written once per plan."""
-    return materialize(tk.vocabulary(spark, train_reviews(spark, sf_dir)), "vocab")
+    return materialize(tk.vocabulary(spark, train_reviews(spark, sf_dir)), "vocab", bounded=True)
 
 
 LABELS = tk.RowColumn("labels", "array<string>", ("BIO_anno",), kernels.split_labels)

@@ -73,7 +73,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-#: Bytes and rows of an Arrow batch that a Python step of a written table holds.
+#: Bytes and rows of an Arrow batch that a Python step of a table written ``bounded`` holds.
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 2000}
 
 
@@ -91,16 +91,16 @@ def small_batches(spark: SparkSession):
             spark.conf.set(k, own)
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, bounded: bool = False):
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage (executor loss recomputes from the table, not from the corpus) and
-    lets several actions reuse one fitted model instead of refitting it.  What Python
-    steps hold of it at a time is bounded by ``BATCH``, not by the rows of a task.
+    lets several actions reuse one fitted model instead of refitting it.  With ``bounded``
+    its Python steps hold ``BATCH`` at a time, whatever the session's batches are.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with small_batches(spark):
+    with small_batches(spark) if bounded else contextlib.nullcontext():
         df.write.mode("overwrite").parquet(path)
     remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

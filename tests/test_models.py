@@ -241,7 +241,7 @@ def test_batches_of_written_steps_are_bounded(spark):
 
     before = {k: spark.conf.get(k) for k in BATCH}
     rows = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), F.when(F.col("id") < 6000, 10).otherwise(10000)).alias("t"))
-    got = materialize(rows.mapInArrow(sizes, "n long, size long"), "sizes").agg(F.sum("n"), F.max("n"), F.max("size")).first()
+    got = materialize(rows.mapInArrow(sizes, "n long, size long"), "sizes", bounded=True).agg(F.sum("n"), F.max("n"), F.max("size")).first()
     assert got[0] == 9000 and got[1] <= 2000 and got[2] < 6 << 20
     assert before == {k: spark.conf.get(k) for k in BATCH}
 
